@@ -82,9 +82,10 @@ def render_eye(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:
     done = anchors(splat(rows, keys, sign), keys)
     packed = done.groupBy(*keys, "w").agg(F.sort_array(F.collect_list(F.struct("c", "v", "buf", "anchor"))).alias("p"))
     out = F.transform("p", lambda e: _lerp(F.col("p"), e["c"] - sign * F.coalesce(e["buf"], F.lit(0.0)), F.col("w"), lambda t: t["v"]))
-    packed = packed.withColumn("out", out)
+    # A generator of one row keeps the planner from copying an array's expression into each place that reads it.
+    packed = packed.select("*", F.explode(F.array(out)).alias("out"))
     base = F.transform("p", lambda e: F.when(e["buf"].isNotNull(), F.get(F.col("out"), e["c"])).otherwise(F.get(F.col("out"), e["anchor"])))
-    packed = packed.withColumn("base", base)
+    packed = packed.select("*", F.explode(F.array(base)).alias("base"))
     eye = F.transform(
         "p",
         lambda e: F.when(e["buf"].isNotNull(), F.get(F.col("out"), e["c"])).otherwise(

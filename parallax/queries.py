@@ -196,10 +196,10 @@ def scl21_directions(spark, d):
 
 @query(_CL + """SELECT clip_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h' || lpad(CAST((s % 3600) // 60 AS VARCHAR), 2, '0') || 'm'
  WHEN s >= 60 THEN (s // 60) || 'm' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS clock,
- coalesce(printf('%.2fG', free_bytes / 1e9), '?') AS free FROM (SELECT *, coalesce(frames, 0) * 3 AS s FROM clips)""")
+ coalesce(printf('%.2fG', (free_bytes + 1) / 1e9), '?') AS free FROM (SELECT *, coalesce(frames, 0) * 3 AS s FROM clips)""")
 def scl24_clock(spark, d):
     """SCL-24 and 25."""
-    return clips(spark, d).select("clip_id", S.clock(F.coalesce("frames", lit(0)) * 3).alias("clock"), S.gigabytes(c("free_bytes")).alias("free"))
+    return clips(spark, d).select("clip_id", S.clock(F.coalesce("frames", lit(0)) * 3).alias("clock"), S.gigabytes(c("free_bytes") + 1).alias("free"))
 
 
 @query(_CL + """, a AS (SELECT *, 28.0 / 36 * width AS f FROM clips), b AS (SELECT *, least(degrees(2 * atan(width / (2 * f))) + 40, 140) AS fx, least(degrees(2 * atan(height / (2 * f))) + 40, 140) AS fy FROM a),
