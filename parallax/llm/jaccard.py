@@ -7,19 +7,22 @@ exact. It goes in three steps.
    large enough to link upwards, to that of the next one. In a tile, two sets that link differ in at most ``d``
    elements, so when each is cut by hash into ``d + 1 + spare`` parts, at least ``spare + 1`` parts are equal. Texts
    meet by the hash of a part. A text with more than ``spare`` empty parts also meets by its empty ones, so nothing is
-   lost; the others need not. Keys are combined inside each map task first (a hot key leaves one row a chunk), and a key
-   only ever ties its texts to the least of them, so a group of copies costs rows in proportion to its size.
-2. *Bitmaps.* The texts tied together form candidate groups. Equal sets are collapsed, and small groups go many to a
-   task. In a group, sets are compared by bitmaps of hashed shingles: every bit that only one side has is an element
-   that only this side has, which bounds the overlap from above. Pairs already known to be connected are skipped.
-3. *Exact.* What the bound lets pass is decided by intersecting the sorted arrays.
-
-A group that is too large for one task is cut into blocks by hash. Each block is first compared with itself and with a
-few texts shared by all blocks. What is not yet in its group's largest component after that is compared with all blocks.
+   lost; the others need not. Equal sets are combined inside each map task first.
+2. *Bitmaps.* Texts that meet are compared by bitmaps of hashed shingles: every bit that only one side has is an
+   element that only this side has, which bounds the overlap from above. Pairs that pass tie their texts together; a
+   tile gives a spanning set of such ties, and a key with many texts is cut into blocks, every two of which meet in a
+   tile of their own.
+3. *Exact.* The texts tied together form candidate groups, in which sorted arrays of shingles are intersected for what
+   the bitmaps let pass. Pairs already known to be connected are skipped. A group that is too large for one task is cut
+   into blocks by hash: each is first compared with itself and with a few texts shared by all blocks, and then only
+   what is not yet in the group's largest component is compared with all blocks.
+
+Steps 2 and 3 first run on one key in ``QUICK``, which finds nearly all links, and then on all keys by which texts of
+different components still meet. So a large group of near copies is compared by a few keys, not by all it shares.
 
 Defined results: null or empty texts and texts of white space have no shingles and link with nothing; a text with
-fewer words than ``width`` is one shingle; equal texts link; repeated ids are one document, whose set is that of its
-least row by content hash; an empty table gives an empty result; other columns are ignored.
+fewer words than ``width`` is one shingle; equal texts link; rows of a repeated id are one document with the
+links of each row and the number of shingles of the least row by content hash; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, chunks, list_column, mix, mix_int, shingles, signed, text_bytes, text_shingles, words
+from .common import Scratch, chunks, list_column, mix, shingles, signed, text_bytes, text_shingles, words
 from .components import components
 
-#: Texts, and shingles, of one group that one task compares with each other.
-BLOCK_ROWS, BLOCK_SHINGLES = 1500, 3_000_000
+#: Texts, and shingles, of one group that one task compares with each other; texts of one key in a tile.
+BLOCK_ROWS, BLOCK_SHINGLES, TILE_ROWS = 1500, 3_000_000, 1000
+#: One key in so many is tried first.
+QUICK = 8
+#: Rows of labels up to which they are sent to every task rather than shuffled.
+BROADCAST_ROWS = 1_000_000
 LARGEST = 1 << 31
 
 
@@ -61,7 +68,7 @@ def bands(percent: int, growth: float = 1.3) -> list[tuple[int, int, int, int, i
 
 
 def keys_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys by which the sets meet, and for each key the position of its set. Every non-empty set has its digest too."""
+    """Keys by which the sets meet, and for each key the position of its set."""
     table = np.array(bands(percent), np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.sum():
@@ -104,8 +111,8 @@ FEATURES = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("d1", T.LongType()),
         T.StructField("d2", T.LongType()),
+        T.StructField("bits", T.BinaryType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("links", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -119,27 +126,21 @@ def _features(percent: int, width: int):
             digest = np.array(
                 [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets], np.int64
             ).reshape(-1, 2)
-            keys, owners = keys_of(sets, percent)
-            full = np.flatnonzero(sizes)
-            keys = np.concatenate((keys, mix(digest[full, 0].view(np.uint64) + np.uint64(mix_int(99)))))
-            owners = np.concatenate((owners, full))
-            # The least id of a key stands for it; the chunk's others are tied to that id here and now.
-            order = np.lexsort((ids[owners], keys))
-            keys, owners = keys[order], owners[order]
-            first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-            leader = ids[owners][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(keys) else ids[:0]
-            tied = np.unique(np.stack((owners[~first], leader[~first])), axis=1)
-            tied = tied[:, ids[tied[0]] != tied[1]]
-            kept = np.argsort(owners[first], kind="stable")
-            n = batch.num_rows
+            # Of equal sets in the chunk, only the one of least id has keys.
+            order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
+            first = np.concatenate(([True], (np.diff(digest[order], axis=0) != 0).any(1))) if len(order) else order
+            lead = np.sort(order[first])
+            keys, owners = keys_of([sets[i] for i in lead], percent)
+            owners = lead[owners]
+            kept = np.argsort(owners, kind="stable")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(sizes),
                     pa.array(digest[:, 0]),
                     pa.array(digest[:, 1]),
-                    list_column(signed(keys[first][kept]), np.bincount(owners[first], minlength=n)),
-                    list_column(tied[1], np.bincount(tied[0], minlength=n)),
+                    pa.array([small_bitmap(s) for s in sets], pa.binary()),
+                    list_column(signed(keys[kept]), np.bincount(owners, minlength=batch.num_rows)),
                 ],
                 names=FEATURES.names,
             )
@@ -151,6 +152,68 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
+def small_bitmap(s: np.ndarray) -> bytes:
+    """Bits of hashed elements, two or more to an element up to 4096 elements; the width is a power of two bytes."""
+    bits = 1 << min(13, max(6, int(2 * len(s)).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of equal width: wider ones are folded, as a place modulo the width is the narrower one's place."""
+    width = min(map(len, maps))
+    rows = np.empty((len(maps), width), np.uint8)
+    for row, m in zip(rows, maps, strict=True):
+        row[:] = np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0)
+    return rows.view(np.uint64)
+
+
+def _ties(percent: int):
+    """Spanning ties of each tile among pairs of different labels whose bitmaps let them pass."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "i", "j", "n", "doc_id"], kind="stable")
+        first = ~pdf.duplicated(["key", "i", "j"]).to_numpy()
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, len(pdf)))
+        ids, n, label, bits = (pdf[c].to_numpy() for c in ("doc_id", "n", "label", "bits"))
+        found = []
+        # Tiles of two texts all at once, by the width of the narrower bitmap.
+        two = begin[size == 2]
+        two = two[(label[two] != label[two + 1]) & (n[two + 1] * percent <= n[two] * 100)]
+        width = np.array([min(len(bits[a]), len(bits[a + 1])) for a in two], np.int64)
+        for w in np.unique(width):
+            of = two[width == w]
+            a, b = ((folded([*(bits[k] for k in side), b"\0" * int(w)])[:-1]) for side in (of, of + 1))
+            overlap = np.minimum(n[of] - popcount(a & ~b), n[of + 1] - popcount(b & ~a))
+            of = of[overlap * (100 + percent) >= percent * (n[of] + n[of + 1])]
+            found.append(np.stack((ids[of + 1], ids[of])))
+        for at, k in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            rows = slice(at, at + k)
+            _, known = np.unique(label[rows], return_inverse=True)
+            if known.max() == 0:
+                continue
+            maps, sizes, names = folded(list(bits[rows])), n[rows], ids[rows]
+            ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+            for i in range(k - 1):
+                js = np.arange(i + 1, ends[i])
+                js = js[known[js] != known[i]]
+                if not len(js):
+                    continue
+                overlap = np.minimum(sizes[i] - popcount(maps[i] & ~maps[js]), sizes[js] - popcount(~maps[i] & maps[js]))
+                js = js[overlap * (100 + percent) >= percent * (sizes[i] + sizes[js])]
+                if len(js):
+                    _, one = np.unique(known[js], return_index=True)  # one tie for each component is enough
+                    found.append(np.stack((names[js[one]], np.full(len(one), names[i]))))
+                    known[np.isin(known, known[js])] = known[i]
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = np.unique(pairs, axis=1)
+        return pd.DataFrame({"u": pairs[0], "v": pairs[1]}, dtype="int64")
+
+    return run
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """Bits of hashed elements, four or more bits to an element of the largest set, one row of words to a set."""
     bits = 1 << min(16, max(8, int(4 * max(len(s) for s in sets)).bit_length()))
@@ -209,104 +272,122 @@ def _compare(percent: int, width: int):
     return run
 
 
-def jaccard_groups(
-    spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; see the module's text."""
-    scratch = scratch or Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = scratch.save(docs.mapInArrow(_features(percent, width), FEATURES))
-
-    by_key = Window.partitionBy("key")
-    ties = (
-        features.select(F.explode("keys").alias("key"), "doc_id")
-        .withColumn("lead", F.min("doc_id").over(by_key))
-        .where("doc_id <> lead")
-        .select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
+def _meet(rows: DataFrame, features: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v) ties from rows (key, doc_id, label): one shuffle by key, then bitmaps only for keys with several labels."""
+    by = Window.partitionBy("key")
+    rows = rows.select("*", F.min("label").over(by).alias("low"), F.max("label").over(by).alias("high"), F.count("*").over(by).alias("k"))
+    rows = scratch.save(rows.where("low <> high").select("key", "doc_id", "label", "k"))
+    shelves = max(8, rows.count() // 20_000)
+    blocks = F.ceil(F.col("k") / TILE_ROWS).cast("long")
+    tiles = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    tiles = tiles.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = tiles.withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
+    maps = features.select("doc_id", F.col("n_shingles").alias("n"), "bits")
+    return scratch.save(
+        tiles.join(maps, "doc_id")
+        .withColumn("shelf", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shelves)))
+        .select("shelf", "key", "i", "j", "doc_id", "label", "n", "bits")
+        .groupBy("shelf")
+        .applyInPandas(_ties(percent), "u long, v long")
     )
-    ties = ties.union(features.select(F.col("doc_id").alias("u"), F.explode("links").alias("v")))
-    groups = components(ties, scratch)
 
-    members = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("comp")).join(
-        features.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles")).alias("s")).select("doc_id", "s.*"),
-        "doc_id",
-    )
-    alike = members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = scratch.save(members.join(alike, ["d1", "d2"]))
-    equal = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    reps = members.where("doc_id = rep").select("doc_id", "comp", "n_shingles")
+
+def _verify(docs: DataFrame, members: DataFrame, known: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between members (doc_id, comp, label, n_shingles) of one candidate group, decided exactly.
+
+    Members with the same label are known to be connected, by the edges ``known``.
+    """
     size = (
-        reps.groupBy("comp")
-        .agg(F.count("*").alias("k"), F.sum("n_shingles").alias("total"))
-        .where("k > 1")
+        members.groupBy("comp")
+        .agg(F.count("*").alias("k"), F.sum("n_shingles").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low <> high")
         .withColumn("blocks", F.ceil(F.greatest(F.col("k") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("long"))
+        .select("comp", "k", "blocks")
     )
-    reps = scratch.save(reps.join(size, "comp"))
-    shelves = max(1, reps.where("blocks = 1").count() // (BLOCK_ROWS // 3) + 1)
-    texts = docs.join(reps.select("doc_id", "comp", "k", "blocks"), "doc_id")
-    if reps.where("blocks > 1").isEmpty():
-        texts = texts.withColumn("block", F.lit(0).cast("long"))
-    else:
+    members = scratch.save(members.join(size, "comp"))
+    shelves = max(1, members.where("blocks = 1").count() // (BLOCK_ROWS // 3) + 1)
+    texts = docs.join(members.select("doc_id", "comp", "k", "blocks", "label"), "doc_id")
+    large = members.where("blocks > 1").select("doc_id", "comp", "blocks")
+    some_large = not large.isEmpty()
+    if some_large:
         # About 16 texts of each large group are compared in every block.
         shared = (F.col("blocks") > 1) & (
             (F.col("doc_id") == F.col("comp")) | (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("k") / 16)) == 0)
         )
         own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))
         texts = texts.withColumn(
-            "block", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
+            "block", F.explode(F.when(shared, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own)))
         )
-    first = (
+    else:
+        texts = texts.withColumn("block", F.lit(0).cast("long"))
+    links = scratch.save(
         texts.withColumn("shelf", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(shelves))).otherwise(-1))
         .withColumn("group", F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.col("comp")))
-        .select("shelf", "group", "block", "comp", "doc_id", "text", F.col("doc_id").alias("label"), F.lit(True).alias("probe"))
+        .select("shelf", "group", "block", "comp", "doc_id", "text", "label", F.lit(True).alias("probe"))
         .groupBy("shelf", "group", "block")
         .applyInPandas(_compare(percent, width), "u long, v long")
     )
-    links = scratch.save(first.union(equal))
-
-    large = reps.where("blocks > 1").select("doc_id", "comp", "blocks")
-    if not large.isEmpty():
-        found = components(links, scratch)
-        large = scratch.save(
-            large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-                "doc_id", "comp", "blocks", F.coalesce("root", "doc_id").alias("label")
-            )
-        )
-        main = (
-            large.groupBy("comp", "label")
-            .agg(F.count("*").alias("n"))
-            .groupBy("comp")
-            .agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"))
-            .where("m.n < all")
-            .select("comp", F.col("m.label").alias("main"), (F.col("all") - F.col("m.n")).alias("rest"))
+    if not some_large:
+        return links
+    found = components(links.union(known), scratch)
+    large = scratch.save(
+        large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "doc_id", "comp", "blocks", F.coalesce("root", "doc_id").alias("label")
         )
-        rest = large.join(main, "comp").withColumn("probe", F.col("label") != F.col("main"))
-        rest = rest.withColumn("shares", F.ceil(F.col("rest") / (BLOCK_ROWS // 2)).cast("long"))
-        share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("shares"))
-        block = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks"))
-        every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-        # A probe is in the tiles of its own share with every block, and of every share with its own block.
-        tiles = F.when(
-            F.col("probe"),
-            F.array_union(
-                F.transform(every("blocks"), lambda b: F.struct(share.alias("share"), b.alias("block"))),
-                F.transform(every("shares"), lambda s: F.struct(s.alias("share"), block.alias("block"))),
-            ),
-        ).otherwise(F.transform(every("shares"), lambda s: F.struct(s.alias("share"), block.alias("block"))))
-        rest = rest.withColumn("tile", F.explode(tiles)).select("comp", "tile.*", "doc_id", "label", "probe")
-        again = (
-            docs.join(rest, "doc_id")
-            .groupBy("comp", "share", "block")
-            .applyInPandas(_compare(percent, width), "u long, v long")
-        )
-        links = scratch.save(links.union(again))
-
-    final = components(links, scratch)
-    return (
-        features.groupBy("doc_id")
-        .agg(F.min(F.struct("d1", "d2", "n_shingles")).alias("s"))
-        .join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", F.col("s.n_shingles").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    )
+    main = (
+        large.groupBy("comp", "label")
+        .agg(F.count("*").alias("n"))
+        .groupBy("comp")
+        .agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"))
+        .where("m.n < all")
+        .select("comp", F.col("m.label").alias("main"), (F.col("all") - F.col("m.n")).alias("rest"))
+    )
+    rest = large.join(main, "comp").withColumn("probe", F.col("label") != F.col("main"))
+    rest = rest.withColumn("shares", F.ceil(F.col("rest") / (BLOCK_ROWS // 2)).cast("long"))
+    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("shares"))
+    block = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # A probe is in the tiles of its own share with every block, and of every share with its own block.
+    tiles = F.when(
+        F.col("probe"),
+        F.array_union(
+            F.transform(every("blocks"), lambda b: F.struct(share.alias("share"), b.alias("block"))),
+            F.transform(every("shares"), lambda s: F.struct(s.alias("share"), block.alias("block"))),
+        ),
+    ).otherwise(F.transform(every("shares"), lambda s: F.struct(s.alias("share"), block.alias("block"))))
+    rest = rest.withColumn("tile", F.explode(tiles)).select("comp", "tile.*", "doc_id", "label", "probe")
+    again = docs.join(rest, "doc_id").groupBy("comp", "share", "block").applyInPandas(_compare(percent, width), "u long, v long")
+    return scratch.save(links.union(again))
+
+
+def jaccard_groups(
+    spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; see the module's text."""
+    scratch = scratch or Scratch(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    features = scratch.save(docs.mapInArrow(_features(percent, width), FEATURES))
+    alike = features.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    copies = alike.where("c > 1").select("d1", "d2", "rep")
+    equal = scratch.save(
+        features.select("doc_id", "d1", "d2").join(copies, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    )
+    sizes = features.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles")).alias("s")).select("doc_id", "s.n_shingles")
+    known = equal
+    for quick in (True, False):
+        labels = components(known, scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+        few = labels.count() <= BROADCAST_ROWS
+        keyed = features.select("doc_id", "keys").join(F.broadcast(labels) if few else labels, "doc_id", "left")
+        keyed = keyed.select(F.explode("keys").alias("key"), "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        ties = _meet(keyed.where(F.pmod("key", F.lit(QUICK)) == 0) if quick else keyed, features, percent, scratch)
+        groups = components(ties.union(known), scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
+        members = groups.join(labels, "doc_id", "left").join(sizes, "doc_id").join(equal.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
+        members = members.select("doc_id", "comp", F.coalesce("label", "doc_id").alias("label"), "n_shingles")
+        known = scratch.save(known.union(_verify(docs, members, known, width, percent, scratch)))
+    final = components(known, scratch)
+    return sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
     )
 
 
