@@ -14,7 +14,7 @@ import numpy as np
 from .common import words
 
 END_OF_TEXT = 1
-_KEEP = 400_000
+_KEEP = 150_000
 _loaded: dict[str, Encoder] = {}
 
 
