@@ -9,8 +9,9 @@ targets; above 1 more is kept and the largest cells fall short.
 Only the table of cells is iterated on. Its size is bounded by the number of combinations, not by the documents.
 
 Targets are a share for each value; values that are not named share the remainder in proportion to their tokens (all
-of them, where no targets are given, as they stand). Named values without documents are left out and the rest is
-scaled up.
+of them, where no targets are given, as they stand). Where the named shares leave no remainder, values that are not
+named have weight 0 and none of their documents stays. Named values without documents are left out and the rest is
+scaled up; an axis without any value that has a share stays as it is.
 
 Defined results: null source, language or text count as the empty string, which is a value like others; a document
 without words has no tokens, weighs like its cell, and a cell without tokens has weight 1; repeated ids are decided
@@ -67,7 +68,14 @@ def _share(axis: str, targets: Mapping[str, float] | None) -> Column:
         named = F.when(F.col(axis) == value, float(share)).otherwise(named)
     left = max(0.0, 1.0 - sum(targets.values()))
     free = F.sum(F.when(~known, F.col("tokens")).otherwise(0)).over(Window.partitionBy())
-    return F.when(known, named).otherwise(left * F.sum("tokens").over(Window.partitionBy(axis)) / free)
+    share = F.when(known, named).otherwise(left * F.sum("tokens").over(Window.partitionBy(axis)) / free)
+    held = F.sum(share * F.col("tokens") / F.sum("tokens").over(Window.partitionBy(axis))).over(Window.partitionBy())
+    return F.when(held > 0, share / held).otherwise(own)
+
+
+def _ratio(part: Column, whole: Column) -> Column:
+    """Zero where the whole is zero: cells that have no share of any target."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], scratch: Scratch, sweeps: int = SWEEPS) -> DataFrame:
@@ -80,9 +88,9 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], scratch:
     for k in range(sweeps):
         for axis in AXES:
             by = Window.partitionBy(axis)
-            cells = cells.withColumn("fit", F.col("fit") * F.col(f"to_{axis}") / F.sum("fit").over(by))
+            cells = cells.withColumn("fit", _ratio(F.col("fit") * F.col(f"to_{axis}"), F.sum("fit").over(by)))
         # A target that no cell can meet leaves the sum below one; the axes then keep their proportions.
-        cells = cells.withColumn("fit", F.col("fit") / F.sum("fit").over(Window.partitionBy()))
+        cells = cells.withColumn("fit", _ratio(F.col("fit"), F.sum("fit").over(Window.partitionBy())))
         if k % 3 == 2 or k == sweeps - 1:
             cells = scratch.save(cells)
     return cells.select(*AXES, "tokens", (F.col("fit") / F.col("own")).alias("weight"))
@@ -108,7 +116,7 @@ def mix_sources(
     )
     weights = rake(cells, targets, scratch)
     top = F.max("weight").over(Window.partitionBy())
-    weights = scratch.save(weights.withColumn("rate", F.lit(float(keep)) / top))
+    weights = scratch.save(weights.withColumn("rate", _ratio(F.lit(float(keep)), top)))
     small = weights.count() <= BROADCAST_CELLS
     weights = weights.select(*[F.col(a).alias(f"_{a}") for a in AXES], "weight", "rate")
     if small:  # else the planner shuffles both sides, and adaptive execution splits a hot cell

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parallax.llm import binpack, ctw, curvepack, jaccard, langid, raking, render, telephony, toxicity, vecdup
 from parallax.llm.common import Scratch, text_bytes
+from parallax.llm.queries import TARGETS
 from parallax.llm.tokens import encoder
 
 
@@ -200,6 +201,29 @@ def test_raking_meets_its_targets(spark):
     assert raking.mix_sources(spark, docs.limit(0), targets).count() == 0
 
 
+def raking_rows(spark, n=6000):
+    """Documents over the production targets' values, with a null and an unnamed language."""
+    langs = ["en"] * 12 + ["fr"] * 3 + ["de"] * 3 + ["es"] * 2 + [None, "it"]
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        text = "w " * rng.randint(1, 9) + rng.choice(["", "", "", "###", "License", "a | b"])
+        rows.append((i, text, f"src{rng.randrange(20)}", rng.choice(langs)))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+def test_raking_without_a_share_for_unnamed_values(spark):
+    out = raking.mix_sources(spark, raking_rows(spark), TARGETS).collect()
+    named = [r for r in out if r["lang"] in TARGETS["lang"]]
+    assert len(named) < len(out) and all(r["weight"] == 0 and not r["sampled"] for r in out if r["lang"] not in TARGETS["lang"])
+    total = sum(r["weight"] * r["n_tokens"] for r in named)
+    for axis, shares in TARGETS.items():
+        for value, share in shares.items():
+            assert sum(r["weight"] * r["n_tokens"] for r in named if r[axis] == value) / total == pytest.approx(share, abs=1e-6)
+    unnamed = spark.createDataFrame([(1, "a b", "s", None), (2, "c", "s", "it")], "doc_id long, text string, source string, lang string")
+    assert [r["weight"] for r in raking.mix_sources(spark, unnamed, TARGETS).collect()] == pytest.approx([1.0, 1.0])
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(vecdup, "BLOCK", 8)
     rng = np.random.default_rng(4)
