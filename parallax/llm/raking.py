@@ -2,9 +2,10 @@
 
 Documents fall into cells by source, language and topic. Cell token counts are scaled in turn to each marginal's target
 shares until they hold; the scaled share of a cell over its own share is the weight of its tokens. A document stays
-with probability min(1, rate * weight), decided by a hash of its id, so a run is repeatable and needs no state. ``rate``
-is 1 over the largest weight times ``keep``: with keep = 1 nothing is oversubscribed and the kept tokens meet the
-targets; above 1 more is kept and the largest cells fall short.
+with probability rate * weight, decided by a hash of its id, so a run is repeatable and needs no state. With keep = 1
+``rate`` is 1 over the largest weight, and nothing is oversubscribed. Above 1 the rate is up to ``keep`` times as high:
+cells that would be oversubscribed stay whole, and the others are raked again so that the kept tokens still meet the
+targets. Where they can't, the rate is lowered until they do.
 
 Only the table of cells is iterated on. Its size is bounded by the number of combinations, not by the documents.
 
@@ -20,6 +21,7 @@ alike; an empty table gives no rows; columns of the input are kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,12 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 AXES = ("source", "lang", "topic")
-SWEEPS = 12
+#: Sweeps between two looks at how far the shares miss their targets, and looks at most.
+SWEEPS, ROUNDS = 3, 20
+#: Misses of a target share that end the raking, and that the sample may have at most.
+CLOSE, NEAR = 1e-7, 1e-4
+#: Factor of the rate where the targets can't be met.
+STEP = 0.9
 #: Cells up to which the weights are sent to every task.
 BROADCAST_CELLS = 100_000
 
@@ -78,22 +85,58 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], scratch: Scratch, sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with their weight."""
+def _sweep(cells: DataFrame) -> DataFrame:
+    """One round over the axes. ``free`` is a cell's share without its bound, which scales the cells below theirs."""
+    for axis in AXES:
+        by = Window.partitionBy(axis)
+        to, bound = F.col(f"to_{axis}"), F.col("free") >= F.col("most")
+        held = F.sum(F.when(bound, F.col("most")).otherwise(0.0)).over(by)
+        loose = F.sum(F.when(bound, 0.0).otherwise(F.col("free"))).over(by)
+        # Too little is made up by the cells below their bounds; too much is taken from all.
+        scale = F.when(to >= held + loose, F.coalesce(F.try_divide(to - held, loose), F.lit(1.0))).otherwise(_ratio(to, held + loose))
+        cells = cells.withColumn("free", F.when(bound & (scale > 1), F.col("free")).otherwise(F.col("free") * scale))
+    return cells
+
+
+def _fitted(cells: DataFrame, most: Column, scratch: Scratch, enough: float) -> tuple[DataFrame, float]:
+    """Cells with their shares ``fit``, none above ``most``, and the largest miss of a target share."""
+    cells, missed = cells.withColumn("most", most).withColumn("free", F.col("own")), math.inf
+    fit = F.least("free", "most")
+    for _ in range(ROUNDS):
+        for _ in range(SWEEPS):
+            cells = _sweep(cells)
+        cells = scratch.save(cells)
+        off = [F.abs(F.sum(fit).over(Window.partitionBy(a)) - F.col(f"to_{a}")) for a in AXES]
+        before, missed = missed, cells.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
+        if missed <= enough or missed > 0.9 * before:
+            break
+    return cells.withColumn("fit", fit).drop("most", "free"), missed
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], scratch: Scratch, keep: float = 1.0) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with their weight and the probability that a document stays."""
     cells = cells.where("tokens > 0")
     for axis in AXES:
         cells = cells.withColumn(f"to_{axis}", _share(axis, targets.get(axis)))
     total = F.sum("tokens").over(Window.partitionBy())
-    cells = scratch.save(cells.withColumn("own", F.col("tokens") / total).withColumn("fit", F.col("own")))
-    for k in range(sweeps):
-        for axis in AXES:
-            by = Window.partitionBy(axis)
-            cells = cells.withColumn("fit", _ratio(F.col("fit") * F.col(f"to_{axis}"), F.sum("fit").over(by)))
-        # A target that no cell can meet leaves the sum below one; the axes then keep their proportions.
-        cells = cells.withColumn("fit", _ratio(F.col("fit"), F.sum("fit").over(Window.partitionBy())))
-        if k % 3 == 2 or k == sweeps - 1:
-            cells = scratch.save(cells)
-    return cells.select(*AXES, "tokens", (F.col("fit") / F.col("own")).alias("weight"))
+    cells = scratch.save(cells.withColumn("own", F.col("tokens") / total))
+    raked, missed = _fitted(cells, F.lit(math.inf), scratch, CLOSE)
+    # What a value's tokens allow: its share of the kept tokens can't be more than all of it.
+    room = [F.try_divide(F.sum("own").over(Window.partitionBy(a)), F.col(f"to_{a}")) for a in AXES]
+    seen = raked.select("fit", "own", F.least(*room).alias("room")).agg(F.max(F.col("fit") / F.col("own")), F.min("room")).first()
+    least = 1 / seen[0] if seen[0] else 0.0
+    rate = least * keep
+    if rate > least:
+        rate = max(least, min(rate, seen[1]))
+    while rate > least:
+        bounded, off = _fitted(cells, F.col("own") / rate, scratch, max(CLOSE, missed))
+        if off <= max(NEAR, 1.01 * missed):
+            raked = bounded
+            break
+        rate = max(least, rate * STEP)
+    # A target that no cell can meet leaves the sum below one.
+    weight = _ratio(F.col("fit"), F.sum("fit").over(Window.partitionBy())) / F.col("own")
+    return raked.select(*AXES, "tokens", weight.alias("weight"), F.least(F.lit(1.0), F.lit(rate) * F.col("fit") / F.col("own")).alias("probability"))
 
 
 def mix_sources(
@@ -114,17 +157,15 @@ def mix_sources(
     cells = scratch.save(
         marked.groupBy(*[c.alias(a) for a, c in key.items()]).agg(F.sum("n_tokens").alias("tokens"))
     )
-    weights = rake(cells, targets, scratch)
-    top = F.max("weight").over(Window.partitionBy())
-    weights = scratch.save(weights.withColumn("rate", _ratio(F.lit(float(keep)), top)))
+    weights = scratch.save(rake(cells, targets, scratch, float(keep)))
     small = weights.count() <= BROADCAST_CELLS
-    weights = weights.select(*[F.col(a).alias(f"_{a}") for a in AXES], "weight", "rate")
+    weights = weights.select(*[F.col(a).alias(f"_{a}") for a in AXES], "weight", F.col("probability").alias("_stays"))
     if small:  # else the planner shuffles both sides, and adaptive execution splits a hot cell
         weights = F.broadcast(weights)
     on = [key[a] == F.col(f"_{a}") for a in AXES]
     out = marked.join(weights, on, "left")
     weight = F.coalesce("weight", F.lit(1.0))
-    probability = F.coalesce(F.least(F.lit(1.0), F.col("weight") * F.col("rate")), F.lit(1.0))
+    probability = F.coalesce("_stays", F.lit(1.0))
     return out.select(
         *marked.columns,
         weight.alias("weight"),

@@ -224,6 +224,19 @@ def test_raking_without_a_share_for_unnamed_values(spark):
     assert [r["weight"] for r in raking.mix_sources(spark, unnamed, TARGETS).collect()] == pytest.approx([1.0, 1.0])
 
 
+def test_mixed_sample_meets_its_targets(spark):
+    docs = raking_rows(spark)
+    out = raking.mix_sources(spark, docs, TARGETS, keep=4.0).collect()
+    plain = raking.mix_sources(spark, docs, TARGETS).collect()
+    kept = sum(r["probability"] * r["n_tokens"] for r in out)
+    assert kept > 1.2 * sum(r["probability"] * r["n_tokens"] for r in plain) and max(r["probability"] for r in out) == 1
+    drawn = sum(r["n_tokens"] for r in out if r["sampled"])
+    for axis, shares in TARGETS.items():
+        for value, share in shares.items():
+            assert sum(r["probability"] * r["n_tokens"] for r in out if r[axis] == value) / kept == pytest.approx(share, abs=2e-4)
+            assert sum(r["n_tokens"] for r in out if r["sampled"] and r[axis] == value) / drawn == pytest.approx(share, abs=0.02)
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(vecdup, "BLOCK", 8)
     rng = np.random.default_rng(4)
