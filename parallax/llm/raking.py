@@ -32,12 +32,12 @@ from .common import Scratch
 
 AXES = ("source", "lang", "topic")
 #: Sweeps between two looks at how far the shares miss their targets, and looks at most.
-SWEEPS, ROUNDS = 3, 20
+SWEEPS, ROUNDS = 2, 30
 #: Misses of a target share that end the raking, and that the sample may have at most.
 CLOSE, NEAR = 1e-7, 1e-4
 #: Factor of the rate where the targets can't be met.
 STEP = 0.9
-#: Cells up to which the weights are sent to every task.
+#: Cells up to which the weights are sent to every task, and raked in one partition.
 BROADCAST_CELLS = 100_000
 
 
@@ -75,9 +75,7 @@ def _share(axis: str, targets: Mapping[str, float] | None) -> Column:
         named = F.when(F.col(axis) == value, float(share)).otherwise(named)
     left = max(0.0, 1.0 - sum(targets.values()))
     free = F.sum(F.when(~known, F.col("tokens")).otherwise(0)).over(Window.partitionBy())
-    share = F.when(known, named).otherwise(left * F.sum("tokens").over(Window.partitionBy(axis)) / free)
-    held = F.sum(share * F.col("tokens") / F.sum("tokens").over(Window.partitionBy(axis))).over(Window.partitionBy())
-    return F.when(held > 0, share / held).otherwise(own)
+    return F.when(known, named).otherwise(left * F.sum("tokens").over(Window.partitionBy(axis)) / free)
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -90,22 +88,33 @@ def _sweep(cells: DataFrame) -> DataFrame:
     for axis in AXES:
         by = Window.partitionBy(axis)
         to, bound = F.col(f"to_{axis}"), F.col("free") >= F.col("most")
-        held = F.sum(F.when(bound, F.col("most")).otherwise(0.0)).over(by)
-        loose = F.sum(F.when(bound, 0.0).otherwise(F.col("free"))).over(by)
+        cells = cells.withColumns({
+            "_held": F.sum(F.when(bound, F.col("most")).otherwise(0.0)).over(by),
+            "_loose": F.sum(F.when(bound, 0.0).otherwise(F.col("free"))).over(by),
+        })
+        held, loose = F.col("_held"), F.col("_loose")
         # Too little is made up by the cells below their bounds; too much is taken from all.
         scale = F.when(to >= held + loose, F.coalesce(F.try_divide(to - held, loose), F.lit(1.0))).otherwise(_ratio(to, held + loose))
+        cells = cells.withColumn("_scale", scale)
+        scale = F.col("_scale")
         cells = cells.withColumn("free", F.when(bound & (scale > 1), F.col("free")).otherwise(F.col("free") * scale))
-    return cells
+    return cells.drop("_held", "_loose", "_scale")
 
 
-def _fitted(cells: DataFrame, most: Column, scratch: Scratch, enough: float) -> tuple[DataFrame, float]:
+def _together(cells: DataFrame, scratch: Scratch, few: bool) -> DataFrame:
+    """Cells saved and, where they are few, read as one partition, which no window has to shuffle."""
+    saved = scratch.save(cells)
+    return saved.coalesce(1) if few else saved
+
+
+def _fitted(cells: DataFrame, most: Column, scratch: Scratch, few: bool, enough: float) -> tuple[DataFrame, float]:
     """Cells with their shares ``fit``, none above ``most``, and the largest miss of a target share."""
     cells, missed = cells.withColumn("most", most).withColumn("free", F.col("own")), math.inf
     fit = F.least("free", "most")
     for _ in range(ROUNDS):
         for _ in range(SWEEPS):
             cells = _sweep(cells)
-        cells = scratch.save(cells)
+        cells = _together(cells, scratch, few)
         off = [F.abs(F.sum(fit).over(Window.partitionBy(a)) - F.col(f"to_{a}")) for a in AXES]
         before, missed = missed, cells.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
         if missed <= enough or missed > 0.9 * before:
@@ -115,12 +124,21 @@ def _fitted(cells: DataFrame, most: Column, scratch: Scratch, enough: float) ->
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], scratch: Scratch, keep: float = 1.0) -> DataFrame:
     """Cells (source, lang, topic, tokens) with their weight and the probability that a document stays."""
+    few = cells.count() <= BROADCAST_CELLS
     cells = cells.where("tokens > 0")
+    cells = cells.coalesce(1) if few else cells
     for axis in AXES:
         cells = cells.withColumn(f"to_{axis}", _share(axis, targets.get(axis)))
-    total = F.sum("tokens").over(Window.partitionBy())
-    cells = scratch.save(cells.withColumn("own", F.col("tokens") / total))
-    raked, missed = _fitted(cells, F.lit(math.inf), scratch, CLOSE)
+    cells, every = scratch.save(cells), Window.partitionBy()
+    cells = cells.coalesce(1) if few else cells
+    total = F.sum("tokens").over(every)
+    for axis in AXES:
+        to = F.col(f"to_{axis}")
+        cells = cells.withColumn("_of", F.sum("tokens").over(Window.partitionBy(axis)))
+        cells = cells.withColumn("_all", F.sum(to * F.col("tokens") / F.col("_of")).over(every))
+        cells = cells.withColumn(f"to_{axis}", F.when(F.col("_all") > 0, _ratio(to, F.col("_all"))).otherwise(F.col("_of") / total)).drop("_of", "_all")
+    cells = _together(cells.withColumn("own", F.col("tokens") / total), scratch, few)
+    raked, missed = _fitted(cells, F.lit(math.inf), scratch, few, CLOSE)
     # What a value's tokens allow: its share of the kept tokens can't be more than all of it.
     room = [F.try_divide(F.sum("own").over(Window.partitionBy(a)), F.col(f"to_{a}")) for a in AXES]
     seen = raked.select("fit", "own", F.least(*room).alias("room")).agg(F.max(F.col("fit") / F.col("own")), F.min("room")).first()
@@ -129,7 +147,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], scratch:
     if rate > least:
         rate = max(least, min(rate, seen[1]))
     while rate > least:
-        bounded, off = _fitted(cells, F.col("own") / rate, scratch, max(CLOSE, missed))
+        bounded, off = _fitted(cells, F.col("own") / rate, scratch, few, max(CLOSE, missed))
         if off <= max(NEAR, 1.01 * missed):
             raked = bounded
             break
