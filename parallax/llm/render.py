@@ -195,19 +195,58 @@ class _Lines:
         return "\n".join(self.lines).strip("\n")
 
 
+def _around_cells(row: Node) -> set[int]:
+    """Which elements below a row have cells below them; tables in it are left out."""
+    above: dict[int, Node] = {}
+    out: set[int] = set()
+    todo = [row]
+    while todo:
+        n = todo.pop()
+        for c in n.children:
+            if isinstance(c, str) or c.name == "table":
+                continue
+            if c.name in ("td", "th"):
+                up = n
+                while up is not row and id(up) not in out:
+                    out.add(id(up))
+                    up = above[id(up)]
+            else:
+                above[id(c)] = n
+                todo.append(c)
+    return out
+
+
 def _table(node: Node) -> str:
-    """The caption and rows of a table, cells padded to the widest of their column."""
+    """The caption and rows of a table, cells padded to the widest of their column.
+
+    What stands outside of cells and caption goes before the table.
+    """
     rows: list[list[list[str]]] = []
     caption: list[str] = []
+    moved = Node("div", {})
     todo = [node]
     while todo:
         n = todo.pop()
-        if n is not node and (isinstance(n, str) or hidden(n)):
+        if isinstance(n, str):
+            moved.children.append(n)
+            continue
+        if n is not node and hidden(n):
             continue
         if n.name == "tr":
             row: list[list[str]] = []
-            for cell in n.children:
-                if isinstance(cell, Node) and cell.name in ("td", "th") and not hidden(cell):
+            around = _around_cells(n)
+            inner = list(reversed(n.children))
+            while inner:
+                cell = inner.pop()
+                if isinstance(cell, str):
+                    moved.children.append(cell)
+                elif hidden(cell):
+                    continue
+                elif id(cell) in around:
+                    inner += reversed(cell.children)
+                elif cell.name not in ("td", "th"):
+                    moved.children.append(cell)
+                else:
                     row.append(_walk(cell).split("\n"))
                     span = cell.attributes.get("colspan", "")
                     row += [[""]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
@@ -220,9 +259,9 @@ def _table(node: Node) -> str:
                 row_node = Node("tr", {})
                 row_node.children = loose
                 todo.append(row_node)
-            todo += [c for c in reversed(n.children) if isinstance(c, Node) and c not in loose]
+            todo += [c for c in reversed(n.children) if isinstance(c, str) or c not in loose]
         else:
-            caption.append(_walk(n))
+            moved.children.append(n)
     widths: list[int] = []
     for row in rows:
         for k, cell in enumerate(row):
@@ -231,7 +270,7 @@ def _table(node: Node) -> str:
                 widths.append(width)
             else:
                 widths[k] = max(widths[k], width)
-    out = [c for c in caption if c]
+    out = [c for c in (_walk(moved), *caption) if c]
     for row in rows:
         for i in range(max((len(c) for c in row), default=0)):
             cells = [c[i] if i < len(c) else "" for c in row]

@@ -265,6 +265,18 @@ def test_rendering():
     assert len(render.render("<div>" * 5000 + "deep")) == 4
 
 
+def test_rendering_keeps_text_outside_of_cells():
+    page = (
+        "<table>bare<tbody>body<tr><form><td>a</td><td>b</td></form></tr><tr><p>para</p><td>c</td>between<td>d</td></tr>"
+        "<tr><form><div hidden><td>no</td></div><span><td>e</td>in</span></form></tr><img alt=pic></tbody></table>end"
+    )
+    got = render.render(page)
+    assert "no" not in got
+    for word in "bare body para between in pic".split():
+        assert word in got and got.index(word) < got.index("a  b")
+    assert "a  b\nc  d\ne" in got and got.endswith("end")
+
+
 def test_telephony_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(texts(2))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1))
