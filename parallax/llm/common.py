@@ -7,7 +7,7 @@ task that is run again after an executor is lost gives the same rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +25,42 @@ _BASE = 0x9E3779B97F4A7C15
 class Scratch:
     """Tables written to the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Writing a table cuts the lineage and survives a lost executor. Where the setting is absent, as in tests, a folder
-    under the warehouse is used.
+    Writing a table cuts the lineage and survives a lost executor. Where the setting is absent, a folder under the
+    warehouse is used, but only in local mode, as in tests: on a cluster that folder may be one machine's own.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
         self.root = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that no later step reads."""
-        path = getattr(df, "_scratch_path", None)
-        if path:
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete saved tables that no later step reads."""
+        for path in filter(None, (getattr(df, "_scratch_path", None) for df in tables)):
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def others(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """Columns of a table but for those that results of these names replace; case doesn't count, as in Spark."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -46,11 +46,40 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, probability and sampling decision of every document."""
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return raking.mix_sources(spark, docs, TARGETS, keep=4.0).select(
+    return raking.mix_sources(docs, TARGETS).select(
         "doc_id", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled"
     )
 
 
+def op4_sql() -> str:
+    """The same in SQL: a recursive query whose every step is one sweep of the raking."""
+    named = {a: list(TARGETS[a]) for a in raking.AXES}
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    group = lambda a: "CASE " + a + " " + " ".join(f"WHEN {quoted(v)} THEN {k}" for k, v in enumerate(named[a], 1)) + " ELSE 0 END"
+    share = lambda a: "CASE g_" + a + " " + " ".join(f"WHEN {k} THEN {s}::DOUBLE" for k, s in enumerate(raking.shares_of(TARGETS[a]))) + " END"
+    keys = ", ".join(f"g_{a}" for a in raking.AXES)
+    step, below = "fit", "f"
+    for a in raking.AXES:
+        below = f"(SELECT * REPLACE (CASE WHEN sum(fit) OVER (PARTITION BY g_{a}) > 0 THEN fit * to_{a} / sum(fit) OVER (PARTITION BY g_{a}) ELSE 0.0 END AS fit) FROM {below})"
+    target = lambda a: (
+        f"CASE WHEN sum(t_{a} * own / nullif(of_{a}, 0)) OVER () > 0 THEN t_{a} / sum(t_{a} * own / nullif(of_{a}, 0)) OVER () ELSE of_{a} END AS to_{a}"
+    )
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+ m AS (SELECT *, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'License') OR contains(text, 'rights reserved') THEN 'notice'
+ WHEN contains(text, '###') OR contains(text, '$$$') THEN 'noise' WHEN length(text) >= 2000 THEN 'long' ELSE 'short' END AS topic,
+ len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_tokens FROM d),
+ g AS (SELECT doc_id, topic, n_tokens, {", ".join(f"{group(a)} AS g_{a}" for a in raking.AXES)} FROM m),
+ c AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS tokens FROM g GROUP BY ALL),
+ o AS (SELECT *, tokens / sum(tokens) OVER () AS own, {", ".join(f"{share(a)} AS t_{a}" for a in raking.AXES)} FROM c),
+ p AS (SELECT *, {", ".join(f"sum(own) OVER (PARTITION BY g_{a}) AS of_{a}" for a in raking.AXES)} FROM o),
+ f AS (SELECT 0 AS k, {keys}, own, {", ".join(target(a) for a in raking.AXES)}, own AS fit FROM p
+ UNION ALL SELECT * REPLACE (k + 1 AS k) FROM {below} WHERE k < {raking.SWEEPS}),
+ w AS (SELECT {keys}, CASE WHEN own > 0 THEN fit / sum(fit) OVER () / own ELSE 1.0 END AS weight FROM f WHERE k = {raking.SWEEPS}),
+ q AS (SELECT *, weight / max(weight) OVER () AS probability FROM w)
+ SELECT doc_id, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+ CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled FROM g JOIN q USING ({keys})"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id matrices of all documents."""
     return binpack.pack_best_fit(table(ready(spark), sf_dir, "documents"))
@@ -105,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_sources": op4_sql()}

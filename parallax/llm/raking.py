@@ -1,44 +1,37 @@
 """Mixing sources to target weights by raking (iterative proportional fitting), with DataFrame functions only.
 
-Documents fall into cells by source, language and topic. Cell token counts are scaled in turn to each marginal's target
-shares until they hold; the scaled share of a cell over its own share is the weight of its tokens. A document stays
-with probability rate * weight, decided by a hash of its id, so a run is repeatable and needs no state. With keep = 1
-``rate`` is 1 over the largest weight, and nothing is oversubscribed. Above 1 the rate is up to ``keep`` times as high:
-cells that would be oversubscribed stay whole, and the others are raked again so that the kept tokens still meet the
-targets. Where they can't, the rate is lowered until they do.
-
-Only the table of cells is iterated on. Its size is bounded by the number of combinations, not by the documents.
-
-Targets are a share for each value; values that are not named share the remainder in proportion to their tokens (all
-of them, where no targets are given, as they stand). Where the named shares leave no remainder, values that are not
-named have weight 0 and none of their documents stays. Named values without documents are left out and the rest is
-scaled up; an axis without any value that has a share stays as it is.
-
-Defined results: null source, language or text count as the empty string, which is a value like others; a document
-without words has no tokens, weighs like its cell, and a cell without tokens has weight 1; repeated ids are decided
-alike; an empty table gives no rows; columns of the input are kept.
+Documents fall into cells by source, language and topic. The values that an axis names targets for are groups of their
+own; all others of the axis make one more group, whose target is what the named shares leave of 1. So the number of
+cells is bounded by the targets, ``(named + 1)`` multiplied over the axes, whatever the data hold, and the whole table of
+cells is one short array. Cell token counts are scaled in turn to each axis' target shares, ``SWEEPS`` times, by
+higher-order functions over that array. A cell's scaled share over its own share is the weight of its tokens.
+
+A document stays with probability ``keep * weight / largest weight``, decided by a hash of its id, so a run is repeatable
+and needs no state. No probability is above 1, so in expectation the kept tokens meet the targets as the weights do, and
+``keep`` in (0, 1] is the share of the largest such sample.
+
+Defined results: null source, language or text count as the empty string, which is a value like others; where the named
+shares reach 1 nothing of the other values stays; named values without tokens are left out and the rest is scaled up; an
+axis without targets, or none of whose targets has tokens, stays as it is; targets that no mix of the cells can meet
+together end where the last axis is met; a document without words weighs like its cell, and a cell without tokens has
+weight 1; a null id draws like an empty one; repeated ids are decided alike; an empty table gives no rows. Columns of the
+input are kept, but for those with the name of a result column, which the result replaces.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import others
 
 AXES = ("source", "lang", "topic")
-#: Sweeps between two looks at how far the shares miss their targets, and looks at most.
-SWEEPS, ROUNDS = 2, 30
-#: Misses of a target share that end the raking, and that the sample may have at most.
-CLOSE, NEAR = 1e-7, 1e-4
-#: Factor of the rate where the targets can't be met.
-STEP = 0.9
-#: Cells up to which the weights are sent to every task, and raked in one partition.
-BROADCAST_CELLS = 100_000
+SWEEPS = 60
+#: Most cells that targets may span.
+MOST_CELLS = 20_000
+RESULTS = ("topic", "n_tokens", "weight", "probability", "sampled")
 
 
 def topic_of(text: Column) -> Column:
@@ -60,133 +53,105 @@ def tokens_of(text: Column) -> Column:
 
 def uniform_of(doc_id: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of the id's MD5."""
-    return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def _share(axis: str, targets: Mapping[str, float] | None) -> Column:
-    """Target share of a cell's value on an axis, from the cells' tokens."""
-    total = F.sum("tokens").over(Window.partitionBy())
-    own = F.sum("tokens").over(Window.partitionBy(axis)) / total
-    if not targets:
-        return own
-    known = F.col(axis).isin(*targets)
-    named = F.lit(None).cast("double")
-    for value, share in targets.items():
-        named = F.when(F.col(axis) == value, float(share)).otherwise(named)
-    left = max(0.0, 1.0 - sum(targets.values()))
-    free = F.sum(F.when(~known, F.col("tokens")).otherwise(0)).over(Window.partitionBy())
-    return F.when(known, named).otherwise(left * F.sum("tokens").over(Window.partitionBy(axis)) / free)
-
-
-def _ratio(part: Column, whole: Column) -> Column:
-    """Zero where the whole is zero: cells that have no share of any target."""
-    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
-
-
-def _sweep(cells: DataFrame) -> DataFrame:
-    """One round over the axes. ``free`` is a cell's share without its bound, which scales the cells below theirs."""
-    for axis in AXES:
-        by = Window.partitionBy(axis)
-        to, bound = F.col(f"to_{axis}"), F.col("free") >= F.col("most")
-        cells = cells.withColumns({
-            "_held": F.sum(F.when(bound, F.col("most")).otherwise(0.0)).over(by),
-            "_loose": F.sum(F.when(bound, 0.0).otherwise(F.col("free"))).over(by),
-        })
-        held, loose = F.col("_held"), F.col("_loose")
-        # Too little is made up by the cells below their bounds; too much is taken from all.
-        scale = F.when(to >= held + loose, F.coalesce(F.try_divide(to - held, loose), F.lit(1.0))).otherwise(_ratio(to, held + loose))
-        cells = cells.withColumn("_scale", scale)
-        scale = F.col("_scale")
-        cells = cells.withColumn("free", F.when(bound & (scale > 1), F.col("free")).otherwise(F.col("free") * scale))
-    return cells.drop("_held", "_loose", "_scale")
-
-
-def _together(cells: DataFrame, scratch: Scratch, few: bool) -> DataFrame:
-    """Cells saved and, where they are few, read as one partition, which no window has to shuffle."""
-    saved = scratch.save(cells)
-    return saved.coalesce(1) if few else saved
-
-
-def _fitted(cells: DataFrame, most: Column, scratch: Scratch, few: bool, enough: float) -> tuple[DataFrame, float]:
-    """Cells with their shares ``fit``, none above ``most``, and the largest miss of a target share."""
-    cells, missed = cells.withColumn("most", most).withColumn("free", F.col("own")), math.inf
-    fit = F.least("free", "most")
-    for _ in range(ROUNDS):
-        for _ in range(SWEEPS):
-            cells = _sweep(cells)
-        cells = _together(cells, scratch, few)
-        off = [F.abs(F.sum(fit).over(Window.partitionBy(a)) - F.col(f"to_{a}")) for a in AXES]
-        before, missed = missed, cells.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0] or 0.0
-        if missed <= enough or missed > 0.9 * before:
-            break
-    return cells.withColumn("fit", fit).drop("most", "free"), missed
-
-
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], scratch: Scratch, keep: float = 1.0) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with their weight and the probability that a document stays."""
-    few = cells.count() <= BROADCAST_CELLS
-    cells = cells.where("tokens > 0")
-    cells = cells.coalesce(1) if few else cells
-    for axis in AXES:
-        cells = cells.withColumn(f"to_{axis}", _share(axis, targets.get(axis)))
-    cells, every = scratch.save(cells), Window.partitionBy()
-    cells = cells.coalesce(1) if few else cells
-    total = F.sum("tokens").over(every)
-    for axis in AXES:
-        to = F.col(f"to_{axis}")
-        cells = cells.withColumn("_of", F.sum("tokens").over(Window.partitionBy(axis)))
-        cells = cells.withColumn("_all", F.sum(to * F.col("tokens") / F.col("_of")).over(every))
-        cells = cells.withColumn(f"to_{axis}", F.when(F.col("_all") > 0, _ratio(to, F.col("_all"))).otherwise(F.col("_of") / total)).drop("_of", "_all")
-    cells = _together(cells.withColumn("own", F.col("tokens") / total), scratch, few)
-    raked, missed = _fitted(cells, F.lit(math.inf), scratch, few, CLOSE)
-    # What a value's tokens allow: its share of the kept tokens can't be more than all of it.
-    room = [F.try_divide(F.sum("own").over(Window.partitionBy(a)), F.col(f"to_{a}")) for a in AXES]
-    seen = raked.select("fit", "own", F.least(*room).alias("room")).agg(F.max(F.col("fit") / F.col("own")), F.min("room")).first()
-    least = 1 / seen[0] if seen[0] else 0.0
-    rate = least * keep
-    if rate > least:
-        rate = max(least, min(rate, seen[1]))
-    while rate > least:
-        bounded, off = _fitted(cells, F.col("own") / rate, scratch, few, max(CLOSE, missed))
-        if off <= max(NEAR, 1.01 * missed):
-            raked = bounded
-            break
-        rate = max(least, rate * STEP)
-    # A target that no cell can meet leaves the sum below one.
-    weight = _ratio(F.col("fit"), F.sum("fit").over(Window.partitionBy())) / F.col("own")
-    return raked.select(*AXES, "tokens", weight.alias("weight"), F.least(F.lit(1.0), F.lit(rate) * F.col("fit") / F.col("own")).alias("probability"))
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_sources(
-    spark: SparkSession,
-    docs: DataFrame,
-    targets: Mapping[str, Mapping[str, float]],
-    keep: float = 1.0,
-    scratch: Scratch | None = None,
-) -> DataFrame:
-    """Every row of ``docs`` with topic, n_tokens, weight, probability and the decision ``sampled``."""
-    scratch = scratch or Scratch(spark)
-    marked = docs.select(
-        "*",
-        topic_of(F.col("text")).alias("topic"),
-        tokens_of(F.col("text")).alias("n_tokens"),
+def group_of(value: Column, named: Mapping[str, float]) -> Column:
+    """Place of a value among the named ones, from 1; 0 for all others."""
+    out = F.lit(0)
+    for k, name in enumerate(named, 1):
+        out = F.when(value == name, k).otherwise(out)
+    return out
+
+
+def shares_of(named: Mapping[str, float]) -> list[float]:
+    """Target share of each group of an axis, that of the other values first."""
+    if any(s < 0 for s in named.values()):
+        raise ValueError("a target share is negative")
+    return [max(0.0, round(1.0 - sum(named.values()), 12)) if named else 1.0, *map(float, named.values())]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _sums(fit: Column, groups: Column, n: int) -> Column:
+    """Sum of ``fit`` in each of an axis' groups."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda g: _total(F.zip_with(fit, groups, lambda f, k: F.when(k == g, f).otherwise(0.0)))
+    )
+
+
+def _targets(own: Column, groups: Column, shares: list[float]) -> Column:
+    """Shares of the groups that have tokens, scaled to a sum of 1; their own shares where no target has tokens."""
+    return _let(
+        _sums(own, groups, len(shares)),
+        lambda now: _let(
+            F.zip_with(now, F.array(*map(F.lit, shares)), lambda s, t: F.when(s > 0, t).otherwise(0.0)),
+            lambda to: _let(_total(to), lambda all_: F.when(all_ > 0, F.transform(to, lambda t: t / all_)).otherwise(now)),
+        ),
     )
-    key = {axis: F.coalesce(F.col(axis).cast("string"), F.lit("")) for axis in AXES}
-    cells = scratch.save(
-        marked.groupBy(*[c.alias(a) for a, c in key.items()]).agg(F.sum("n_tokens").alias("tokens"))
+
+
+def _scaled(fit: Column, groups: Column, to: Column, n: int) -> Column:
+    """Cells scaled so that each group of an axis has its target share."""
+    ratio = lambda t, s: F.when(s > 0, t / s).otherwise(0.0)
+    return _let(
+        F.zip_with(to, _sums(fit, groups, n), ratio), lambda scale: F.zip_with(fit, groups, lambda f, k: f * F.get(scale, k))
     )
-    weights = scratch.save(rake(cells, targets, scratch, float(keep)))
-    small = weights.count() <= BROADCAST_CELLS
-    weights = weights.select(*[F.col(a).alias(f"_{a}") for a in AXES], "weight", F.col("probability").alias("_stays"))
-    if small:  # else the planner shuffles both sides, and adaptive execution splits a hot cell
-        weights = F.broadcast(weights)
-    on = [key[a] == F.col(f"_{a}") for a in AXES]
-    out = marked.join(weights, on, "left")
-    weight = F.coalesce("weight", F.lit(1.0))
-    probability = F.coalesce("_stays", F.lit(1.0))
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """Cells (a group number for each axis, tokens) -> the same with ``weight`` and ``peak``, the largest weight."""
+    shares = {a: shares_of(targets.get(a) or {}) for a in AXES}
+    spanned = 1
+    for s in shares.values():
+        spanned *= len(s)
+    if spanned > MOST_CELLS:
+        raise ValueError(f"the targets span {spanned} cells, more than {MOST_CELLS}")
+    row = cells.agg(F.sort_array(F.collect_list(F.struct(*AXES, "tokens"))).alias("c"))
+    row = row.select("c", *[F.col(f"c.{a}").alias(f"g_{a}") for a in AXES], F.col("c.tokens").cast("array<double>").alias("n"))
+    row = row.select("*", _let(_total(F.col("n")), lambda s: F.transform("n", lambda x: F.when(s > 0, x / s).otherwise(0.0))).alias("own"))
+    row = row.select("*", *[_targets(F.col("own"), F.col(f"g_{a}"), shares[a]).alias(f"to_{a}") for a in AXES])
+
+    def over(axis: str) -> Callable[[Column], Column]:
+        return lambda f: _scaled(f, F.col(f"g_{axis}"), F.col(f"to_{axis}"), len(shares[axis]))
+
+    def sweep(fit: Column, _: Column) -> Column:
+        first, second, third = map(over, AXES)
+        return _let(first(fit), lambda f: _let(second(f), third))
+
+    fit = F.aggregate(F.sequence(F.lit(1), F.lit(SWEEPS)), F.col("own"), sweep)
+    # A target that no cell can meet leaves the sum below one.
+    weight = _let(fit, lambda f: _let(_total(f), lambda s: F.zip_with(f, "own", lambda x, o: F.when(o > 0, x / s / o).otherwise(1.0))))
+    # A generator of one row has the weights computed once.
+    row = row.select("c", F.explode(F.array(weight)).alias("w")).select(F.arrays_zip("c", "w").alias("z"), F.array_max("w").alias("peak"))
+    return row.select(F.explode("z").alias("z"), "peak").select("z.c.*", F.col("z.w").alias("weight"), "peak")
+
+
+def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float = 1.0) -> DataFrame:
+    """Every row of ``docs`` with topic, n_tokens, weight, probability and the decision ``sampled``."""
+    if not 0 < keep <= 1:
+        raise ValueError("keep is a share in (0, 1]")
+    value = {a: F.coalesce(F.col(a).cast("string"), F.lit("")) for a in ("source", "lang")}
+    marked = docs.select(F.struct("*").alias("row"), topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"), *[c.alias(a) for a, c in value.items()])
+    groups = {a: group_of(F.col(a), targets.get(a) or {}) for a in AXES}
+    cells = marked.groupBy(*[g.alias(a) for a, g in groups.items()]).agg(F.sum("n_tokens").alias("tokens"))
+    # At most MOST_CELLS rows.
+    weights = F.broadcast(rake(cells, targets).select(*[F.col(a).alias(f"of_{a}") for a in AXES], "weight", "peak"))
+    probability = F.when(F.col("peak") > 0, keep * F.col("weight") / F.col("peak")).otherwise(0.0)
+    out = marked.join(weights, [groups[a] == F.col(f"of_{a}") for a in AXES])
     return out.select(
-        *marked.columns,
-        weight.alias("weight"),
+        *[F.col("row").getField(c).alias(c) for c in others(docs, RESULTS)],
+        "topic",
+        "n_tokens",
+        "weight",
         probability.alias("probability"),
-        (uniform_of(F.col("doc_id")) < probability).alias("sampled"),
+        (uniform_of(F.col("row.doc_id")) < probability).alias("sampled"),
     )
