@@ -1,21 +1,29 @@
 """Scoring by context-tree weighting over bytes (Willems, Shtarkov & Tjalkens, 1995).
 
-A byte is eight binary decisions. Each of the 255 decision nodes has a context tree over the bytes before it, nearest
-first, and every context node holds a Krichevsky-Trofimov estimate. A node's weighted probability is half its own
-estimate and half the product of its children's, so the prediction of a bit mixes the estimates of all depths with
-weights learnt from the training text. Counts come from all training text by Spark; the weighted tree is then frozen,
-which gives each context a proper distribution over the next byte, and scoring is one look-up for each byte.
-
-The tree has depth 3. Its bound: the ``CONTEXTS`` most frequent contexts of each depth have nodes of their own, and all
-rarer ones below the same parent share one node with their joint counts, so every count stays in the tree.
-
-A text is its bytes, A-Z as a-z, then one end byte 0; before it stand three bytes 0. The base score is that of an
-add-one unigram model over words, whose counts cover all training text; the most frequent ``HEAD`` words are looked up
-inside the tasks, the others by a join.
-
-Defined results: null counts as empty, which is scored as the end alone; repeated ids are scored row by row; with no
-training text the tree is uniform (1/256 a byte) and the base score is 0; an empty table gives no rows; other columns
-are ignored.
+A byte is eight binary decisions. Each of the 255 decision nodes has a context tree over the ``DEPTH`` bytes before it,
+nearest first, and every context holds a Krichevsky-Trofimov estimate. A context's weighted probability is half its own
+estimate's and half the product of its children's, so the prediction of a bit mixes the estimates of all depths with
+weights learnt from the training text. The tree is then frozen, which makes scoring a sum over grams: the ``DEPTH``
+bytes before a byte, and the byte, determine its probability. Where the context of the text below one with counts at a
+node has none there, the estimate of the one above stands in for it, so every context has a proper distribution.
+
+1. Grams of all texts are counted, map-side first, with their count in the training text: every context of the training
+   text has its node, however rare, so what is gathered grows with the text.
+2. Grams are dealt by the two bytes before, below which contexts of greater depth form trees of their own. A task weighs
+   one such tree after the other and gives each gram the probabilities of its eight bits under it. Its memory is bounded
+   by the distinct grams that follow one pair of bytes. The two levels above have 257 contexts, which are weighed at the
+   driver and sent to every task.
+3. Texts are scored by look-up of the ``HEAD`` most frequent grams inside the tasks; the others are joined.
+
+A text is its bytes, A-Z as a-z, then one end byte 255; before it stand bytes 255, which UTF-8 never has. The base score
+is that of an add-one unigram model over words, whose counts cover all training text; the most frequent words are looked
+up inside the tasks too, the others joined with the rare grams. Words are told apart by 64-bit hashes.
+
+``score`` runs jobs while the query is built, as the tree has to be weighed before texts can be scored.
+
+Defined results: null counts as empty, which is scored as the end alone; repeated ids are scored row by row, and a null id
+is kept; with no training text the tree is uniform (1/256 a byte) and the base score is 0; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,25 +32,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, list_column, signed, text_bytes, words
+from .common import Scratch, chunks, list_column, mix, signed, text_bytes, words
 
-DEPTH, CONTEXTS, HEAD = 3, 1 << 15, 1 << 18
-#: Chunks whose counts a task adds up before it hands them to Spark.
-GATHER = 8
+DEPTH, ROOT, HEAD = 5, 2, 1 << 20
+#: Chunks whose counts a task adds up before it hands them to Spark; grams that a task weighs at once, or one tree's.
+GATHER, LOT = 8, 200_000
+END = 255
+GRAMS, WORDS, TEXTS = 0, 1, 2
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded texts with their zeros, places of the bytes to predict, and offsets of each text's places."""
+    """Folded texts between end bytes, places of the bytes to predict, and offsets of each text's places."""
     n = len(offsets) - 1
     lengths = np.diff(offsets)
-    out = np.zeros(len(data) + n * (DEPTH + 1), np.uint8)
+    out = np.full(len(data) + n * (DEPTH + 1), END, np.uint8)
     inside = np.ones(len(out), bool)
     begin = offsets[:-1] + np.arange(n) * (DEPTH + 1)
     for k in range(DEPTH):
@@ -54,49 +65,58 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, places, np.concatenate(([0], np.cumsum(lengths + 1)))
 
 
-def _grams(out: np.ndarray, places: np.ndarray) -> np.ndarray:
-    code = np.zeros(len(places), np.uint32)
-    for k in range(DEPTH, -1, -1):
-        code = code << np.uint32(8) | out[places - k]
-    return code
+def grams(out: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bytes before each place, the nearest highest, and the byte itself lowest."""
+    code = np.zeros(len(places), np.uint64)
+    for k in range(1, DEPTH + 1):
+        code = code << np.uint64(8) | out[places - k]
+    return code << np.uint64(8) | out[places]
 
 
-def _add(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
+def _add(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 byte grams, 1 words, 2 the documents, each added up over several chunks."""
-    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    docs = 0
+    """(kind, key, n, seen): counts in the training text and in all of it, each added up over several chunks."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {GRAMS: [], WORDS: []}
+    texts = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal docs
-        for kind, some in enumerate(held):
-            keys, counts = _add(np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some]))
+        nonlocal texts
+        for kind, some in held.items():
+            keys, n, seen = _add(*(np.concatenate(c) for c in zip(*some, strict=True)))
             for at in range(0, len(keys), 100_000):
-                k, c = keys[at : at + 100_000], counts[at : at + 100_000]
+                k = keys[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), kind, np.int32)), pa.array(signed(k.astype(np.uint64))), pa.array(c.astype(np.int64))],
-                    names=["kind", "key", "n"],
+                    [pa.array(np.full(len(k), kind, np.int32)), pa.array(signed(k)), pa.array(n[at : at + 100_000]), pa.array(seen[at : at + 100_000])],
+                    names=["kind", "key", "n", "seen"],
                 )
             some.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0]), pa.array([docs])], names=["kind", "key", "n"])
-        docs = 0
+        yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int32()), *(pa.array([x], pa.int64()) for x in (0, texts, texts))], names=["kind", "key", "n", "seen"])
+        texts = 0
 
     for batch in chunks(batches, "text"):
-        data, offsets = text_bytes(batch.column("text"))
-        held[0].append(_add(_grams(*padded(data, offsets)[:2])))
-        held[1].append(_add(words(data, offsets)[0]))
-        docs += batch.num_rows
-        if len(held[0]) == GATHER:
+        trained = batch.column("trained")
+        for part, weight in ((batch.filter(trained), 1), (batch.filter(pc.invert(trained)), 0)):
+            if not part.num_rows:
+                continue
+            data, offsets = text_bytes(part.column("text"))
+            keys, seen = np.unique(grams(*padded(data, offsets)[:2]), return_counts=True)
+            held[GRAMS].append((keys, seen * weight, seen))
+            if weight:
+                keys, seen = np.unique(words(data, offsets)[0], return_counts=True)
+                held[WORDS].append((keys, seen, seen))
+                texts += part.num_rows
+        if len(held[GRAMS]) >= GATHER:
+            held[WORDS] = held[WORDS] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             yield from flush()
-    if held[0]:
+    if held[GRAMS]:
+        held[WORDS] = held[WORDS] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         yield from flush()
 
 
@@ -109,218 +129,312 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
 
 
-def _kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1.0) - np.log(np.pi)
+def kt(one: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of sequences of ``all_`` bits, ``one`` of them of one kind."""
+    return log_gamma(one + 0.5) + log_gamma(all_ - one + 0.5) - log_gamma(all_ + 1.0) - np.log(np.pi)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at the 255 decision nodes (node 1 is the root, node n has children 2n and 2n + 1)."""
-    tree = np.zeros((len(counts), 512))
-    tree[:, 256:] = counts
-    for k in range(7, -1, -1):
-        low, high = 1 << k, 2 << k
-        tree[:, low:high] = tree[:, 2 * low : 2 * high : 2] + tree[:, 2 * low + 1 : 2 * high : 2]
-    return tree[:, 2::2], tree[:, 3::2]  # of nodes 1..255
+class Level:
+    """Contexts of one depth: rows (context, byte) in order, and at each of a byte's eight decisions the groups of rows
+    that share context and earlier bits, with their counts."""
 
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.codes = codes
+        self.group, self.first, self.totals = [], [], []
+        for j in range(9):
+            prefix = codes >> np.uint64(8 - j)
+            new = np.concatenate(([True], prefix[1:] != prefix[:-1]))
+            first = np.flatnonzero(new)
+            self.first.append(first)
+            self.group.append(np.cumsum(new) - 1)
+            self.totals.append(np.add.reduceat(counts, first))
 
-def _symbols(ones: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from the probabilities of a one at nodes 1..255."""
-    out = np.zeros((len(ones), 512))
-    p = np.log10(ones), np.log10(1 - ones)
-    for k in range(8):
-        low, high = 1 << k, 2 << k
-        out[:, 2 * low : 2 * high : 2] = out[:, low:high] + p[1][:, low - 1 : high - 1]
-        out[:, 2 * low + 1 : 2 * high : 2] = out[:, low:high] + p[0][:, low - 1 : high - 1]
-    return out[:, 256:].astype(np.float32)
+    def above(self) -> tuple[Level, np.ndarray]:
+        """The level above, and where each row goes in it."""
+        codes = self.codes >> np.uint64(16) << np.uint64(8) | self.codes & np.uint64(255)
+        names, at = np.unique(codes, return_inverse=True)
+        counts = np.zeros(len(names))
+        np.add.at(counts, at, self.totals[8])
+        return Level(names, counts), at
+
+    def weigh(self, j: int, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Log weighted probability of each group at decision j, and the share of its own estimate in it.
+
+        ``below`` has the sums of the logs of the contexts below; None at the greatest depth.
+        """
+        child = np.flatnonzero(np.concatenate(([True], self.group[j][self.first[j + 1]][1:] != self.group[j][self.first[j + 1]][:-1])))
+        own = kt(self.totals[j + 1][child], self.totals[j])
+        if below is None:
+            return own, np.ones(len(own))
+        weighted = np.logaddexp(own, below) - np.log(2)
+        return weighted, np.exp(own - np.log(2) - weighted)
 
+    def estimate(self, j: int) -> np.ndarray:
+        """The estimate, for each row, of its bit at decision j."""
+        return (self.totals[j + 1][self.group[j + 1]] + 0.5) / (self.totals[j][self.group[j]] + 1.0)
 
-def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> dict:
-    """The frozen tree from the counts at each depth: (sorted contexts, counts of the next byte for each).
 
-    A context is the bytes before, the nearest in the lowest place, so its parent's is it without the highest byte.
-    Below each inner node hang its own contexts and one node for all others.
+def weigh(codes: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Probabilities of each gram's eight bits under the trees whose roots are contexts of ``root`` bytes.
+
+    ``codes`` are distinct and in order. Also, for each decision, the root contexts' nodes and log weighted probability.
+    """
+    levels, up = [Level(codes, counts.astype(np.float64))], []
+    for _ in range(depth - root):
+        level, at = levels[-1].above()
+        levels.append(level)
+        up.append(at)
+    out, roots = np.empty((len(codes), 8)), []
+    for j in range(8):
+        below, shares = None, []
+        for k, level in enumerate(levels):
+            weighted, share = level.weigh(j, below)
+            shares.append(share)
+            if k < len(up):
+                to = levels[k + 1].group[j][up[k][level.first[j]]]
+                below = np.bincount(to, weighted, len(levels[k + 1].first[j]))
+        top = levels[-1]
+        roots.append((top.codes[top.first[j]], weighted))
+        mixed = levels[0].estimate(j)
+        known = levels[0].totals[j][levels[0].group[j]] > 0
+        at = np.arange(len(codes))
+        for k, level in enumerate(levels[1:], 1):
+            at = up[k - 1][at]
+            own, share = level.estimate(j)[at], shares[k][level.group[j]][at]
+            mixed = np.where(known, share * own + (1 - share) * mixed, own)
+            known = (level.totals[j][level.group[j]] > 0)[at]
+        out[:, j] = np.where(known, mixed, np.nan)  # the estimate of a context above the root stands in
+    return out, roots
+
+
+TREES = "code long, seen long, p array<float>, w double"
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams (code, n, seen) in order -> (code, seen, p) with the probabilities of their bits under the tree of the
+    ``ROOT`` bytes before, and (-1 - node of the context above, w) with the sums of the roots' logs."""
+    above = np.zeros((256, 256))
+    shift = np.uint64(8 * (DEPTH + 1 - ROOT))
+    held: list[np.ndarray] = []
+
+    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        p, roots = weigh(rows[0].astype(np.uint64), rows[1], DEPTH, ROOT)
+        for j, (codes, weighted) in enumerate(roots):
+            node = (1 << j) | (codes & np.uint64(255)).astype(np.int64) >> (8 - j)
+            np.add.at(above, ((codes >> np.uint64(16)).astype(np.int64), node), weighted)
+        for at in range(0, rows.shape[1], 50_000):
+            part = slice(at, at + 50_000)
+            n = len(rows[0][part])
+            flat = pa.array(p[part].astype(np.float32).reshape(-1))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * n + 1, 8, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[0][part]), pa.array(rows[2][part]), bits, pa.nulls(n, pa.float64())], names=["code", "seen", "p", "w"]
+            )
+
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy() for c in ("code", "n", "seen")]))
+        if sum(h.shape[1] for h in held) < LOT:
+            continue
+        rows = np.concatenate(held, axis=1)
+        tree = rows[0].astype(np.uint64) >> shift
+        cut = int(np.searchsorted(tree, tree[-1]))  # the last tree may go on
+        held = [rows[:, cut:]]
+        if cut:
+            yield from work(rows[:, :cut])
+    if held and held[-1].shape[1]:
+        yield from work(np.concatenate(held, axis=1))
+    a, node = np.nonzero(above)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(-1 - (a * 256 + node)), pa.array(np.zeros(len(a), np.int64)), pa.nulls(len(a), pa.list_(pa.float32())), pa.array(above[a, node])],
+        names=["code", "seen", "p", "w"],
+    )
+
+
+def top(counts: np.ndarray, below: np.ndarray) -> dict[str, np.ndarray]:
+    """The two levels above the trees: counts of the next byte after each byte, and sums of the logs below its nodes."""
+
+    def level(c: np.ndarray, under: np.ndarray) -> tuple[np.ndarray, ...]:
+        tree = np.zeros((len(c), 512))
+        tree[:, 256:] = c
+        for k in range(7, -1, -1):
+            low, high = 1 << k, 2 << k
+            tree[:, low:high] = tree[:, 2 * low : 2 * high : 2] + tree[:, 2 * low + 1 : 2 * high : 2]
+        tree[:, 0] = tree[:, 1]  # there is no node 0
+        n, one = tree[:, :256], tree[:, 1::2]
+        own = kt(one, n)
+        weighted = np.logaddexp(own, under) - np.log(2)
+        return n, (one + 0.5) / (n + 1.0), np.exp(own - np.log(2) - weighted), weighted
+
+    n1, one1, share1, weighted = level(counts, below)
+    _, one0, share0, _ = level(counts.sum(0, keepdims=True), weighted.sum(0, keepdims=True))
+    return {"n1": n1, "one1": one1, "share1": share1, "one0": one0[0], "share0": share0[0]}
+
+
+def gather(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict]:
+    """Grams (key, seen, value) with their log10 probability, word counts (key, n), and totals of the training text.
+
+    ``docs`` has text and the flag ``trained``.
     """
-    depth = len(levels) - 1
-    parent = [None] + [np.searchsorted(levels[d - 1][0], levels[d][0] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)]
-    # What the contexts without a node of their own have seen, joined below their parent.
-    others = []
-    for d in range(depth):
-        rest = levels[d][1].astype(np.float64).copy()
-        np.subtract.at(rest, parent[d + 1], levels[d + 1][1])
-        others.append(rest)
-    below = [None] * (depth + 1)
-    kept: list[dict] = [{} for _ in range(depth + 1)]
-    for d in range(depth, -1, -1):
-        weighted = np.zeros((len(levels[d][0]), 255))
-        share = np.ones((len(levels[d][0]), 255))
-        for at in range(0, len(weighted), 2048):
-            piece = slice(at, at + 2048)
-            own = _kt(*_bits(levels[d][1][piece]))
-            if d == depth:
-                weighted[piece] = own
-            else:
-                split = _kt(*_bits(others[d][piece])) + below[d][piece]
-                weighted[piece] = np.logaddexp(own, split) - np.log(2)
-                share[piece] = np.exp(own - np.log(2) - weighted[piece])
-        kept[d]["share"] = share
-        if d:
-            below[d - 1] = np.zeros((len(levels[d - 1][0]), 255))
-            np.add.at(below[d - 1], parent[d], weighted)
-    rate = lambda c: (lambda z, o: (o + 0.5) / (z + o + 1.0))(*_bits(c))
-    above: list[np.ndarray] = []  # mixed predictions down to a depth, and the weight that is left for what lies below
-    tables, contexts, depths = [], [], []
-    mixed, left = np.zeros((1, 255)), np.ones((1, 255))
-    for d in range(depth + 1):
-        up = parent[d] if d else np.zeros(1, np.int64)
-        out = np.empty((len(levels[d][0]), 256), np.float32)
-        next_mixed, next_left = np.empty((len(out), 255), np.float32), np.empty((len(out), 255), np.float32)
-        for at in range(0, len(out), 2048):
-            piece = slice(at, at + 2048)
-            m, rest = mixed[up[piece]].astype(np.float64), left[up[piece]].astype(np.float64)
-            share = kept[d]["share"][piece]
-            m = m + rest * share * rate(levels[d][1][piece])
-            rest = rest * (1 - share)
-            next_mixed[piece], next_left[piece] = m, rest
-            final = m + rest * rate(others[d][piece]) if d < depth else m
-            out[piece] = _symbols(np.clip(final, 1e-12, 1 - 1e-12))
-        mixed, left = next_mixed, next_left
-        tables.append(out)
-        contexts.append(levels[d][0])
-        depths.append(np.full(len(out), d))
-    del above
-    return {"table": np.concatenate(tables), "contexts": np.concatenate(contexts), "depths": np.concatenate(depths)}
-
-
-def rows_of(model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each byte, and the table's row for each three classes; class 0 is every byte that no context has."""
-    inner = model["depths"] > 0
-    used = np.unique(np.concatenate([(model["contexts"][inner] >> 8 * k & 255)[model["depths"][inner] > k] for k in range(DEPTH)]))
-    classes = np.zeros(256, np.int64)
-    classes[used] = np.arange(1, len(used) + 1)
-    a = len(used) + 1
-    grid = np.zeros((a, a, a), np.int32)  # oldest, middle, nearest
-    for row, (c, d) in enumerate(zip(model["contexts"].tolist(), model["depths"].tolist(), strict=True)):
-        near, mid, old = classes[c & 255], classes[c >> 8 & 255], classes[c >> 16 & 255]
-        if d == 1:
-            grid[:, :, near] = row
-        elif d == 2:
-            grid[:, mid, near] = row
-        elif d == 3:
-            grid[old, mid, near] = row
-    return classes, grid.reshape(-1)
-
-
-def gather(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scratch) -> tuple[dict, DataFrame, dict]:
-    """The frozen tree, the word counts (key, n), and the totals of the training text."""
     counted = scratch.save(
-        docs.where(training).select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        docs.select("text", "trained")
+        .mapInArrow(_count, "kind int, key long, n long, seen long")
+        .groupBy("kind", "key")
+        .agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     )
-    grams = counted.where("kind = 0")
-    levels = []
-    for d in range(DEPTH + 1):
-        at = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
-        rows = grams.select(at.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n")
-        rows = rows.groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        if d > 1:
-            top = rows.groupBy("context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "context").limit(CONTEXTS)
-            rows = rows.join(F.broadcast(top.select("context")), "context")
-        got = rows.toArrow()
-        context, byte, n = (got.column(c).to_numpy().astype(np.int64) for c in ("context", "byte", "n"))
-        names, at = np.unique(context, return_inverse=True)
-        if d == 0 and not len(names):
-            names = np.zeros(1, np.int64)
-        table = np.zeros((len(names), 256))
-        table[at, byte] = n
-        if d > 1:  # a context whose parent has no node is among its grandparent's others
-            has = np.isin(names & ((1 << 8 * (d - 1)) - 1), levels[-1][0])
-            names, table = names[has], table[has]
-        levels.append((names, table))
-    total = counted.where("kind > 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    of = counted.where(F.col("kind") == GRAMS).select(F.col("key").alias("code"), "n", "seen")
+    trees = scratch.save(
+        of.repartition(F.shiftright("code", 8 * (DEPTH + 1 - ROOT))).sortWithinPartitions("code").mapInArrow(_trees, TREES)
+    )
+    below, counts = np.zeros((256, 256)), np.zeros((256, 256))
+    for r in trees.where("code < 0").groupBy("code").agg(F.sum("w").alias("w")).collect():  # at most 65,280 rows
+        below.reshape(-1)[-1 - r["code"]] = r["w"]
+    nearest = F.shiftright("code", 8 * DEPTH)
+    for r in of.groupBy(nearest.alias("a"), F.col("code").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        counts[r["a"], r["b"]] = r["n"]  # at most 65,536 rows
+    shared = spark.sparkContext.broadcast(top(counts, below))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            code = batch.column("code").to_numpy()
+            p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, 8).astype(np.float64)
+            near, byte = code >> 8 * DEPTH, code & 255
+            logs = np.zeros(len(code))
+            for j in range(8):
+                node, one = (1 << j) | byte >> (8 - j), (byte >> (7 - j) & 1).astype(bool)
+                side = lambda q, one=one: np.where(one, q, 1 - q)
+                own1, own0 = side(m["one1"][near, node]), side(m["one0"][node])
+                share1, share0 = m["share1"][near, node], m["share0"][node]
+                mixed = np.where(np.isnan(p[:, j]), own1, share1 * own1 + (1 - share1) * p[:, j])
+                logs += np.log10(np.where(m["n1"][near, node] > 0, share0 * own0 + (1 - share0) * mixed, own0))
+            yield pa.RecordBatch.from_arrays([batch.column("code"), batch.column("seen"), pa.array(logs)], names=["key", "seen", "value"])
+
+    values = scratch.save(trees.where("code >= 0").select("code", "seen", "p").mapInArrow(finish, "key long, seen long, value double"))
+    scratch.drop(trees)
+    total = counted.where(F.col("kind") > GRAMS).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     by = {r["kind"]: r for r in total}
-    ends = by[2]["n"] if 2 in by else 0
-    tokens = (by[1]["n"] if 1 in by else 0) + ends
-    distinct = (by[1]["v"] if 1 in by else 0) + (1 if ends else 0)
-    return weigh(levels), counted.where("kind = 1").select("key", "n"), {"tokens": tokens, "distinct": distinct, "ends": ends}
+    ends = by[TEXTS]["n"] if TEXTS in by else 0
+    tokens = (by[WORDS]["n"] if WORDS in by else 0) + ends
+    distinct = (by[WORDS]["v"] if WORDS in by else 0) + (1 if ends else 0)
+    return values, counted.where(F.col("kind") == WORDS).select("key", "n"), {"tokens": tokens, "distinct": distinct, "ends": ends}
+
+
+class Table:
+    """Values of 64-bit keys by open addressing, built and read without a Python loop over keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size, values.dtype), np.zeros(size, bool)
+        at, rest = mix(keys) & self.mask, np.arange(len(keys))
+        while len(rest):
+            place = at[rest]
+            free = ~self.used[place]
+            _, winner = np.unique(place[free], return_index=True)
+            won = rest[free][winner]
+            self.used[at[won]] = True
+            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
+            rest = np.setdiff1d(rest, won, assume_unique=True)
+            at[rest] = at[rest] + np.uint64(1) & self.mask
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which keys are there."""
+        at = mix(keys) & self.mask
+        hit = self.used[at] & (self.keys[at] == keys)
+        out = np.where(hit, self.values[at], 0)
+        rest = np.flatnonzero(self.used[at] & ~hit)
+        while len(rest):
+            at[rest] = at[rest] + np.uint64(1) & self.mask
+            place = at[rest]
+            same = self.used[place] & (self.keys[place] == keys[rest])
+            hit[rest[same]], out[rest[same]] = True, self.values[place[same]]
+            rest = rest[self.used[place] & ~same]
+        return out, hit
+
+
+def _apart(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each owner, how often it has them, and how many distinct ones."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))), np.bincount(owner[first], minlength=n)
+
+
+_tables: dict[str, tuple[Table, Table]] = {}
 
 
 def score(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, trained_on, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     scratch = scratch or Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model, counts, total = gather(spark, docs, training, scratch)
-    head = counts.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
-    keys = head.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast(
-        model | {"keys": keys[order], "counts": head.column("n").to_numpy()[order], "ends": total["ends"]}
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(training, F.lit(False)).alias("trained"),
     )
+    values, counts, total = gather(spark, docs, scratch)
+    # Both heads have at most HEAD rows.
+    often = values.orderBy(F.desc("seen"), "key").limit(HEAD).select("key", F.col("value").cast("float").alias("v")).toArrow()
+    common = counts.orderBy(F.desc("n"), "key").limit(HEAD // 4).select("key", F.col("n").alias("v")).toArrow()
+    shared = spark.sparkContext.broadcast([(t.column("key").to_numpy().view(np.uint64), t.column("v").to_numpy()) for t in (often, common)])
+    ends, name = total["ends"], scratch.root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        classes, grid = rows_of(m)
-        a, flat = int(classes.max()) + 1, m["table"].reshape(-1)
-        classes = classes.astype(np.int32)
+        if name not in _tables:  # built once a worker
+            _tables.clear()
+            _tables[name] = tuple(Table(*kv) for kv in shared.value)
+        of_grams, of_words = _tables[name]
         row = TaskContext.get().partitionId() << 40
         for batch in chunks(batches, "text", 1 << 20):
             n = batch.num_rows
             data, offsets = text_bytes(batch.column("text"))
             out, places, bounds = padded(data, offsets)
-            c = classes[out]
-            at = (c[places - 3] * a + c[places - 2]) * a + c[places - 1]
-            gain = flat[grid[at].astype(np.int64) * 256 + out[places]].astype(np.float64)
-            run_sum = np.concatenate(([0.0], np.cumsum(gain)))
-            hashes, _, _, ends = words(data, offsets)
-            if len(m["keys"]):
-                place = np.minimum(np.searchsorted(m["keys"], hashes), len(m["keys"]) - 1)
-                seen = np.where(m["keys"][place] == hashes, m["counts"][place], 0)
-            else:
-                seen = np.zeros(len(hashes), np.int64)
+            codes = grams(out, places)
+            gain, hit = of_grams.find(codes)
+            gains = np.concatenate(([0.0], np.cumsum(gain.astype(np.float64))))
+            rare = [_apart(codes[~hit], np.repeat(np.arange(n), np.diff(bounds))[~hit], n)]
+            hashes, _, _, tokens = words(data, offsets)
+            seen, hit = of_words.find(hashes)
             logs = np.concatenate(([0.0], np.cumsum(np.log10(seen + 1.0))))
-            known = np.concatenate(([0], np.cumsum(seen > 0)))
-            owner = np.repeat(np.arange(n), np.diff(ends))[seen == 0]
-            rare = hashes[seen == 0]
-            order = np.lexsort((rare, owner))
-            owner, rare = owner[order], rare[order]
-            first = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])))) if len(rare) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(rare)))
-            each = np.bincount(owner[first], minlength=n)
+            known = np.concatenate(([0], np.cumsum(hit)))
+            rare.append(_apart(hashes[~hit], np.repeat(np.arange(n), np.diff(tokens))[~hit], n))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(n)),
                     batch.column("doc_id"),
-                    pa.array(np.diff(ends) + 1),
-                    pa.array(known[ends[1:]] - known[ends[:-1]] + (m["ends"] > 0)),
-                    pa.array(logs[ends[1:]] - logs[ends[:-1]] + np.log10(m["ends"] + 1.0)),
-                    pa.array(run_sum[bounds[1:]] - run_sum[bounds[:-1]]),
+                    pa.array(np.diff(tokens) + 1),
+                    pa.array(known[tokens[1:]] - known[tokens[:-1]] + (ends > 0)),
+                    pa.array(logs[tokens[1:]] - logs[tokens[:-1]] + np.log10(ends + 1.0)),
+                    pa.array(gains[bounds[1:]] - gains[bounds[:-1]]),
                     pa.array(np.diff(bounds)),
-                    list_column(signed(rare[first]), each),
-                    list_column(times, each),
+                    *(list_column(x, each) for keys, times, each in rare for x in (signed(keys), times)),
                 ],
-                names=["row", "doc_id", "n_tokens", "n_known", "logs", "score", "n_bytes", "rare", "times"],
+                names=["row", "doc_id", "n_tokens", "n_known", "logs", "gain", "n_bytes", "grams", "gram_times", "words", "word_times"],
             )
             row += n
 
-    scored = scratch.save(
-        docs.mapInArrow(
-            run,
-            "row long, doc_id long, n_tokens long, n_known long, logs double, score double, n_bytes long, rare array<long>, times array<long>",
+    kinds = "row long, doc_id long, n_tokens long, n_known long, logs double, gain double, n_bytes long, grams array<long>, gram_times array<long>, words array<long>, word_times array<long>"
+    scored = scratch.save(docs.select("doc_id", "text").mapInArrow(run, kinds))
+    rest = [
+        scored.select("row", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("w")).select("row", "kind", "w.*")
+        for kind, keys, times in ((GRAMS, "grams", "gram_times"), (WORDS, "words", "word_times"))
+    ]
+    known = values.select(F.lit(GRAMS).alias("kind"), "key", "value").union(counts.select(F.lit(WORDS), "key", F.log10(F.col("n") + 1.0)))
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
+    weighed = F.col("times") * F.col("value")
+    more = (
+        rest[0].union(rest[1]).join(known, ["kind", "key"]).groupBy("row").agg(
+            of(GRAMS, weighed).alias("more_gain"), of(WORDS, weighed).alias("more_logs"), of(WORDS, F.col("times")).alias("found")
         )
-    )
-    rest = (
-        scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
-        .select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-        .join(counts, "key")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
-    )
+    )
     whole = float(np.log10(total["tokens"] + total["distinct"] + 1))
-    return scored.drop("rare", "times").join(rest, "row", "left").select(
+    out = scored.drop("grams", "gram_times", "words", "word_times").join(more, "row", "left").fillna(0, ["more_gain", "more_logs", "found"])
+    out = out.withColumn("score", F.col("gain") + F.col("more_gain"))
+    return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_known") + F.col("found")).cast("long").alias("n_known"),
         F.lit(total["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
+        (F.col("logs") + F.col("more_logs") - F.col("n_tokens") * whole).alias("base_score"),
         "score",
         (-F.col("score") / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
