@@ -7,13 +7,14 @@ task that is run again after an executor is lost gives the same rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a task; a single longer text is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -42,7 +43,7 @@ class Scratch:
     def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "9").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -124,7 +125,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text is at most ``limit`` bytes, or one row."""
     for batch in batches:
         lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -136,6 +137,30 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             at = end
 
 
+def add_columns(
+    df: DataFrame, column: str, results: dict[str, T.DataType], make: Callable[[], Callable[[pa.Array], list]], limit: int = 1 << 20
+) -> DataFrame:
+    """The rows of ``df`` with columns computed from its string column ``column``; they replace columns of their names.
+
+    ``make`` is called once a task; what it returns takes a batch's strings and gives an array or list for each result.
+    """
+    kept = others(df, results)
+    whole = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").cast("string").alias("text"))
+    held = kept.index(column) if column in kept and isinstance(whole.schema[kept.index(column)].dataType, T.StringType) else len(kept)
+    fields = whole.schema.fields[: len(kept)]
+    if held < len(kept):
+        whole = df.select(*[F.col(f"`{c}`") for c in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in chunks(batches, held, limit):
+            new = [pa.array(v, kinds[n]) for n, v in zip(kinds, compute(batch.column(held)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*kept, *kinds])
+
+    kinds = {n: {"string": pa.string(), "double": pa.float64()}[t.simpleString()] for n, t in results.items()}
+    return whole.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, t) for n, t in results.items())]))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts laid end to end: 64-bit hash (A-Z as a-z), start, end, and the offsets of each text's words.
 

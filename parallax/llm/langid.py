@@ -5,28 +5,28 @@ k(x, y) = <phi(x), phi(y)> / sqrt(|phi(x)| |phi(y)|). Landmarks drawn evenly fro
 K(x, landmarks) K(landmarks, landmarks)^(-1/2), on which one ridge regression for each language against the rest is
 fitted to targets -1 and 1. Scoring is a matrix product of presence rows and landmark columns, batch by batch.
 
-Bounds of the fit (of the fit only): the ``languages`` most frequent ones, ``rows`` documents of each in the order of a
-hash of their id, none with more than ``longest`` characters.
+Bounds of the fit (of the fit only): at most ``per_language`` documents of each language and ``sample`` of all, but two of
+each, in the order of a hash of their id, none with more than ``longest`` characters. ``train`` runs jobs while the query
+is built.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; null languages teach nothing; with
 nothing to learn from every row is ``und``; ties go to the first language by name; repeated ids are judged row by row;
-an empty table gives no rows; other columns are kept.
+an empty table gives no rows; other columns are kept, but for those with the names of the results, which these replace.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import chunks
+from .common import add_columns
 from .grams import code_points, hashed
 
 BITS, ORDERS, FEATURES = 20, range(1, 5), 6144
@@ -67,7 +67,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 160, ridge: float =
     top = top[share[top] > 0]
     place = np.full(1 << BITS, len(top), np.int32)
     place[top] = np.arange(len(top))
-    each = max(1, landmarks // len(names))
+    each = max(4, landmarks // len(names))
     marks = np.concatenate([np.flatnonzero(which == c)[:each] for c in range(len(names))])
     x = np.concatenate([presence(texts[a : a + 200], place, len(top)) for a in range(0, len(texts), 200)])
     basis = x[marks]
@@ -89,22 +89,30 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 160, ridge: float =
     }
 
 
-def train(docs: DataFrame, rows: Column | None = None, per_language: int = 500, languages: int = 64, longest: int = 20_000) -> dict | None:
-    """Fit in one task on a bounded sample of the documents with a language for which ``rows`` holds."""
+def train(docs: DataFrame, rows: Column | None = None, sample: int = 20_000, per_language: int = 500, longest: int = 20_000) -> dict | None:
+    """Fit in one task on a bounded sample of the documents with a language for which ``rows`` holds.
+
+    Every language has its part of the sample. Counts give a share of each language's documents that is drawn by a hash of
+    their id, about twice as many as are needed, so that the ranking which takes exactly as many sees no more.
+    """
     marked = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     if rows is not None:
         marked = marked.where(rows)
-    top = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
-    ids = marked.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    ids = ids.join(F.broadcast(top), "lang").select("doc_id", "lang")
-    sample = marked.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    marked = marked.select("doc_id", "lang", "text")
+    counts = marked.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = counts.crossJoin(counts.agg(F.count("*").alias("langs")))  # one row on the right
+    each = F.greatest(F.lit(2), F.least(F.lit(per_language), F.floor(F.lit(sample) / F.col("langs")))).cast("int")
+    counts = counts.select("lang", each.alias("each"), F.least(F.lit(1.0), 2.0 * (each + 50) / F.col("n")).alias("share"))
+    draw = F.xxhash64("doc_id", F.lit(23))
+    drawn = marked.join(F.broadcast(counts), "lang").where(F.pmod(draw, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text"))
+    chosen = drawn.withColumn("n", F.row_number().over(order)).where("n <= each").select("doc_id", "lang", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
         return pd.DataFrame({"model": [pickle.dumps(fit(pdf["text"].tolist(), pdf["lang"].tolist()))]})
 
-    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "model binary").collect()
+    got = chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
@@ -112,31 +120,29 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict | None, name: str
     """The rows of ``docs`` with the language and the ridge output, brought from -1..1 to 0..1."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         known = shared.value
         if known:
             width = len(known["slots"])
             place = np.full(1 << BITS, width, np.int32)
             place[known["slots"]] = np.arange(width)
             basis = np.unpackbits(known["basis"], axis=1, count=width).astype(np.float32)
-        for batch in chunks(batches, "text", 1 << 20):
+
+        def told(column: pa.Array) -> list[list]:
             langs, scores = [], []
-            texts = batch.column("text").to_pylist()
+            texts = column.to_pylist()
+            if not known:
+                return [["und"] * len(texts), [0.0] * len(texts)]
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
                 lettered = [t is not None and LETTER.search(t) is not None for t in part]
-                if not known:
-                    langs += ["und"] * len(part)
-                    scores += [0.0] * len(part)
-                    continue
                 f = _kernel(presence([t or "" for t in part], place, width), basis) @ known["weights"] + known["shift"]
                 best = f.argmax(1)
                 langs += [known["names"][b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
                 value = np.clip((1 + f[np.arange(len(f)), best]) / 2, 0, 1)
                 scores += np.where(lettered, value, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, name, score]
-            )
+            return [langs, scores]
+
+        return told
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` string, `{score}` double")
+    return add_columns(docs, "text", {name: T.StringType(), score: T.DoubleType()}, make)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parallax.session import ready
 
 from . import binpack, ctw, curvepack, jaccard, langid, raking, render, telephony, toxicity, vecdup
-from .common import fold, table
+from .common import Scratch, fold, table
 
 #: Target shares of the mixing query and of the pipeline's mixing stage; the rest is shared by what is not named.
 TARGETS = {
@@ -112,10 +112,9 @@ def op9_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a telephony file, and what its stored bytes decode to."""
-    from .common import Scratch
-
-    stored = Scratch(ready(spark)).save(telephony.store(table(spark, sf_dir, "documents")))
-    return telephony.read_back(stored)
+    scratch = Scratch(ready(spark))
+    stored = scratch.save(telephony.store(table(spark, sf_dir, "documents")), "zstd")
+    return telephony.with_pcm_digest(scratch.save(telephony.read_back(stored), "zstd"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

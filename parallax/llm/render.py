@@ -1,45 +1,55 @@
 """Visible text of HTML pages with their layout.
 
 A tree builder reads tags one by one, supplies the end tags that HTML lets pages leave out, and ignores end tags
-without a start. A renderer then walks the tree: hidden parts are skipped, blocks are set apart by line breaks or blank
-lines, list items get markers and indentation, and the cells of a table's rows are padded to common column widths.
-
-Defined results: a null page has null text, an empty one empty text; unclosed markup is text up to its end; markup of
-any depth is handled without recursion limits up to ``DEEPEST`` open elements, beyond which start tags are read as
-siblings; repeated ids are rendered row by row; an empty table gives no rows; other columns are kept.
+without a start. A renderer then walks the tree: what isn't displayed is skipped, blocks are set apart by line breaks or
+blank lines, list items get markers and indentation, and the cells of a table stand below each other at common places,
+over spans of rows and columns.
+
+Visible are text, form fields' own text, options, texts of pictures (alt), of SVG and of MathML. Not displayed are the
+elements in ``UNSEEN``, closed dialogs, the inside of closed details but for the summary, and what ``hidden`` or the
+style attribute takes out; ``visibility`` is inherited and can be set back further down. Style sheets are not read.
+
+Defined results: a null page has null text, an empty one empty text; unclosed markup is text up to its end; of repeated
+attributes the first counts; numbers that aren't plain digits count as absent. No depth of nesting ends in an error or
+changes what is shown: indentation grows to ``INDENT`` levels, tables nested deeper than ``TABLES`` have a line for each
+row without common places, and so have tables wider than ``LINE`` characters; cells wider than ``WIDE`` don't widen their
+column. Repeated ids are rendered row by row; an empty table gives no rows; other columns are kept, but for one with the
+name of the result, which the result replaces.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks
+from .common import add_columns
 
-DEEPEST = 200
+INDENT, TABLES, WIDE, LINE = 40, 12, 200, 2000
+#: Spans above these count as these, as in browsers.
+COLUMNS, ROWS = 1000, 65534
 
 # Element names of HTML by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template title noscript iframe object audio video canvas svg math datalist noembed noframes"
-    " select textarea input meta link area base param source track".split()
+    "head script style template title noscript iframe object audio video canvas datalist noembed noframes meta link area"
+    " base param source track rp desc defs metadata symbol clippath annotation annotation-xml".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer"
-    " form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table ul caption"
-    " tbody thead tfoot tr".split()
+    " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section"
+    " select summary table ul caption tbody textarea thead tfoot tr xmp".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dl ol ul menu dir figure table hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp dl ol ul menu dir figure table hr".split())
 LISTS = frozenset("ul ol menu dir".split())
+SILENT_INPUTS = frozenset("hidden password checkbox radio file image range color".split())
 
 # Start tag -> open elements that it ends, and where the search for them stops.
-_P_ENDERS = BLOCK - frozenset("html body li dd dt caption tbody thead tfoot tr".split())
+_P_ENDERS = BLOCK - frozenset("html body li dd dt caption tbody thead tfoot tr option optgroup select textarea legend".split())
 _SCOPE = frozenset("table td th caption button object html".split())
 ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset({"li"}), LISTS | _SCOPE),
@@ -57,13 +67,16 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^A-Za-z>][^>]*(?:>|\Z))"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)|=)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in RAW}
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])", re.A)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _BODY_LIKE = frozenset("html head body".split())
+_CELLS = frozenset("td th tr tbody thead tfoot caption".split())
 
 
 class Node:
@@ -72,25 +85,46 @@ class Node:
     def __init__(self, name: str, attributes: dict[str, str]):
         self.name, self.attributes, self.children = name, attributes, []
 
+    def number(self, name: str, default: int, low: int, high: int) -> int:
+        m = _NUMBER.match(self.attributes.get(name) or "")
+        return min(max(int(m[1]), low), high) if m else default
+
+
+class _Open:
+    """The open elements, with the places of each name."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.name].append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            self.places[self.stack.pop().name].pop()
+
+    def last(self, names: frozenset[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names: frozenset[str], stop: frozenset[str]) -> None:
+        """End the innermost of the named elements and all in it, unless an element of ``stop`` lies between."""
+        at = self.last(names)
+        if at and at >= self.last(stop):
+            self.pop(at)
+
 
 def parse(page: str) -> Node:
     """The tree of a page; text is kept as strings between the elements."""
     root = Node("#root", {})
-    stack, at, low = [root], 0, None
-
-    def close(names: frozenset[str], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in stop:
-                return
-
+    up, at = _Open(root), 0
     while at < len(page):
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            if up.stack[-1].name == "head" and not text.isspace():
+                up.pop(len(up.stack) - 1)
+            up.stack[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -99,44 +133,60 @@ def parse(page: str) -> Node:
         name = m[2].lower()
         if m[1]:
             if name == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+                up.stack[-1].children.append(Node("br", {}))
+            elif name == "p" and not up.places.get("p"):
+                up.stack[-1].children.append(Node("p", {}))
+            elif name in _BODY_LIKE:
+                up.close(frozenset({name}), frozenset())
             else:
-                stop = frozenset() if name in _BODY_LIKE or name == "table" else frozenset({"table"}) if name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else frozenset({"table"}) - {name}
-                close(frozenset({name}), stop)
+                up.close(frozenset({name}), frozenset({"table"}) - {name})
             continue
-        rest = m[3]
-        attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest.strip(" /\n\t") else {}
+        attributes: dict[str, str] = {}
+        for k, a, b, c in _ATTRIBUTE.findall(m[3]):
+            attributes.setdefault(k.lower(), a or b or c)
         if name in ENDS:
-            close(*ENDS[name])
+            up.close(*ENDS[name])
         if name in _P_ENDERS:
-            close(frozenset({"p"}), _SCOPE)
-        if name not in UNSEEN and stack[-1].name == "head" and name != "head":
-            stack.pop()
+            up.close(frozenset({"p"}), _SCOPE)
+        if name not in UNSEEN and up.stack[-1].name == "head" and name != "head":
+            up.pop(len(up.stack) - 1)
         node = Node(name, attributes)
-        stack[-1].children.append(node)
+        up.stack[-1].children.append(node)
         if name in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{name}", at)
-            end = len(page) if end < 0 else end
-            body = page[at:end]
+            end = _RAW_END[name].search(page, at)
+            body = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(body) if name in ("textarea", "title") else body)
-            stop = page.find(">", end)
+            stop = page.find(">", end.start()) if end else -1
             at = len(page) if stop < 0 else stop + 1
-        elif name not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+        elif name not in VOID:
+            up.push(node)
     return root
 
 
-def hidden(node: Node) -> bool:
-    a = node.attributes
-    return (
-        node.name in UNSEEN
-        or "hidden" in a
-        or (node.name == "dialog" and "open" not in a)
-        or ("style" in a and bool(a["style"]) and _HIDDEN_STYLE.search(a["style"]) is not None)
-    )
+def shown(node: Node, visible: bool) -> tuple[bool, bool]:
+    """Whether an element is displayed, and whether its text is visible where its parent's is ``visible``."""
+    a, display = node.attributes, None
+    for part in html.unescape(a.get("style") or "").lower().split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip(), value.replace("!important", "").strip()
+        if name == "display":
+            display = value
+        elif name == "visibility" and value in ("hidden", "collapse", "visible"):
+            visible = value == "visible"
+        elif name == "content-visibility" and value == "hidden":
+            display = "none"
+    gone = node.name in UNSEEN or display == "none" or (node.name == "dialog" and "open" not in a and not display)
+    return not gone and not ("hidden" in a and not display), visible
+
+
+def inside(node: Node) -> list:
+    """The children that are laid out."""
+    if node.name == "details" and "open" not in node.attributes:
+        return [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    first = node.children[0] if node.children else None
+    if node.name in ("pre", "textarea") and isinstance(first, str) and first.startswith("\n"):
+        return [first[1:], *node.children[1:]]
+    return node.children
 
 
 class _Lines:
@@ -145,7 +195,7 @@ class _Lines:
     def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []
-        self.prefix = ""
+        self.indent = 0
         self.mark = ""
         self.gap = 0
         self.space = False
@@ -185,7 +235,7 @@ class _Lines:
         if self.lines and self.gap:
             self.lines += [""] * (self.gap - (self.lines[-1] == ""))
         self.gap = 0
-        self.lines.append((self.mark or self.prefix) + line if line or self.mark else "")
+        self.lines.append((self.mark or "  " * min(self.indent, INDENT)) + line if line or self.mark else "")
         self.mark = ""
         self.now, self.space = [], False
 
@@ -216,86 +266,119 @@ def _around_cells(row: Node) -> set[int]:
     return out
 
 
-def _table(node: Node) -> str:
-    """The caption and rows of a table, cells padded to the widest of their column.
+class _Grid:
+    """Cells by row and column, with what earlier rows' spans take."""
 
-    What stands outside of cells and caption goes before the table.
-    """
-    rows: list[list[list[str]]] = []
-    caption: list[str] = []
-    moved = Node("div", {})
-    todo = [node]
+    def __init__(self):
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
+        self.taken: dict[int, int] = {}
+
+    def row(self) -> None:
+        self.taken = {k: n - 1 for k, n in self.taken.items() if n > 1}
+        self.rows.append([])
+        self.at = 0
+
+    def cell(self, text: str, across: int, down: int) -> None:
+        while self.at in self.taken:
+            self.at += 1
+        self.rows[-1].append((self.at, across, text.split("\n")))
+        if down > 1:
+            self.taken |= {k: down for k in range(self.at, self.at + across)}
+        self.at += across
+
+    def text(self, aligned: bool) -> list[str]:
+        widths: dict[int, int] = defaultdict(int)
+        for k, across, lines in (c for row in self.rows for c in row):
+            width = max(map(len, lines))
+            if across == 1 and width <= WIDE:
+                widths[k] = max(widths[k], width)
+        places, at = {}, 0
+        for k in range(1 + max((c[0] for row in self.rows for c in row), default=-1)):
+            places[k] = at
+            at += widths[k] + 2 if widths.get(k) else 0
+        aligned = aligned and at <= LINE
+        out = []
+        for row in self.rows:
+            for i in range(max((len(c[2]) for c in row), default=0)):
+                line = ""
+                for k, _, lines in row:
+                    if i < len(lines) and lines[i]:
+                        line += "  " if line else ""
+                        line = (line.ljust(places[k]) if aligned else line) + lines[i]
+                out.append(line)
+        return out
+
+
+def _table(node: Node, visible: bool, nested: int) -> list[str]:
+    """Lines of a table. What stands outside of cells and caption goes before the table."""
+    grid, caption, moved = _Grid(), [], []
+    todo: list[tuple] = [(node, visible)]
     while todo:
-        n = todo.pop()
+        n, vis = todo.pop()
         if isinstance(n, str):
-            moved.children.append(n)
-            continue
-        if n is not node and hidden(n):
+            moved.append((n, vis))
             continue
+        if n is not node:
+            displayed, vis = shown(n, vis)
+            if not displayed:
+                continue
         if n.name == "tr":
-            row: list[list[str]] = []
+            grid.row()
             around = _around_cells(n)
-            inner = list(reversed(n.children))
+            inner = [(c, vis) for c in reversed(n.children)]
             while inner:
-                cell = inner.pop()
+                cell, v = inner.pop()
                 if isinstance(cell, str):
-                    moved.children.append(cell)
-                elif hidden(cell):
+                    moved.append((cell, v))
                     continue
-                elif id(cell) in around:
-                    inner += reversed(cell.children)
-                elif cell.name not in ("td", "th"):
-                    moved.children.append(cell)
+                if cell.name not in ("td", "th") and id(cell) not in around:
+                    moved.append((cell, v))
+                    continue
+                displayed, v = shown(cell, v)
+                if not displayed:
+                    continue
+                if id(cell) in around:
+                    inner += [(c, v) for c in reversed(cell.children)]
                 else:
-                    row.append(_walk(cell).split("\n"))
-                    span = cell.attributes.get("colspan", "")
-                    row += [[""]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
-            rows.append(row)
+                    down = cell.number("rowspan", 1, 0, ROWS) or ROWS
+                    grid.cell(_walk([(cell, v)], nested, of_cell=True), cell.number("colspan", 1, 1, COLUMNS), down)
         elif n.name == "caption":
-            caption.append(_walk(n))
+            caption += _walk([(c, vis) for c in n.children], nested).split("\n")
         elif n is node or n.name in ("tbody", "thead", "tfoot"):
             loose = [c for c in n.children if isinstance(c, Node) and c.name in ("td", "th")]
             if loose:
                 row_node = Node("tr", {})
                 row_node.children = loose
-                todo.append(row_node)
-            todo += [c for c in reversed(n.children) if isinstance(c, str) or c not in loose]
+                todo.append((row_node, vis))
+            todo += [(c, vis) for c in reversed(n.children) if isinstance(c, str) or c.name not in ("td", "th")]
+            if n is not node:
+                grid.taken = {}  # spans end with their part of the table
         else:
-            moved.children.append(n)
-    widths: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            width = max(map(len, cell))
-            if k == len(widths):
-                widths.append(width)
-            else:
-                widths[k] = max(widths[k], width)
-    out = [c for c in (_walk(moved), *caption) if c]
-    for row in rows:
-        for i in range(max((len(c) for c in row), default=0)):
-            cells = [c[i] if i < len(c) else "" for c in row]
-            out.append("  ".join(c.ljust(w) for c, w in zip(cells, widths, strict=False)).rstrip())
-    return "\n".join(out)
+            moved.append((n, vis))
+    return [*_walk(moved, nested).split("\n"), *caption, *grid.text(nested <= TABLES)]
 
 
-def _walk(root: Node) -> str:
-    """Text of what is below a node."""
+def _walk(nodes: list[tuple[Node | str, bool]], nested: int = 0, of_cell: bool = False) -> str:
+    """Text of elements, each with its parent's visibility; with ``of_cell``, of what is below one whose own is given."""
     out = _Lines()
-    # (node, leaving?, preformatted?, list state or None)
-    todo: list[tuple] = [(c, False, root.name == "pre", None) for c in reversed(root.children)]
+    if of_cell:
+        nodes = [(c, nodes[0][1]) for c in inside(nodes[0][0])]
+    # (node, visible, leaving?, preformatted?, list state or None)
+    todo: list[tuple] = [(n, v, False, False, None) for n, v in reversed(nodes)]
     depth = 0
     while todo:
-        node, leaving, pre, state = todo.pop()
+        node, visible, leaving, pre, state = todo.pop()
         if isinstance(node, str):
-            out.text(node, pre)
+            if visible:
+                out.text(node, pre)
             continue
         name = node.name
         if leaving:
             if name in LISTS:
                 depth -= 1
-                out.prefix = "  " * depth
+                out.indent -= 1
             if name in ("blockquote", "dd"):
-                out.prefix = out.prefix[:-2]
+                out.indent -= 1
             if name == "li":
                 if out.mark and not out.now:
                     out.mark = ""
@@ -303,7 +386,8 @@ def _walk(root: Node) -> str:
             else:
                 out.block(1 if name in SPACED and not (name in LISTS and depth) else 0)
             continue
-        if hidden(node):
+        displayed, visible = shown(node, visible)
+        if not displayed:
             continue
         if name == "br":
             out.line()
@@ -311,13 +395,17 @@ def _walk(root: Node) -> str:
         if name == "hr":
             out.block(1)
             continue
-        if name == "img":
-            if node.attributes.get("alt"):
-                out.text(html.unescape(node.attributes["alt"]), False)
-            continue
-        if name == "table":
+        if name in ("img", "input", "optgroup"):
+            text = node.attributes.get({"img": "alt", "input": "value", "optgroup": "label"}[name])
+            if name == "optgroup":
+                out.block(0)
+            if text and visible and not (name == "input" and (node.attributes.get("type") or "").lower() in SILENT_INPUTS):
+                out.text(html.unescape(text), False)
+            if name != "optgroup":
+                continue
+        if name == "table" and nested < 4 * TABLES:
             out.block(1)
-            for line in _table(node).split("\n"):
+            for line in _table(node, visible, nested + 1):
                 if line:
                     out.now.append(line)
                     out.line()
@@ -325,35 +413,33 @@ def _walk(root: Node) -> str:
             continue
         if name in BLOCK:
             out.block(1 if name in SPACED and not (name in LISTS and depth) else 0)
-            todo.append((node, True, pre, state))
+            todo.append((node, visible, True, pre, state))
+        elif name in ("td", "th"):
+            out.space = True
+        children = inside(node)
         if name in LISTS:
             depth += 1
-            start = node.attributes.get("start", "")
-            state = [int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1, name == "ol"]
+            out.indent += 1
+            down = name == "ol" and "reversed" in node.attributes
+            first = sum(isinstance(c, Node) and c.name == "li" for c in children) if down else 1
+            state = [node.number("start", first, -(10**9), 10**9), name == "ol", -1 if down else 1]
         elif name == "li":
-            marker = f"{state[0]}. " if state and state[1] else "- "
+            marker = "- "
             if state:
-                state[0] += 1
-            indent = "  " * max(0, depth - 1)
-            out.mark, out.prefix = indent + marker, indent + "  "
+                state[0] = node.number("value", state[0], -(10**9), 10**9)
+                marker = f"{state[0]}. " if state[1] else marker
+                state[0] += state[2]
+            out.mark = "  " * min(max(0, out.indent - 1), INDENT) + marker if visible else ""
         elif name in ("blockquote", "dd"):
-            out.prefix += "  "
-        todo += [(c, False, pre or name == "pre", state) for c in reversed(node.children)]
+            out.indent += 1
+        todo += [(c, visible, False, pre or name in ("pre", "textarea", "xmp"), state) for c in reversed(children)]
     return out.done()
 
 
 def render(page: str | None) -> str | None:
-    return None if page is None else _walk(parse(page))
+    return None if page is None else _walk([(c, True) for c in parse(page).children])
 
 
 def visible_text(pages: DataFrame, column: str = "html", name: str = "visible_text") -> DataFrame:
     """The rows of ``pages`` with the text that a reader sees."""
-    pages = pages.withColumn(column, F.col(column).cast("string"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, column, 1 << 20):
-            out = [render(p) for p in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(run, f"{fields}, `{name}` string")
+    return add_columns(pages, column, {name: T.StringType()}, lambda: lambda batch: [[render(p) for p in batch.to_pylist()]])

@@ -7,7 +7,7 @@ numpy step a nibble. PCM at 8 kHz is resampled to 16 kHz by linear interpolation
 
 Defined results: a null payload is empty; the payload is padded by zeros to a positive multiple of 64; equal payloads
 give equal files and features, as the codec follows from the payload; step indices above 88 count as 88; other columns
-are kept.
+are ignored; repeated ids are stored row by row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import chunks, text_bytes
 
@@ -142,14 +143,14 @@ def store(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> D
     )
 
 
-def read_back(stored: DataFrame, id_column: str = "doc_id", keep_pcm: bool = False) -> DataFrame:
-    """What the stored files hold: payload digests, and features of the decoded, resampled sound.
+def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """What the stored files hold: payload digests, features of the decoded sound, and the resampled sound itself.
 
-    With ``keep_pcm`` a column pcm has the resampled samples, 16-bit little-endian at 16 kHz.
+    The column pcm has 16-bit little-endian samples at 16 kHz, four bytes for each payload byte, or nearly eight for ADPCM.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "media"):
+        for batch in chunks(batches, "media", 1 << 20):
             files = batch.column("media").to_pylist()
             parts = [from_wave(m) for m in files]
             blocks = [np.frombuffer(p, np.uint8).reshape(-1, UNIT) for c, p in parts if c == "adpcm"]
@@ -167,7 +168,7 @@ def read_back(stored: DataFrame, id_column: str = "doc_id", keep_pcm: bool = Fal
                 sign = pcm < 0
                 features.append(
                     f"{codec};samples={len(pcm)};peak={wide.max()};mean_abs={int(wide.sum(dtype=np.int64)) // len(pcm)}"
-                    f";crossings={int(np.count_nonzero(sign[1:] != sign[:-1]))};pcm_crc32={zlib.crc32(out)}"
+                    f";crossings={int(np.count_nonzero(sign[1:] != sign[:-1]))}"
                 )
                 waves.append(out)
             columns = {
@@ -179,12 +180,19 @@ def read_back(stored: DataFrame, id_column: str = "doc_id", keep_pcm: bool = Fal
                 "media_bytes": pa.array([len(m) for m in files], pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in files], pa.string()),
                 "feature": pa.array(features, pa.string()),
-            } | ({"pcm": pa.array(waves, pa.binary())} if keep_pcm else {})
+                "pcm": pa.array(waves, pa.binary()),
+            }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = stored.schema[id_column].dataType.simpleString()
     return stored.mapInArrow(
         run,
         f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-        " media_sha256 string, feature string" + (", pcm binary" if keep_pcm else ""),
+        " media_sha256 string, feature string, pcm binary",
     )
+
+
+def with_pcm_digest(decoded: DataFrame) -> DataFrame:
+    """The rows of stored ``read_back`` with size and CRC-32 of the stored samples in the feature, without the samples."""
+    feature = F.concat("feature", F.lit(";pcm_bytes="), F.length("pcm"), F.lit(";pcm_crc32="), F.crc32("pcm"))
+    return decoded.withColumn("feature", feature).drop("pcm")

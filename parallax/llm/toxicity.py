@@ -9,22 +9,22 @@ their id, none with more than ``longest`` characters.
 
 Defined results: null and empty texts score as texts without n-grams, by the model's intercept; a label that is null is
 no label, and a document is toxic if any of its label rows says so; without both kinds of labels every score is 0;
-repeated ids are scored row by row; an empty table gives no rows; other columns are ignored or kept.
+repeated ids are scored row by row; an empty table gives no rows; other columns are
+kept, but for one with the name of the result, which the result replaces.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks
+from .common import add_columns
 from .grams import code_points, hashed
 
 BITS, ORDERS, FEATURES = 22, range(3, 8), 1 << 13
@@ -114,18 +114,19 @@ def score(spark: SparkSession, docs: DataFrame, model: dict | None, column: str
     """The rows of ``docs`` with the probability that the text is toxic."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         known = shared.value
         place = np.full(1 << BITS, -1, np.int32)
         if known:
             place[known["slots"]] = np.arange(len(known["slots"]))
-        for batch in chunks(batches, "text", 1 << 20):
-            out = np.zeros(batch.num_rows)
-            if known:
-                row, slot = _present(pc.fill_null(batch.column("text"), "").to_pylist(), place)
-                z = np.bincount(row, known["weights"][slot].astype(np.float64), batch.num_rows) + known["intercept"]
-                out = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, column])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+
+        def probabilities(texts: pa.Array) -> list[np.ndarray]:
+            if not known:
+                return [np.zeros(len(texts))]
+            row, slot = _present(pc.fill_null(texts, "").to_pylist(), place)
+            z = np.bincount(row, known["weights"][slot].astype(np.float64), len(texts)) + known["intercept"]
+            return [1 / (1 + np.exp(-np.clip(z, -40, 40)))]
+
+        return probabilities
+
+    return add_columns(docs, "text", {column: T.DoubleType()}, make)
