@@ -5,7 +5,7 @@ ratio r of each feature's smoothed rates in toxic and other texts is taken, the
 chi-square statistic are kept, and a logistic model is fitted to presence times r. Scores come from whole texts.
 
 Bounds of the fit (of the fit only): ``toxic_rows`` and ``other_rows`` labelled rows, taken in the order of a hash of
-their id, none with more than ``longest`` characters.
+their id, none with more than ``longest`` characters. ``train`` runs jobs while the query is built.
 
 Defined results: null and empty texts score as texts without n-grams, by the model's intercept; a label that is null is
 no label, and a document is toxic if any of its label rows says so; without both kinds of labels every score is 0;
@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from .common import add_columns
 from .grams import code_points, hashed
 
-BITS, ORDERS, FEATURES = 22, range(3, 8), 1 << 13
+BITS, ORDERS, FEATURES = 22, range(3, 8), 1 << 11
+#: Texts that a feature must be in, penalty on squared weights, and steps of the fit.
+LEAST, PENALTY, STEPS = 10, 1e-4, 150
 
 
 def _present(texts: list[str], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict | None:
         counts[0] += np.bincount(slot[~label], minlength=1 << BITS)
     total, n1 = counts.sum(0), y.sum()
     n0 = len(y) - n1
-    seen = np.flatnonzero(total >= 3)
+    seen = np.flatnonzero(total >= LEAST)
     a, b, t = counts[1][seen], counts[0][seen], total[seen]
     expected = t * n1 / len(y)
     chi = (a - expected) ** 2 / expected + (b - t + expected) ** 2 / np.maximum(t - expected, 1e-9)
@@ -78,10 +80,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict | None:
     weight = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0))
     w, b0 = np.zeros(len(top)), 0.0
     m1, m2 = np.zeros(len(top) + 1), np.zeros(len(top) + 1)
-    for step in range(1, 151):
+    for step in range(1, STEPS + 1):
         z = np.bincount(row, x * w[col], len(y)) + b0
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        grad = np.append(np.bincount(col, x * g[row], len(top)) + 1e-5 * w, g.sum())
+        grad = np.append(np.bincount(col, x * g[row], len(top)) + PENALTY * w, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b0 = w - move[:-1], b0 - move[-1]
