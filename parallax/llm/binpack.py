@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, text_bytes
+from .common import chunks, ids_of, NO_ID, text_bytes
 from .curvepack import with_end
 from .tokens import encoder
 
@@ -110,7 +110,7 @@ def _shelf(docs: np.ndarray, ids: np.ndarray, bounds: np.ndarray, size: int, fir
             position[end - n : end] = np.arange(n)
         for name, value in zip(
             MATRIX.names,
-            (first + k, row.tobytes(), position.tobytes(), [0, *ends.tolist()], docs[owner[chosen]].tolist(), start[chosen].tolist(), int(ends[-1])),
+            (first + k, row.tobytes(), position.tobytes(), [0, *ends.tolist()], [None if d == NO_ID else d for d in docs[owner[chosen]].tolist()], start[chosen].tolist(), int(ends[-1])),
             strict=True,
         ):
             rows[name].append(value)
@@ -132,7 +132,7 @@ def _pack(size: int, path: str | None):
 
         for batch in chunks(batches, "text"):
             ids, bounds = with_end(*encoder(path).encode(*text_bytes(batch.column("text"))))
-            held.append((batch.column("doc_id").to_numpy(zero_copy_only=False), ids, bounds))
+            held.append((ids_of(batch.column("doc_id")), ids, bounds))
             if sum(len(h[1]) for h in held) >= SHELF_TOKENS:
                 out = flush()
                 first += out.num_rows

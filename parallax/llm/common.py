@@ -227,7 +227,21 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
+#: Stands for a null id in arrays of ids.
+NO_ID = -(1 << 63)
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, NO_ID).to_numpy(zero_copy_only=False)
+
+
+def key_lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """An array<long> column from hashes laid end to end."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values, pa.int64()))
+
+
 def list_column(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """An array<long> column from values laid end to end."""
+    """An array<long> column from values laid end to end; ``NO_ID`` becomes null."""
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, np.int64)))
+    values = np.ascontiguousarray(values, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, mask=values == NO_ID))

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, list_column, mix, signed, text_bytes, words
+from .common import Scratch, chunks, key_lists, mix, signed, text_bytes, words
 
 DEPTH, ROOT, HEAD = 5, 2, 1 << 20
 #: Chunks whose counts a task adds up before it hands them to Spark; grams that a task weighs at once, or one tree's.
@@ -406,7 +406,7 @@ def score(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scrat
                     pa.array(logs[tokens[1:]] - logs[tokens[:-1]] + np.log10(ends + 1.0)),
                     pa.array(gains[bounds[1:]] - gains[bounds[:-1]]),
                     pa.array(np.diff(bounds)),
-                    *(list_column(x, each) for keys, times, each in rare for x in (signed(keys), times)),
+                    *(key_lists(x, each) for keys, times, each in rare for x in (signed(keys), times)),
                 ],
                 names=["row", "doc_id", "n_tokens", "n_known", "logs", "gain", "n_bytes", "grams", "gram_times", "words", "word_times"],
             )

@@ -4,10 +4,11 @@ Each document's hashed word counts, scaled to length one, are projected to three
 and placed on a Hilbert curve. A range sort by curve position brings similar documents together, and each range is
 packed as one stream of ids: sequences are full, documents are cut where a sequence ends, and what is left at the end
 of a range is cut into sequences whose lengths are powers of two, which need no padding. Ties of the curve position are
-ordered by id, so a large group of copies spreads over ranges.
+ordered by id, so a large group of copies spreads over ranges. Their number follows from the size of the texts, and their
+bounds from a sample, which ``pack_along_curve`` takes while the query is built.
 
 Defined results: a null or empty text is its end id alone; repeated ids are packed once each; an empty table gives no
-rows; other columns are ignored. No id is lost or doubled, however long a text is.
+rows; other columns are ignored; a null id is kept. No id is lost or doubled, however long a text is.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, list_column, text_bytes, words
+from .common import chunks, ids_of, list_column, text_bytes, words
 from .tokens import END_OF_TEXT, encoder
 
 BUCKETS, DIMENSIONS, BITS = 4096, 3, 16
+#: Documents, about, from which the ranges' bounds are taken, and bytes of text in a range, about.
+SAMPLE, RANGE_BYTES = 50_000, 48 << 20
 
 
 def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -73,10 +76,41 @@ def curve_position(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
-        key = curve_position(*text_bytes(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["curve", *batch.schema.names])
+def _place(splits: np.ndarray | None):
+    """Rows with their curve position and, given the (position, id) bounds of the ranges in order, their range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            curve = curve_position(*text_bytes(batch.column("text")))
+            at = np.zeros(len(curve), np.int64)
+            if splits is not None and splits.shape[1]:
+                at, end = (np.searchsorted(splits[0], curve, side) for side in ("left", "right"))
+                ids = ids_of(batch.column("doc_id"))
+                for i in np.flatnonzero(end > at):  # bounds with the row's own position: the id decides
+                    at[i] += np.searchsorted(splits[1][at[i] : end[i]], ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(curve), pa.array(at, pa.int32()), *batch.columns], names=["curve", "range", *batch.schema.names])
+
+    return run
+
+
+def _splits(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of ranges, and their bounds, from about ``SAMPLE`` documents chosen by a hash of their ids.
+
+    The bounds only decide how even the ranges are, not what is in them.
+    """
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(every)) == 0)
+    got = some.mapInArrow(_place(None), _placed(docs)).select("curve", "doc_id", F.octet_length("text").alias("n")).toArrow()
+    curve, ids, n = got.column("curve").to_numpy(), ids_of(got.column("doc_id")), got.column("n").to_numpy()
+    order = np.lexsort((ids, curve))
+    ranges = int(max(1, min(100_000, n.sum(dtype=np.int64) * every // RANGE_BYTES + 1)))
+    place = np.cumsum(n[order] + 1)
+    at = np.searchsorted(place, place[-1] * np.arange(1, ranges) / ranges) if len(place) else np.zeros(0, np.int64)
+    return ranges, np.stack((curve[order][at], ids[order][at]))
+
+
+def _placed(docs: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("curve", T.LongType()), T.StructField("range", T.IntegerType()), *docs.schema.fields])
 
 
 SEQUENCES = T.StructType(
@@ -87,6 +121,7 @@ SEQUENCES = T.StructType(
         T.StructField("starts", T.ArrayType(T.LongType())),
         T.StructField("lengths", T.ArrayType(T.LongType())),
         T.StructField("doc_tokens", T.ArrayType(T.LongType())),
+        T.StructField("offsets", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -124,7 +159,8 @@ class _Stream:
         cuts = cuts[cuts <= last]
         low, high = cuts[:-1], cuts[1:]
         owner = np.searchsorted(stop, low, side="right")
-        within = np.bincount(np.searchsorted(ends, low, side="right"), minlength=len(ends)) if len(ends) else ends
+        of = np.searchsorted(ends, low, side="right")
+        within = np.bincount(of, minlength=len(ends)) if len(ends) else ends
         begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         raw = self.ids[:last].astype("<u4").tobytes()
         out = pa.RecordBatch.from_arrays(
@@ -135,6 +171,7 @@ class _Stream:
                 list_column(self.parts[1][owner] + low - start[owner], within),
                 list_column(high - low, within),
                 list_column(self.parts[3][owner], within),
+                list_column(low - begins[of], within),
             ],
             names=SEQUENCES.names,
         )
@@ -154,7 +191,7 @@ def _pack(size: int, path: str | None):
         stream = _Stream(size, TaskContext.get().partitionId() << 32)
         for batch in chunks(batches, "text"):
             ids, bounds = with_end(*encoder(path).encode(*text_bytes(batch.column("text"))))
-            yield stream.add(batch.column("doc_id").to_numpy(zero_copy_only=False), ids, bounds)
+            yield stream.add(ids_of(batch.column("doc_id")), ids, bounds)
         yield stream.finish()
 
     return run
@@ -163,26 +200,22 @@ def _pack(size: int, path: str | None):
 def pack_along_curve(docs: DataFrame, size: int = 2048, tokenizer: str | None = None) -> DataFrame:
     """Packed sequences: little-endian ids, and for each piece its document, ids before it, length, document's ids."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = docs.mapInArrow(_place, T.StructType([T.StructField("curve", T.LongType()), *docs.schema.fields]))
-    ordered = placed.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return ordered.mapInArrow(_pack(size, tokenizer), SEQUENCES)
+    ranges, splits = _splits(docs)
+    placed = docs.mapInArrow(_place(splits), _placed(docs))
+    ordered = placed.repartitionById(ranges, "range").drop("range").sortWithinPartitions("curve", "doc_id")
+    return ordered.drop("curve").mapInArrow(_pack(size, tokenizer), SEQUENCES)
 
 
 def pieces(sequences: DataFrame) -> DataFrame:
     """One row for each piece of a document in a packed sequence."""
-    part = F.explode(
-        F.transform(
-            F.arrays_zip("doc_ids", "starts", "lengths", "doc_tokens"),
-            lambda p, i: F.struct(p.alias("p"), F.aggregate(F.slice("lengths", 1, i), F.lit(0).cast("long"), lambda a, x: a + x).alias("offset")),
-        )
-    )
-    at = lambda c: F.col(f"part.p.{c}")
+    part = F.explode(F.arrays_zip("doc_ids", "starts", "lengths", "doc_tokens", "offsets"))
+    ids = F.expr("substring(ids, cast(4 * part.offsets + 1 as int), cast(4 * part.lengths as int))")
     return sequences.select("sequence_id", "ids", part.alias("part")).select(
-        at("doc_ids").alias("doc_id"),
-        at("starts").alias("start"),
-        at("lengths").alias("length"),
-        F.crc32(F.expr("substring(ids, cast(4 * part.offset + 1 as int), cast(4 * part.p.lengths as int))")).alias("ids_crc32"),
-        at("doc_tokens").alias("doc_tokens"),
+        F.col("part.doc_ids").alias("doc_id"),
+        F.col("part.starts").alias("start"),
+        F.col("part.lengths").alias("length"),
+        F.crc32(ids).alias("ids_crc32"),
+        F.col("part.doc_tokens").alias("doc_tokens"),
         "sequence_id",
-        F.col("part.offset").alias("offset"),
+        F.col("part.offsets").alias("offset"),
     )

@@ -20,9 +20,13 @@ exact. It goes in three steps.
 Steps 2 and 3 first run on one key in ``QUICK``, which finds nearly all links, and then on all keys by which texts of
 different components still meet. So a large group of near copies is compared by a few keys, not by all it shares.
 
+Sets are of 64-bit hashes of words and shingles, so results are exact up to their collisions. ``jaccard_groups`` runs jobs
+while the query is built.
+
 Defined results: null or empty texts and texts of white space have no shingles and link with nothing; a text with
 fewer words than ``width`` is one shingle; equal texts link; rows of a repeated id are one document with the
-links of each row and the number of shingles of the least row by content hash; an empty table gives an empty result; other columns are ignored.
+links of each row and the number of shingles of the least row by content hash; rows without an id are left out; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import Scratch, chunks, list_column, mix, shingles, signed, text_bytes, text_shingles, words
+from .common import Scratch, chunks, key_lists, mix, shingles, signed, text_bytes, text_shingles, words
 from .components import components
 
 #: Texts, and shingles, of one group that one task compares with each other; texts of one key in a tile.
@@ -140,7 +143,7 @@ def _features(percent: int, width: int):
                     pa.array(digest[:, 0]),
                     pa.array(digest[:, 1]),
                     pa.array([small_bitmap(s) for s in sets], pa.binary()),
-                    list_column(signed(keys[kept]), np.bincount(owners, minlength=batch.num_rows)),
+                    key_lists(signed(keys[kept]), np.bincount(owners, minlength=batch.num_rows)),
                 ],
                 names=FEATURES.names,
             )
@@ -273,23 +276,32 @@ def _compare(percent: int, width: int):
 
 
 def _meet(rows: DataFrame, features: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(u, v) ties from rows (key, doc_id, label): one shuffle by key, then bitmaps only for keys with several labels."""
-    by = Window.partitionBy("key")
-    rows = rows.select("*", F.min("label").over(by).alias("low"), F.max("label").over(by).alias("high"), F.count("*").over(by).alias("k"))
-    rows = scratch.save(rows.where("low <> high").select("key", "doc_id", "label", "k"))
-    shelves = max(8, rows.count() // 20_000)
+    """(u, v) ties from rows (key, doc_id, label), by bitmaps only for keys with several labels.
+
+    Keys are counted map-side first. Rows then meet the counts of their key, in every task where these are few; else in a
+    join of two written tables, whose hot partitions adaptive execution splits.
+    """
+    stats = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
     blocks = F.ceil(F.col("k") / TILE_ROWS).cast("long")
-    tiles = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    stats = scratch.save(stats.where("low <> high").select("key", blocks.alias("blocks"), (F.col("k") * blocks).alias("size")))
+    total = stats.agg(F.count("*").alias("keys"), F.sum("size").alias("size")).first()
+    few = total["keys"] <= BROADCAST_ROWS
+    known = stats.select("key", "blocks")
+    rows = rows.join(F.broadcast(known) if few else known, "key")
+    shelves = max(8, (total["size"] or 0) // 20_000)
+    tiles = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     tiles = tiles.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = tiles.withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
     maps = features.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    return scratch.save(
+    ties = scratch.save(
         tiles.join(maps, "doc_id")
         .withColumn("shelf", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shelves)))
         .select("shelf", "key", "i", "j", "doc_id", "label", "n", "bits")
         .groupBy("shelf")
         .applyInPandas(_ties(percent), "u long, v long")
     )
+    scratch.drop(stats)
+    return ties
 
 
 def _verify(docs: DataFrame, members: DataFrame, known: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -366,13 +378,14 @@ def jaccard_groups(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see the module's text."""
     scratch = scratch or Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     features = scratch.save(docs.mapInArrow(_features(percent, width), FEATURES))
     alike = features.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    copies = alike.where("c > 1").select("d1", "d2", "rep")
-    equal = scratch.save(
-        features.select("doc_id", "d1", "d2").join(copies, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    )
+    copies = scratch.save(alike.where("c > 1").select("d1", "d2", "rep"))
+    # As in _meet: a large group of copies shares a key of this join.
+    few = copies.count() <= BROADCAST_ROWS
+    equal = features.select("doc_id", "d1", "d2").join(F.broadcast(copies) if few else copies, ["d1", "d2"])
+    equal = scratch.save(equal.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     sizes = features.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles")).alias("s")).select("doc_id", "s.n_shingles")
     known = equal
     for quick in (True, False):
@@ -384,7 +397,9 @@ def jaccard_groups(
         groups = components(ties.union(known), scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
         members = groups.join(labels, "doc_id", "left").join(sizes, "doc_id").join(equal.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
         members = members.select("doc_id", "comp", F.coalesce("label", "doc_id").alias("label"), "n_shingles")
-        known = scratch.save(known.union(_verify(docs, members, known, width, percent, scratch)))
+        links = _verify(docs, members, known, width, percent, scratch)
+        known = scratch.save(known.union(links))
+        scratch.drop(ties, links)
     final = components(known, scratch)
     return sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
@@ -392,7 +407,17 @@ def jaccard_groups(
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that another one of their group stands for: the least id of each group stays."""
-    groups = jaccard_groups(spark, docs, width, percent)
-    stays = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    """The documents without those that another one of their group stands for: the least id of each group stays.
+
+    Of the rows of a repeated id one stays, the least by a hash of its columns. Rows without an id all stay.
+    """
+    scratch = Scratch(spark)
+    stays = jaccard_groups(spark, docs, width, percent, scratch).where("doc_id = component_id").select("doc_id")
+    kept = docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    again = scratch.save(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not again.isEmpty():
+        row, text = F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))
+        one = kept.join(again, "doc_id", "left_semi").select("doc_id", row.alias("row"), F.struct(F.xxhash64(text), text).alias("order"))
+        one = one.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+        kept = kept.join(again, "doc_id", "left_anti").select(docs.columns).union(one)
+    return kept.union(docs.where("doc_id is null"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import add_columns
-from .grams import code_points, hashed
+from .grams import PAD, code_points, hashed
 
 BITS, ORDERS, FEATURES = 20, range(1, 5), 6144
 LETTER = re.compile(r"[^\W\d_]")
@@ -44,6 +44,15 @@ def presence(texts: list[str], place: np.ndarray, width: int) -> np.ndarray:
     return out[:, :width]
 
 
+def known_pairs(texts: list[str], place: np.ndarray, width: int) -> np.ndarray:
+    """Share of each text's pairs of characters that are features: near 1 in a learnt language, near 0 in another script."""
+    points, begins = code_points(texts)
+    (pairs,) = hashed(points, range(2, 3), BITS)
+    hits = np.concatenate(([0], np.cumsum(place[pairs] < width)))
+    ends = begins[1:] - PAD - 1  # the last pair of a text begins before its closing blank
+    return (hits[ends] - hits[begins[:-1]]) / np.maximum(ends - begins[:-1], 1)
+
+
 def _kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     own = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     return (x @ landmarks.T) / own / np.sqrt(np.maximum(landmarks.sum(1), 1))
@@ -116,9 +125,16 @@ def train(docs: DataFrame, rows: Column | None = None, sample: int = 20_000, per
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: dict | None, name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """The rows of ``docs`` with the language and the ridge output, brought from -1..1 to 0..1."""
+def predict(
+    spark: SparkSession, docs: DataFrame, model: dict | None, name: str = "lang_pred", score: str = "lang_score", likeness: str | None = None
+) -> DataFrame:
+    """The rows of ``docs`` with the language and the ridge output, brought from -1..1 to 0..1.
+
+    A column named by ``likeness`` has the share of the text's pairs of characters that the model knows, by which texts
+    that resemble no learnt language can be told, however many are learnt; 0 for null texts and without a model.
+    """
     shared = spark.sparkContext.broadcast(model)
+    results = {name: T.StringType(), score: T.DoubleType()} | ({likeness: T.DoubleType()} if likeness else {})
 
     def make():
         known = shared.value
@@ -129,10 +145,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict | None, name: str
             basis = np.unpackbits(known["basis"], axis=1, count=width).astype(np.float32)
 
         def told(column: pa.Array) -> list[list]:
-            langs, scores = [], []
+            langs, scores, likes = [], [], []
             texts = column.to_pylist()
             if not known:
-                return [["und"] * len(texts), [0.0] * len(texts)]
+                return [["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)][: len(results)]
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
                 lettered = [t is not None and LETTER.search(t) is not None for t in part]
@@ -141,8 +157,11 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict | None, name: str
                 langs += [known["names"][b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
                 value = np.clip((1 + f[np.arange(len(f)), best]) / 2, 0, 1)
                 scores += np.where(lettered, value, 0.0).tolist()
-            return [langs, scores]
+                if likeness:
+                    share = known_pairs([t or "" for t in part], place, width)
+                    likes += np.where([t is not None for t in part], share, 0.0).tolist()
+            return [langs, scores, likes][: len(results)]
 
         return told
 
-    return add_columns(docs, "text", {name: T.StringType(), score: T.DoubleType()}, make)
+    return add_columns(docs, "text", results, make)

@@ -4,14 +4,15 @@ Vectors are scaled to length one, where cosine c means distance sqrt(2 - 2c). Ea
 to ``HASHES`` numbers floor((a v + b) / WIDTH) with Gaussian a. Vectors that share a bucket are compared exactly. At
 cosine 0.95 a pair shares a bucket of some table with probability 0.99, and with more than 0.9999 from 0.97 on.
 
-Equal vectors are collapsed first, with their number. A bucket of more than ``BLOCK`` vectors is cut by hash into
-blocks, and every two blocks meet in a tile of their own, so no task holds an unbounded bucket. A pair that shares
-buckets in several tables counts in the first of them. Tiles give each vector's number of links and a spanning set of
-edges, never all pairs.
+Equal vectors are collapsed first, with their number. Buckets of up to ``BLOCK`` vectors with the same members in several
+tables are one, so a tight group is sent once, not once a table. A larger bucket is cut by hash into blocks, and every two
+blocks meet in a tile of their own, so no task holds an unbounded bucket. A pair that shares buckets in several tables
+counts in the first of them, told by the vectors' stored bucket names. Tiles give each vector's number of links and a
+spanning set of edges, never all pairs. ``near_vectors`` runs jobs while the query is built.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors
-of different length don't link; repeated ids are one vector each; an empty table gives no rows; other columns are
-ignored.
+of different length don't link; repeated ids are one vector each; rows without an id are left out; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, list_column, mix, signed
+from .common import Scratch, mix
 from .components import components
 
 TABLES, HASHES, WIDTH, BLOCK = 40, 16, 2.0, 1024
+#: Rows of bucket counts up to which they are sent to every task.
+BROADCAST_ROWS = 1_000_000
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -37,7 +41,7 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(v: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket name for each vector and table."""
+    """A 32-bit bucket name for each vector and table; buckets that get the same name are one bucket."""
     rng = np.random.default_rng(7919 + v.shape[1])
     a = rng.standard_normal((v.shape[1], TABLES * HASHES))
     b = rng.uniform(0, WIDTH, TABLES * HASHES)
@@ -45,7 +49,7 @@ def bucket_keys(v: np.ndarray) -> np.ndarray:
     key = np.tile(mix(np.arange(TABLES, dtype=np.uint64) + np.uint64(v.shape[1] << 16)), (len(v), 1))
     for k in range(HASHES):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + q[:, :, k])
-    return key
+    return (key >> np.uint64(32)).astype(np.uint32)
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +57,14 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             vectors = part.column("embedding").to_pylist()
-            keys = np.zeros((len(vectors), TABLES), np.uint64)
+            keys = np.zeros((len(vectors), TABLES), np.uint32)
             size = np.array([len(v) for v in vectors])
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
                 keys[rows] = bucket_keys(unit(np.array([vectors[i] for i in rows], np.float64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), list_column(signed(keys.reshape(-1)), np.full(len(vectors), TABLES))], names=["rep", "keys"]
+                [part.column("rep"), part.column("n"), part.column("embedding"), pa.array([k.tobytes() for k in keys], pa.binary())],
+                names=["rep", "n", "embedding", "keys"],
             )
 
 
@@ -83,7 +88,7 @@ def _tiles(least: float):
         size = np.diff(np.append(begin, len(pdf)))
         rep, n, t = (pdf[c].to_numpy() for c in ("rep", "n", "t"))
         block, cross = pdf["block"].to_numpy(), (pdf["i"] != pdf["j"]).to_numpy()
-        vectors = pdf["embedding"].to_numpy()
+        vectors, names = pdf["embedding"].to_numpy(), pdf["keys"].to_numpy()
         links = np.zeros(len(pdf), np.int64)
         edges = []
         for s in np.unique(size):
@@ -94,9 +99,8 @@ def _tiles(least: float):
             for at in range(0, len(of), step):
                 idx = of[at : at + step, None] + np.arange(s)
                 flat = idx.reshape(-1)
-                v = unit(np.stack(vectors[flat]).astype(np.float64))
-                keys = bucket_keys(v)
-                v = v.reshape(*idx.shape, -1)
+                keys = np.frombuffer(b"".join(names[flat]), np.uint32).reshape(-1, TABLES)
+                v = unit(np.stack(vectors[flat]).astype(np.float64)).reshape(*idx.shape, -1)
                 linked = (v @ v.transpose(0, 2, 1)) >= least
                 linked[:, np.arange(s), np.arange(s)] = False
                 linked &= ~cross[idx][:, :1, None] | (block[idx][:, :, None] != block[idx][:, None, :])
@@ -125,7 +129,7 @@ def _tiles(least: float):
 def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector; see the module's text."""
     scratch = scratch or Scratch(spark)
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     good = (
         F.col("embedding").isNotNull()
@@ -135,21 +139,32 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, s
     vectors = vectors.withColumn("good", F.coalesce(good, F.lit(False)))
     valid = vectors.where("good").select("vec_id", "embedding")
     classes = scratch.save(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    keys = scratch.save(classes.mapInArrow(_hash, "rep long, keys array<long>"))
-    placed = keys.select("rep", F.posexplode("keys").alias("t", "key"))
+    hashed = scratch.save(classes.mapInArrow(_hash, T.StructType([classes.schema["rep"], classes.schema["n"], classes.schema["embedding"], T.StructField("keys", T.BinaryType())])))
+    at = F.sequence(F.lit(0), F.lit(TABLES - 1))
+    placed = hashed.select("rep", F.explode(F.transform(at, lambda t: F.struct(t.alias("t"), F.substring("keys", 4 * t + 1, 4).alias("key")))).alias("p"))
+    placed = placed.select("rep", "p.*")
     full = placed.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shelves = max(8, keys.count() // 500)
-    placed = placed.join(full, ["t", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    placed = placed.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    full = scratch.save(full.select("t", "key", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")))
+    few = full.count() <= BROADCAST_ROWS
+    placed = placed.join(F.broadcast(full) if few else full, ["t", "key"])
+    # Buckets of one block by their members, once for all tables that have the same.
+    small = placed.where("blocks = 1").groupBy("t", "key").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
+    small = small.groupBy("reps").agg(F.min(F.struct("t", "key")).alias("first")).select("first.*", F.explode("reps").alias("rep"))
+    zero = F.lit(0).cast("long")
+    small = small.select("t", "key", zero.alias("i"), zero.alias("j"), zero.alias("block"), "rep")
+    large = placed.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    large = large.withColumn("x", F.explode(F.sequence(zero, F.col("blocks") - 1))).select(
         "t", "key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "rep"
     )
+    tiles = scratch.save(small.union(large))
+    shelves = max(8, tiles.count() // 20_000)
     found = scratch.save(
-        placed.join(classes, "rep")
+        tiles.join(hashed, "rep")
         .withColumn("shelf", F.pmod(F.xxhash64("t", "key", "i", "j"), F.lit(shelves)))
         .groupBy("shelf")
         .applyInPandas(_tiles(least), "u long, v long, n long")
     )
+    scratch.drop(hashed, full, tiles)
     groups = components(found.where("u <> v").select("u", "v"), scratch)
     links = found.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     known = (
