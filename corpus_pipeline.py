@@ -1,7 +1,8 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage is a function of (spark, docs, sf_dir); it works on all that its predecessor kept. The runner writes every
-stage's rows as Parquet in the shared folder and reads them back as the next one's input.
+stage's rows as Parquet in the shared folder and reads them back as the next one's input. All stages but the last return
+the columns of their input, extra ones included, under whatever names.
 """
 
 from __future__ import annotations
@@ -10,27 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.llm import curvepack, jaccard, langid, raking, toxicity
-from parallax.llm.common import Scratch, table
+from parallax.llm.common import Scratch, fresh, table
 from parallax.llm.queries import TARGETS, TOXIC_AT
 from parallax.session import ready
 
-#: A document whose best language scores lower is rejected; the ridge output of clear text lies near 1.
-LEAST_LANGUAGE_SCORE = 0.25
-#: Documents kept by the mixing stage, as a multiple of what the scarcest cell allows.
-KEEP = 4.0
+#: Share of a text's pairs of characters that the language model must know: near 1 in a learnt language, below 0.1 in another script.
+LEAST_LIKENESS = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts that are null, have no letter or resemble none go."""
+    """Documents with a language, which becomes their ``lang``; texts that are null, have no letter or resemble no learnt language go."""
     model = langid.train(docs)
-    told = langid.predict(ready(spark), docs, model, "_lang", "_score")
-    return told.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    name, score, like = (fresh(docs, n) for n in ("told", "score", "like"))
+    told = langid.predict(ready(spark), docs, model, name, score, like)
+    told = told.where((F.col(name) != "und") & (F.col(like) >= LEAST_LIKENESS))
+    return told.withColumn("lang", F.col(name)).select(docs.columns)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't hold for toxic."""
     model = toxicity.train(docs, table(ready(spark), sf_dir, "labels"))
-    return toxicity.score(spark, docs, model, "_score").where(F.col("_score") < TOXIC_AT).select(docs.columns)
+    score = fresh(docs, "score")
+    return toxicity.score(spark, docs, model, score).where(F.col(score) < TOXIC_AT).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by their raked probabilities."""
-    return raking.mix_sources(ready(spark), docs, TARGETS, keep=KEEP).where("sampled").select(docs.columns)
+    """Documents sampled by their raked probabilities, over source, the language told by the first stage, and topic."""
+    key = fresh(docs, "row")
+    rows = docs.select(F.struct("*").alias(key), "doc_id", "source", "lang", "text")
+    kept = raking.mix_sources(rows, TARGETS).where("sampled")
+    return kept.select(*[F.col(key).getField(c).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ STAGES = [
     ("curve_packing", packed),
 ]
 
-#: The trained stages have no SQL form; tests hold the pipeline against a plain version.
+#: The trained stages have no SQL form; tests/llm holds the pipeline against a plain version.
 ORACLE_SQL = None
 
 
