@@ -10,9 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parallax.llm import binpack, ctw, curvepack, jaccard, langid, raking, render, telephony, toxicity, vecdup
-from parallax.llm.common import Scratch, text_bytes
-from parallax.llm.queries import TARGETS
+from parallax.llm import binpack, ctw, curvepack, jaccard, langid, toxicity, vecdup
+from parallax.llm.common import text_bytes
 from parallax.llm.tokens import encoder
 
 
@@ -151,21 +150,6 @@ def test_context_tree_scores(spark):
         assert got[i]["score"] < 0
 
 
-def test_context_tree_is_a_distribution():
-    rng = np.random.default_rng(2)
-    code = np.zeros(4000, np.int64)
-    stream = rng.integers(97, 101, 4003)
-    levels = []
-    for d in range(4):
-        code = sum((stream[3 - k : 4003 - k].astype(np.int64) << 8 * (k - 1) for k in range(1, d + 1)), np.zeros(4000, np.int64))
-        names, at = np.unique(code, return_inverse=True)
-        table = np.zeros((len(names), 256))
-        np.add.at(table, (at, stream[3:]), 1)
-        levels.append((names, table))
-    model = ctw.weigh(levels)
-    assert np.allclose((10.0 ** model["table"].astype(float)).sum(1), 1, atol=1e-4)
-
-
 def test_classifiers_on_held_out_rows(spark):
     rng = random.Random(8)
     rows, labels = [], []
@@ -190,53 +174,6 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxicity.train(docs, marks.limit(0)) is None
 
 
-def test_raking_meets_its_targets(spark):
-    rows = [(i, "w " * (1 + i % 7), f"s{i % 3}", None if i % 50 == 0 else f"l{i % 2}") for i in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    targets = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"l0": 0.6}}
-    out = raking.mix_sources(spark, docs, targets).collect()
-    total = sum(r["weight"] * r["n_tokens"] for r in out)
-    for axis, value, share in (("source", "s0", 0.5), ("source", "s1", 0.3), ("lang", "l0", 0.6)):
-        assert sum(r["weight"] * r["n_tokens"] for r in out if r[axis] == value) / total == pytest.approx(share, abs=1e-6)
-    assert raking.mix_sources(spark, docs.limit(0), targets).count() == 0
-
-
-def raking_rows(spark, n=6000):
-    """Documents over the production targets' values, with a null and an unnamed language."""
-    langs = ["en"] * 12 + ["fr"] * 3 + ["de"] * 3 + ["es"] * 2 + [None, "it"]
-    rng = random.Random(5)
-    rows = []
-    for i in range(n):
-        text = "w " * rng.randint(1, 9) + rng.choice(["", "", "", "###", "License", "a | b"])
-        rows.append((i, text, f"src{rng.randrange(20)}", rng.choice(langs)))
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-
-
-def test_raking_without_a_share_for_unnamed_values(spark):
-    out = raking.mix_sources(spark, raking_rows(spark), TARGETS).collect()
-    named = [r for r in out if r["lang"] in TARGETS["lang"]]
-    assert len(named) < len(out) and all(r["weight"] == 0 and not r["sampled"] for r in out if r["lang"] not in TARGETS["lang"])
-    total = sum(r["weight"] * r["n_tokens"] for r in named)
-    for axis, shares in TARGETS.items():
-        for value, share in shares.items():
-            assert sum(r["weight"] * r["n_tokens"] for r in named if r[axis] == value) / total == pytest.approx(share, abs=1e-6)
-    unnamed = spark.createDataFrame([(1, "a b", "s", None), (2, "c", "s", "it")], "doc_id long, text string, source string, lang string")
-    assert [r["weight"] for r in raking.mix_sources(spark, unnamed, TARGETS).collect()] == pytest.approx([1.0, 1.0])
-
-
-def test_mixed_sample_meets_its_targets(spark):
-    docs = raking_rows(spark)
-    out = raking.mix_sources(spark, docs, TARGETS, keep=4.0).collect()
-    plain = raking.mix_sources(spark, docs, TARGETS).collect()
-    kept = sum(r["probability"] * r["n_tokens"] for r in out)
-    assert kept > 1.2 * sum(r["probability"] * r["n_tokens"] for r in plain) and max(r["probability"] for r in out) == 1
-    drawn = sum(r["n_tokens"] for r in out if r["sampled"])
-    for axis, shares in TARGETS.items():
-        for value, share in shares.items():
-            assert sum(r["probability"] * r["n_tokens"] for r in out if r[axis] == value) / kept == pytest.approx(share, abs=2e-4)
-            assert sum(r["n_tokens"] for r in out if r["sampled"] and r[axis] == value) / drawn == pytest.approx(share, abs=0.02)
-
-
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(vecdup, "BLOCK", 8)
     rng = np.random.default_rng(4)
@@ -250,51 +187,3 @@ def test_near_vectors(spark, monkeypatch):
     near = unit @ unit.T >= 0.95
     assert [got[i]["n_links"] for i in range(120)] == (near.sum(1) - 1).tolist()
     assert all(got[i]["component_id"] == i and got[i]["n_links"] == 0 for i, _ in bad)
-
-
-def test_rendering():
-    page = (
-        "<html><head><title>no</title><style>p{}</style></head><body><h1>A &amp; B</h1><p>one<p>two <b>three</b><br>four"
-        "<ul><li>x<li>y<ol start=3><li>z</ol></ul><div hidden>no</div><span style='display: none'>no</span>"
-        "<table><tr><th>k<th>value<tr><td>long key<td>1</table><pre>a\n  b</pre><!-- no --><script>var a='</p>';</script>end"
-    )
-    assert render.render(page) == (
-        "A & B\n\none\n\ntwo three\nfour\n\n- x\n- y\n  3. z\n\nk         value\nlong key  1\n\na\n  b\n\nend"
-    )
-    assert render.render(None) is None and render.render("") == "" and render.render("<p") == ""
-    assert len(render.render("<div>" * 5000 + "deep")) == 4
-
-
-def test_rendering_keeps_text_outside_of_cells():
-    page = (
-        "<table>bare<tbody>body<tr><form><td>a</td><td>b</td></form></tr><tr><p>para</p><td>c</td>between<td>d</td></tr>"
-        "<tr><form><div hidden><td>no</td></div><span><td>e</td>in</span></form></tr><img alt=pic></tbody></table>end"
-    )
-    got = render.render(page)
-    assert "no" not in got
-    for word in "bare body para between in pic".split():
-        assert word in got and got.index(word) < got.index("a  b")
-    assert "a  b\nc  d\ne" in got and got.endswith("end")
-
-
-def test_telephony_round_trip(spark):
-    rows = [(i, t) for i, t in enumerate(texts(2))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1))
-    got = {r["doc_id"]: r for r in telephony.read_back(Scratch(spark).save(telephony.store(docs)), keep_pcm=True).collect()}
-    for i, t in rows:
-        payload = telephony.pad((t or "").encode())
-        assert got[i]["payload_bytes"] == len(payload) and got[i]["tail_crc32"] == zlib.crc32(payload[-64:])
-        assert got[i]["n_bytes"] == len((t or "").encode())
-    block = np.random.default_rng(0).integers(0, 256, (5, 64)).astype(np.uint8)
-    for row, fast in zip(block, telephony.decode_adpcm(block), strict=True):
-        value, index = int(np.array([row[0] | row[1].astype(int) << 8]).astype(np.int16)[0]), min(int(row[2]), 88)
-        plain = [value]
-        for b in row[4:].tolist():
-            for n in (b & 15, b >> 4):
-                step = int(telephony.STEPS[index])
-                change = (step >> 3) + (step >> 2) * (n & 1) + (step >> 1) * (n >> 1 & 1) + step * (n >> 2 & 1)
-                value = max(-32768, min(32767, value - change if n & 8 else value + change))
-                index = max(0, min(88, index + int(telephony.INDEX_STEP[n & 7])))
-                plain.append(value)
-        assert fast.tolist() == plain
-    assert telephony.TABLES["mulaw"][0] == -32124 and telephony.TABLES["alaw"][0x55 ^ 0x80] == 8
