@@ -59,13 +59,12 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
     "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "tr": (frozenset({"tr", "caption", "colgroup"}), frozenset({"table"})),
-    "tbody": (frozenset({"tbody", "thead", "tfoot", "caption", "colgroup"}), frozenset({"table"})),
-    "thead": (frozenset({"tbody", "thead", "tfoot", "caption", "colgroup"}), frozenset({"table"})),
-    "tfoot": (frozenset({"tbody", "thead", "tfoot", "caption", "colgroup"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
 
+#: Start tag -> what it ends everything down to, in the innermost table.
+DOWN_TO = {t: frozenset({"table"}) for t in ("tbody", "thead", "tfoot", "caption", "colgroup")} | {"tr": frozenset("table tbody thead tfoot".split())}
+
 _TAG = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^A-Za-z>][^>]*(?:>|\Z))"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)|=)*+)(?:>|\Z)",
@@ -146,6 +145,8 @@ def parse(page: str) -> Node:
             attributes.setdefault(k.lower(), a or b or c)
         if name in ENDS:
             up.close(*ENDS[name])
+        if name in DOWN_TO and up.places.get("table"):
+            up.pop(up.last(DOWN_TO[name]) + 1)
         if name in _P_ENDERS:
             up.close(frozenset({"p"}), _SCOPE)
         if name not in UNSEEN and up.stack[-1].name == "head" and name != "head":
