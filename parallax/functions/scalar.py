@@ -210,3 +210,68 @@ def intrinsics(width: Column, height: Column, focal: Column) -> Column:
 def fixed32(fraction: Column) -> Column:
     """A fraction of one as 32-bit fixed point."""
     return clamp(F.bround(fraction * 4294967296.0, 0).cast("long"), 0, 4294967295)
+
+
+def patch(span_az: Column, span_el: Column, width: Column, height: Column) -> dict[str, Column]:
+    """The whole frame that a piece of sphere is cut from, where it lies there, and its pixels a radian."""
+    full_w, full_h = half_even(width * 360.0 / span_az), half_even(height * 180.0 / span_el)
+    return {
+        "full_width": full_w,
+        "full_height": full_h,
+        "left": half_even((full_w - width) / 2.0),
+        "top": half_even((full_h - height) / 2.0),
+        "per_radian": width / F.radians(span_az),
+    }
+
+
+def auto_target(span_az: Column, degrees: Column) -> Column:
+    """An angle as percentage of the width of a patch."""
+    return 100.0 * degrees / span_az
+
+
+def sphere_frame(sphere: Column, size: Column, cap: Column) -> Column:
+    """Pixels of a finished pair of half spheres; null for flat output."""
+    side = patch_side(size, cap)
+    return F.when(sphere, (2 * side * side).cast("long"))
+
+
+def exif_focal(tag: Column, width: Column) -> Column:
+    """Focal length in pixels from the text of a file's 35 mm tag; null where it is absent, no number, or 0."""
+    return focal_from_35mm(F.nullif(tag.try_cast("double"), F.lit(0.0)), width)
+
+
+def blend(plain: Column, model: Column, detail: float = 0.75) -> Column:
+    """So much of a model's picture, the rest of the plain one."""
+    return plain + detail * (model - plain)
+
+
+def bounds(left: Column, top: Column, width: Column, height: Column, full_width: Column, full_height: Column) -> dict[str, Column]:
+    """What a patch leaves free on each side of the whole frame, as 32-bit fractions."""
+    return {
+        "top": fixed32(top / full_height),
+        "bottom": fixed32((full_height - top - height) / full_height),
+        "left": fixed32(left / full_width),
+        "right": fixed32((full_width - left - width) / full_width),
+    }
+
+
+def rotation_vector(r: Column) -> Column:
+    """Axis times angle of a row-major rotation, as an array of three; for angles below 180 degrees."""
+    angle = F.acos(clamp((r[0] + r[4] + r[8] - 1.0) / 2.0, -1.0, 1.0))
+    scale = F.when(F.sin(angle) < 1e-9, F.lit(0.5)).otherwise(F.try_divide(angle, 2.0 * F.sin(angle)))
+    return F.array(scale * (r[7] - r[5]), scale * (r[2] - r[6]), scale * (r[3] - r[1]))
+
+
+def rotation_matrix(v: list[Column]) -> Column:
+    """The rotation of a vector of axis times angle, row major."""
+    x, y, z = v
+    angle = F.sqrt(x * x + y * y + z * z)
+    small = angle < 1e-9
+    a = F.when(small, 1.0).otherwise(F.try_divide(F.sin(angle), angle))
+    b = F.when(small, 0.5).otherwise(F.try_divide(1.0 - F.cos(angle), angle * angle))
+    c = F.cos(angle)
+    return F.array(
+        c + b * x * x, b * x * y - a * z, b * x * z + a * y,
+        b * x * y + a * z, c + b * y * y, b * y * z - a * x,
+        b * x * z - a * y, b * y * z + a * x, c + b * z * z,
+    )

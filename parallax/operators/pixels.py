@@ -1,15 +1,28 @@
 """Long form (one row a pixel) and packed form (one array a scanline), neighbourhood filters and resampling.
 
-Frames are independent, so every operator partitions by frame, or by frame and row where rows are independent, and
-keeps that partitioning from step to step.
+Frames are independent. ``deal`` puts the pixels of a frame into one partition, once; every window of the filters below is
+by frame and row or by frame and column, which that dealing satisfies, so they sort but don't shuffle again.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parallax.functions.scalar import clamp, expose, smoothstep
+
+
+#: Rows of a weight table up to which it is sent to every task; it has at most eight for each place of the two sizes.
+SMALL_TABLE = 1_000_000
+
+
+def deal(pixels: DataFrame, frame: list[str]) -> DataFrame:
+    """Pixels dealt by frame, for any number of filters after it."""
+    return pixels.repartition(*frame)
+
 
 def unpack(rows: DataFrame, keys: list[str], array: str, at: str = "x", value: str = "v") -> DataFrame:
     """Packed scanlines to one row a pixel."""
@@ -55,31 +68,107 @@ def laplacian(pixels: DataFrame, frame: list[str], value: str, name: str) -> Dat
     return pixels.withColumn(name, around[0] + around[1] + around[2] + around[3] - 4.0 * F.col(value))
 
 
-def weights(spark: SparkSession, source: int, target: int, kind: str) -> DataFrame:
-    """(o, i, w): share of source place i in target place o, for bilinear or area resizing of one axis.
+def detail(pixels: DataFrame, frame: list[str], value: str, where: Column | None = None) -> DataFrame:
+    """Mean absolute Laplacian of each frame, of the pixels for which ``where`` holds."""
+    lap = F.abs("_lap") if where is None else F.when(where, F.abs("_lap"))
+    return laplacian(pixels, frame, value, "_lap").groupBy(*frame).agg(F.avg(lap).alias("detail"))
+
+
+def falloff(pixels: DataFrame, frame: list[str], mask: str, width: Column, height: Column, radius: int, name: str) -> DataFrame:
+    """A soft edge inside a mask of zeros and ones."""
+    out = box2(pixels, frame, mask, width, height, radius, "_soft")
+    return out.withColumn(name, F.col(mask) * smoothstep(clamp(F.col("_soft"), 0.0, 1.0))).drop("_soft")
+
+
+def feather(pixels: DataFrame, frame: list[str], mask: str, width: Column, height: Column, radius: int, name: str) -> DataFrame:
+    """What is outside of a mask, blurred twice."""
+    out = box2(pixels.withColumn("_out", 1.0 - F.col(mask)), frame, "_out", width, height, radius, "_one")
+    out = box2(out, frame, "_one", width, height, radius, "_two")
+    return out.withColumn(name, clamp(F.col("_two"), 0.0, 1.0)).drop("_out", "_one", "_two")
 
-    The rows follow from the two sizes alone: at most two a target place for bilinear, and source + target in all for area.
+
+def band(pixels: DataFrame, frame: list[str], mask: str, width: Column, height: Column, radius: int, name: str) -> DataFrame:
+    """A ring outside of a mask: the mask grown and softened, where it isn't itself."""
+    out = box2(dilate(pixels, frame, mask, radius, "_grown"), frame, "_grown", width, height, radius, "_soft")
+    return out.withColumn(name, smoothstep(F.col("_soft")) * (1.0 - F.col(mask))).drop("_grown", "_soft")
+
+
+def ease(pixels: DataFrame, frame: list[str], wash: str, mask: str, width: Column, height: Column, radius: int, dim: float, name: str) -> DataFrame:
+    """A wash at full strength where it leaves the mask, dimmed further out. No radius or a dim of 1: the same everywhere."""
+    if not radius or dim == 1.0:
+        return pixels.withColumn(name, expose(F.col(wash), F.lit(float(dim))))
+    out = box2(pixels, frame, mask, width, height, radius, "_near")
+    near, low = smoothstep(clamp(F.col("_near"), 0.0, 1.0)), expose(F.col(wash), F.lit(float(dim)))
+    return out.withColumn(name, low + near * (expose(F.col(wash), F.lit(1.0)) - low)).drop("_near")
+
+
+def match_detail(
+    pixels: DataFrame, frame: list[str], painted: str, picture: str, known: str, width: Column, height: Column, name: str,
+    tolerance: float = 1.15, most: int = 6,
+) -> DataFrame:
+    """The painted part, blurred by the least radius at which it is no busier than the known part of the picture.
+
+    ``known`` is boolean. All radii are tried in one pass over the frame's windows; the frame's averages choose.
+    """
+    work = laplacian(pixels, frame, picture, "_p").withColumn("_c0", F.col(painted))
+    for r in range(1, most + 1):
+        work = box2(work, frame, painted, width, height, r, "_b").withColumn(f"_c{r}", F.when(F.col(known), F.col(painted)).otherwise(F.col("_b"))).drop("_b")
+    for r in range(most + 1):
+        work = laplacian(work, frame, f"_c{r}", f"_l{r}")
+    want = (F.avg(F.when(F.col(known), F.abs("_p"))) * tolerance).alias("_want")
+    busy = [F.avg(F.when(~F.col(known), F.abs(f"_l{r}"))).alias(f"_d{r}") for r in range(most + 1)]
+    stats = work.groupBy(*frame).agg(want, *busy)
+    enough = [F.when(F.col(f"_d{r}") <= F.col("_want"), r) for r in range(most + 1)]
+    chosen = F.when((F.col("_want") <= 0) | F.col("_want").isNull(), 0).otherwise(F.coalesce(*enough, F.lit(most)))
+    work = work.join(stats.select(*frame, chosen.alias("_r")), frame)
+    value = F.coalesce(*[F.when(F.col("_r") == r, F.col(f"_c{r}")) for r in range(most + 1)])
+    return work.select(*pixels.columns, value.alias(name))
+
+
+def cubic(t: Column, a: float) -> Column:
+    """Keys' kernel."""
+    t = F.abs(t)
+    return F.when(t <= 1, ((a + 2) * t - (a + 3)) * t * t + 1).when(t < 2, ((a * t - 5 * a) * t + 8 * a) * t - 4 * a).otherwise(0.0)
+
+
+def weights(spark: SparkSession, source: int, target: int, kind: str, antialias: bool = False) -> DataFrame:
+    """(o, i, w): share of source place i in target place o, for resizing one axis: bilinear, bicubic or area.
+
+    With ``antialias`` the kernel widens with the reduction. The rows follow from the two sizes alone: the taps of the
+    kernel for each target place, at most four, or about four times the larger size.
     """
     o = spark.range(target).select(F.col("id").cast("int").alias("o"))
-    scale = source / target
-    if kind == "bilinear":
-        at = F.greatest((F.col("o") + 0.5) * scale - 0.5, F.lit(0.0))
-        low = F.least(F.floor(at).cast("int"), F.lit(source - 1))
-        taps = F.array(
-            F.struct(low.alias("i"), (1.0 - (at - low)).alias("w")),
-            F.struct(F.least(low + 1, F.lit(source - 1)).alias("i"), (at - low).alias("w")),
-        )
-        return o.select("o", F.explode(taps).alias("t")).select("o", "t.*").groupBy("o", "i").agg(F.sum("w").alias("w")).where("w > 0")
-    begin, end = F.floor(F.col("o") * scale + 1e-9), F.ceil((F.col("o") + 1) * scale - 1e-9)
-    cell = o.select("o", begin.alias("a"), end.alias("b")).select("o", F.explode(F.sequence("a", F.col("b") - 1)).alias("i"), "a", "b")
-    return cell.select("o", F.col("i").cast("int").alias("i"), (1.0 / (F.col("b") - F.col("a"))).alias("w"))
+    scale, reach = source / target, 2 if kind == "bicubic" else 1
+    last = F.lit(source - 1)
+    if kind == "area":
+        begin, end = F.floor(F.col("o") * scale + 1e-9), F.ceil((F.col("o") + 1) * scale - 1e-9)
+        cell = o.select("o", begin.alias("a"), end.alias("b")).select("o", F.explode(F.sequence("a", F.col("b") - 1)).alias("i"), "a", "b")
+        return cell.select("o", F.col("i").cast("int").alias("i"), (1.0 / (F.col("b") - F.col("a"))).alias("w"))
+    kernel = (lambda t: cubic(t, -0.5 if antialias else -0.75)) if kind == "bicubic" else (lambda t: F.greatest(1.0 - F.abs(t), F.lit(0.0)))
+    if antialias:
+        wide = max(scale, 1.0)
+        middle = (F.col("o") + 0.5) * scale
+        low = F.greatest(F.floor(middle - reach * wide + 0.5).cast("int"), F.lit(0))
+        high = F.least(F.floor(middle + reach * wide + 0.5).cast("int"), F.lit(source))
+        cell = o.select("o", middle.alias("m"), F.explode(F.sequence(low, high - 1)).alias("i"))
+        cell = cell.withColumn("w", kernel((F.col("i") - F.col("m") + 0.5) / wide))
+        return cell.select("o", "i", (F.col("w") / F.sum("w").over(Window.partitionBy("o"))).alias("w")).where("w <> 0")
+    at = (F.col("o") + 0.5) * scale - 0.5
+    at = F.greatest(at, F.lit(0.0)) if kind == "bilinear" else at
+    cell = o.select("o", at.alias("m"), F.explode(F.sequence(F.lit(1 - reach), F.lit(reach))).alias("k"))
+    place = F.floor("m").cast("int") + F.col("k")
+    cell = cell.select("o", F.greatest(F.least(place, last), F.lit(0)).alias("i"), kernel(F.col("m") - place).alias("w"))
+    return cell.groupBy("o", "i").agg(F.sum("w").alias("w")).where("w <> 0")
 
 
-def resize(pixels: DataFrame, frame: list[str], value: str, source: tuple[int, int], target: tuple[int, int], kind: str) -> DataFrame:
+def resize(
+    pixels: DataFrame, frame: list[str], value: str, source: tuple[int, int], target: tuple[int, int], kind: str, antialias: bool = False
+) -> DataFrame:
     """(height, width) to (height, width), one axis after the other, by joining the weight tables."""
     spark = pixels.sparkSession
     for axis, other, a, b in (("x", "y", source[1], target[1]), ("y", "x", source[0], target[0])):
-        table = F.broadcast(weights(spark, a, b, kind).withColumnRenamed("i", axis))
+        table = weights(spark, a, b, kind, antialias).withColumnRenamed("i", axis)
+        table = F.broadcast(table) if 8 * (a + b) <= SMALL_TABLE else table
         pixels = pixels.join(table, axis).groupBy(*frame, other, F.col("o").alias(axis)).agg(F.sum(F.col("w") * F.col(value)).alias(value))
     return pixels
 
@@ -92,10 +181,11 @@ def pyramid_levels(height: int, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def surround(pixels: DataFrame, frame: list[str], value: str, weight: str, size: tuple[int, int]) -> DataFrame:
+def surround(pixels: DataFrame, frame: list[str], value: str, weight: str, size: tuple[int, int], coarse: int = 0) -> DataFrame:
     """Fill what has no weight from coarser levels: halve value times weight and weight, then climb back.
 
-    The number of levels is the logarithm of the size; all of them come from one pass over the finest one's groups.
+    The number of levels is the logarithm of the size. With ``coarse`` the climb stops so many levels short of the finest
+    and the rest is enlarged as it is, which is what makes a blurred wash of it.
     """
     levels = pyramid_levels(*size)
     now = pixels.select(*frame, "y", "x", (F.col(value) * F.col(weight)).alias("s"), F.col(weight).cast("double").alias("w"))
@@ -105,14 +195,59 @@ def surround(pixels: DataFrame, frame: list[str], value: str, weight: str, size:
             F.avg("s").alias("s"), F.avg("w").alias("w")
         )
         stack.append(now)
-    climbed = stack[-1].select(*frame, "y", "x", F.coalesce(F.try_divide("s", "w"), F.lit(0.0)).alias("fill"))
-    for k in range(len(levels) - 2, -1, -1):
+    own = F.coalesce(F.try_divide(F.col("s"), F.greatest(F.col("w"), F.lit(1e-6))), F.lit(0.0))
+    climbed = stack[-1].select(*frame, "y", "x", own.alias("fill"))
+    stop = min(coarse, len(levels) - 1)
+    for k in range(len(levels) - 2, stop - 1, -1):
         up = resize(climbed, frame, "fill", levels[k + 1], levels[k], "bilinear")
-        own = F.coalesce(F.try_divide("s", "w"), F.lit(0.0))
         climbed = stack[k].join(up, [*frame, "y", "x"]).select(
             *frame, "y", "x", (F.col("w") * own + (1.0 - F.col("w")) * F.col("fill")).alias("fill")
         )
-    return climbed
+    return resize(climbed, frame, "fill", levels[stop], levels[0], "bilinear") if stop else climbed
+
+
+def wash_levels(blur_deg: float, width: int, span_deg: float, size: tuple[int, int]) -> int:
+    """How many levels short of the finest a wash stops for a blur of so many degrees."""
+    span = max(2.0, blur_deg * width / span_deg)
+    return max(1, min(len(pyramid_levels(*size)) - 1, round(math.log2(span))))
+
+
+def without(pixels: DataFrame, frame: list[str], value: str, room: str, size: tuple[int, int], name: str) -> DataFrame:
+    """What isn't ``room`` (boolean) grown over by what is; frames that are all or none room stay as they are."""
+    work = pixels.withColumn("_w", F.col(room).cast("double"))
+    grown = surround(work, frame, value, "_w", size)
+    part = work.groupBy(*frame).agg(F.bool_or(room).alias("_any"), F.bool_and(room).alias("_all"))
+    out = work.join(grown, [*frame, "y", "x"]).join(part, frame)
+    kept = F.col(room) | F.col("_all") | ~F.col("_any")
+    return out.select(*pixels.columns, F.when(kept, F.col(value)).otherwise(clamp(F.col("fill"), 0.0, 1.0)).alias(name))
+
+
+def seed(pixels: DataFrame, frame: list[str], value: str, known: str, size: tuple[int, int], radius: int, name: str) -> DataFrame:
+    """The box around the known pixels stretched over the whole frame and blurred, known pixels put back.
+
+    A frame without known pixels stays as it is.
+    """
+    height, width = size
+    ends = pixels.where(F.col(known)).groupBy(*frame).agg(*[f(a).alias(f"_{n}{a}") for a in ("y", "x") for f, n in ((F.min, "l"), (F.max, "h"))])
+    taps = []
+    for axis, n in (("y", height), ("x", width)):
+        low, extent = F.col(f"_l{axis}"), F.col(f"_h{axis}") - F.col(f"_l{axis}") + 1
+        at = F.greatest((F.col(axis) + 0.5) * extent / n - 0.5, F.lit(0.0))
+        i = F.floor(at).cast("int")
+        taps.append([(low + i, 1.0 - (at - i)), (low + F.least(i + 1, extent - 1), at - i)])
+    four = F.array(*[F.struct(y.alias("sy"), x.alias("sx"), (wy * wx).alias("w")) for y, wy in taps[0] for x, wx in taps[1]])
+    places = pixels.select(*frame, "y", "x").join(ends, frame).select(*frame, "y", "x", F.explode(four).alias("t")).select(*frame, "y", "x", "t.*")
+    source = pixels.select(*frame, F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("_v"))
+    spread = places.join(source, [*frame, "sy", "sx"]).groupBy(*frame, "y", "x").agg(F.sum(F.col("w") * F.col("_v")).alias("_spread"))
+    out = pixels.join(spread, [*frame, "y", "x"], "left")
+    out = box2(deal(out, frame), frame, "_spread", F.lit(width), F.lit(height), radius, "_soft")
+    return out.select(*pixels.columns, F.when(F.col(known) | F.col("_soft").isNull(), F.col(value)).otherwise(F.col("_soft")).alias(name))
+
+
+def hold_range(pixels: DataFrame, small: DataFrame, frame: list[str], value: str, name: str) -> DataFrame:
+    """Values held to the range of the small map of their frame."""
+    ends = small.groupBy(*frame).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    return pixels.join(ends, frame).withColumn(name, clamp(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def guided(pixels: DataFrame, frame: list[str], depth: str, guide: str, width: Column, height: Column, radius: int = 4, eps: float = 1e-3) -> DataFrame:
@@ -124,3 +259,33 @@ def guided(pixels: DataFrame, frame: list[str], depth: str, guide: str, width: C
     work = work.withColumn("_a", a).withColumn("_b", F.col("_mp") - F.col("_a") * F.col("_mi"))
     work = box2(box2(work, frame, "_a", width, height, radius, "a"), frame, "_b", width, height, radius, "b")
     return work.withColumn("guided", F.col("a") * F.col(guide) + F.col("b")).drop("_pi", "_ii", "_mi", "_mp", "_mpi", "_mii", "_a", "_b")
+
+
+def guided_upsample(
+    depth: DataFrame, guide: DataFrame, frame: list[str], small: tuple[int, int], large: tuple[int, int], radius: int = 4, eps: float = 1e-3
+) -> DataFrame:
+    """A small depth map (frame, y, x, d) brought to the size of its guide (frame, y, x, g): (frame, y, x, guided).
+
+    Coefficients are solved at the small size and enlarged, so edges follow the guide.
+    """
+    low = resize(guide.select(*frame, "y", "x", "g"), frame, "g", large, small, "area")
+    both = deal(depth.select(*frame, "y", "x", "d").join(low, [*frame, "y", "x"]), frame)
+    solved = guided(both, frame, "d", "g", F.lit(small[1]), F.lit(small[0]), radius, eps)
+    a, b = (resize(solved.select(*frame, "y", "x", c), frame, c, small, large, "bilinear") for c in ("a", "b"))
+    key = [*frame, "y", "x"]
+    return guide.join(a, key).join(b, key).select(*key, (F.col("a") * F.col("g") + F.col("b")).alias("guided"))
+
+
+def warp(pixels: DataFrame, frame: list[str], value: str, dx: str, dy: str, size: tuple[int, int], border: bool, name: str) -> DataFrame:
+    """Values gathered at each pixel's place plus its flow; beyond the edge the edge counts, or nothing."""
+    height, width = size
+    at = {"x": F.col("x") + F.col(dx), "y": F.col("y") + F.col(dy)}
+    if border:
+        at = {"x": clamp(at["x"], 0.0, width - 1.0), "y": clamp(at["y"], 0.0, height - 1.0)}
+    low = {a: F.floor(c).cast("int") for a, c in at.items()}
+    tap = lambda a, k: (low[a] + k, (at[a] - low[a]) if k else 1.0 - (at[a] - low[a]))
+    four = F.array(*[F.struct(tap("y", j)[0].alias("sy"), tap("x", i)[0].alias("sx"), (tap("y", j)[1] * tap("x", i)[1]).alias("w")) for j in (0, 1) for i in (0, 1)])
+    table = pixels.select(*frame, "y", "x", F.explode(four).alias("t")).select(*frame, "y", "x", "t.*").where("w <> 0")
+    source = pixels.select(*frame, F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("_v"))
+    got = table.join(source, [*frame, "sy", "sx"]).groupBy(*frame, "y", "x").agg(F.sum(F.col("w") * F.col("_v")).alias("_got"))
+    return pixels.join(got, [*frame, "y", "x"], "left").select(*pixels.columns, F.coalesce("_got", F.lit(0.0)).alias(name))

@@ -1,4 +1,8 @@
-"""Half-sphere grids: projection of a picture, coverage, and rotated look-up."""
+"""Half-sphere grids: projection of a picture, coverage, plates behind it, and the composition of both eyes.
+
+Pictures and plates are in long form, one row a pixel. A look-up is a table of taps (where from, with what weight) joined to
+the pixels and summed, so its size is that of the grid times the taps of the kernel, dealt over the tasks by place.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.functions import scalar as S
+from parallax.operators import pixels as P
+from parallax.operators.statistics import match_gain
+from parallax.operators.stereo import render_eyes
+
+# Degrees of the fades, the wash and its ramp, and the most separation.
+FALLOFF_DEG, PLATE_FALLOFF_DEG, BLUR_DEG, RAMP_DEG, LIMIT_DEG = 4.0, 10.0, 12.0, 25.0, 1.2
+#: Share of a look-up that must have been covered.
+WHOLLY = 0.999
 
 
 def grid(spark: SparkSession, width: int, height: int, span_deg: float = 180.0) -> DataFrame:
@@ -20,35 +32,162 @@ def grid(spark: SparkSession, width: int, height: int, span_deg: float = 180.0)
     return rows.withColumn("x", x).withColumn("y", y).withColumn("z", z)
 
 
-def taps(u: Column, v: Column, width: int, height: int) -> Column:
-    """The four bilinear taps of a place, held inside the picture."""
-    i, j = F.floor(u).cast("int"), F.floor(v).cast("int")
-    out = []
-    for dj in (0, 1):
-        for di in (0, 1):
-            wu, wv = (u - i) if di else 1.0 - (u - i), (v - j) if dj else 1.0 - (v - j)
-            out.append(
-                F.struct(
-                    F.least(F.greatest(i + di, F.lit(0)), F.lit(width - 1)).alias("px"),
-                    F.least(F.greatest(j + dj, F.lit(0)), F.lit(height - 1)).alias("py"),
-                    (wu * wv).alias("w"),
-                )
-            )
-    return F.array(*out)
+def canvas(spark: SparkSession, width: int, height: int, fov_x_deg: float) -> DataFrame:
+    """One row a pixel of a flat canvas, with its direction."""
+    rows = spark.range(width * height)
+    rows = rows.select(F.floor(F.col("id") / width).cast("int").alias("row"), F.pmod("id", F.lit(width)).cast("int").alias("col"))
+    x, y, z = F.col("col") - (width - 1) / 2.0, (height - 1) / 2.0 - F.col("row"), F.lit(width / 2.0 / math.tan(math.radians(fov_x_deg) / 2.0))
+    length = F.sqrt(x * x + y * y + z * z)
+    return rows.select("row", "col", (x / length).alias("x"), (y / length).alias("y"), (z / length).alias("z"))
+
+
+def taps(u: Column, v: Column, width: int, height: int, kind: str = "bilinear", border: bool = True) -> Column:
+    """The taps of a place: four of bilinear, sixteen of bicubic. Beyond the edge the edge counts, or with no ``border`` nothing."""
+    reach = 2 if kind == "bicubic" else 1
+    kernel = (lambda t: P.cubic(t, -0.75)) if kind == "bicubic" else (lambda t: F.greatest(1.0 - F.abs(t), F.lit(0.0)))
+
+    def along(at: Column, n: int) -> list[tuple[Column, Column]]:
+        low = F.floor(at).cast("int")
+        return [(low + k, kernel(at - (low + k))) for k in range(1 - reach, reach + 1)]
+
+    hold = lambda i, n: F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)) if border else i
+    out = F.array(*[F.struct(hold(i, width).alias("px"), hold(j, height).alias("py"), (a * b).alias("w")) for j, b in along(v, height) for i, a in along(u, width)])
+    inside = lambda t: (t["px"] >= 0) & (t["px"] < width) & (t["py"] >= 0) & (t["py"] < height)
+    return F.filter(out, lambda t: (t["w"] != 0) & inside(t))
+
 
+def turned(places: DataFrame, rotation: Column) -> DataFrame:
+    """Directions of places (x, y, z) turned by a row-major rotation array."""
+    x, y, z = S.turn(F.col("x"), F.col("y"), F.col("z"), [rotation[k] for k in range(9)])
+    return places.select(*[c for c in places.columns if c not in ("x", "y", "z")], x.alias("x"), y.alias("y"), z.alias("z"))
 
-def project(sphere: DataFrame, pictures: DataFrame, frame: list[str], focal: float, width: int, height: int) -> DataFrame:
-    """Picture values on the sphere: (frame, row, col, value). Places that the lens doesn't see have no row.
 
-    The weight table has at most four rows a sphere pixel and no frame in it, so it is computed once for all frames.
+def project(
+    sphere: DataFrame, pictures: DataFrame, frame: list[str], focal: float, width: int, height: int, kind: str = "bilinear", value: str = "v"
+) -> DataFrame:
+    """Picture values on the sphere: (frame, row, col, value, valid) for every place.
+
+    What the lens doesn't see is zero and not valid; taps beyond the edge of the picture count as zero. Bicubic is meant for
+    colour and bilinear for depth. The table of taps has no frame in it, so it is computed once for all frames.
     """
     u, v, valid = S.pinhole(F.col("x"), F.col("y"), F.col("z"), F.lit(float(focal)), F.lit(width), F.lit(height))
-    table = sphere.withColumn("u", u).withColumn("v", v).where(valid).select("row", "col", F.explode(taps(F.col("u"), F.col("v"), width, height)).alias("t"))
+    places = sphere.withColumn("u", u).withColumn("v", v).withColumn("valid", valid)
+    table = places.where("z > 1e-6").select("row", "col", F.explode(taps(F.col("u"), F.col("v"), width, height, kind, border=False)).alias("t"))
     table = table.select("row", "col", F.col("t.px").alias("x"), F.col("t.py").alias("y"), F.col("t.w").alias("w"))
-    return pictures.join(table, ["x", "y"]).groupBy(*frame, "row", "col").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
+    seen = pictures.join(table, ["x", "y"]).groupBy(*frame, "row", "col").agg(F.sum(F.col("w") * F.col(value)).alias("value"))
+    every = pictures.select(*frame).distinct().join(F.broadcast(places.select("row", "col", "valid")) if _few(sphere) else places.select("row", "col", "valid"))
+    return every.join(seen, [*frame, "row", "col"], "left").select(*frame, "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"), "valid")
+
+
+def _few(sphere: DataFrame) -> bool:
+    """Whether the grid is small enough to be sent to every task."""
+    return sphere.count() <= P.SMALL_TABLE
 
 
 def coverage(mask: DataFrame, frame: list[str], valid: Column, width: int, height: int, span_deg: float = 180.0) -> DataFrame:
     """Share of the half sphere's solid angle that is valid."""
     each = math.radians(span_deg) / width * math.radians(span_deg) / height / (2 * math.pi)
     return mask.groupBy(*frame).agg((F.sum(F.when(valid, F.cos("el")).otherwise(0.0)) * each).alias("coverage"))
+
+
+def look_up(places: DataFrame, plates: DataFrame, key: list[str], plate: list[str], width: int, height: int) -> DataFrame:
+    """(key, value, mask): values of whole-sphere plates (plate, y, x, v, covered) in the directions of places.
+
+    ``places`` has key, plate, x, y and z. The mask holds where the look-up lay wholly in what the plate covers. Azimuth
+    wraps at the seam behind the viewer only by the edge.
+    """
+    gx, gy = S.sphere_lookup(F.col("x"), F.col("y"), F.col("z"))
+    u, v = ((gx + 1.0) * width - 1.0) / 2.0, ((gy + 1.0) * height - 1.0) / 2.0
+    table = places.withColumn("u", u).withColumn("v", v).select(*key, *[c for c in plate if c not in key], F.explode(taps(F.col("u"), F.col("v"), width, height)).alias("t"))
+    table = table.select(*[c for c in table.columns if c != "t"], F.col("t.px").alias("x"), F.col("t.py").alias("y"), F.col("t.w").alias("w"))
+    out = table.join(plates, [*plate, "x", "y"]).groupBy(*key).agg(
+        F.sum(F.col("w") * F.col("v")).alias("value"), F.sum(F.col("w") * F.col("covered").cast("double")).alias("seen")
+    )
+    return out.select(*key, "value", (F.col("seen") > WHOLLY).alias("mask"))
+
+
+def plate_at(frames: DataFrame, track: DataFrame, plates: DataFrame, sphere: DataFrame, width: int, height: int) -> DataFrame:
+    """(clip, frame, row, col, value, mask): each frame's view of its shot's plate.
+
+    ``track`` has (clip, frame, shot, r); a frame past its end takes the last row. ``plates`` has (shot, y, x, v, covered).
+    """
+    last = track.groupBy("clip").agg(F.max("frame").alias("_last"))
+    asked = frames.select("clip", "frame").join(last, "clip").select("clip", "frame", F.least("frame", "_last").alias("_at"))
+    known = track.select("clip", F.col("frame").alias("_at"), "shot", "r")
+    asked = asked.join(known, ["clip", "_at"]).select("clip", "frame", "shot", "r")
+    places = asked.join(F.broadcast(sphere.select("row", "col", "x", "y", "z")) if _few(sphere) else sphere.select("row", "col", "x", "y", "z"))
+    places = turned(places, F.col("r")).drop("r")
+    return look_up(places, plates, ["clip", "frame", "row", "col"], ["shot"], width, height)
+
+
+def to_perspective(plates: DataFrame, plate: list[str], flat: DataFrame, width: int, height: int) -> DataFrame:
+    """(plate, row, col, value, mask): plates seen on a flat canvas."""
+    places = plates.select(*plate).distinct().join(F.broadcast(flat) if _few(flat) else flat)
+    return look_up(places, plates, [*plate, "row", "col"], plate, width, height)
+
+
+def _radius(degrees: float, width: int, span_deg: float) -> int:
+    return max(1, round(degrees * width / span_deg))
+
+
+def behind(
+    front: DataFrame, frame: list[str], width: int, height: int, wash: float, plate: DataFrame | None = None, plate_dim: float = 1.0, span_deg: float = 180.0
+) -> DataFrame:
+    """(frame, y, x, behind): what a picture on the sphere (frame, y, x, v, mask) is shown in front of.
+
+    A wash spread from the picture's edge, or with a plate (frame, y, x, p, seen) the plate, at the picture's brightness,
+    over a wash spread from both. ``wash`` is its brightness, 0 for none.
+    """
+    key, w, h = [*frame, "y", "x"], F.lit(width), F.lit(height)
+    levels = P.wash_levels(BLUR_DEG, width, span_deg, (height, width))
+    ramp = _radius(RAMP_DEG, width, span_deg)
+
+    def washed(source: DataFrame) -> DataFrame:
+        """From (frame, y, x, s, m)."""
+        if not wash:
+            return source.select(*key, F.lit(0.0).alias("lit"))
+        fill = P.surround(source.withColumn("_m", F.col("m").cast("double")), frame, "s", "_m", (height, width), levels)
+        both = P.deal(source.select(*key, F.col("m").cast("double").alias("m")).join(fill, key), frame)
+        return P.ease(both, frame, "fill", "m", w, h, ramp, wash, "lit").select(*key, "lit")
+
+    if plate is None:
+        return washed(front.select(*key, F.col("v").alias("s"), F.col("mask").alias("m"))).withColumnRenamed("lit", "behind")
+    both = front.join(plate, key)
+    gain = match_gain(both, frame, F.col("p"), F.col("v"), F.col("seen") & F.col("mask"))
+    both = both.join(gain, frame).withColumn("p", S.clamp(F.col("p") * F.col("gain") * plate_dim, 0.0, 1.0))
+    lit = washed(both.select(*key, F.when(F.col("mask"), F.col("v")).otherwise(F.col("p")).alias("s"), (F.col("mask") | F.col("seen")).alias("m")))
+    soft = P.falloff(P.deal(both.withColumn("_s", F.col("seen").cast("double")), frame), frame, "_s", w, h, _radius(PLATE_FALLOFF_DEG, width, span_deg), "soft")
+    return soft.join(lit, key).select(*key, (F.col("lit") + F.col("soft") * (F.col("p") - F.col("lit"))).alias("behind"))
+
+
+def render(
+    sphere: DataFrame, pictures: DataFrame, frame: list[str], focal: float, source: tuple[int, int], size: tuple[int, int], eyes_mm: float, focus_m: float,
+    wash: float = 0.0, plate: DataFrame | None = None, plate_dim: float = 1.0, limit_deg: float = LIMIT_DEG, span_deg: float = 180.0,
+) -> DataFrame:
+    """(frame, y, x, left, right, mask): pictures with depth (frame, y, x, v, inv) on the sphere, seen by both eyes.
+
+    Places that the lens doesn't see lie at the focus, so they ask for no separation; the picture fades inside its edge into
+    what is behind it, which is the same for both eyes.
+    """
+    (src_h, src_w), (height, width) = source, size
+    key = [*frame, "y", "x"]
+    colour = project(sphere, pictures, frame, focal, src_w, src_h, "bicubic", "v")
+    depth = project(sphere, pictures, frame, focal, src_w, src_h, "bilinear", "inv").select(*frame, "row", "col", F.col("value").alias("inv"))
+    at = colour.join(depth, [*frame, "row", "col"]).select(
+        *frame, F.col("row").alias("y"), F.col("col").alias("x"), S.clamp(F.col("value"), 0.0, 1.0).alias("v"), F.col("valid").alias("mask"),
+        F.when(F.col("valid"), F.col("inv")).otherwise(1.0 / max(focus_m, 1e-6)).alias("inv"),
+    )
+    per_radian = F.lit(width / math.radians(span_deg))
+    half = S.sphere_half_disparity(F.col("inv"), per_radian, F.lit(eyes_mm), F.lit(focus_m), F.lit(limit_deg), S.elevation(F.col("y"), F.lit(height), F.lit(span_deg)))
+    at = P.deal(at.withColumn("h", half), frame)
+    lines = at.groupBy(*frame, "y").agg(F.sort_array(F.collect_list(F.struct("x", "v", "h"))).alias("p"))
+    eyes = render_eyes(lines.select(*frame, "y", F.col("p.v").alias("v"), F.col("p.h").alias("half")), [*frame, "y"])
+    eyes = eyes.select(*frame, "y", F.posexplode(F.arrays_zip("left", "right")).alias("x", "e")).select(*key, "e.left", "e.right")
+    soft = P.falloff(at.withColumn("_m", F.col("mask").cast("double")), frame, "_m", F.lit(width), F.lit(height), _radius(FALLOFF_DEG, width, span_deg), "soft")
+    out = soft.select(*key, "mask", "soft").join(eyes, key)
+    if plate is None and not wash:
+        back = F.lit(0.0)
+    else:
+        out, back = out.join(behind(at, frame, width, height, wash, plate, plate_dim, span_deg), key), F.col("behind")
+    blend = lambda e: (back + F.col("soft") * (F.col(e) - back)).alias(e)
+    return out.select(*key, blend("left"), blend("right"), "mask")

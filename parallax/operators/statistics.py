@@ -40,4 +40,39 @@ def depth_map(depth: DataFrame, frame: list[str], metres: Column) -> DataFrame:
     ends = depth.groupBy(*frame).agg(F.min("_m").alias("near_m"), F.max("_m").alias("far_m"))
     span = F.col("far_m") - F.col("near_m")
     grey = F.when(span < 1e-6, 0).otherwise(F.bround(F.try_divide(F.col("far_m") - F.col("_m"), span) * 65535, 0)).cast("int")
-    return depth.join(ends, frame).withColumn("grey", grey).drop("_m")
+    text = lambda c: F.format_string("%.3f", c)
+    return depth.join(ends, frame).withColumn("grey", grey).withColumn("near_text", text(F.col("near_m"))).withColumn("far_text", text(F.col("far_m"))).drop("_m")
+
+
+def combined(samples: DataFrame, trusted: DataFrame) -> DataFrame:
+    """A shot's plate (shot, y, x, colour, covered) from samples (shot, position, y, x, v), v null where unseen.
+
+    The first sample of the shot, or where the shot is trusted and has two samples or more, the lower median of all.
+    """
+    parts = samples.groupBy("shot").agg(F.min("position").alias("_first"), F.count_distinct("position").alias("_n")).join(trusted, "shot")
+    rows = samples.join(parts, "shot").where(F.col("trusted") & (F.col("_n") >= 2) | (F.col("position") == F.col("_first")))
+    out = mosaic(rows, ["shot", "y", "x"], "v")
+    return out.select("shot", "y", "x", F.coalesce("median", F.lit(0.0)).alias("colour"), "covered")
+
+
+#: Share of a clip's frames that must have been placed by a match for its track to be trusted.
+TRUSTED = 0.8
+
+
+def counters(frames: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
+    """Number of frames, and how many of them meet each condition."""
+    return frames.groupBy(*by).agg(F.count("*").alias("frames"), *[F.count_if(c).alias(n) for n, c in conditions.items()])
+
+
+def trusted(matched: Column, frames: Column, share: float = TRUSTED) -> Column:
+    return matched >= share * F.greatest(frames, F.lit(1))
+
+
+def cleaning_passes(residuals: DataFrame, chunk: list[str], most: int = 3, threshold: float = 1.0) -> DataFrame:
+    """(chunk, passes): passes until the mean of the frames' mean residuals over the chunk is below the threshold.
+
+    ``residuals`` has the chunk, ``pass`` from 1, and ``residual`` of each frame.
+    """
+    means = residuals.groupBy(*chunk, "pass").agg(F.avg("residual").alias("mean"))
+    ended = F.min(F.when((F.col("mean") < threshold) & (F.col("pass") <= most), F.col("pass")))
+    return means.groupBy(*chunk).agg(F.least(F.coalesce(ended, F.lit(most)), F.max("pass")).cast("int").alias("passes"))

@@ -2,45 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parallax.functions.scalar import apply_range
 
 FORWARD, STRETCH = 0.12, 0.5
+PIXELS_AT_ONCE = 1_000_000
+#: Values of a frame above which quantiles take every so-many-th.
+MOST_VALUES = 1 << 20
+
+
+def thinned(values: DataFrame, frame: list[str], place: Column, most: int = MOST_VALUES) -> DataFrame:
+    """Every (n // most + 1)-th value of frames with n > most values, by their place in the frame from 0; else all."""
+    n = F.count("*").over(Window.partitionBy(*frame))
+    stride = F.when(n > most, F.floor(n / most) + 1).otherwise(1)
+    return values.withColumn("_stride", stride).where(F.pmod(place, F.col("_stride")) == 0).drop("_stride")
 
 
-def normalize(values: DataFrame, frame: list[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Values scaled to the range between two exact quantiles of their frame."""
-    ends = values.groupBy(*frame).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
+def normalize(values: DataFrame, frame: list[str], value: str, low: float = 0.02, high: float = 0.98, place: Column | None = None) -> DataFrame:
+    """Values scaled to the range between two exact quantiles of their frame, of its thinned values where places are given."""
+    seen = values if place is None else thinned(values, frame, place)
+    ends = seen.groupBy(*frame).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
     return values.join(ends, frame).withColumn("norm", apply_range(F.col(value), F.col("q")[0], F.col("q")[1])).drop("q")
 
 
 def auto_geometry(
-    depth: DataFrame, frame: list[str], inv: str, width: Column, focal: Column, target: Column, forward: float = FORWARD
-) -> DataFrame:
-    """Eye distance in millimetres and focus in metres of each frame, from one grouping with three quantiles."""
+    depth: DataFrame, frame: list[str], inv: str, width: Column, focal: Column, target: Column, forward: float = FORWARD,
+    eyes: Column | None = None, focus: Column | None = None,
+) -> DataFrame:
+    """Eye distance in millimetres and focus in metres of each frame, from one grouping with three quantiles.
+
+    ``eyes`` and ``focus`` pin either half where they aren't null (they must be the same on all rows of a frame); the other
+    half is still chosen to suit the scene.
+    """
     q = F.percentile(inv, F.array(F.lit(0.02), F.lit(0.98), F.lit(1.0 - forward)))
-    out = depth.groupBy(*frame).agg(q.alias("q"), F.max(width).alias("width"), F.max(focal).alias("focal"))
+    pins = [F.max(c if c is not None else F.lit(None).cast("double")).alias(n) for c, n in ((eyes, "_eyes"), (focus, "_focus"))]
+    out = depth.groupBy(*frame).agg(q.alias("q"), F.max(width).alias("width"), F.max(focal).alias("focal"), F.max(target).alias("target"), *pins)
     span = F.col("q")[1] - F.col("q")[0]
     flat = span < 1e-9
-    eyes = 1000.0 * (target / 100.0 * F.col("width")) / (F.col("focal") * span)
-    return out.select(
-        *frame,
-        F.when(flat, F.lit(0.0)).otherwise(eyes).alias("eyes_mm"),
-        F.when(flat, F.greatest(1.0 / F.greatest(F.col("q")[2], F.lit(1e-6)), F.lit(0.1)))
-        .otherwise(F.greatest(1.0 / F.greatest(F.col("q")[2], F.lit(1e-6)), F.lit(0.05)))
-        .alias("focus_m"),
-    )
+    chosen = F.when(flat, F.lit(0.0)).otherwise(1000.0 * (F.col("target") / 100.0 * F.col("width")) / (F.col("focal") * span))
+    plane = F.greatest(1.0 / F.greatest(F.col("q")[2], F.lit(1e-6)), F.when(flat, 0.1).otherwise(0.05))
+    return out.select(*frame, F.coalesce("_eyes", chosen).alias("eyes_mm"), F.coalesce("_focus", plane).alias("focus_m"))
 
 
-def _lerp(values: Column, at: Column, size: Column, pick=lambda e: e) -> Column:
-    """Two taps at a place held inside the row."""
-    p = F.greatest(F.least(at, (size - 1).cast("double")), F.lit(0.0))
-    i = F.floor(p).cast("int")
-    a, b = pick(F.get(values, i)), pick(F.get(values, F.least(i + 1, size - 1)))
-    return a + (b - a) * (p - i)
+def margin_of(halves: DataFrame, frame: list[str], half: Column, width: Column, pinned: Column | None = None) -> DataFrame:
+    """The trim at each end that the largest half shift of a frame needs, unless pinned, and that shift."""
+    pin = F.max(pinned if pinned is not None else F.lit(None).cast("long"))
+    out = halves.groupBy(*frame).agg(F.round(F.max(F.abs(half)), 6).alias("most"), F.max(width).alias("_w"), pin.alias("_pin"))
+    needed = F.least(F.ceil("most").cast("long"), F.floor((F.col("_w") - 1) / 2).cast("long"))
+    return out.select(*frame, F.coalesce("_pin", needed).alias("margin"), "most")
 
 
 def splat(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:
@@ -73,33 +90,70 @@ def anchors(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("anchor", F.when(use_left, F.col("li")).otherwise(F.coalesce("ri", F.col("w") - 1)))
 
 
-def render_eye(rows: DataFrame, keys: list[str], sign: int) -> DataFrame:
-    """(keys, eye): one eye's scanlines from packed scanlines (keys, v, half). ``sign`` is 1 for left and -1 for right.
-
-    Scatter with a depth test, gather back with two taps, and fill gaps by stretching the farther side. Rows are dealt
-    once; grouping, windows and packing all reuse that.
+def _between(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two taps of each row at places held inside it."""
+    last = values.shape[1] - 1
+    at = np.clip(at, 0, last)
+    low = np.floor(at).astype(np.int64)
+    a, b = np.take_along_axis(values, low, 1), np.take_along_axis(values, np.minimum(low + 1, last), 1)
+    return a + (b - a) * (at - low)
+
+
+def eye_of(v: np.ndarray, half: np.ndarray, sign: int) -> np.ndarray:
+    """One eye's scanlines from scanlines and their half shifts: scatter with a depth test, gather back with two taps, and
+    fill gaps by stretching the farther side."""
+    n, w = v.shape
+    x, row = np.arange(w), np.arange(n)[:, None]
+    to = np.floor(x + sign * half).astype(np.int64)
+    near = np.full((n, w), -np.inf)
+    for k in (0, 1):
+        c = to + k
+        r, i = np.nonzero((c >= 0) & (c < w))
+        np.maximum.at(near, (r, c[r, i]), half[r, i])
+    hit = near > -np.inf
+    out = _between(v, x - sign * np.where(hit, near, 0.0))
+    left = np.maximum.accumulate(np.where(hit, x, -1), axis=1)
+    right = np.minimum.accumulate(np.where(hit, x, w)[:, ::-1], axis=1)[:, ::-1]
+    closer = near[row, np.maximum(left, 0)] <= near[row, np.minimum(right, w - 1)]
+    anchor = np.where((left >= 0) & ((right == w) | closer), left, np.minimum(right, w - 1))
+    base = np.where(hit, out, np.take_along_axis(out, anchor, 1))
+    return np.where(hit, out, _between(base, anchor - STRETCH * (x - anchor)))
+
+
+def _matrix(column: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarray:
+    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+
+
+def render_eyes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, left, right): both eyes' scanlines from packed scanlines (keys, v, half).
+
+    A scanline depends on nothing else, so rows stay where they are: no shuffle, one pass for both eyes, about a million
+    pixels at a time.
     """
-    done = anchors(splat(rows, keys, sign), keys)
-    packed = done.groupBy(*keys, "w").agg(F.sort_array(F.collect_list(F.struct("c", "v", "buf", "anchor"))).alias("p"))
-    out = F.transform("p", lambda e: _lerp(F.col("p"), e["c"] - sign * F.coalesce(e["buf"], F.lit(0.0)), F.col("w"), lambda t: t["v"]))
-    # A generator of one row keeps the planner from copying an array's expression into each place that reads it.
-    packed = packed.select("*", F.explode(F.array(out)).alias("out"))
-    base = F.transform("p", lambda e: F.when(e["buf"].isNotNull(), F.get(F.col("out"), e["c"])).otherwise(F.get(F.col("out"), e["anchor"])))
-    packed = packed.select("*", F.explode(F.array(base)).alias("base"))
-    eye = F.transform(
-        "p",
-        lambda e: F.when(e["buf"].isNotNull(), F.get(F.col("out"), e["c"])).otherwise(
-            _lerp(F.col("base"), e["anchor"] - STRETCH * (e["c"] - e["anchor"]), F.col("w"))
-        ),
-    )
-    return packed.select(*keys, eye.alias("eye"))
+    rows = rows.select(*keys, F.col("v").cast("array<double>"), F.col("half").cast("array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths):
+                chosen = np.flatnonzero(lengths == width)
+                step = max(1, PIXELS_AT_ONCE // max(int(width), 1))
+                for at in range(0, len(chosen), step):
+                    some = chosen[at : at + step]
+                    part = batch.take(pa.array(some))
+                    v, half = (_matrix(batch.column(c), some, int(width)) for c in ("v", "half"))
+                    ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * int(width))
+                    eyes = [pa.ListArray.from_arrays(ends, pa.array((eye_of(v, half, s) if width else v).reshape(-1))) for s in (1, -1)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *eyes], names=[*keys, "left", "right"])
+
+    fields = [*(rows.schema[k] for k in keys), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("left", "right"))]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def make_pair(rows: DataFrame, keys: list[str], margin: Column, crossed: bool = False) -> DataFrame:
     """Both eyes without their margins, side by side; ``margin`` is a column of ``rows``."""
-    left, right = (render_eye(rows, keys, s).withColumnRenamed("eye", n) for s, n in ((1, "left"), (-1, "right")))
-    cut = lambda c: F.slice(c, margin + 1, F.size(c) - 2 * margin)
-    joined = rows.select(*keys, margin.alias("_margin")).join(left, keys).join(right, keys)
+    eyes = render_eyes(rows.withColumn("_margin", margin), [*keys, "_margin"])
     margin = F.col("_margin")
+    cut = lambda c: F.slice(c, margin + 1, F.size(c) - 2 * margin)
     first, second = ("right", "left") if crossed else ("left", "right")
-    return joined.select(*keys, F.concat(cut(F.col(first)), cut(F.col(second))).alias("pair"))
+    return eyes.select(*keys, F.concat(cut(first), cut(second)).alias("pair"))

@@ -17,10 +17,30 @@ PROBE = (
 )
 
 
-def list_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Photos and videos of one folder level, without own output. File contents are not read unless selected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    return files.where(is_media(F.col("path")) & ~is_own(F.col("path")))
+def list_media(spark: SparkSession, *inputs: str) -> DataFrame:
+    """Files of folders (one level, photos and videos only), single files (whatever their suffix) and globs, without own output.
+
+    Paths, sizes and times come from the listing; contents are not read unless they are selected.
+    """
+    jvm = spark._jvm
+    out = None
+    for item in inputs:
+        path = jvm.org.apache.hadoop.fs.Path(item)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        folder = store.exists(path) and store.getFileStatus(path).isDirectory()
+        if not folder and not store.globStatus(path):
+            continue
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(item)
+        files = files.where(is_media(F.col("path"))) if folder else files
+        out = files if out is None else out.unionByName(files)
+    if out is None:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+    return out.where(~is_own(F.col("path"))).orderBy("path")
+
+
+def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """Files (path, content) whose SHA-256 is the one expected (path, sha256); the list is of a few models."""
+    return files.join(F.broadcast(expected), "path").where(F.sha2("content", 256) == F.lower("sha256")).select(files.columns)
 
 
 def suffix(path: Column) -> Column:
@@ -89,17 +109,61 @@ def tag(sphere: Column, full: Column, crossed: Column) -> Column:
     )
 
 
+def folder_of(path: Column) -> Column:
+    """What stands before the name, with its slash; nothing for a bare name."""
+    return F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
+
+
+def _output(path: Column, name: Column, ext: Column, dst: Column) -> Column:
+    """Beside the source, or in ``dst`` if that has no suffix, or ``dst`` itself."""
+    file = F.concat(stem(path), name, F.lit("."), ext)
+    inside = F.concat(F.regexp_replace(dst, "/+$", ""), F.lit("/"), file)
+    return F.when(dst.isNull(), F.concat(folder_of(path), file)).when(suffix(dst) == "", inside).otherwise(dst)
+
+
+def photo_path(path: Column, name: Column, dst: Column, fmt: Column) -> Column:
+    """Output of a photo: its stem, the tag, and the format asked for, by default its own, if that can be written, else .jpg."""
+    asked = F.when(fmt == "auto", suffix(path)).otherwise(fmt)
+    return _output(path, name, F.when(asked.isin("jpg", "jpeg", "png"), asked).otherwise("jpg"), dst)
+
+
+def video_path(path: Column, name: Column, dst: Column) -> Column:
+    return _output(path, name, F.lit("mp4"), dst)
+
+
 def photo_name(path: Column, name: Column) -> Column:
-    """Output name beside the source: its stem, the tag, and its suffix if that can be written, else .jpg."""
-    ext = F.when(suffix(path).isin("jpg", "jpeg", "png"), suffix(path)).otherwise("jpg")
-    return F.concat(stem(path), name, F.lit("."), ext)
+    """File name alone of a photo's output."""
+    return F.regexp_extract(photo_path(path, name, F.lit(None).cast("string"), F.lit("auto")), r"([^/]*)$", 1)
 
 
 def log_fields(line: Column) -> Column:
-    """Map of the key=value fields of a log line. Values that hold spaces are quoted."""
+    """Map of the key=value fields of a log line, the last of repeated keys. Values that hold spaces are quoted."""
     pattern = F.lit(r"(\w+)=('[^']*'|\"[^\"]*\"|\S+)")
-    return F.map_from_arrays(F.regexp_extract_all(line, pattern, F.lit(1)), F.regexp_extract_all(line, pattern, F.lit(2)))
+    keys, values = (F.regexp_extract_all(line, pattern, F.lit(k)) for k in (1, 2))
+    fields = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["k"] == f["k"]))
+    return F.map_from_entries(last)
 
 
 def log_event(line: Column) -> Column:
     return F.trim(F.regexp_extract(line, r"^(.*?)(?:\s+\w+=|$)", 1))
+
+
+def sphere_description(patch: dict[str, Column], width: Column, height: Column, heading: Column) -> Column:
+    """The panorama description of one eye's picture, as photo metadata. Names and frame of the format."""
+    field = lambda n, v: F.concat(F.lit(f'GPano:{n}="'), v.cast("string"), F.lit('" '))
+    return F.concat(
+        F.lit('<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/">'),
+        F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" '),
+        F.lit('xmlns:GPano="http://ns.google.com/photos/1.0/panorama/" GPano:UsePanoramaViewer="False" GPano:ProjectionType="equirectangular" '),
+        field("CroppedAreaImageWidthPixels", width), field("CroppedAreaImageHeightPixels", height),
+        field("FullPanoWidthPixels", patch["full_width"]), field("FullPanoHeightPixels", patch["full_height"]),
+        field("CroppedAreaLeftPixels", patch["left"]), field("CroppedAreaTopPixels", patch["top"]),
+        field("InitialViewHeadingDegrees", F.bround(heading, 0).cast("long")),
+        F.lit('GPano:InitialViewPitchDegrees="0" GPano:InitialViewRollDegrees="0"/></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'),
+    )
+
+
+def shifted(offsets: Column, at: Column, by: Column) -> Column:
+    """Chunk offsets after ``by`` bytes went in at ``at``."""
+    return F.transform(offsets, lambda o: F.when(o >= at, o + by).otherwise(o))

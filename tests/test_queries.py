@@ -9,7 +9,7 @@ import pytest
 
 from parallax import queries as Q
 
-SLOW = {"nbr02_guided", "nbr06_falloff_feather_band"}
+
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def rows(df):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_against_sql(spark, small, tables, name):
     got = Q.queries()[name](spark, small).toPandas()
     want = tables.sql(Q.oracle_sql()[name]).df()
