@@ -27,7 +27,7 @@ from .tokens import END_OF_TEXT, encoder
 
 BUCKETS, DIMENSIONS, BITS = 4096, 3, 16
 #: Documents, about, from which the ranges' bounds are taken, and bytes of text in a range, about.
-SAMPLE, RANGE_BYTES = 50_000, 48 << 20
+SAMPLE, RANGE_BYTES = 50_000, 16 << 20
 
 
 def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
