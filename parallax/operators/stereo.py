@@ -35,13 +35,16 @@ def normalize(values: DataFrame, frame: list[str], value: str, low: float = 0.02
 
 def auto_geometry(
     depth: DataFrame, frame: list[str], inv: str, width: Column, focal: Column, target: Column, forward: float = FORWARD,
-    eyes: Column | None = None, focus: Column | None = None,
+    eyes: Column | None = None, focus: Column | None = None, place: Column | None = None,
 ) -> DataFrame:
     """Eye distance in millimetres and focus in metres of each frame, from one grouping with three quantiles.
 
+    With ``place`` (of a value in its frame, from 0) large frames are thinned first, which bounds a group's buffer.
+
     ``eyes`` and ``focus`` pin either half where they aren't null (they must be the same on all rows of a frame); the other
     half is still chosen to suit the scene.
     """
+    depth = depth if place is None else thinned(depth, frame, place)
     q = F.percentile(inv, F.array(F.lit(0.02), F.lit(0.98), F.lit(1.0 - forward)))
     pins = [F.max(c if c is not None else F.lit(None).cast("double")).alias(n) for c, n in ((eyes, "_eyes"), (focus, "_focus"))]
     out = depth.groupBy(*frame).agg(q.alias("q"), F.max(width).alias("width"), F.max(focal).alias("focal"), F.max(target).alias("target"), *pins)

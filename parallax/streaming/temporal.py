@@ -1,7 +1,7 @@
 """Streaming forms of the ordered-frame operators (our addition: the described program has no event time).
 
 Rows of a stream must arrive in order from batch to batch; inside a batch they are sorted. A row older than what the
-state has seen is dropped and counted.
+state has seen is dropped and counted. A null value has a null result and leaves the smoothed value as it was.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from parallax.operators.frames import CUT
 
 def smooth_stream(frames: DataFrame, stream: str, order: str, value: str, keep: float) -> DataFrame:
     """Smoothing with reset on a streaming DataFrame: (stream, order, smoothed, cuts, late)."""
-    kinds = dict(frames.dtypes)
+    kinds, keep = dict(frames.dtypes), min(max(keep, 0.0), 0.95)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before, cuts, newest, late = state.get if state.exists else (None, 0, None, 0)
@@ -27,10 +27,13 @@ def smooth_stream(frames: DataFrame, stream: str, order: str, value: str, keep:
             if newest is not None and at < newest:
                 late += 1
                 continue
+            newest = at
+            if v is None or v != v:
+                rows.append((key[0], at, None, cuts, late))
+                continue
             cut = before is not None and abs(v - before) / (abs(v) + 1e-9) > CUT
             cuts += cut
             before = v if before is None or cut else v + keep * (before - v)
-            newest = at
             rows.append((key[0], at, before, cuts, late))
         state.update((before, cuts, newest, late))
         yield pd.DataFrame(rows, columns=[stream, order, "smoothed", "cuts", "late"])
