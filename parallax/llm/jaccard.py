@@ -51,6 +51,8 @@ QUICK = 8
 #: Rows of labels up to which they are sent to every task rather than shuffled.
 BROADCAST_ROWS = 1_000_000
 LARGEST = 1 << 31
+#: Bits that tell which keys are worth a shuffle, at most: 32 MB.
+LARGEST_MARKS = 1 << 28
 
 
 def bands(percent: int, growth: float = 1.3) -> list[tuple[int, int, int, int, int]]:
@@ -275,23 +277,68 @@ def _compare(percent: int, width: int):
     return run
 
 
-def _meet(rows: DataFrame, features: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(u, v) ties from rows (key, doc_id, label), by bitmaps only for keys with several labels.
+def _marks(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits at the places of ``n`` keys, 16 a key, but at most ``LARGEST_MARKS`` in all: what has no bit is no such key.
 
-    Keys are counted map-side first. Rows then meet the counts of their key, in every task where these are few; else in a
-    join of two written tables, whose hot partitions adaptive execution splits.
+    The words are combined by Spark; what the driver gets and sends out is bounded by the largest size.
     """
+    size = min(LARGEST_MARKS, 1 << max(16, (16 * n).bit_length()))
+    place = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(size - 1))
+    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    got = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _marked(marks, quick: bool):
+    """(key, doc_id, label) of the keys that have a mark, from (doc_id, label, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        low = np.uint64(64 * len(bits) - 1)
+        for batch in batches:
+            keys = batch.column("keys")
+            flat = keys.flatten().to_numpy()
+            place = flat.view(np.uint64) >> np.uint64(8) & low
+            use = (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+            if quick:
+                use &= flat % QUICK == 0
+            row = np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy())[use]
+            for at in range(0, len(row), 200_000):
+                some = pa.array(row[at : at + 200_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[use][at : at + 200_000]), batch.column("doc_id").take(some), batch.column("label").take(some)], names=["key", "doc_id", "label"]
+                )
+
+    return run
+
+
+def _meet(listed: DataFrame, features: DataFrame, percent: int, quick: bool, scratch: Scratch) -> DataFrame:
+    """(u, v) ties from rows (doc_id, label, keys), by bitmaps only for keys with several labels.
+
+    Keys are counted map-side first. Of the rows only those whose key may have several labels are shuffled, told by a bit for
+    each such key; a hot key's rows then meet their key's count in a join whose hot partitions adaptive execution splits. In
+    the quick round a key with many texts has its blocks compared with themselves and a few texts shared by all of them, which
+    ties most of it; in the full round every two blocks meet.
+    """
+    rows = listed.select(F.explode("keys").alias("key"), "label")
+    rows = rows.where(F.pmod("key", F.lit(QUICK)) == 0) if quick else rows
     stats = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
     blocks = F.ceil(F.col("k") / TILE_ROWS).cast("long")
-    stats = scratch.save(stats.where("low <> high").select("key", blocks.alias("blocks"), (F.col("k") * blocks).alias("size")))
+    size = F.col("k") + 16 * blocks if quick else F.col("k") * blocks
+    stats = scratch.save(stats.where("low <> high").select("key", "k", blocks.alias("blocks"), size.alias("size")))
     total = stats.agg(F.count("*").alias("keys"), F.sum("size").alias("size")).first()
-    few = total["keys"] <= BROADCAST_ROWS
-    known = stats.select("key", "blocks")
-    rows = rows.join(F.broadcast(known) if few else known, "key")
+    marks = features.sparkSession.sparkContext.broadcast(_marks(stats, total["keys"]))
+    found = scratch.save(listed.select("doc_id", "label", "keys").mapInArrow(_marked(marks, quick), "key long, doc_id long, label long"))
     shelves = max(8, (total["size"] or 0) // 20_000)
-    tiles = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    tiles = tiles.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
+    tiles = found.join(stats.select("key", "k", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    if quick:
+        shared = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("k") / 16)) == 0
+        tiles = tiles.withColumn("i", F.explode(F.when(shared, every).otherwise(F.array("block")))).withColumn("j", F.col("i"))
+    else:
+        tiles = tiles.withColumn("x", F.explode(every)).withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
     maps = features.select("doc_id", F.col("n_shingles").alias("n"), "bits")
     ties = scratch.save(
         tiles.join(maps, "doc_id")
@@ -300,7 +347,7 @@ def _meet(rows: DataFrame, features: DataFrame, percent: int, scratch: Scratch)
         .groupBy("shelf")
         .applyInPandas(_ties(percent), "u long, v long")
     )
-    scratch.drop(stats)
+    scratch.drop(stats, found)
     return ties
 
 
@@ -382,25 +429,28 @@ def jaccard_groups(
     features = scratch.save(docs.mapInArrow(_features(percent, width), FEATURES))
     alike = features.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     copies = scratch.save(alike.where("c > 1").select("d1", "d2", "rep"))
-    # As in _meet: a large group of copies shares a key of this join.
+    # A large group of copies shares a key of this join; where it isn't small, adaptive execution can split it.
     few = copies.count() <= BROADCAST_ROWS
     equal = features.select("doc_id", "d1", "d2").join(F.broadcast(copies) if few else copies, ["d1", "d2"])
     equal = scratch.save(equal.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     sizes = features.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles")).alias("s")).select("doc_id", "s.n_shingles")
-    known = equal
+    known, final = equal, components(equal, scratch)
     for quick in (True, False):
-        labels = components(known, scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+        labels = final.select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
         few = labels.count() <= BROADCAST_ROWS
-        keyed = features.select("doc_id", "keys").join(F.broadcast(labels) if few else labels, "doc_id", "left")
-        keyed = keyed.select(F.explode("keys").alias("key"), "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        ties = _meet(keyed.where(F.pmod("key", F.lit(QUICK)) == 0) if quick else keyed, features, percent, scratch)
+        listed = features.select("doc_id", "keys").join(F.broadcast(labels) if few else labels, "doc_id", "left")
+        listed = listed.select("doc_id", F.coalesce("label", "doc_id").alias("label"), "keys")
+        ties = _meet(listed, features, percent, quick, scratch)
+        if ties.isEmpty():
+            continue
         groups = components(ties.union(known), scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
         members = groups.join(labels, "doc_id", "left").join(sizes, "doc_id").join(equal.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
         members = members.select("doc_id", "comp", F.coalesce("label", "doc_id").alias("label"), "n_shingles")
         links = _verify(docs, members, known, width, percent, scratch)
-        known = scratch.save(known.union(links))
-        scratch.drop(ties, links)
-    final = components(known, scratch)
+        scratch.drop(ties)
+        if not links.isEmpty():
+            known = scratch.save(known.union(links))
+            final = components(known, scratch)
     return sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
     )

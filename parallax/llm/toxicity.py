@@ -131,4 +131,4 @@ def score(spark: SparkSession, docs: DataFrame, model: dict | None, column: str
 
         return probabilities
 
-    return add_columns(docs, "text", {column: T.DoubleType()}, make)
+    return add_columns(docs, "text", {column: T.DoubleType()}, make, 1 << 19)
