@@ -6,7 +6,8 @@ cosine 0.95 a pair shares a bucket of some table with probability 0.99, and with
 
 Equal vectors are collapsed first, with their number. Buckets of up to ``BLOCK`` vectors with the same members in several
 tables are one, so a tight group is sent once, not once a table. A larger bucket is cut by hash into blocks, and every two
-blocks meet in a tile of their own, so no task holds an unbounded bucket. A pair that shares buckets in several tables
+blocks meet in a tile of their own, so no task holds an unbounded bucket. A first pass sends vectors as bytes, whose products
+bound the cosine from above, and drops those without a possible partner in their tile, as most meet by chance. A pair that shares buckets in several tables
 counts in the first of them, told by the vectors' stored bucket names. Tiles give each vector's number of links and a
 spanning set of edges, never all pairs. ``near_vectors`` runs jobs while the query is built.
 
@@ -52,22 +53,51 @@ def bucket_keys(v: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(32)).astype(np.uint32)
 
 
+def coarse(v: np.ndarray) -> np.ndarray:
+    """Unit vectors as whole numbers of a byte."""
+    return np.rint(v * 127).astype(np.int8)
+
+
+def coarse_least(least: float, n: int) -> float:
+    """What the product of two coarse vectors of n numbers is at least, where their cosine is ``least``.
+
+    Each number is off by at most 1/254, so a vector is off by at most sqrt(n)/254.
+    """
+    off = np.sqrt(n) / 254
+    return (least - 2 * off - off * off - 1e-6) * 127 * 127
+
+
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             vectors = part.column("embedding").to_pylist()
             keys = np.zeros((len(vectors), TABLES), np.uint32)
+            low: list[bytes] = [b""] * len(vectors)
             size = np.array([len(v) for v in vectors])
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
-                keys[rows] = bucket_keys(unit(np.array([vectors[i] for i in rows], np.float64)))
+                v = unit(np.array([vectors[i] for i in rows], np.float64))
+                keys[rows] = bucket_keys(v)
+                for i, c in zip(rows.tolist(), coarse(v), strict=True):
+                    low[i] = c.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), part.column("n"), part.column("embedding"), pa.array([k.tobytes() for k in keys], pa.binary())],
-                names=["rep", "n", "embedding", "keys"],
+                [part.column("rep"), part.column("n"), part.column("embedding"), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(low, pa.binary())],
+                names=["rep", "n", "embedding", "keys", "low"],
             )
 
 
+def stacked(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and their lengths; shorter ones, which only a clash of bucket names brings together, end in zeros."""
+    length = np.array([len(v) for v in vectors])
+    if (length == length[0]).all():
+        return np.stack(vectors).astype(np.float64), length
+    out = np.zeros((len(vectors), length.max()))
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
+    return out, length
+
+
 def _labels(linked: np.ndarray) -> np.ndarray:
     """Least position that each can reach, of stacked square matrices of links."""
     s = linked.shape[-1]
@@ -80,6 +110,33 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _sift(least: float):
+    """Rows of tiles whose coarse vectors leave open that they link with another of the tile."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "key", "i", "j", "rep"], kind="stable").reset_index(drop=True)
+        begin = np.flatnonzero(~pdf.duplicated(["t", "key", "i", "j"]).to_numpy())
+        size = np.diff(np.append(begin, len(pdf)))
+        low, keep = pdf["low"].to_numpy(), np.zeros(len(pdf), bool)
+        for s in np.unique(size[size > 1]):
+            of = begin[size == s]
+            step = max(1, 1_000_000 // int(s * s))
+            for at in range(0, len(of), step):
+                idx = of[at : at + step, None] + np.arange(s)
+                parts = low[idx.reshape(-1)]
+                n = max(map(len, parts))
+                if any(len(p) != n for p in parts):  # a bucket of vectors of different lengths, by a clash of names
+                    keep[idx] = True
+                    continue
+                v = np.frombuffer(b"".join(parts), np.int8).reshape(*idx.shape, n).astype(np.float32)
+                near = v @ v.transpose(0, 2, 1) >= coarse_least(least, n)
+                near[:, np.arange(s), np.arange(s)] = False
+                keep[idx] = near.any(2)
+        return pdf.loc[keep, ["t", "key", "i", "j", "block", "rep"]]
+
+    return run
+
+
 def _tiles(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "key", "i", "j", "rep"], kind="stable")
@@ -100,8 +157,9 @@ def _tiles(least: float):
                 idx = of[at : at + step, None] + np.arange(s)
                 flat = idx.reshape(-1)
                 keys = np.frombuffer(b"".join(names[flat]), np.uint32).reshape(-1, TABLES)
-                v = unit(np.stack(vectors[flat]).astype(np.float64)).reshape(*idx.shape, -1)
-                linked = (v @ v.transpose(0, 2, 1)) >= least
+                v, length = stacked(vectors[flat])
+                v, length = unit(v).reshape(*idx.shape, -1), length.reshape(idx.shape)
+                linked = ((v @ v.transpose(0, 2, 1)) >= least) & (length[:, :, None] == length[:, None, :])
                 linked[:, np.arange(s), np.arange(s)] = False
                 linked &= ~cross[idx][:, :1, None] | (block[idx][:, :, None] != block[idx][:, None, :])
                 label = _labels(linked)
@@ -139,7 +197,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, s
     vectors = vectors.withColumn("good", F.coalesce(good, F.lit(False)))
     valid = vectors.where("good").select("vec_id", "embedding")
     classes = scratch.save(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    hashed = scratch.save(classes.mapInArrow(_hash, T.StructType([classes.schema["rep"], classes.schema["n"], classes.schema["embedding"], T.StructField("keys", T.BinaryType())])))
+    hashed = scratch.save(classes.mapInArrow(_hash, T.StructType([classes.schema["rep"], classes.schema["n"], classes.schema["embedding"], T.StructField("keys", T.BinaryType()), T.StructField("low", T.BinaryType())])))
     at = F.sequence(F.lit(0), F.lit(TABLES - 1))
     placed = hashed.select("rep", F.explode(F.transform(at, lambda t: F.struct(t.alias("t"), F.substring("keys", 4 * t + 1, 4).alias("key")))).alias("p"))
     placed = placed.select("rep", "p.*")
@@ -158,13 +216,16 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.95, s
     )
     tiles = scratch.save(small.union(large))
     shelves = max(8, tiles.count() // 20_000)
+    shelf = F.pmod(F.xxhash64("t", "key", "i", "j"), F.lit(shelves)).alias("shelf")
+    rough = tiles.join(hashed.select("rep", "low"), "rep").select("*", shelf)
+    sifted = scratch.save(rough.groupBy("shelf").applyInPandas(_sift(least), "t int, key binary, i long, j long, block long, rep long"))
     found = scratch.save(
-        tiles.join(hashed, "rep")
-        .withColumn("shelf", F.pmod(F.xxhash64("t", "key", "i", "j"), F.lit(shelves)))
+        sifted.join(hashed.drop("low"), "rep")
+        .select("*", shelf)
         .groupBy("shelf")
         .applyInPandas(_tiles(least), "u long, v long, n long")
     )
-    scratch.drop(hashed, full, tiles)
+    scratch.drop(hashed, full, tiles, sifted)
     groups = components(found.where("u <> v").select("u", "v"), scratch)
     links = found.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     known = (

@@ -128,6 +128,15 @@ def test_vector_recall_and_components(spark, monkeypatch):
     assert out[1024] == out[2]
 
 
+def test_buckets_of_different_lengths(spark, monkeypatch):
+    """Vectors that share a bucket name by chance don't link across lengths."""
+    monkeypatch.setattr(vecdup, "bucket_keys", lambda v: np.full((len(v), vecdup.TABLES), 7, np.uint32))
+    rows = [(i, [1.0, 0.01 * i] + [0.0] * (i % 2)) for i in range(6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vecdup.near_vectors(spark, frame).collect()}
+    assert got == {i: (2, i % 2) for i in range(6)}
+
+
 def test_packed_rows_follow_the_curve(spark):
     docs = spark.createDataFrame([(i, f"{'ab' if i % 3 else 'xyz'} w{i % 7} " * (1 + i % 5)) for i in range(300)], "doc_id long, text string")
     import pyarrow as pa
