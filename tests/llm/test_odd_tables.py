@@ -1,6 +1,7 @@
 """Every operator on tables with nulls, empty texts, repeated rows, no rows, and columns that clash with its own."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,13 +129,26 @@ def test_vector_recall_and_components(spark, monkeypatch):
     assert out[1024] == out[2]
 
 
-def test_buckets_of_different_lengths(spark, monkeypatch):
+def test_tiles_of_different_lengths():
     """Vectors that share a bucket name by chance don't link across lengths."""
-    monkeypatch.setattr(vecdup, "bucket_keys", lambda v: np.full((len(v), vecdup.TABLES), 7, np.uint32))
-    rows = [(i, [1.0, 0.01 * i] + [0.0] * (i % 2)) for i in range(6)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vecdup.near_vectors(spark, frame).collect()}
-    assert got == {i: (2, i % 2) for i in range(6)}
+    vectors = [np.array([1.0, 0.01 * i] + [0.0] * (i % 2)) for i in range(6)]
+    names = np.full((6, vecdup.TABLES), 7, np.uint32)
+    rows = {"t": 0, "key": b"k", "i": 0, "j": 0, "block": 0, "rep": range(6), "n": 1, "embedding": vectors}
+    tile = pd.DataFrame(rows | {"keys": [k.tobytes() for k in names], "low": [vecdup.coarse(v).tobytes() for v in vectors]})
+    assert len(vecdup._sift(0.95)(tile)) == 6
+    found = vecdup._tiles(0.95)(tile)
+    links = found[found.u == found.v].set_index("u").n
+    assert links.to_dict() == dict.fromkeys(range(6), 2) and (found[found.u != found.v].eval("(u - v) % 2") == 0).all()
+
+
+def test_coarse_vectors_bound_the_cosine():
+    rng = np.random.default_rng(4)
+    for n in (2, 64, 1024):
+        a = vecdup.unit(rng.standard_normal((200, n)))
+        b = vecdup.unit(a + rng.uniform(0, 0.5, (200, 1)) * vecdup.unit(rng.standard_normal((200, n))))
+        near = (a * b).sum(1) >= 0.95
+        rough = (vecdup.coarse(a).astype(float) * vecdup.coarse(b)).sum(1) >= vecdup.coarse_least(0.95, n)
+        assert near.any() and (rough | ~near).all()
 
 
 def test_packed_rows_follow_the_curve(spark):
