@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,7 @@ from parallax.operators import statistics as ST
 from parallax.operators import stereo as SR
 from parallax.plans import budget as B
 from parallax.session import ready
+from parallax.sources import containers as CT
 from parallax.sources import media as M
 
 FLAGSHIP = "rsm06_render_eyes"
@@ -1136,6 +1137,29 @@ def src12_verified(spark, d):
     return M.verified(files, rows.select("path", want.alias("sha256"))).select("item_id")
 
 
+@query("""WITH f AS (SELECT o_orderkey, o_orderkey % 5 <> 0 AS done, o_orderkey % 2 = 0 AS first_, o_custkey % 50 AS n FROM orders)
+ SELECT o_orderkey, done, CAST(132 + n + CASE WHEN done THEN 102 ELSE 0 END AS BIGINT) AS size, CAST(CASE WHEN first_ THEN 20 WHEN done THEN 132 + 102 ELSE 132 END AS BIGINT) AS at FROM f""")
+def snk05_annotate(spark, d):
+    """SNK-05: films built from orders, samples before or behind the tables; one in five holds no picture and stays as it is."""
+    number = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    box = lambda kind, body: F.concat(number(F.octet_length(body) + 8), lit(kind).cast("binary"), body)
+    zeros = lambda n: lit(bytes(n))
+    join = lambda *parts: F.concat(*[x.cast("binary") if isinstance(x, Column) else lit(x).cast("binary") for x in parts])
+    first, n = c("o_orderkey") % 2 == 0, (c("o_custkey") % 50).cast("int")
+    handler = F.when(c("o_orderkey") % 5 == 0, "soun").otherwise("vide").cast("binary")
+    stsd = box("stsd", join(zeros(4), number(lit(1)), box("avc1", zeros(4))))
+    stco = box("stco", join(zeros(4), number(lit(1)), number(F.when(first, 20).otherwise(132))))
+    mdia = box("mdia", join(box("hdlr", join(zeros(8), handler, zeros(4))), box("minf", box("stbl", join(stsd, stco)))))
+    moov, mdat = box("moov", box("trak", mdia)), box("mdat", F.repeat(lit("s"), n).cast("binary"))
+    ftyp = box("ftyp", lit("isom").cast("binary"))
+    rows = table(spark, d, "orders").select("o_orderkey", first.alias("first"), n.alias("n"), F.when(first, join(ftyp, mdat, moov)).otherwise(join(ftyp, moov, mdat)).alias("film"))
+    free = S.bounds(lit(1024), lit(0), lit(2048), lit(2048), lit(4096), lit(2048))
+    out = rows.select("o_orderkey", "first", "n", CT.annotated(c("film"), free).alias("a")).select("*", "a.*")
+    place = 12 + F.when(c("first"), 8 + c("n")).otherwise(0) + 92 + 16 + F.when(c("done"), 102).otherwise(0)
+    offset = F.conv(F.hex(F.substring(c("content"), place + 1, lit(4))), 16, 10).cast("long")
+    return out.select("o_orderkey", "done", F.octet_length("content").cast("long").alias("size"), offset.alias("at"))
+
+
 @query("""SELECT o_orderkey, list_transform(offs, lambda o: CASE WHEN o >= 500 THEN o + 73 ELSE o END)[1] AS o1, list_transform(offs, lambda o: CASE WHEN o >= 500 THEN o + 73 ELSE o END)[3] AS o3 FROM (SELECT o_orderkey, [o_orderkey % 1000, o_custkey, o_orderkey % 700 + o_custkey % 500] AS offs FROM orders)""")
 def snk05_offset_shift(spark, d):
     """SNK-05, the shift of chunk offsets at or behind a splice of 73 bytes at 500."""
