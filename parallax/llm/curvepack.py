@@ -155,7 +155,7 @@ class _Stream:
         stop = np.cumsum(self.parts[2])
         start = stop - self.parts[2]
         last = int(ends[-1]) if len(ends) else 0
-        cuts = np.unique(np.concatenate((start[start < last], ends - 1 + 1, np.zeros(1, np.int64))))
+        cuts = np.unique(np.concatenate((start[start < last], ends, np.zeros(1, np.int64))))
         cuts = cuts[cuts <= last]
         low, high = cuts[:-1], cuts[1:]
         owner = np.searchsorted(stop, low, side="right")
