@@ -331,7 +331,7 @@ def _meet(listed: DataFrame, features: DataFrame, percent: int, quick: bool, scr
     total = stats.agg(F.count("*").alias("keys"), F.sum("size").alias("size")).first()
     marks = features.sparkSession.sparkContext.broadcast(_marks(stats, total["keys"]))
     found = scratch.save(listed.select("doc_id", "label", "keys").mapInArrow(_marked(marks, quick), "key long, doc_id long, label long"))
-    shelves = max(8, (total["size"] or 0) // 20_000)
+    shelves = max(8, (total["size"] or 0) // 10_000)
     tiles = found.join(stats.select("key", "k", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     if quick:
