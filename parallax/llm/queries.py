@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parallax.session import ready
 
-from . import binpack, ctw, curvepack, jaccard, langid, raking, render, telephony, toxicity, vecdup
+from . import binpack, bytebpe, ctw, curvepack, jaccard, langid, raking, render, telephony, toxicity, vecdup
 from .common import Scratch, fold, table
 
 #: Target shares of the mixing query and of the pipeline's mixing stage; the rest is shared by what is not named.
@@ -117,6 +117,15 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.with_pcm_digest(scratch.save(telephony.read_back(stored), "zstd"))
 
 
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, and the text that they decode to, as digests."""
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    out = bytebpe.decode(bytebpe.encode(docs).drop("text"))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -127,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_ngram_jaccard_join, op2_toxicity, op3_language_id, op4_mix_sources, op5_best_fit_packing, op6_curve_packing,
-        op7_context_tree_scoring, op8_embedding_near_dedup, op9_html_rendering, op10_telephony_audio, pipeline,
+        op7_context_tree_scoring, op8_embedding_near_dedup, op9_html_rendering, op10_telephony_audio, op13_bpe_encoding, pipeline,
     ]
     return {f.__name__: f for f in own}
 

@@ -32,7 +32,7 @@ def encoder(path: str | None = None) -> Encoder:
     return _loaded[path]
 
 
-def _byte_names() -> dict[str, int]:
+def byte_names() -> dict[str, int]:
     """Printable stand-ins for bytes in byte-level vocabularies: Latin-1's visible characters stand for themselves."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
     hidden = [b for b in range(256) if b not in set(plain)]
@@ -69,7 +69,7 @@ class Encoder:
             or normal != ["NFC", "Replace", "Lowercase"]
         ):
             return None
-        names, ranks, special = _byte_names(), {}, {t["content"] for t in spec["added_tokens"]}
+        names, ranks, special = byte_names(), {}, {t["content"] for t in spec["added_tokens"]}
         for token, i in model["vocab"].items():
             if token not in special:
                 body = token.removesuffix("</w>")
