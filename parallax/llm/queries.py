@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parallax.session import ready
 
-from . import binpack, bytebpe, ctw, curvepack, jaccard, langid, raking, render, telephony, toxicity, vecdup
+from . import binpack, bytebpe, ctw, curvepack, divergence, jaccard, langid, raking, render, telephony, toxicity, vecdup
 from .common import Scratch, fold, table
 
 #: Target shares of the mixing query and of the pipeline's mixing stage; the rest is shared by what is not named.
@@ -117,6 +117,32 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.with_pcm_digest(scratch.save(telephony.read_back(stored), "zstd"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that stand out in each."""
+    return divergence.audit(ready(spark), table(spark, sf_dir, "documents"))
+
+
+def op12_sql() -> str:
+    """The same in SQL, over every term of every group."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    share = lambda n, total: f"1 + CAST((1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * v) AS BIGINT)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ translate(coalesce(text, ''), '{letters}', '{letters.lower()}') AS t FROM documents),
+ w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ m AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+ l AS (SELECT lang, count(term) AS v, coalesce(sum(total), 0) AS size FROM (SELECT DISTINCT lang FROM d) LEFT JOIN m USING (lang) GROUP BY ALL),
+ c AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN m USING (lang, term) GROUP BY ALL),
+ g AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ p AS (SELECT g.lang, g.source, m.term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "g.size")} AS p, {share("m.total", "l.size")} AS q
+ FROM g JOIN m USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = m.term),
+ x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ y AS (SELECT lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b USING (lang)
+ LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source WHERE a.source <> b.source
+ UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM y)
+ SELECT * FROM z WHERE part = 'pair' OR rank <= 50"""
+
+
 def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, and the text that they decode to, as digests."""
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
@@ -136,10 +162,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_ngram_jaccard_join, op2_toxicity, op3_language_id, op4_mix_sources, op5_best_fit_packing, op6_curve_packing,
-        op7_context_tree_scoring, op8_embedding_near_dedup, op9_html_rendering, op10_telephony_audio, op13_bpe_encoding, pipeline,
+        op7_context_tree_scoring, op8_embedding_near_dedup, op9_html_rendering, op10_telephony_audio, op12_source_divergence, op13_bpe_encoding, pipeline,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": op4_sql()}
+    return {"op4_mix_sources": op4_sql(), "op12_source_divergence": op12_sql()}
