@@ -64,7 +64,43 @@ def lay_out(pool: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndar
     return pool[np.arange(total) + np.repeat(begin[at] - (stop - n), n)], np.concatenate(([0], stop))
 
 
-class ByteBpe:
+class Remembered:
+    """Ids of words by a memory of the words that a worker has met; ``learn`` gives those of new ones."""
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+        self.pool = np.zeros(0, np.uint32)
+        self.from_, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def remember(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The places in memory of the words that begin at ``starts`` and end where the next begins."""
+        where = np.append(starts, len(data)).astype(np.int64)
+        distinct = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))])
+        distinct = distinct.dictionary_encode()
+        words = distinct.dictionary.to_pylist()
+        if len(self.known) > KEEP_WORDS or self.held > KEEP_BYTES:
+            self._forget()
+        new = [w for w in words if w not in self.known]
+        if new:
+            base = len(self.from_)
+            ids, ends = self.learn(new)
+            self.known.update(zip(new, range(base, base + len(new)), strict=True))
+            self.held += sum(map(len, new))
+            self.from_ = np.concatenate((self.from_, len(self.pool) + ends[:-1]))
+            self.count = np.concatenate((self.count, np.diff(ends)))
+            self.pool = np.concatenate((self.pool, ids.astype(np.uint32)))
+        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        return at[distinct.indices.to_numpy(zero_copy_only=False)]
+
+
+class ByteBpe(Remembered):
     """A vocabulary. With ``specials``, its special tokens are found in texts; otherwise they are plain text there."""
 
     def __init__(self, path: str, specials: bool = True):
@@ -102,13 +138,10 @@ class ByteBpe:
         self.special = {c.encode(): t["id"] for c, t in added.items()} if specials else {}
         self._special = re.compile(b"|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._classes = np.full(0x110000, UNSEEN, np.uint8)
-        self._forget()
+        super().__init__()
 
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.held = 0
-        self.pool = np.zeros(0, np.uint32)
-        self.from_, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.merge(words)
 
     def _class_of(self, points: np.ndarray) -> np.ndarray:
         """Space, letter, digit or mark of each character.
@@ -171,21 +204,7 @@ class ByteBpe:
         if not raw:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         starts, found = self.cut(raw, data, offsets)
-        if len(self.known) > KEEP_WORDS or self.held > KEEP_BYTES:
-            self._forget()
-        bounds = [*starts.tolist(), len(raw)]
-        words = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            base = len(self.from_)
-            ids, ends = self.merge(new)
-            known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.held += sum(map(len, new))
-            self.from_ = np.concatenate((self.from_, len(self.pool) + ends[:-1]))
-            self.count = np.concatenate((self.count, np.diff(ends)))
-            self.pool = np.concatenate((self.pool, ids.astype(np.uint32)))
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = self.remember(data, starts)
         if not found:
             ids, ends = lay_out(self.pool, self.from_, self.count, at)
             return ids, ends[np.searchsorted(starts, offsets)]

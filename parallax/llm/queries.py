@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parallax.session import ready
 
-from . import binpack, bytebpe, ctw, curvepack, divergence, jaccard, langid, raking, render, telephony, toxicity, vecdup
+from . import align, binpack, bytebpe, ctw, curvepack, divergence, jaccard, langid, raking, render, telephony, toxicity, vecdup
 from .common import Scratch, fold, table
 
 #: Target shares of the mixing query and of the pipeline's mixing stage; the rest is shared by what is not named.
@@ -117,6 +117,15 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.with_pcm_digest(scratch.save(telephony.read_back(stored), "zstd"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, and how usual the links are."""
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    aligned = align.align(docs).withColumn("groups_sha256", digest).drop("groups")
+    out = align.agreement(spark, Scratch(spark).save(aligned, "zstd"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language lie apart, and the terms that stand out in each."""
     return divergence.audit(ready(spark), table(spark, sf_dir, "documents"))
@@ -162,7 +171,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_ngram_jaccard_join, op2_toxicity, op3_language_id, op4_mix_sources, op5_best_fit_packing, op6_curve_packing,
-        op7_context_tree_scoring, op8_embedding_near_dedup, op9_html_rendering, op10_telephony_audio, op12_source_divergence, op13_bpe_encoding, pipeline,
+        op7_context_tree_scoring, op8_embedding_near_dedup, op9_html_rendering, op10_telephony_audio, op11_tokenizer_alignment, op12_source_divergence, op13_bpe_encoding, pipeline,
     ]
     return {f.__name__: f for f in own}
 
