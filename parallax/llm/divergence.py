@@ -37,7 +37,7 @@ BLOCK, BUCKET = 128, 4096
 #: Bytes of text cut at once, and rows of sources and terms held at once.
 CHUNK, ROWS = 4 << 20, 1 << 20
 
-COUNTED = "lang string, source string, term string, n long, docs long"
+COUNTED = "lang string, term string, per array<struct<source: string, n: long, docs: long>>"
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +93,19 @@ def _counts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             row = np.arange(low, min(low + rows, total))
             at = np.searchsorted(stop, row, side="right")
             here = start[text[at]] + row - (stop[at] - many[at])
-            key = (tongue[text[at]] * len(source.dictionary) + of[here]) * len(terms) + word[at]
+            key = (tongue[text[at]] * len(terms) + word[at]) * len(source.dictionary) + of[here]
             key, back = np.unique(key, return_inverse=True)
             counts, docs = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
             np.add.at(counts, back, n[at] * times[here])
             np.add.at(docs, back, times[here])
-            group, term = np.divmod(key, len(terms))
-            told, src = np.divmod(group, len(source.dictionary))
+            term, src = np.divmod(key, len(source.dictionary))
+            first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+            told, term = np.divmod(term[first], len(terms))
+            per = pa.StructArray.from_arrays([source.dictionary.take(pa.array(src)), pa.array(counts), pa.array(docs)], names=["source", "n", "docs"])
+            where = pa.array(np.append(first, len(key)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [lang.dictionary.take(pa.array(told)), source.dictionary.take(pa.array(src)), terms.take(pa.array(term)).cast(pa.string()), pa.array(counts), pa.array(docs)],
-                names=["lang", "source", "term", "n", "docs"],
+                [lang.dictionary.take(pa.array(told)), terms.take(pa.array(term)).cast(pa.string()), pa.ListArray.from_arrays(where, per)],
+                names=["lang", "term", "per"],
             )
 
 
@@ -116,8 +119,12 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term and the documents that have it."""
-    return collapsed(docs).mapInArrow(_count(ROWS), COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, term, source, n, docs): occurrences of each term and the documents that have it.
+
+    A term travels once from a task, with its numbers in all sources; the rows of a term end in one partition.
+    """
+    rows = collapsed(docs).mapInArrow(_count(ROWS), COUNTED).repartition("lang", "term").select("lang", "term", F.inline("per"))
+    return rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -189,9 +196,9 @@ def audit(spark: SparkSession, docs: DataFrame, least: int = 30, top: int = 50)
     scratch = Scratch(spark)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = docs.select(text("lang"), text("source"), text("text"))
-    counts = scratch.save(counted(docs))
-    common = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
-    kept = scratch.save(counts.join(common, ["lang", "term"]).select("lang", "source", "term", "n", "total"))
+    whole = Window.partitionBy("lang", "term")
+    counts = counted(docs).withColumns({"total": F.sum("n").over(whole), "all_docs": F.sum("docs").over(whole)})
+    kept = scratch.save(counts.where(F.col("all_docs") >= least).select("lang", "source", "term", "n", "total"))
     # One row for each occurring group, and one for each language.
     all_groups = docs.select("lang", "source").distinct()
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
