@@ -47,13 +47,14 @@ def registered(in_shot: DataFrame) -> DataFrame:
 
 def fold(
     frames: DataFrame, stream: list[str], order: list[str], values: list[str], start: Callable[[], Any],
-    step: Callable[[Any, tuple], tuple[Any, tuple]], results: dict[str, T.DataType], ends: bool = False,
+    step: Callable[[Any, tuple], tuple[Any, tuple]], results: dict[str, T.DataType], ends: bool = False, descending: bool = False, dealt: bool = False,
 ) -> DataFrame:
     """Every row with the results of a fold over its stream in order, or with ``ends`` (stream, results) of its last row.
 
-    ``step`` takes the state and a row's values, and gives the next state and the row's results.
+    ``step`` takes the state and a row's values, and gives the next state and the row's results. With ``descending`` the
+    order is reversed; with ``dealt`` the streams are whole in their partitions already, as those of another fold are.
     """
-    rows = frames.repartition(*stream).sortWithinPartitions(*stream, *order)
+    rows = (frames if dealt else frames.repartition(*stream)).sortWithinPartitions(*stream, *(F.desc(c) if descending else F.asc(c) for c in order))
     kept = list(stream) if ends else [c for c in frames.columns if c not in results]
     kinds = [pa.float64() if isinstance(t, T.DoubleType) else pa.list_(pa.float64()) if isinstance(t, T.ArrayType) else pa.bool_() if isinstance(t, T.BooleanType) else pa.int64() for t in results.values()]
 

@@ -1180,3 +1180,6 @@ def nn07_detail_blend(spark, d):
     """NN-07: three quarters of a model's output, here a stand-in square."""
     plain, model = c("value"), c("value") * c("value") / 100
     return streams(spark, d).select("stream", "event_id", R(S.blend(plain, model)).alias("blended"))
+
+
+from parallax import queries_files  # noqa: E402, F401  registers its own
