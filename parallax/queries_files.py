@@ -10,6 +10,8 @@ from parallax.operators import frames as FR
 from parallax.operators import matching as MA
 from parallax.operators import passes as PA
 from parallax.queries import _EV, R, c, query, streams, table
+from parallax.sources import pictures as PC
+from parallax.sources import rawfiles as RF
 
 # ---- passes that look both ways ----
 
@@ -95,3 +97,70 @@ def str09_track(spark, d):
     lens = S.intrinsics(F.lit(640), F.lit(480), F.lit(500.0))
     out = MA.track(seen, ["stream"], ["frame"], "features", lens)
     return out.select("vec_id", R(c("rotation")[0]).alias("cosine"), R(c("rotation")[2]).alias("sine"), "placed")
+
+
+# ---- files written and read back ----
+
+_SHADES = "SELECT vec_id, transform(embedding, v -> CAST(greatest(least(floor((CAST(v AS DOUBLE) + 0.5) * 255), 255), 0) AS INT)) AS v FROM {rows}"
+_SHADES_SQL = "WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(greatest(least(floor((CAST(v AS DOUBLE) + 0.5) * 255), 255), 0) AS INT)) AS v FROM embeddings)"
+
+
+def shades(spark, d):
+    """8 x 8 pictures in whole shades from 0 to 255."""
+    return spark.sql(_SHADES, rows=table(spark, d, "embeddings"))
+
+
+def colours(v):
+    """RGB of 8 x 8 shades: the shade, its opposite, and the shade of the pixel mirrored in the middle."""
+    return F.flatten(F.transform(v, lambda x, i: F.array(x, 255 - x, F.element_at(v, F.lit(64) - i))))
+
+
+@query(_SHADES_SQL + ", i AS (SELECT vec_id, v, unnest(generate_series(0, 63)) AS i FROM p) SELECT vec_id, CAST(i AS INT) AS i, v[i + 1] AS red, 255 - v[i + 1] AS green, v[64 - i] AS blue, 'shot ' || vec_id AS note FROM i")
+def snk01_pictures(spark, d):
+    """SNK-01 and SNK-09: every picture as a PNG file with a note, written whole or not at all, and its pixels read back."""
+    folder = RF.shared_folder(spark, "pictures")
+    rows = shades(spark, d)
+    note = {"note": F.concat(F.lit("shot "), c("vec_id").cast("string"))}
+    files = rows.select(F.format_string("%d.png", "vec_id").alias("name"), PC.png_of(PC.samples8(colours(c("v"))), F.lit(8), F.lit(8), 3, 8, note).alias("content"))
+    RF.write_files(spark, files, folder)
+    back = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("vec_id"), PC.picture_of("content").alias("q"))
+    seen = PC.values_of(c("q.samples"), 8)
+    pixel = F.transform(F.sequence(F.lit(0), c("q.width") * c("q.height") - 1), lambda i: F.struct(i.alias("i"), *[F.element_at(c("s"), i * 3 + k + 1).alias(n) for k, n in enumerate(("red", "green", "blue"))]))
+    out = back.withColumn("s", seen).select("vec_id", F.inline(pixel), c("q.text")["note"].alias("note"))
+    return out.select("vec_id", "i", "red", "green", "blue", "note")
+
+
+@query(
+    """WITH m AS (SELECT vec_id, i, 1 / (2 + CAST(embedding[i + 1] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i)),
+ e AS (SELECT vec_id, min(m) AS near_m, max(m) AS far_m FROM m GROUP BY vec_id)
+ SELECT vec_id, CAST(i AS INT) AS i, CAST(CASE WHEN far_m - near_m < 1e-6 THEN 0 ELSE floor((far_m - m) / (far_m - near_m) * 65535 + 0.5) END AS INT) AS grey, printf('%.3f', near_m) AS near_text, printf('%.3f', far_m) AS far_text FROM m JOIN e USING (vec_id)"""
+)
+def snk02_depth_file(spark, d):
+    """SNK-02's file: 16-bit grey pictures of distances with the ends of their range as text, written and read back."""
+    folder = RF.shared_folder(spark, "depths")
+    metres = F.transform("embedding", lambda v: 1 / (2 + v.cast("double")))
+    rows = table(spark, d, "embeddings").select("vec_id", metres.alias("m")).withColumn("near", F.array_min("m")).withColumn("far", F.array_max("m"))
+    span = c("far") - c("near")
+    grey = F.transform("m", lambda m: F.when(span < 1e-6, 0).otherwise(F.floor((c("far") - m) / span * 65535 + 0.5)))
+    text = {"near_m": F.format_string("%.3f", "near"), "far_m": F.format_string("%.3f", "far")}
+    files = rows.select(F.format_string("%d.png", "vec_id").alias("name"), PC.png_of(PC.samples16(grey), F.lit(8), F.lit(8), 1, 16, text).alias("content"))
+    RF.write_files(spark, files, folder)
+    back = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("vec_id"), PC.picture_of("content").alias("q"))
+    out = back.select("vec_id", F.posexplode(PC.values_of(c("q.samples"), 16)).alias("i", "grey"), c("q.text")["near_m"].alias("near_text"), c("q.text")["far_m"].alias("far_text"))
+    return out.select("vec_id", "i", "grey", "near_text", "far_text")
+
+
+@query(
+    _SHADES_SQL
+    + """, f AS (SELECT vec_id // 10 AS film, vec_id % 10 AS frame, v FROM p WHERE vec_id % 10 BETWEEN 2 AND 8), i AS (SELECT *, unnest(generate_series(0, 63)) AS i FROM f)
+ SELECT 'film' || film AS film, frame, CAST(i AS INT) AS i, v[i + 1] AS red, 255 - v[i + 1] AS green, v[64 - i] AS blue FROM i"""
+)
+def src10_raw_frames(spark, d):
+    """SRC-09 and SRC-10: ten pictures each become a film of raw frames, the last one cut short; frames 2 and on are read back."""
+    folder = RF.shared_folder(spark, "films")
+    rows = shades(spark, d).select(F.expr("concat('film', vec_id div 10, '.rgb')").alias("name"), F.expr("vec_id % 10").alias("piece"), PC.samples8(colours(c("v"))).alias("content"))
+    rows = rows.withColumn("content", F.when(c("piece") == 9, F.substring("content", 1, 100)).otherwise(c("content")))
+    RF.write_files(spark, rows, folder, piece="piece")
+    back = RF.read_frames(spark, folder, 8, 8, first=2).select("name", "frame", PC.values_of(c("pixels"), 8).alias("s"))
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("i"), *[F.element_at(c("s"), i * 3 + k + 1).alias(n) for k, n in enumerate(("red", "green", "blue"))]))
+    return back.select(c("name").alias("film"), "frame", F.inline(pixel))
