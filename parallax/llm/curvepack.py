@@ -3,9 +3,11 @@
 Each document's hashed word counts, scaled to length one, are projected to three dimensions by a fixed random matrix
 and placed on a Hilbert curve. A range sort by curve position brings similar documents together, and each range is
 packed as one stream of ids: sequences are full, documents are cut where a sequence ends, and what is left at the end
-of a range is cut into sequences whose lengths are powers of two, which need no padding. Ties of the curve position are
-ordered by id, so a large group of copies spreads over ranges. Their number follows from the size of the texts, and their
-bounds from a sample, which ``pack_along_curve`` takes while the query is built.
+of a range is cut into sequences whose lengths are powers of two, which need no padding. Rows of one curve position are
+dealt by a hash of id, text and, for rows equal in both, which of them it is in its partition, so a large group of copies
+spreads over ranges, even under one id or none. The number of ranges follows from the size of the texts, at most ``RANGES``
+(beyond that they grow, and are sorted on disk), and their bounds from a sample of rows, ``SAMPLE`` a range on average, which
+``pack_along_curve`` takes while the query is built.
 
 Defined results: a null or empty text is its end id alone; repeated ids are packed once each; an empty table gives no
 rows; other columns are ignored; a null id is kept. No id is lost or doubled, however long a text is.
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, ids_of, list_column, text_bytes, words
+from .common import chunks, ids_of, list_column, mix, signed, text_bytes, words
 from .tokens import END_OF_TEXT, encoder
 
 BUCKETS, DIMENSIONS, BITS = 4096, 3, 16
-#: Documents, about, from which the ranges' bounds are taken, and bytes of text in a range, about.
-SAMPLE, RANGE_BYTES = 50_000, 16 << 20
+#: Sampled rows for each range, bytes of text in a range, about, and ranges at most.
+SAMPLE, RANGE_BYTES, RANGES = 20, 16 << 20, 100_000
 
 
 def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -77,40 +79,60 @@ def curve_position(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _place(splits: np.ndarray | None):
-    """Rows with their curve position and, given the (position, id) bounds of the ranges in order, their range."""
+    """Rows with their curve position, their tie-breaking hash and, given the (position, hash) bounds of the ranges, their range.
+
+    Which of several equal rows of a partition a row is doesn't depend on the order of the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        part = TaskContext.get().partitionId()
         for batch in chunks(batches, "text"):
             curve = curve_position(*text_bytes(batch.column("text")))
+            which = np.zeros(len(curve), np.uint64)
+            for i, h in enumerate(batch.column("tie").to_pylist()):
+                which[i] = seen.get(h, 0)
+                seen[h] = int(which[i]) + 1
+            own = batch.column("tie").to_numpy().view(np.uint64)
+            tie = signed(mix(own + mix(which + (np.uint64(part) << np.uint64(40)))))
             at = np.zeros(len(curve), np.int64)
             if splits is not None and splits.shape[1]:
                 at, end = (np.searchsorted(splits[0], curve, side) for side in ("left", "right"))
-                ids = ids_of(batch.column("doc_id"))
-                for i in np.flatnonzero(end > at):  # bounds with the row's own position: the id decides
-                    at[i] += np.searchsorted(splits[1][at[i] : end[i]], ids[i])
-            yield pa.RecordBatch.from_arrays([pa.array(curve), pa.array(at, pa.int32()), *batch.columns], names=["curve", "range", *batch.schema.names])
+                for i in np.flatnonzero(end > at):  # bounds with the row's own position: the hash decides
+                    at[i] += np.searchsorted(splits[1][at[i] : end[i]], tie[i])
+            columns = {"curve": pa.array(curve), "range": pa.array(at, pa.int32()), "tie": pa.array(tie)}
+            yield pa.RecordBatch.from_arrays([*columns.values(), batch.column("doc_id"), batch.column("text")], names=PLACED.names)
 
     return run
 
 
+PLACED = T.StructType(
+    [
+        T.StructField("curve", T.LongType()),
+        T.StructField("range", T.IntegerType()),
+        T.StructField("tie", T.LongType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+    ]
+)
+
+
 def _splits(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of ranges, and their bounds, from about ``SAMPLE`` documents chosen by a hash of their ids.
+    """Number of ranges, and their bounds, from rows drawn at random, whatever is in them.
 
-    The bounds only decide how even the ranges are, not what is in them.
+    The bounds only decide how even the ranges are, not what is in them. The driver gets about ``SAMPLE`` times the ranges.
     """
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(every)) == 0)
-    got = some.mapInArrow(_place(None), _placed(docs)).select("curve", "doc_id", F.octet_length("text").alias("n")).toArrow()
-    curve, ids, n = got.column("curve").to_numpy(), ids_of(got.column("doc_id")), got.column("n").to_numpy()
-    order = np.lexsort((ids, curve))
-    ranges = int(max(1, min(100_000, n.sum(dtype=np.int64) * every // RANGE_BYTES + 1)))
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    ranges = int(max(1, min(RANGES, size["bytes"] // RANGE_BYTES + 1)))
+    if ranges == 1:
+        return 1, np.zeros((2, 0), np.int64)
+    some = docs.sample(False, min(1.0, SAMPLE * ranges / size["rows"]), 11)
+    got = some.mapInArrow(_place(None), PLACED).select("curve", "tie", F.octet_length("text").alias("n")).toArrow()
+    curve, tie, n = (got.column(c).to_numpy() for c in ("curve", "tie", "n"))
+    order = np.lexsort((tie, curve))
     place = np.cumsum(n[order] + 1)
     at = np.searchsorted(place, place[-1] * np.arange(1, ranges) / ranges) if len(place) else np.zeros(0, np.int64)
-    return ranges, np.stack((curve[order][at], ids[order][at]))
-
-
-def _placed(docs: DataFrame) -> T.StructType:
-    return T.StructType([T.StructField("curve", T.LongType()), T.StructField("range", T.IntegerType()), *docs.schema.fields])
+    return ranges, np.stack((curve[order][at], tie[order][at]))
 
 
 SEQUENCES = T.StructType(
@@ -200,10 +222,11 @@ def _pack(size: int, path: str | None):
 def pack_along_curve(docs: DataFrame, size: int = 2048, tokenizer: str | None = None) -> DataFrame:
     """Packed sequences: little-endian ids, and for each piece its document, ids before it, length, document's ids."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
     ranges, splits = _splits(docs)
-    placed = docs.mapInArrow(_place(splits), _placed(docs))
-    ordered = placed.repartitionById(ranges, "range").drop("range").sortWithinPartitions("curve", "doc_id")
-    return ordered.drop("curve").mapInArrow(_pack(size, tokenizer), SEQUENCES)
+    placed = docs.mapInArrow(_place(splits), PLACED)
+    ordered = placed.repartitionById(ranges, "range").drop("range").sortWithinPartitions("curve", "doc_id", "tie")
+    return ordered.drop("curve", "tie").mapInArrow(_pack(size, tokenizer), SEQUENCES)
 
 
 def pieces(sequences: DataFrame) -> DataFrame:

@@ -170,3 +170,19 @@ def test_ranges_part_by_size(spark, monkeypatch):
     rows = curvepack.pack_along_curve(docs, 64).collect()
     tasks = {r["sequence_id"] >> 32 for r in rows}
     assert len(tasks) >= 8 and sum(len(r["doc_ids"]) > 0 for r in rows) == len(rows)  # copies spread over the ranges by id
+
+
+@pytest.mark.parametrize("ids", ["one", "none", "one, other texts"])
+def test_rows_of_one_id_spread_over_ranges(spark, monkeypatch, ids):
+    """Three thousand rows of one id, or of none, equal or not, fill as many tasks as their size asks for."""
+    monkeypatch.setattr(curvepack, "RANGE_BYTES", 20_000)
+    text = F.concat(F.lit("same text " * 5), F.col("id").cast("string") if "other" in ids else F.lit(""))
+    docs = spark.range(0, 3000, 1, 3).select((F.lit(None) if ids == "none" else F.lit(7)).cast("long").alias("doc_id"), text.alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    ranges, bounds = curvepack._splits(docs.withColumn("tie", F.xxhash64("doc_id", "text")))
+    assert ranges == size // 20_000 + 1 and bounds.shape[1] == ranges - 1
+    rows = curvepack.pieces(curvepack.pack_along_curve(docs, 64)).toPandas()
+    tasks = rows.groupby(rows.sequence_id // 2**32).length.sum()
+    assert len(tasks) == ranges and tasks.max() < 3 * tasks.mean()
+    whole = rows[rows.start == 0]
+    assert len(whole) == 3000 and rows.length.sum() == whole.doc_tokens.sum()
