@@ -39,8 +39,9 @@ def presence(texts: list[str], place: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(texts), width + 1), np.float32)
     flat = out.reshape(-1)
     row = np.repeat(np.arange(len(texts), dtype=np.int64) * (width + 1), np.diff(begins))
+    inside = points != 0  # n-grams that begin between texts would reach into the next one
     for h in hashed(points, ORDERS, BITS):
-        flat[row[: len(h)] + place[h]] = 1
+        flat[(row[: len(h)] + place[h])[inside[: len(h)]]] = 1
     return out[:, :width]
 
 
@@ -69,8 +70,9 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 160, ridge: float =
     for at in range(0, len(texts), 200):
         points, begins = code_points(texts[at : at + 200])
         for h in hashed(points, ORDERS, BITS):
-            row = np.searchsorted(begins, np.arange(len(h)), side="right") - 1
-            pairs = np.unique((row << BITS) + h)
+            begin = np.flatnonzero(points[: len(h)] != 0)
+            row = np.searchsorted(begins, begin, side="right") - 1
+            pairs = np.unique((row << BITS) + h[begin])
             share += np.bincount(pairs & ((1 << BITS) - 1), weight[which[at + (pairs >> BITS)]], 1 << BITS)
     top = np.argsort(-share, kind="stable")[:FEATURES]
     top = top[share[top] > 0]
