@@ -10,6 +10,8 @@ from parallax.operators import frames as FR
 from parallax.operators import matching as MA
 from parallax.operators import passes as PA
 from parallax.queries import _EV, R, c, query, streams, table
+from parallax.sources import containers as CT
+from parallax.sources import headers as HD
 from parallax.sources import pictures as PC
 from parallax.sources import rawfiles as RF
 
@@ -164,3 +166,82 @@ def src10_raw_frames(spark, d):
     back = RF.read_frames(spark, folder, 8, 8, first=2).select("name", "frame", PC.values_of(c("pixels"), 8).alias("s"))
     pixel = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("i"), *[F.element_at(c("s"), i * 3 + k + 1).alias(n) for k, n in enumerate(("red", "green", "blue"))]))
     return back.select(c("name").alias("film"), "frame", F.inline(pixel))
+
+
+# ---- headers ----
+
+_HEX = lambda n, w: F.lpad(F.hex(n.cast("long") if not isinstance(n, int) else F.lit(n)), 2 * w, "0")
+
+
+def _number(n, width, little):
+    """Hexadecimal of a number in either byte order; ``little`` is a column."""
+    h = _HEX(n, width)
+    return F.when(little, F.concat(*[F.substring(h, 2 * (width - k) - 1, 2) for k in range(width)])).otherwise(h)
+
+
+def photo_files(spark, d):
+    """Files made of a header: JPEG, PNG and TIFF by the order's number, in both byte orders; some without tags, some broken off."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    key, little = c("o_orderkey"), c("o_custkey") % 2 == 0
+    width, height = 320 + key % 7000, 240 + (key * 3) % 5000
+    turn, focal = 1 + key % 8, key % 60
+    n = lambda v, w: _number(v, w, little)
+    entry = lambda tag, kind, value, w: F.concat(n(tag, 2), n(kind, 2), n(1, 4), n(value, w), F.lit("00" * (4 - w)))
+    head = F.concat(F.when(little, "49492A00").otherwise("4D4D002A"), n(8, 4))
+    # Two or four entries, then the inner directory at 8 + 2 + 12 entries + 4.
+    turned, inner = entry(0x112, 3, turn, 2), lambda at: entry(0x8769, 4, at, 4)
+    lens = F.concat(n(1, 2), entry(0xA405, 3, focal, 2), F.lit("00" * 4))
+    tiff = F.concat(head, n(2, 2), turned, inner(38), F.lit("00" * 4), lens)
+    whole = F.concat(head, n(4, 2), entry(0x100, 4, width, 4), entry(0x101, 3, height, 2), turned, inner(62), F.lit("00" * 4), lens)
+    be = lambda v, w: _HEX(v, w)
+    exif = F.concat(F.lit("FFE1"), be(F.length(tiff) / 2 + 8, 2), F.lit("457869660000"), tiff)
+    frame = F.concat(F.lit("FFFFC0001108"), be(height, 2), be(width, 2), F.lit("03012200021101031101"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), F.when(key % 5 == 0, "").otherwise(exif), F.lit("FFC400040000"), frame, F.lit("FFDA"))
+    chunk = lambda kind, body: F.concat(be(F.length(body) / 2, 4), F.lit(kind.encode().hex()), body, F.lit("00000000"))
+    png = F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", F.concat(be(width, 4), be(height, 4), F.lit("0802000000"))), F.when(key % 5 == 0, "").otherwise(chunk("eXIf", tiff)), chunk("IDAT", F.lit("00")))
+    made = F.when(key % 3 == 0, jpeg).when(key % 3 == 1, png).otherwise(whole)
+    cut = F.when(key % 11 == 0, F.substring(made, 1, 40)).otherwise(made)
+    return rows.select("o_orderkey", F.unhex(cut).alias("content"))
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey, 320 + o_orderkey % 7000 AS w, 240 + (o_orderkey * 3) % 5000 AS h, CASE WHEN o_orderkey % 3 < 2 AND o_orderkey % 5 = 0 THEN NULL ELSE 1 + o_orderkey % 8 END AS turn,
+ CASE WHEN (o_orderkey % 3 < 2 AND o_orderkey % 5 = 0) OR o_orderkey % 60 = 0 THEN NULL ELSE o_orderkey % 60 END AS focal, o_orderkey % 11 <> 0 AS good FROM orders),
+ u AS (SELECT *, CASE WHEN turn >= 5 THEN h ELSE w END AS uw, CASE WHEN turn >= 5 THEN w ELSE h END AS uh FROM k)
+ SELECT o_orderkey, CASE WHEN good THEN CASE o_orderkey % 3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' ELSE 'tiff' END END AS format, CASE WHEN good THEN uw END AS width, CASE WHEN good THEN uh END AS height,
+ CAST(CASE WHEN good THEN turn END AS INT) AS orientation, round(CASE WHEN good THEN focal * uw / 36.0 END, 6) AS focal_px FROM u"""
+)
+def src04_headers(spark, d):
+    """SRC-04 and SRC-11 from bytes: size, orientation and focal length of files made from orders, one in eleven broken off."""
+    return HD.photos(photo_files(spark, d)).select("o_orderkey", "format", "width", "height", "orientation", R(c("focal_px")).alias("focal_px"))
+
+
+def films(spark, d):
+    """Films as of SNK-05's query; where the samples come last, their box has a size of 0 in one of three; one in seven is broken off."""
+    key = c("o_orderkey")
+    n = (c("o_custkey") % 50).cast("int")
+    box = lambda kind, body: F.concat(_HEX(F.length(body) / 2 + 8, 4), F.lit(kind.encode().hex()), body)
+    stsd = box("stsd", F.concat(F.lit("00" * 4), _HEX(1, 4), box("avc1", F.lit("00" * 4))))
+    stco = box("stco", F.concat(F.lit("00" * 4), _HEX(1, 4), _HEX(20, 4)))
+    mdia = box("mdia", F.concat(box("hdlr", F.lit("00" * 16)), box("minf", box("stbl", F.concat(stsd, stco)))))
+    moov = box("moov", box("trak", mdia))
+    samples = F.repeat(F.lit("73"), n)
+    # Sizes of 64 bits where the samples come first.
+    wide = F.concat(F.lit("000000016D646174"), _HEX(n + 16, 8), samples)
+    last = F.concat(F.when(key % 3 == 0, "00000000").otherwise(_HEX(n + 8, 4)), F.lit("6D646174"), samples)
+    whole = F.concat(box("ftyp", F.lit("69736F6D")), F.when(key % 2 == 0, F.concat(wide, moov)).otherwise(F.concat(moov, last)))
+    cut = F.when(key % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 6)).otherwise(whole)
+    return table(spark, d, "orders").select("o_orderkey", F.unhex(cut).alias("content"))
+
+
+@query(
+    """WITH f AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS first_, o_orderkey % 3 = 0 AS zero, o_orderkey % 7 = 0 AS cut, o_custkey % 50 AS n FROM orders),
+ t(path, depth, kind, off, size) AS (VALUES ('moov', 0, 'moov', 0, 112), ('moov/trak', 1, 'trak', 8, 104), ('moov/trak/mdia', 2, 'mdia', 16, 96), ('moov/trak/mdia/hdlr', 3, 'hdlr', 24, 24),
+ ('moov/trak/mdia/minf', 3, 'minf', 48, 64), ('moov/trak/mdia/minf/stbl', 4, 'stbl', 56, 56), ('moov/trak/mdia/minf/stbl/stsd', 5, 'stsd', 64, 28), ('moov/trak/mdia/minf/stbl/stsd/avc1', 6, 'avc1', 80, 12), ('moov/trak/mdia/minf/stbl/stco', 5, 'stco', 92, 20))
+ SELECT o_orderkey, 'ftyp' AS path, CAST(0 AS INT) AS depth, 'ftyp' AS kind, CAST(0 AS BIGINT) AS start, CAST(12 AS BIGINT) AS size FROM f
+ UNION ALL SELECT o_orderkey, path, CAST(depth AS INT), kind, CAST(CASE WHEN first_ THEN 28 + n ELSE 12 END + off AS BIGINT), CAST(size AS BIGINT) FROM f, t WHERE NOT (first_ AND cut)
+ UNION ALL SELECT o_orderkey, 'mdat', 0, 'mdat', CASE WHEN first_ THEN 12 ELSE 124 END, CASE WHEN first_ THEN 16 + n WHEN cut THEN 8 + n - 3 ELSE 8 + n END FROM f WHERE first_ OR NOT cut OR (zero AND n >= 3)"""
+)
+def snk05_box_tree(spark, d):
+    """D15: every box of films made from orders, with 64-bit sizes, sizes of 0, and films that are broken off."""
+    return films(spark, d).select("o_orderkey", F.inline(CT.box_tree(c("content"))))

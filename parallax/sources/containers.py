@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 # Fixed values of the format: boxes that hold others on the way to a track's table of samples, and tables of chunk offsets.
 INNER = (b"moov", b"trak", b"mdia", b"minf", b"stbl")
+# Bytes before the first inner box of those that hold others; entries of a table of samples have 78.
+HOLDS = dict.fromkeys((b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"udta", b"mvex", b"moof", b"traf", b"sv3d", b"proj"), 0) | {b"stsd": 8, b"meta": 4}
+ENTRY = 78
 OFFSETS = {b"stco": ">I", b"co64": ">Q"}
 LEFT_RIGHT = 1
 
@@ -42,6 +45,40 @@ def boxes(data: bytes, start: int, end: int) -> Iterator[Box]:
         start = stop
 
 
+def walk(data: bytes) -> Iterator[tuple[str, int, str, int, int]]:
+    """(path, depth, kind, start, size) of every box, in the order of the file.
+
+    Boxes that hold others are entered by an explicit stack, so nesting may be as deep as a file has it. A box that doesn't fit
+    into the one around it ends the walk of that one; what comes behind that is still read.
+    """
+    todo = [("", 0, b"", boxes(data, 0, len(data)))]
+    while todo:
+        path, depth, around, inside = todo[-1]
+        box = next(inside, None)
+        if box is None:
+            todo.pop()
+            continue
+        name = box.kind.decode("latin-1")
+        here = f"{path}/{name}" if path else name
+        yield here, depth, name, box.start, box.end - box.start
+        skip = ENTRY if around == b"stsd" else HOLDS.get(box.kind)
+        if skip is not None:
+            todo.append((here, depth + 1, box.kind, boxes(data, box.body + skip, box.end)))
+
+
+BOXES = "array<struct<path: string, depth: int, kind: string, start: long, size: long>>"
+
+
+def box_tree(content: Column) -> Column:
+    """The boxes of a file as an array of structs, to be opened by ``inline``; null and what is no such file have none."""
+
+    @F.pandas_udf(BOXES)
+    def rows(content: pd.Series) -> pd.Series:
+        return pd.Series([[] if d is None else [dict(zip(("path", "depth", "kind", "start", "size"), b, strict=True)) for b in walk(d)] for d in content], dtype=object)
+
+    return rows(content)
+
+
 def _find(data: bytes, box: Box, kind: bytes) -> Box | None:
     return next((b for b in boxes(data, box.body, box.end) if b.kind == kind), None)
 
