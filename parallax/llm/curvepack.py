@@ -29,7 +29,7 @@ from .tokens import END_OF_TEXT, encoder
 
 BUCKETS, DIMENSIONS, BITS = 4096, 3, 16
 #: Sampled rows for each range, bytes of text in a range, about, and ranges at most.
-SAMPLE, RANGE_BYTES, RANGES = 20, 16 << 20, 100_000
+SAMPLE, RANGE_BYTES, RANGES = 30, 16 << 20, 100_000
 
 
 def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -118,19 +118,20 @@ PLACED = T.StructType(
 
 
 def _splits(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of ranges, and their bounds, from rows drawn at random, whatever is in them.
+    """Number of ranges, and their bounds, from rows drawn at random in proportion to their size, whatever else is in them.
 
-    The bounds only decide how even the ranges are, not what is in them. The driver gets about ``SAMPLE`` times the ranges.
+    The bounds only decide how even the ranges are, not what is in them. The driver gets at most about ``SAMPLE`` times the ranges.
     """
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     ranges = int(max(1, min(RANGES, size["bytes"] // RANGE_BYTES + 1)))
     if ranges == 1:
         return 1, np.zeros((2, 0), np.int64)
-    some = docs.sample(False, min(1.0, SAMPLE * ranges / size["rows"]), 11)
+    each = (size["bytes"] + size["rows"]) / (SAMPLE * ranges)  # what a drawn row stands for, at least its own size
+    some = docs.where(F.rand(11) * each < F.octet_length("text") + 1)
     got = some.mapInArrow(_place(None), PLACED).select("curve", "tie", F.octet_length("text").alias("n")).toArrow()
     curve, tie, n = (got.column(c).to_numpy() for c in ("curve", "tie", "n"))
     order = np.lexsort((tie, curve))
-    place = np.cumsum(n[order] + 1)
+    place = np.cumsum(np.maximum(n[order] + 1, each))
     at = np.searchsorted(place, place[-1] * np.arange(1, ranges) / ranges) if len(place) else np.zeros(0, np.int64)
     return ranges, np.stack((curve[order][at], tie[order][at]))
 
