@@ -9,7 +9,8 @@ from parallax.functions import scalar as S
 from parallax.operators import frames as FR
 from parallax.operators import matching as MA
 from parallax.operators import passes as PA
-from parallax.queries import _EV, R, c, query, streams, table
+from parallax.plans import attempts as AT
+from parallax.queries import _CL, _EV, R, c, clips, query, streams, table
 from parallax.sources import containers as CT
 from parallax.sources import headers as HD
 from parallax.sources import pictures as PC
@@ -245,3 +246,74 @@ def films(spark, d):
 def snk05_box_tree(spark, d):
     """D15: every box of films made from orders, with 64-bit sizes, sizes of 0, and films that are broken off."""
     return films(spark, d).select("o_orderkey", F.inline(CT.box_tree(c("content"))))
+
+
+# ---- attempts ----
+
+
+def _decode(row: dict, place: AT.Place) -> dict:
+    if row["frames"] is None:
+        raise ValueError(f"clip {row['clip_id']} has no length")
+    return {"seconds": row["frames"] / row["fps"]}
+
+
+def _estimate(row: dict, place: AT.Place) -> dict:
+    needed = 128 * place.width * place.height + (500_000_000 if row["model"] == "da3" else 0)
+    free = row["card_free"] if place.device == "cuda" else row["host_free"]
+    if free is not None and needed > free * 0.85:
+        raise AT.OutOfRoom(needed, free)
+    return {}
+
+
+def _encode(row: dict, place: AT.Place) -> dict:
+    if row["clip_id"] % 17 == 0:
+        raise RuntimeError(f"could not encode clip {row['clip_id']}")
+    return {"pixels": place.width * place.height * row["frames"]}
+
+
+def outcomes(spark, d):
+    """Attempts at clips whose stages fail by plan: no length, no room on a card, on the host or on both, no encoding."""
+    w, h, host = c("width"), c("height"), (c("clip_id") * 31) % 4000 * 1_000_000
+    rows = clips(spark, d).withColumn("card_free", c("free_bytes")).withColumn("host_free", host)
+    scale = F.sqrt(F.least(F.lit(1.0), c("host_free") * 0.85 / 128 / (w * h)))
+    small = [F.greatest(F.lit(1).cast("long"), F.floor(x * scale).cast("long")) for x in (w, h)]
+    worth = ~((small[0] == w) & (small[1] == h))
+    answer = F.when(c("clip_id") % 3 == 0, "resize").when(c("clip_id") % 3 == 1, "skip")
+    rows = rows.withColumns({"target_width": F.when(worth, small[0]), "target_height": F.when(worth, small[1]), "answer": answer})
+    stages = [("decode", _decode), ("depth", _estimate), ("encode", _encode)]
+    return AT.attempts(rows, stages, {"seconds": T.DoubleType(), "pixels": T.LongType()})
+
+
+_OUTCOMES = (
+    _CL
+    + """, h AS (SELECT *, (clip_id * 31) % 4000 * 1000000 AS host, CASE WHEN model = 'da3' THEN 500000000 ELSE 0 END AS fx FROM clips),
+ s AS (SELECT *, sqrt(least(1.0, host * 0.85 / 128 / (width * height))) AS s FROM h), t AS (SELECT *, greatest(1, CAST(floor(width * s) AS BIGINT)) AS tw, greatest(1, CAST(floor(height * s) AS BIGINT)) AS th FROM s),
+ n AS (SELECT *, 128 * width * height + fx AS need, 128 * tw * th + fx AS need2, clip_id % 3 = 0 AND NOT (tw = width AND th = height) AS again FROM t),
+ d AS (SELECT *, CASE WHEN free_bytes IS NULL OR need <= free_bytes * 0.85 THEN 1 WHEN need <= host * 0.85 THEN 2 WHEN NOT again THEN NULL WHEN free_bytes IS NULL OR need2 <= free_bytes * 0.85 THEN 3 WHEN need2 <= host * 0.85 THEN 4 END AS turn FROM n),
+ o AS (SELECT *, CASE WHEN frames IS NULL THEN 'failed' WHEN turn IS NULL THEN CASE WHEN again THEN 'failed' ELSE 'skipped' END WHEN clip_id % 17 = 0 THEN 'failed' WHEN turn > 2 THEN 'resized' ELSE 'done' END AS status,
+ CASE WHEN frames IS NULL THEN 'decode' WHEN turn IS NULL THEN 'depth' ELSE 'encode' END AS stage, CAST(CASE WHEN frames IS NULL THEN 1 WHEN turn IS NULL THEN CASE WHEN again THEN 4 ELSE 2 END ELSE turn END AS INT) AS tries FROM d),
+ r AS (SELECT *, CASE WHEN tries % 2 = 1 THEN 'cuda' ELSE 'cpu' END AS device, status IN ('done', 'resized') AS good, CASE WHEN stage = 'depth' THEN CASE WHEN again THEN need2 ELSE need END END AS wanted,
+ CASE WHEN status = 'resized' THEN tw ELSE width END AS dw, CASE WHEN status = 'resized' THEN th ELSE height END AS dh FROM o) """
+)
+
+
+@query(
+    _OUTCOMES
+    + """SELECT clip_id, status, stage, device, tries, CASE WHEN good THEN dw END AS done_width, CASE WHEN good THEN dh END AS done_height, wanted, CASE WHEN wanted IS NOT NULL THEN host END AS free,
+ CASE WHEN frames IS NULL THEN 'ValueError: clip ' || clip_id || ' has no length' WHEN wanted IS NOT NULL THEN 'needs ' || wanted || ' bytes, ' || host || ' are free' WHEN NOT good THEN 'RuntimeError: could not encode clip ' || clip_id END AS error,
+ round(CASE WHEN good THEN frames / fps END, 6) AS seconds, CASE WHEN good THEN dw * dh * frames END AS pixels FROM r"""
+)
+def pln11_outcomes(spark, d):
+    """PLN-11 with D16 and D17: what came of every clip, tried on card and host, at its own size and a smaller one."""
+    out = outcomes(spark, d)
+    return out.select("clip_id", *AT.OUTCOME, R(c("seconds")).alias("seconds"), "pixels")
+
+
+@query(
+    _OUTCOMES
+    + """SELECT model, count(*) AS clips, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'resized') AS resized, count(*) FILTER (status = 'skipped') AS skipped,
+ count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (good AND device = 'cpu') AS moved FROM r GROUP BY model"""
+)
+def pln11_summary(spark, d):
+    """PLN-11 with AGG-13's counters: how the clips of each depth model ended."""
+    return AT.summary(outcomes(spark, d), ["model"])
