@@ -159,7 +159,18 @@ def clock(seconds: Column) -> Column:
 
 
 def gigabytes(n: Column) -> Column:
-    return F.when(n.isNull(), "?").otherwise(F.format_string("%.2fG", n / 1e9))
+    """Bytes in gigabytes with two digits; of two equally near, the one that the quotient in double precision is nearer to, else the even one.
+
+    A quotient m / 200 is 2**-p times a whole number m * 2**p / 200, rounded: what remains of that division says which way.
+    """
+    hundredths, rest = F.floor(n / 10_000_000).cast("long"), F.pmod(n, F.lit(10_000_000))
+    m = 2 * hundredths + 1
+    p = (52 - F.floor(F.log2(m / 200.0))).cast("int")
+    remains = F.pmod(F.pmod(F.call_function("shiftleft", F.lit(1).cast("long"), p), F.lit(200)) * F.pmod(m, F.lit(200)), F.lit(200))
+    up = (rest > 5_000_000) | ((rest == 5_000_000) & ((remains > 100) | ((remains == 0) & (F.pmod(hundredths, F.lit(2)) == 1))))
+    shown = hundredths + up.cast("long")
+    text = F.concat(F.floor(shown / 100).cast("string"), F.lit("."), F.lpad(F.pmod(shown, F.lit(100)).cast("string"), 2, "0"), F.lit("G"))
+    return F.coalesce(text, F.lit("?"))
 
 
 def canvas(width: Column, height: Column, focal: Column, reach: float = CANVAS_REACH) -> dict[str, Column]:

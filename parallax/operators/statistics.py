@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stereo import thinned
+
 
 def mosaic(samples: DataFrame, pixel: list[str], value: str) -> DataFrame:
     """Lower median of the samples that were seen, and whether any was."""
@@ -14,10 +16,10 @@ def mosaic(samples: DataFrame, pixel: list[str], value: str) -> DataFrame:
     )
 
 
-def far_field(depth: DataFrame, frame: list[str], metres: Column) -> DataFrame:
-    """Rows at or beyond the median distance of their frame."""
+def far_field(depth: DataFrame, frame: list[str], order: list[str] | Column, metres: Column) -> DataFrame:
+    """Rows at or beyond the median distance of their frame, of its values as thinned."""
     depth = depth.withColumn("metres", metres)
-    middle = depth.groupBy(*frame).agg(F.percentile("metres", F.lit(0.5)).alias("middle"))
+    middle = thinned(depth, frame, order).groupBy(*frame).agg(F.percentile("metres", F.lit(0.5)).alias("middle"))
     return depth.join(middle, frame).where("metres >= middle")
 
 

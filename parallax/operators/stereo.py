@@ -19,32 +19,36 @@ PIXELS_AT_ONCE = 1_000_000
 MOST_VALUES = 1 << 20
 
 
-def thinned(values: DataFrame, frame: list[str], place: Column, most: int = MOST_VALUES) -> DataFrame:
-    """Every (n // most + 1)-th value of frames with n > most values, by their place in the frame from 0; else all."""
+def thinned(values: DataFrame, frame: list[str], order: list[str] | Column, most: int = MOST_VALUES) -> DataFrame:
+    """Every (n // most + 1)-th value of frames with n > most values, in the frame's order; else all.
+
+    The order is given by columns, or as a column with each value's place in its frame from 0, which spares the sort.
+    """
+    place = F.row_number().over(Window.partitionBy(*frame).orderBy(*order)) - 1 if isinstance(order, list) else order
     n = F.count("*").over(Window.partitionBy(*frame))
     stride = F.when(n > most, F.floor(n / most) + 1).otherwise(1)
-    return values.withColumn("_stride", stride).where(F.pmod(place, F.col("_stride")) == 0).drop("_stride")
+    return values.withColumn("_place", place).withColumn("_stride", stride).where(F.pmod("_place", "_stride") == 0).drop("_place", "_stride")
 
 
-def normalize(values: DataFrame, frame: list[str], value: str, low: float = 0.02, high: float = 0.98, place: Column | None = None) -> DataFrame:
-    """Values scaled to the range between two exact quantiles of their frame, of its thinned values where places are given."""
-    seen = values if place is None else thinned(values, frame, place)
+def normalize(values: DataFrame, frame: list[str], order: list[str] | Column, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Values scaled to the range between two quantiles of their frame, exact ones of its values as thinned."""
+    seen = thinned(values, frame, order)
     ends = seen.groupBy(*frame).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
     return values.join(ends, frame).withColumn("norm", apply_range(F.col(value), F.col("q")[0], F.col("q")[1])).drop("q")
 
 
 def auto_geometry(
-    depth: DataFrame, frame: list[str], inv: str, width: Column, focal: Column, target: Column, forward: float = FORWARD,
-    eyes: Column | None = None, focus: Column | None = None, place: Column | None = None,
+    depth: DataFrame, frame: list[str], order: list[str] | Column, inv: str, width: Column, focal: Column, target: Column, forward: float = FORWARD,
+    eyes: Column | None = None, focus: Column | None = None,
 ) -> DataFrame:
     """Eye distance in millimetres and focus in metres of each frame, from one grouping with three quantiles.
 
-    With ``place`` (of a value in its frame, from 0) large frames are thinned first, which bounds a group's buffer.
+    Large frames are thinned first, which bounds a group's buffer.
 
     ``eyes`` and ``focus`` pin either half where they aren't null (they must be the same on all rows of a frame); the other
     half is still chosen to suit the scene.
     """
-    depth = depth if place is None else thinned(depth, frame, place)
+    depth = thinned(depth, frame, order)
     q = F.percentile(inv, F.array(F.lit(0.02), F.lit(0.98), F.lit(1.0 - forward)))
     pins = [F.max(c if c is not None else F.lit(None).cast("double")).alias(n) for c, n in ((eyes, "_eyes"), (focus, "_focus"))]
     out = depth.groupBy(*frame).agg(q.alias("q"), F.max(width).alias("width"), F.max(focal).alias("focal"), F.max(target).alias("target"), *pins)
@@ -58,7 +62,7 @@ def auto_geometry(
 def margin_of(halves: DataFrame, frame: list[str], half: Column, width: Column, pinned: Column | None = None) -> DataFrame:
     """The trim at each end that the largest half shift of a frame needs, unless pinned, and that shift."""
     pin = F.max(pinned if pinned is not None else F.lit(None).cast("long"))
-    out = halves.groupBy(*frame).agg(F.round(F.max(F.abs(half)), 6).alias("most"), F.max(width).alias("_w"), pin.alias("_pin"))
+    out = halves.groupBy(*frame).agg(F.max(F.abs(half)).alias("most"), F.max(width).alias("_w"), pin.alias("_pin"))
     needed = F.least(F.ceil("most").cast("long"), F.floor((F.col("_w") - 1) / 2).cast("long"))
     return out.select(*frame, F.coalesce("_pin", needed).alias("margin"), "most")
 

@@ -213,10 +213,10 @@ def scl21_directions(spark, d):
 
 @query(_CL + """SELECT clip_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h' || lpad(CAST((s % 3600) // 60 AS VARCHAR), 2, '0') || 'm'
  WHEN s >= 60 THEN (s // 60) || 'm' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS clock,
- coalesce(printf('%.2fG', (free_bytes + 1) / 1e9), '?') AS free FROM (SELECT *, coalesce(frames, 0) * 3 AS s FROM clips)""")
+ coalesce(printf('%.2fG', free_bytes / 1e9), '?') AS free FROM (SELECT *, coalesce(frames, 0) * 3 AS s FROM clips)""")
 def scl24_clock(spark, d):
     """SCL-24 and 25."""
-    return clips(spark, d).select("clip_id", S.clock(F.coalesce("frames", lit(0)) * 3).alias("clock"), S.gigabytes(c("free_bytes") + 1).alias("free"))
+    return clips(spark, d).select("clip_id", S.clock(F.coalesce("frames", lit(0)) * 3).alias("clock"), S.gigabytes(c("free_bytes")).alias("free"))
 
 
 @query(_CL + """, a AS (SELECT *, 28.0 / 36 * width AS f FROM clips), b AS (SELECT *, least(degrees(2 * atan(width / (2 * f))) + 40, 140) AS fx, least(degrees(2 * atan(height / (2 * f))) + 40, 140) AS fy FROM a),
@@ -283,7 +283,7 @@ _Q = "quantile_cont(inv, {})"
  SELECT l_orderkey, l_linenumber, round(CASE WHEN hi - lo < 1e-6 THEN 0 ELSE greatest(0, least(1, (inv - lo) / (hi - lo))) END, 6) AS norm FROM dep JOIN q USING (frame)""")
 def agg02_normalize(spark, d):
     """AGG-01, AGG-02 and SCL-03."""
-    return SR.normalize(depth(spark, d), ["frame"], "inv").select("l_orderkey", "l_linenumber", R(c("norm")).alias("norm"))
+    return SR.normalize(depth(spark, d), ["frame"], ["l_orderkey", "l_linenumber"], "inv").select("l_orderkey", "l_linenumber", R(c("norm")).alias("norm"))
 
 
 _GEO = """, q AS (SELECT frame, quantile_cont(inv, 0.02) AS lo, quantile_cont(inv, 0.98) AS hi, quantile_cont(inv, 0.88) AS fw FROM dep GROUP BY frame),
@@ -294,7 +294,7 @@ _GEO = """, q AS (SELECT frame, quantile_cont(inv, 0.02) AS lo, quantile_cont(in
 @query(_DEP + _GEO + "SELECT frame, round(eyes, 6) AS eyes_mm, round(focus_m, 6) AS focus_m FROM geo")
 def agg03_auto_geometry(spark, d):
     """AGG-03."""
-    g = SR.auto_geometry(depth(spark, d), ["frame"], "inv", lit(1920.0), lit(1500.0), lit(2.0))
+    g = SR.auto_geometry(depth(spark, d), ["frame"], ["l_orderkey", "l_linenumber"], "inv", lit(1920.0), lit(1500.0), lit(2.0))
     return g.select("frame", R(c("eyes_mm")).alias("eyes_mm"), R(c("focus_m")).alias("focus_m"))
 
 
@@ -303,9 +303,8 @@ def agg03_auto_geometry(spark, d):
  SELECT frame, count(*) AS n, round(avg(CASE WHEN hi - lo < 1e-6 THEN 0 ELSE greatest(0, least(1, (inv - lo) / (hi - lo))) END), 6) AS norm FROM dep JOIN q USING (frame) GROUP BY frame""")
 def agg01_stride(spark, d):
     """AGG-01 above its limit, here 256 values of a frame."""
-    line = Window.partitionBy("frame").orderBy("l_orderkey", "l_linenumber", "inv")
-    rows = depth(spark, d).withColumn("at", F.row_number().over(line) - 1)
-    seen = SR.thinned(rows, ["frame"], c("at"), 256)
+    rows = depth(spark, d)
+    seen = SR.thinned(rows, ["frame"], ["l_orderkey", "l_linenumber", "inv"], 256)
     ends = seen.groupBy("frame").agg(F.percentile("inv", F.array(lit(0.02), lit(0.98))).alias("q"))
     norm = S.apply_range(c("inv"), c("q")[0], c("q")[1])
     return rows.join(ends, "frame").groupBy("frame").agg(F.count("*").alias("n"), R(F.avg(norm)).alias("norm"))
@@ -315,19 +314,19 @@ def agg01_stride(spark, d):
 def agg04_pins(spark, d):
     """AGG-04: either half pinned on some frames."""
     eyes, focus = F.when(c("frame") % 3 == 0, 63.5), F.when(c("frame") % 4 == 0, 2.25)
-    g = SR.auto_geometry(depth(spark, d), ["frame"], "inv", lit(1920.0), lit(1500.0), lit(2.0), eyes=eyes, focus=focus)
+    g = SR.auto_geometry(depth(spark, d), ["frame"], ["l_orderkey", "l_linenumber"], "inv", lit(1920.0), lit(1500.0), lit(2.0), eyes=eyes, focus=focus)
     return g.select("frame", R(c("eyes_mm")).alias("eyes_mm"), R(c("focus_m")).alias("focus_m"))
 
 
 @query(_DEP + _GEO + """, half AS (SELECT dep.frame, greatest(least(1500 * (eyes / 1000) * (inv - 1 / focus_m) / 2, 28.8), -28.8) AS h FROM dep JOIN geo USING (frame))
- SELECT frame, CAST(CASE WHEN frame % 7 = 0 THEN 12 ELSE least(ceil(round(max(abs(h)), 6)), 959) END AS BIGINT) AS margin, round(max(abs(h)), 6) AS most FROM half GROUP BY frame""")
+ SELECT frame, CAST(CASE WHEN frame % 7 = 0 THEN 12 ELSE least(ceil(max(abs(h))), 959) END AS BIGINT) AS margin, round(max(abs(h)), 6) AS most FROM half GROUP BY frame""")
 def agg06_margin(spark, d):
     """AGG-03, SCL-01 and AGG-06 in one query: geometry by frame, half shifts, and the margin they need or that is pinned."""
     rows = depth(spark, d)
-    g = SR.auto_geometry(rows, ["frame"], "inv", lit(1920.0), lit(1500.0), lit(2.0))
+    g = SR.auto_geometry(rows, ["frame"], ["l_orderkey", "l_linenumber"], "inv", lit(1920.0), lit(1500.0), lit(2.0))
     half = S.half_disparity(c("inv"), lit(1500.0), c("eyes_mm"), c("focus_m"), lit(3.0), lit(1920.0))
     pinned = F.when(c("frame") % 7 == 0, lit(12).cast("long"))
-    return SR.margin_of(rows.select("frame", "inv").join(g, "frame"), ["frame"], half, lit(1920), pinned).select("frame", "margin", "most")
+    return SR.margin_of(rows.select("frame", "inv").join(g, "frame"), ["frame"], half, lit(1920), pinned).select("frame", "margin", R(c("most")).alias("most"))
 
 
 @query(_SPH.replace(", t AS", ", unused AS") + " SELECT frame, round(sum(CASE WHEN v > 0 THEN cos(el) ELSE 0 END) * (pi() / 8) * (pi() / 8) / (2 * pi()), 6) AS coverage FROM d GROUP BY frame")
@@ -400,7 +399,7 @@ def agg14_share(spark, d):
 @query(_DEP + ", q AS (SELECT frame, quantile_cont(1 / inv, 0.5) AS m FROM dep GROUP BY frame) SELECT frame, count(*) AS far, round(min(1 / inv), 6) AS nearest FROM dep JOIN q USING (frame) WHERE round(1 / inv, 9) >= round(m, 9) GROUP BY frame")
 def flt04_far_field(spark, d):
     """FLT-04."""
-    far = ST.far_field(depth(spark, d), ["frame"], F.round(1 / c("inv"), 9))
+    far = ST.far_field(depth(spark, d), ["frame"], ["l_orderkey", "l_linenumber"], F.round(1 / c("inv"), 9))
     return far.groupBy("frame").agg(F.count("*").alias("far"), R(F.min("metres")).alias("nearest"))
 
 
@@ -834,7 +833,7 @@ def _warp_sql(border: bool, name: str) -> str:
  {name} AS (SELECT t.frame, t.y, t.x, sum(k * p.v) AS val FROM {name}t t JOIN pix p ON p.frame = t.frame AND p.x = px AND p.y = py GROUP BY 1, 2, 3)"""
 
 
-@query(_PIX + f", {_warp_sql(True, 'wb')}, {_warp_sql(False, 'wz')} SELECT pix.frame, pix.y, pix.x, round(coalesce(wb.val, 0), 5) AS border, round(coalesce(wz.val, 0), 5) AS zeros FROM pix LEFT JOIN wb ON wb.frame = pix.frame AND wb.y = pix.y AND wb.x = pix.x LEFT JOIN wz ON wz.frame = pix.frame AND wz.y = pix.y AND wz.x = pix.x")
+@query(_PIX.replace("pix AS (", "pix AS MATERIALIZED (") + f", {_warp_sql(True, 'wb')}, {_warp_sql(False, 'wz')} SELECT pix.frame, pix.y, pix.x, round(coalesce(wb.val, 0), 5) AS border, round(coalesce(wz.val, 0), 5) AS zeros FROM pix LEFT JOIN wb ON wb.frame = pix.frame AND wb.y = pix.y AND wb.x = pix.x LEFT JOIN wz ON wz.frame = pix.frame AND wz.y = pix.y AND wz.x = pix.x")
 def rsm13_warp(spark, d):
     """RSM-13: pictures moved by a flow made from their own values, both ways of treating what lies beyond the edge."""
     px = picture(spark, d).withColumn("dx", c("v") * 9).withColumn("dy", c("v") * -7)
@@ -1039,26 +1038,24 @@ def pln09_painter(spark, d):
     asked = F.when(c("clip_id") % 4 == 0, "auto").when(c("clip_id") % 4 == 1, "lama").when(c("clip_id") % 4 == 2, "none")
     card = F.when(c("clip_id") % 3 != 0, (c("clip_id") * 31) % 9000 * 1000000)
     rows = clips(spark, d).select("clip_id", asked.alias("asked"), c("free_bytes").alias("host"), card.alias("card"))
-    have = spark.createDataFrame([(n, k) for k, n in enumerate(B.PAINTERS)], "name string, rank int")
-    return B.choose_painter(rows, have).select("clip_id", "painter")
+    return rows.select("clip_id", B.choose_painter(c("asked"), c("host"), c("card"), list(B.PAINTERS)).alias("painter"))
 
 
 @query(_CL + _COST + """, nd AS (SELECT *, greatest(depth_cost, CAST(width * height * 128 AS BIGINT)) AS needs, free_bytes * 0.85 AS budget FROM cost WHERE free_bytes IS NOT NULL),
  pl AS (SELECT *, sqrt(least(1.0, budget / 128 / (width * height))) AS s FROM nd), tg AS (SELECT *, greatest(1, CAST(floor(width * s) AS BIGINT)) AS tw0, greatest(1, CAST(floor(height * s) AS BIGINT)) AS th0 FROM pl),
  t2 AS (SELECT *, CASE WHEN budget > depth_cost AND NOT (tw0 = width AND th0 = height) THEN tw0 END AS tw, CASE WHEN budget > depth_cost AND NOT (tw0 = width AND th0 = height) THEN th0 END AS th, CASE WHEN clip_id % 2 = 0 THEN 'da2-small' END AS alt FROM tg),
- t3 AS (SELECT *, 2 * (width - 2 * CAST(least(ceil(3.0 / 100 * width / 2), floor((width - 1) / 2)) AS BIGINT)) AS pw, 2 * (tw - 2 * CAST(least(ceil(3.0 / 100 * tw / 2), floor((tw - 1) / 2)) AS BIGINT)) AS pt FROM t2 WHERE width * height % 100000 <> 50000 AND coalesce(tw * th % 100000, 0) <> 50000)
- SELECT clip_id, printf('clip%d.jpg is %dx%d (%.1f MP) and needs about %.1f GB, but only %.1f GB of ', clip_id, width, height, width * height / 1e6, needs / 1e9, (free_bytes + 7) / 1e9) || CASE WHEN clip_id % 3 = 0 THEN 'video memory' ELSE 'memory' END || ' is free.' || chr(10) ||
- CASE WHEN tw IS NULL THEN 'No smaller size would fit either: the depth model needs that much whatever size the photo is.' || chr(10) || CASE WHEN alt IS NOT NULL THEN 'The ' || alt || ' depth model would fit, and costs little in quality (--model ' || alt || ').' ELSE 'Free some memory and try again.' END
- ELSE printf('Resizing to %dx%d (%.1f MP) would fit -- %.0f%% of the width, %.0f%% of the pixels.', tw, th, tw * th / 1e6, 100.0::DOUBLE * tw / width, 100.0::DOUBLE * (tw * th) / (width * height)) || chr(10) || printf('The side-by-side image would come out about %dx%d instead of %dx%d.', CAST(pt AS BIGINT), th, CAST(pw AS BIGINT), height) END AS text FROM t3""")
+ t3 AS (SELECT *, 2 * (width - 2 * CAST(least(ceil(3.0 / 100 * width / 2), floor((width - 1) / 2)) AS BIGINT)) AS pw, 2 * (tw - 2 * CAST(least(ceil(3.0 / 100 * tw / 2), floor((tw - 1) / 2)) AS BIGINT)) AS pt FROM t2)
+ SELECT clip_id, 'clip' || clip_id || '.jpg, ' || width || ' x ' || height || ', asks for ' || needs // 1000000 || ' MB of ' || CASE WHEN clip_id % 3 = 0 THEN 'the card''s memory' ELSE 'memory' END || '; ' || free_bytes // 1000000 || ' MB are there.' || chr(10) ||
+ CASE WHEN tw IS NULL THEN 'Making it smaller would not help, as depth takes that much at any size.' || chr(10) || CASE WHEN alt IS NOT NULL THEN 'The lighter model ' || alt || ' would do.' ELSE 'More memory has to be freed.' END
+ ELSE 'It can be done at ' || tw || ' x ' || th || ', ' || 100 * tw // width || ' % as wide, with ' || 100 * tw * th // (width * height) || ' % of the pixels.' || chr(10) || 'The pair would then measure ' || CAST(pt AS BIGINT) || ' x ' || th || ', not ' || CAST(pw AS BIGINT) || ' x ' || height || '.' END AS text FROM t3""")
 def pln12_describe(spark, d):
-    """PLN-12: the whole message. Seven bytes, and leaving out sizes that end on a tie, keep figures off what the two engines' formats round apart."""
+    """PLN-12: the whole message, its figures in whole numbers."""
     w, h, free = c("width"), c("height"), c("free_bytes")
     none = lit(None).cast("long")
     target = B.smaller_size(c("model"), w, h, none, free)
     name = F.concat(lit("clip"), c("clip_id").cast("string"), lit(".jpg"))
-    text = B.describe_shortage(name, (w, h), target, B.needs(c("model"), w, h, none), free + 7, c("clip_id") % 3 == 0, F.when(c("clip_id") % 2 == 0, "da2-small"), lit(3.0))
-    off = lambda a, b: F.coalesce(a * b % 100000, lit(0)) != 50000
-    return clips(spark, d).where(c("free_bytes").isNotNull() & off(w, h) & off(*target)).select("clip_id", text.alias("text"))
+    text = B.describe_shortage(name, (w, h), target, B.needs(c("model"), w, h, none), free, c("clip_id") % 3 == 0, F.when(c("clip_id") % 2 == 0, "da2-small"), lit(3.0))
+    return clips(spark, d).where(free.isNotNull()).select("clip_id", text.alias("text"))
 
 
 # ---- sources, names, containers ----

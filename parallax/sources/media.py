@@ -39,8 +39,8 @@ def list_media(spark: SparkSession, *inputs: str) -> DataFrame:
 
 
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """Files (path, content) whose SHA-256 is the one expected (path, sha256); the list is of a few models."""
-    return files.join(F.broadcast(expected), "path").where(F.sha2("content", 256) == F.lower("sha256")).select(files.columns)
+    """Files (path, content) whose SHA-256 is the one expected (path, sha256). Either table may be large: Spark chooses the join."""
+    return files.join(expected, "path").where(F.sha2("content", 256) == F.lower("sha256")).select(files.columns)
 
 
 def suffix(path: Column) -> Column:

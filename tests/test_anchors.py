@@ -33,10 +33,11 @@ def test_chunk_plan(spark, free, w, h, out, want):
 
 
 def test_chunks_cover_every_frame_once(spark):
-    lengths = spark.createDataFrame([(n,) for n in (1, 5, 13, 20, 31, 64, 100)], "n int")
-    for chunk, lap in ((13, 6), (15, 4), (21, 6), (25, 8)):
+    counts = (1, 2, 7, 8, 9, 26, 77, 203)
+    lengths = spark.createDataFrame([(n,) for n in counts], "n int")
+    for chunk, lap in ((3, 1), (8, 3), (9, 2), (16, 5), (40, 19)):
         owned = FR.chunk_members(lengths, F.col("n"), chunk, lap).where("owned").groupBy("n").agg(F.count("*").alias("c"), F.countDistinct("frame").alias("d"))
-        assert {(r["n"], r["c"], r["d"]) for r in owned.collect()} == {(n, n, n) for n in (1, 5, 13, 20, 31, 64, 100)}
+        assert {(r["n"], r["c"], r["d"]) for r in owned.collect()} == {(n, n, n) for n in counts}
 
 
 def test_retiming_counts(spark):

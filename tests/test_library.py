@@ -178,3 +178,38 @@ def test_uncovered_frames(spark):
     assert {r["g"] for r in P.without(none, ["frame"], "v", "room", (4, 6), "g").collect()} == {0.5}
     assert {r["g"] for r in P.seed(none, ["frame"], "v", "room", (4, 6), 1, "g").collect()} == {0.5}
     assert P.wash_levels(12.0, 4096, 180.0, (4096, 4096)) == 8 and P.wash_levels(12.0, 8, 180.0, (8, 8)) == 1
+
+
+def test_gigabytes_as_double_precision_has_them(spark):
+    """As printf has the quotient's nearest decimals, halves to even."""
+    rng = np.random.default_rng(8)
+    values = [0, 1, 4_999_999, 5_000_000, 5_000_001, 15_000_000, 125_000_000, 375_000_000, 2_675_000_000, 10**15 + 5_000_000]
+    values += [int(k) * 5_000_000 for k in rng.integers(0, 40_000, 3000)] + [int(k) for k in rng.integers(0, 10**13, 500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", S.gigabytes(F.col("v")).alias("g"))
+    assert all(r["g"] == f"{r['v'] / 1e9:.2f}G" for r in rows.collect())
+    assert spark.sql("select cast(null as long) v").select(S.gigabytes(F.col("v")).alias("g")).first()["g"] == "?"
+
+
+def test_large_frames_are_thinned_by_default(spark):
+    n = SR.MOST_VALUES + 10
+    values = spark.range(n).select(F.lit(1).alias("f"), (n - F.col("id")).alias("k"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+    kept = values.orderBy("k").toPandas()["v"].to_numpy()[::2]
+    low, high = np.quantile(kept, [0.02, 0.98])
+    got = SR.normalize(values, ["f"], ["k"], "v").where(F.col("norm").between(0.4999, 0.5001)).select("v", "norm").limit(50).toPandas()
+    assert np.allclose((got["v"] - low) / (high - low), got["norm"]) and len(got) == 50
+    assert SR.thinned(values, ["f"], ["k"]).count() == len(kept) == SR.thinned(values, ["f"], n - F.col("k")).count()
+    small = values.where("k < 100")
+    assert SR.thinned(small, ["f"], ["k"]).count() == 99
+
+
+def test_margins_are_not_rounded_down(spark):
+    rows = spark.createDataFrame([(1, 5.0000002), (2, 5.0), (3, -4.2)], "f int, h double")
+    got = {r["f"]: (r["margin"], r["most"]) for r in SR.margin_of(rows, ["f"], F.col("h"), F.lit(1920)).collect()}
+    assert got == {1: (6, 5.0000002), 2: (5, 5.0), 3: (5, 4.2)}
+
+
+def test_painters_keep_repeated_rows(spark):
+    rows = spark.createDataFrame([("auto", 20e9, 9e9)] * 3 + [("lama", None, None), ("none", None, None), (None, 9e9, 3e9), ("", 9e9, 7e9)], "a string, h double, c double")
+    pick = lambda have: [r[0] for r in rows.select(B.choose_painter(F.col("a"), F.col("h"), F.col("c"), have)).collect()]
+    assert pick(["flux", "sdxl", "lama"]) == ["flux"] * 3 + ["lama", None, "lama", "sdxl"]
+    assert pick(["sdxl"]) == ["sdxl"] * 3 + [None, None, None, "sdxl"] and pick([]) == [None] * 7
