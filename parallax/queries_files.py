@@ -9,12 +9,14 @@ from parallax.functions import scalar as S
 from parallax.operators import frames as FR
 from parallax.operators import matching as MA
 from parallax.operators import passes as PA
+from parallax.operators import widening as WD
 from parallax.plans import attempts as AT
-from parallax.queries import _CL, _EV, R, c, clips, query, streams, table
+from parallax.queries import _CL, _EV, _PIX, R, c, clips, picture, query, streams, table
 from parallax.sources import containers as CT
 from parallax.sources import headers as HD
 from parallax.sources import pictures as PC
 from parallax.sources import rawfiles as RF
+from parallax.streaming import progress as PR
 
 # ---- passes that look both ways ----
 
@@ -317,3 +319,36 @@ def pln11_outcomes(spark, d):
 def pln11_summary(spark, d):
     """PLN-11 with AGG-13's counters: how the clips of each depth model ended."""
     return AT.summary(outcomes(spark, d), ["model"])
+
+
+# ---- widening ----
+
+# Three canvases over 8 x 8 plates: rows 1 to 6 and columns 0 to 4, the right half from row 2, and the lower half.
+_WINDOWS = [(1, 6, 0, 4), (2, 7, 4, 7), (4, 7, 0, 7)]
+_PLATE = _PIX + ", s AS (SELECT frame, y, x, v AS colour, v > 0.05 AS covered, v > 0.05 AND (x + y + frame) % 4 > 0 AS room, CAST(NULL AS INT) AS filled_by FROM pix)"
+
+
+def _canvas_sql(k: int, source: str, name: str) -> str:
+    """CTEs that end in ``name``: the plate after canvas k."""
+    top, bottom, left, right = _WINDOWS[k]
+    near = f"y BETWEEN {top} AND {bottom} AND x BETWEEN {left} AND {right}"
+    mean = lambda c: f"avg(CASE WHEN {near} AND {c} THEN colour END) OVER w + 0.001 * ((y - {top}) + (x - {left}))"
+    return f""", {name}m AS (SELECT *, count(*) FILTER ({near} AND covered) OVER w AS known, count(*) FILTER ({near} AND covered AND room) OVER w AS roomy, {mean('covered')} AS natural_, {mean('covered AND room')} AS only_,
+ ((x - {left}) + 1) / 8.0 AS keep FROM {source} WINDOW w AS (PARTITION BY frame)),
+ {name}f AS (SELECT *, {near} AND NOT covered AND known > 0 AS fill, CASE WHEN roomy >= 0.7 * greatest(known, 1) THEN only_ + keep * (natural_ - only_) ELSE natural_ END AS painted FROM {name}m),
+ {name} AS (SELECT frame, y, x, CASE WHEN fill THEN painted ELSE colour END AS colour, covered OR fill AS covered, room, CASE WHEN fill THEN {k} ELSE filled_by END AS filled_by FROM {name}f)"""
+
+
+@query(_PLATE + _canvas_sql(0, "s", "w0") + _canvas_sql(1, "w0", "w1") + _canvas_sql(2, "w1", "w2") + " SELECT frame, y, x, round(colour, 6) AS colour, covered, filled_by FROM w2")
+def rsm14_widen(spark, d):
+    """RSM-14: plates widened by three canvases in turn; the mean of what is known stands in for the painter."""
+    plates = picture(spark, d).select("frame", "y", "x", c("v").alias("colour"), (c("v") > 0.05).alias("covered"), ((c("v") > 0.05) & ((c("x") + c("y") + c("frame")) % 4 > 0)).alias("room"))
+    taps = lambda t, b, l, r: spark.createDataFrame([(y, x, y - t, x - l, (x - l + 1) / 8) for y in range(t, b + 1) for x in range(l, r + 1)], "y int, x int, cy int, cx int, keep double")
+    out = WD.widen(plates, ["frame"], [taps(*w) for w in _WINDOWS])
+    return out.select("frame", "y", "x", R(c("colour")).alias("colour"), "covered", "filled_by")
+
+
+@query(_EV + " SELECT stream, CAST(n + 1 AS BIGINT) AS done, size AS of FROM (SELECT *, count(*) OVER (PARTITION BY stream) AS size FROM ev) WHERE (n + 1) % 25 = 0 OR n + 1 = size")
+def str12_heartbeats(spark, d):
+    """STR-12: the lines that a log of a pass over every stream has, one for each 25 frames."""
+    return PR.heartbeats(streams(spark, d), ["stream"], ["ts", "event_id"], every=25)
