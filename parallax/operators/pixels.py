@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parallax.functions.scalar import clamp, expose, smoothstep
@@ -181,29 +184,105 @@ def pyramid_levels(height: int, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def surround(pixels: DataFrame, frame: list[str], value: str, weight: str, size: tuple[int, int], coarse: int = 0) -> DataFrame:
-    """Fill what has no weight from coarser levels: halve value times weight and weight, then climb back.
+#: Pixels of a frame that one task climbs through alone; larger levels of a pyramid stay rows.
+PACKED = 1 << 20
+
+
+def _halved(a: np.ndarray) -> np.ndarray:
+    """Means of two by two places, of those that there are at odd edges."""
+    h, w = a.shape
+    p = np.pad(a, ((0, h % 2), (0, w % 2)))
+    total = p[::2, ::2] + p[1::2, ::2] + p[::2, 1::2] + p[1::2, 1::2]
+    down, across = np.full(-(-h // 2), 2.0), np.full(-(-w // 2), 2.0)
+    down[-1:] -= h % 2
+    across[-1:] -= w % 2
+    return total / down[:, None] / across
+
+
+def _enlarged(a: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Bilinear, as ``weights`` has it."""
+    for axis, n in enumerate(size):
+        m = np.maximum((np.arange(n) + 0.5) * a.shape[axis] / n - 0.5, 0.0)
+        low = np.floor(m).astype(np.int64)
+        part = (m - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        last = a.shape[axis] - 1
+        a = np.take(a, np.minimum(low, last), axis) * (1 - part) + np.take(a, np.minimum(low + 1, last), axis) * part
+    return a
+
+
+def _climbed(s: np.ndarray, w: np.ndarray, stop: int) -> np.ndarray:
+    """A frame's fill at the level ``stop`` below it, from its weighted values and weights."""
+    stack = [(s, w)]
+    while min(stack[-1][0].shape) > 1:
+        stack.append((_halved(stack[-1][0]), _halved(stack[-1][1])))
+    own = lambda s, w: s / np.maximum(w, 1e-6)
+    out = own(*stack[-1])
+    for s, w in reversed(stack[stop:-1]):
+        out = w * own(s, w) + (1 - w) * _enlarged(out, s.shape)
+    return out
+
+
+def _dense(group: pa.Table, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, and weighted values and weights as pictures; a null counts as nothing."""
+    y, x, s, w = (group.column(c).to_numpy() for c in ("y", "x", "_sv", "_sw"))
+    known = ~(np.isnan(s) | np.isnan(w))
+    top, below = np.zeros(size), np.zeros(size)
+    top[y, x], below[y, x] = np.where(known, s, 0.0), np.where(known, w, 0.0)
+    return y, x, top, below
+
+
+def with_surround(pixels: DataFrame, frame: list[str], value: str, weight: str, size: tuple[int, int], coarse: int = 0, name: str = "fill") -> DataFrame:
+    """The pixels with ``name``: what has no weight filled from coarser levels, by halving value times weight and weight, then
+    climbing back.
 
-    The number of levels is the logarithm of the size. With ``coarse`` the climb stops so many levels short of the finest
-    and the rest is enlarged as it is, which is what makes a blurred wash of it.
+    With ``coarse`` the climb stops so many levels short of the finest and the rest is enlarged as it is, which makes a blurred
+    wash of it. A frame's levels up to ``PACKED`` pixels are climbed in one task each, on whole frames in numpy: one shuffle, or none
+    after ``deal``. Only the larger levels, a handful for the largest frames, are grouped and joined as rows. Frames have all
+    their pixels; a null value or weight counts as no weight.
     """
     levels = pyramid_levels(*size)
-    now = pixels.select(*frame, "y", "x", (F.col(value) * F.col(weight)).alias("s"), F.col(weight).cast("double").alias("w"))
+    stop, first = min(coarse, len(levels) - 1), next(k for k, (h, w) in enumerate(levels) if h * w <= PACKED or k == len(levels) - 1)
+    kept = [c for c in pixels.columns if c != name]
+    rows = pixels.select(*kept, (F.col(value) * F.col(weight)).cast("double").alias("_sv"), F.col(weight).cast("double").alias("_sw"))
+    if first == 0:
+
+        def fill(group: pa.Table) -> pa.Table:
+            y, x, s, w = _dense(group, size)
+            out = _climbed(s, w, stop)
+            return group.select(kept).append_column(name, pa.array((_enlarged(out, size) if stop else out)[y, x]))
+
+        return rows.groupBy(*frame).applyInArrow(fill, T.StructType([*(rows.schema[c] for c in kept), T.StructField(name, T.DoubleType())]))
+
+    none = F.isnull("_sv") | F.isnull("_sw")
+    now = rows.select(*frame, "y", "x", *[F.when(none, 0.0).otherwise(F.col(c)).alias(c) for c in ("_sv", "_sw")])
     stack = [now]
-    for _ in levels[1:]:
-        now = now.groupBy(*frame, F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x")).agg(
-            F.avg("s").alias("s"), F.avg("w").alias("w")
-        )
+    half = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
+    for _ in range(first):
+        now = now.groupBy(*frame, half("y"), half("x")).agg(F.avg("_sv").alias("_sv"), F.avg("_sw").alias("_sw"))
         stack.append(now)
-    own = F.coalesce(F.try_divide(F.col("s"), F.greatest(F.col("w"), F.lit(1e-6))), F.lit(0.0))
-    climbed = stack[-1].select(*frame, "y", "x", own.alias("fill"))
-    stop = min(coarse, len(levels) - 1)
-    for k in range(len(levels) - 2, stop - 1, -1):
-        up = resize(climbed, frame, "fill", levels[k + 1], levels[k], "bilinear")
-        climbed = stack[k].join(up, [*frame, "y", "x"]).select(
-            *frame, "y", "x", (F.col("w") * own + (1.0 - F.col("w")) * F.col("fill")).alias("fill")
-        )
-    return resize(climbed, frame, "fill", levels[stop], levels[0], "bilinear") if stop else climbed
+    below = max(stop - first, 0)
+
+    def climb(group: pa.Table) -> pa.Table:
+        _, _, s, w = _dense(group, levels[first])
+        out = _climbed(s, w, below)
+        y, x = np.indices(out.shape, np.int32)
+        keys = [pa.repeat(group.column(c)[0], out.size) for c in frame]
+        return pa.Table.from_arrays([*keys, pa.array(y.reshape(-1)), pa.array(x.reshape(-1)), pa.array(out.reshape(-1))], names=[*frame, "y", "x", name])
+
+    kinds = [*(rows.schema[c] for c in frame), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField(name, T.DoubleType())]
+    climbed = now.groupBy(*frame).applyInArrow(climb, T.StructType(kinds))
+    own = F.col("_sv") / F.greatest("_sw", F.lit(1e-6))
+    for k in range(first - 1, stop - 1, -1):
+        up = resize(climbed, frame, name, levels[k + 1], levels[k], "bilinear")
+        climbed = stack[k].join(up, [*frame, "y", "x"]).select(*frame, "y", "x", (F.col("_sw") * own + (1.0 - F.col("_sw")) * F.col(name)).alias(name))
+    if stop:
+        climbed = resize(climbed, frame, name, levels[stop], levels[0], "bilinear")
+    return rows.drop("_sv", "_sw").join(climbed, [*frame, "y", "x"])
+
+
+def surround(pixels: DataFrame, frame: list[str], value: str, weight: str, size: tuple[int, int], coarse: int = 0) -> DataFrame:
+    """(frame, y, x, fill): see ``with_surround``."""
+    return with_surround(pixels.select(*frame, "y", "x", value, weight), frame, value, weight, size, coarse).select(*frame, "y", "x", "fill")
 
 
 def wash_levels(blur_deg: float, width: int, span_deg: float, size: tuple[int, int]) -> int:
@@ -214,12 +293,11 @@ def wash_levels(blur_deg: float, width: int, span_deg: float, size: tuple[int, i
 
 def without(pixels: DataFrame, frame: list[str], value: str, room: str, size: tuple[int, int], name: str) -> DataFrame:
     """What isn't ``room`` (boolean) grown over by what is; frames that are all or none room stay as they are."""
-    work = pixels.withColumn("_w", F.col(room).cast("double"))
-    grown = surround(work, frame, value, "_w", size)
-    part = work.groupBy(*frame).agg(F.bool_or(room).alias("_any"), F.bool_and(room).alias("_all"))
-    out = work.join(grown, [*frame, "y", "x"]).join(part, frame)
+    line = Window.partitionBy(*frame)
+    work = pixels.withColumns({"_r": F.col(room).cast("double"), "_any": F.bool_or(room).over(line), "_all": F.bool_and(room).over(line)})
+    out = with_surround(work, frame, value, "_r", size, name="_grown")
     kept = F.col(room) | F.col("_all") | ~F.col("_any")
-    return out.select(*pixels.columns, F.when(kept, F.col(value)).otherwise(clamp(F.col("fill"), 0.0, 1.0)).alias(name))
+    return out.select(*pixels.columns, F.when(kept, F.col(value)).otherwise(clamp(F.col("_grown"), 0.0, 1.0)).alias(name))
 
 
 def seed(pixels: DataFrame, frame: list[str], value: str, known: str, size: tuple[int, int], radius: int, name: str) -> DataFrame:

@@ -23,11 +23,16 @@ def far_field(depth: DataFrame, frame: list[str], order: list[str] | Column, met
     return depth.join(middle, frame).where("metres >= middle")
 
 
+def gain_of(here: Column, there: Column, limit: float = 2.0) -> Column:
+    """Gain that brings a mean brightness to another; 1 if it is unknown or black."""
+    gain = F.greatest(F.least(F.try_divide(there, here), F.lit(limit)), F.lit(1.0 / limit))
+    return F.when(here.isNull() | (here < 1e-4), 1.0).otherwise(gain)
+
+
 def match_gain(pixels: DataFrame, frame: list[str], here: Column, there: Column, overlap: Column, limit: float = 2.0) -> DataFrame:
     """Gain that brings one picture to the brightness of another where they overlap; 1 if they don't or it is black."""
     out = pixels.groupBy(*frame).agg(F.avg(F.when(overlap, here)).alias("a"), F.avg(F.when(overlap, there)).alias("b"))
-    gain = F.greatest(F.least(F.try_divide("b", "a"), F.lit(limit)), F.lit(1.0 / limit))
-    return out.select(*frame, F.when(F.col("a").isNull() | (F.col("a") < 1e-4), 1.0).otherwise(gain).alias("gain"))
+    return out.select(*frame, gain_of(F.col("a"), F.col("b"), limit).alias("gain"))
 
 
 def share(rows: DataFrame, frame: list[str], part: Column, whole: Column, enough: float) -> DataFrame:

@@ -715,9 +715,8 @@ def lens_pictures(spark: SparkSession, d: str) -> DataFrame:
 def rsm08_project(spark, d):
     """RSM-08, bicubic colour and bilinear depth of 8 x 8 pictures on a 12 x 12 half sphere, with validity."""
     sphere, px = SP.grid(spark, 12, 12), lens_pictures(spark, d)
-    colour = SP.project(sphere, px, ["frame"], 5.0, 8, 8, "bicubic").withColumnRenamed("value", "colour")
-    inv = SP.project(sphere, px, ["frame"], 5.0, 8, 8, "bilinear", "inv").select("frame", "row", "col", c("value").alias("inv"))
-    return colour.join(inv, ["frame", "row", "col"]).select("frame", "row", "col", R(c("colour")).alias("colour"), R(c("inv")).alias("inv"), "valid")
+    out = SP.project_all(sphere, px, ["frame"], 5.0, 8, 8, {"v": "bicubic", "inv": "bilinear"}, 144)
+    return out.select("frame", "row", "col", R(c("v")).alias("colour"), R(c("inv")).alias("inv"), "valid")
 
 
 def _eye_sql(source: str, n: int, sign: int, name: str) -> str:
