@@ -7,13 +7,15 @@ over spans of rows and columns.
 
 Visible are text, form fields' own text, options, texts of pictures (alt), of SVG and of MathML. Not displayed are the
 elements in ``UNSEEN``, closed dialogs, the inside of closed details but for the summary, and what ``hidden`` or the
-style attribute takes out; ``visibility`` is inherited and can be set back further down. Style sheets are not read.
+style attribute takes out, or a page's own style sheets by element, class or id; ``visibility`` is inherited and can be set back
+further down. Of sheets, rules for printing and selectors of other kinds are left out; the more exact selector counts, then
+the later rule, the style attribute above all but what is marked important.
 
 Defined results: a null page has null text, an empty one empty text; unclosed markup is text up to its end; of repeated
-attributes the first counts; numbers that aren't plain digits count as absent. No depth of nesting ends in an error or
+attributes the first counts; numbers that aren't plain digits count as absent, and spans above HTML's bounds as these. No depth of nesting ends in an error or
 changes what is shown: indentation grows to ``INDENT`` levels, tables nested deeper than ``TABLES`` have a line for each
 row without common places, and so have tables wider than ``LINE`` characters; cells wider than ``WIDE`` don't widen their
-column. Repeated ids are rendered row by row; an empty table gives no rows; other columns are kept, but for one with the
+columns. Blank lines inside a cell stay; rows without text have no line. Repeated ids are rendered row by row; an empty table gives no rows; other columns are kept, but for one with the
 name of the result, which the result replaces.
 """
 
@@ -72,21 +74,27 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in RAW}
-_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])", re.A)
+_NUMBER = re.compile(r"\s*([+-]?)0*([0-9]+)", re.A)
+_COMMENT, _RULE, _MEDIA = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"([^{}]*)\{([^{}]*)\}"), re.compile(r"@media([^{}]*)\{", re.I)
+_SELECTOR = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _BODY_LIKE = frozenset("html head body".split())
 _CELLS = frozenset("td th tr tbody thead tfoot caption".split())
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "sheet")
 
     def __init__(self, name: str, attributes: dict[str, str]):
         self.name, self.attributes, self.children = name, attributes, []
+        self.sheet: dict[str, tuple[str, bool]] = {}
 
     def number(self, name: str, default: int, low: int, high: int) -> int:
         m = _NUMBER.match(self.attributes.get(name) or "")
-        return min(max(int(m[1]), low), high) if m else default
+        if not m:
+            return default
+        size = int(m[2]) if len(m[2]) < 19 else 10**18
+        return min(max(-size if m[1] == "-" else size, low), high)
 
 
 class _Open:
@@ -113,10 +121,65 @@ class _Open:
             self.pop(at)
 
 
+def _for_screens(sheet: str) -> str:
+    """A sheet without comments, and without what is for other media."""
+    sheet = _COMMENT.sub(" ", sheet)
+    out, at = [], 0
+    while m := _MEDIA.search(sheet, at):
+        out.append(sheet[at : m.start()])
+        depth, end = 1, m.end()
+        while depth and end < len(sheet):
+            depth += (sheet[end] == "{") - (sheet[end] == "}")
+            end += 1
+        if m[1].strip().lower() in ("", "all", "screen"):
+            out.append(sheet[m.end() : end - 1])
+        at = end
+    return "".join(out) + sheet[at:]
+
+
+def _rules(sheets: list[str]) -> dict[str, list[tuple]]:
+    """What the sheets say of display and visibility: rules by an id, class or name that their elements have."""
+    out: dict[str, list[tuple]] = defaultdict(list)
+    for k, (selectors, body) in enumerate(m.groups() for s in sheets for m in _RULE.finditer(_for_screens(s))):
+        told = {}
+        for part in body.lower().split(";"):
+            name, _, value = part.partition(":")
+            if name.strip() in ("display", "visibility"):
+                value, important, _ = value.partition("!important")
+                told[name.strip()] = (value.strip(), bool(important))
+        for selector in selectors.split(",") if told else ():
+            m = _SELECTOR.match(selector.strip())
+            if m and (m[1] or m[2]):
+                marks = re.findall(r"[.#][\w-]+", m[2])
+                tag = (m[1] or "*").lower()
+                exact = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*", k)
+                key = max(marks, key=lambda x: x[0] == "#") if marks else tag
+                out[key].append((exact, tag, frozenset(marks), told))
+    return out
+
+
+def _style(root: Node, sheets: list[str]) -> None:
+    """Put on each element what the sheets say of it."""
+    rules = _rules(sheets)
+    todo = [root] if rules else []
+    while todo:
+        node = todo.pop()
+        todo += [c for c in node.children if isinstance(c, Node)]
+        marks = {f".{c}" for c in (node.attributes.get("class") or "").split()}
+        if node.attributes.get("id"):
+            marks.add("#" + node.attributes["id"])
+        found = [r for key in (*marks, node.name, "*") for r in rules.get(key, ()) if r[1] in ("*", node.name) and r[2] <= marks]
+        for _, _, _, told in sorted(found, key=lambda r: r[0]):
+            for name, (value, important) in told.items():
+                if important or not node.sheet.get(name, ("", False))[1]:
+                    node.sheet[name] = value, important
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text is kept as strings between the elements."""
     root = Node("#root", {})
     up, at = _Open(root), 0
+    sheets: list[str] = []
     while at < len(page):
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -157,19 +220,29 @@ def parse(page: str) -> Node:
             end = _RAW_END[name].search(page, at)
             body = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(body) if name in ("textarea", "title") else body)
+            if name == "style" and (attributes.get("media") or "all").strip().lower() in ("all", "screen"):
+                sheets.append(body)
             stop = page.find(">", end.start()) if end else -1
             at = len(page) if stop < 0 else stop + 1
         elif name not in VOID:
             up.push(node)
+    if sheets:
+        _style(root, sheets)
     return root
 
 
 def shown(node: Node, visible: bool) -> tuple[bool, bool]:
     """Whether an element is displayed, and whether its text is visible where its parent's is ``visible``."""
-    a, display = node.attributes, None
+    a, sheet = node.attributes, node.sheet
+    display, told = sheet.get("display", (None,))[0], sheet.get("visibility", ("",))[0]
+    if told in ("hidden", "collapse", "visible"):
+        visible = told == "visible"
     for part in html.unescape(a.get("style") or "").lower().split(";"):
         name, _, value = part.partition(":")
-        name, value = name.strip(), value.replace("!important", "").strip()
+        name, important = name.strip(), "!important" in value
+        value = value.replace("!important", "").strip()
+        if not important and sheet.get(name, ("", False))[1]:
+            continue
         if name == "display":
             display = value
         elif name == "visibility" and value in ("hidden", "collapse", "visible"):
@@ -293,14 +366,20 @@ class _Grid:
             width = max(map(len, lines))
             if across == 1 and width <= WIDE:
                 widths[k] = max(widths[k], width)
+        # Cells over several columns widen the last of them, the narrower spans first.
+        for k, across, lines in sorted((c for row in self.rows for c in row if c[1] > 1), key=lambda c: c[:2][::-1]):
+            width, last = max(map(len, lines)), k + across - 1
+            room = sum(widths[j] + 2 for j in range(k, last + 1) if widths.get(j)) - 2
+            if room < width <= WIDE:
+                widths[last] += width - room if widths.get(last) else max(1, width - room - 2)
         places, at = {}, 0
-        for k in range(1 + max((c[0] for row in self.rows for c in row), default=-1)):
+        for k in range(1 + max((c[0] + c[1] - 1 for row in self.rows for c in row), default=-1)):
             places[k] = at
             at += widths[k] + 2 if widths.get(k) else 0
         aligned = aligned and at <= LINE
         out = []
-        for row in self.rows:
-            for i in range(max((len(c[2]) for c in row), default=0)):
+        for row in (r for r in self.rows if any(any(c[2]) for c in r)):
+            for i in range(max(len(c[2]) for c in row)):
                 line = ""
                 for k, _, lines in row:
                     if i < len(lines) and lines[i]:
@@ -344,7 +423,7 @@ def _table(node: Node, visible: bool, nested: int) -> list[str]:
                     down = cell.number("rowspan", 1, 0, ROWS) or ROWS
                     grid.cell(_walk([(cell, v)], nested, of_cell=True), cell.number("colspan", 1, 1, COLUMNS), down)
         elif n.name == "caption":
-            caption += _walk([(c, vis) for c in n.children], nested).split("\n")
+            caption += _split(_walk([(c, vis) for c in n.children], nested))
         elif n is node or n.name in ("tbody", "thead", "tfoot"):
             loose = [c for c in n.children if isinstance(c, Node) and c.name in ("td", "th")]
             if loose:
@@ -356,7 +435,11 @@ def _table(node: Node, visible: bool, nested: int) -> list[str]:
                 grid.taken = {}  # spans end with their part of the table
         else:
             moved.append((n, vis))
-    return [*_walk(moved, nested).split("\n"), *caption, *grid.text(nested <= TABLES)]
+    return [*_split(_walk(moved, nested)), *caption, *grid.text(nested <= TABLES)]
+
+
+def _split(text: str) -> list[str]:
+    return text.split("\n") if text else []
 
 
 def _walk(nodes: list[tuple[Node | str, bool]], nested: int = 0, of_cell: bool = False) -> str:
@@ -409,7 +492,7 @@ def _walk(nodes: list[tuple[Node | str, bool]], nested: int = 0, of_cell: bool =
             for line in _table(node, visible, nested + 1):
                 if line:
                     out.now.append(line)
-                    out.line()
+                out.line()
             out.block(1)
             continue
         if name in BLOCK:
@@ -423,11 +506,11 @@ def _walk(nodes: list[tuple[Node | str, bool]], nested: int = 0, of_cell: bool =
             out.indent += 1
             down = name == "ol" and "reversed" in node.attributes
             first = sum(isinstance(c, Node) and c.name == "li" for c in children) if down else 1
-            state = [node.number("start", first, -(10**9), 10**9), name == "ol", -1 if down else 1]
+            state = [node.number("start", first, -(10**18), 10**18), name == "ol", -1 if down else 1]
         elif name == "li":
             marker = "- "
             if state:
-                state[0] = node.number("value", state[0], -(10**9), 10**9)
+                state[0] = node.number("value", state[0], -(10**18), 10**18)
                 marker = f"{state[0]}. " if state[1] else marker
                 state[0] += state[2]
             out.mark = "  " * min(max(0, out.indent - 1), INDENT) + marker if visible else ""

@@ -26,6 +26,17 @@ CASES = [
     ("<table><tr><td>" * 500 + "deep", "deep"),
     ("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>dddd<td>e</table>", "aa    b\n      c\ndddd  e"),
     ("<table><tr><td colspan=2>a long one<tr><td>x<td>y</table>", "a long one\nx  y"),
+    ("<table><tr><td><p>a</p><p>b</p></td><td><pre>x\n\ny</pre></td></table>", "a  x\n\nb  y"),
+    ("<table><tr><td colspan=2>a long heading cell</td><td>R</td><tr><td>1<td>2<td>3</table>", "a long heading cell  R\n1  2                 3"),
+    ("<table><tr><td colspan=3>wide cell here<td>e<tr><td colspan=2>two<td>c<td>d</table>", "wide cell here  e\ntwo  c          d"),
+    ("<table><tr><td>a<tr><td><tr><td>b</table>", "a\nb"), ("<table><tr><td>a<br><br>c<td>d<br><br><br>e</table>after", "a  d\n\nc\n   e\n\nafter"),
+    ("<ol start=12345678901><li>x<li>y</ol>", "12345678901. x\n12345678902. y"), (f"<ol start={'7' * 9000}><li>x</ol>", f"{10**18}. x"),
+    ("<style>.h{display:none}</style><p class=h>no</p><p class='a h'>no</p>yes", "yes"),
+    ("<style>/* p{display:none} */ #x, b.c , i { color:red; Display : NONE }</style><p id=x>no</p><b>y</b><b class=c>no</b><i>no</i>", "y"),
+    ("<style>p{display:none} p.k{display:block} #z{visibility:hidden}</style><p>no<p class=k>yes<p class=k id=z>no<b style='visibility:visible'>in</b>", "yes\n\nin"),
+    ("<style>@media print{p{display:none}} @media screen { b { display: none } }</style><p>yes <b>no</b>", "yes"),
+    ("<style media=print>p{display:none}</style><style>u{display:none!important} u{display:inline}</style><p>yes<u style='display:inline'>no</u><u style='display:inline!important'>in</u>", "yesin"),
+    ("<style>div > p{display:none} p:hover{display:none} {display:none} *{} @x</style><div><p>yes", "yes"), ("<style>p{display:none</style><p>yes", "yes"),
     ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
     ("<details>a<summary>s</summary>b</details><details open><summary>t</summary>in</details>", "s\nt\nin"),
     ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
@@ -126,3 +137,37 @@ def test_frames(spark):
     assert out.columns == ["page_id", "html", "visible_text"]
     assert sorted(((r[0], r[2]) for r in out.collect()), key=str) == [(1, "a"), (1, None), (None, "")]
     assert render.visible_text(pages.limit(0)).count() == 0
+
+
+def test_generated_tables_with_blocks_and_spans():
+    """Whole lines against a plain layout: blank lines in cells, and places after spans of columns."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randint(1, n)))
+    for _ in range(200):
+        rows = []
+        for _ in range(rng.randint(1, 4)):
+            row, at = [], 0
+            while at < 4:
+                across = min(rng.choice([1, 1, 1, 2, 3]), 4 - at)
+                row.append((at, across, [word(6 * across) for _ in range(rng.randint(1, 3))]))
+                at += across
+            rows.append(row)
+        rows.append([(k, 1, [word(4)]) for k in range(4)])  # every column has a cell of its own
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a}>" + "".join(f"<p>{w}</p>" for w in ws) + "</td>" for _, a, ws in r) + "</tr>" for r in rows) + "</table>"
+        widths = [max(len(w) for r in rows for k, a, ws in r if k == c and a == 1 for w in ws) for c in range(4)]
+        for span in (2, 3):
+            for k in range(4):
+                for r in rows:
+                    for c, a, ws in r:
+                        if c == k and a == span:
+                            widths[k + a - 1] += max(0, max(map(len, ws)) - sum(widths[k : k + a]) - 2 * (a - 1))
+        want = []
+        for r in rows:
+            lines = [[line for w in ws for line in (w, "")][:-1] for *_, ws in r]
+            for i in range(max(map(len, lines))):
+                text = ""
+                for (k, *_), cell in zip(r, lines, strict=True):
+                    if i < len(cell) and cell[i]:
+                        text = text.ljust(sum(widths[:k]) + 2 * k) + cell[i]
+                want.append(text)
+        assert render.render(page) == "\n".join(want), page
