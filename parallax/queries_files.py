@@ -14,6 +14,7 @@ from parallax.plans import attempts as AT
 from parallax.queries import _CL, _EV, _PIX, R, c, clips, picture, query, streams, table
 from parallax.sources import containers as CT
 from parallax.sources import headers as HD
+from parallax.sources import media as M
 from parallax.sources import pictures as PC
 from parallax.sources import rawfiles as RF
 from parallax.streaming import progress as PR
@@ -352,3 +353,21 @@ def rsm14_widen(spark, d):
 def str12_heartbeats(spark, d):
     """STR-12: the lines that a log of a pass over every stream has, one for each 25 frames."""
     return PR.heartbeats(streams(spark, d), ["stream"], ["ts", "event_id"], every=25)
+
+
+# ---- listings ----
+
+
+@query(
+    """WITH f AS (SELECT page_id, page_id % 4 < 2 AS own, page_id % 7 = 0 AS deep, 'p' || page_id || CASE page_id % 4 WHEN 0 THEN '_sbs' WHEN 1 THEN '_depth' ELSE '' END || CASE page_id % 5 WHEN 0 THEN '.MP4' WHEN 1 THEN '.jpg' WHEN 2 THEN '.txt' WHEN 3 THEN '.webp' ELSE '' END AS name, url FROM pages)
+ SELECT name, CAST(octet_length(encode(url)) AS BIGINT) AS length FROM f WHERE NOT own AND NOT deep AND page_id % 5 IN (0, 1, 3)"""
+)
+def src01_listing(spark, d):
+    """SRC-01 on real paths: files named after pages are written, some in a folder below, and the folder is listed."""
+    n = c("page_id")
+    tag = F.when(n % 4 == 0, "_sbs").when(n % 4 == 1, "_depth").otherwise("")
+    end = F.when(n % 5 == 0, ".MP4").when(n % 5 == 1, ".jpg").when(n % 5 == 2, ".txt").when(n % 5 == 3, ".webp").otherwise("")
+    name = F.concat(F.when(n % 7 == 0, "deep/").otherwise(""), F.lit("p"), n.cast("string"), tag, end)
+    folder = RF.shared_folder(spark, "listing")
+    RF.write_files(spark, table(spark, d, "pages").select(name.alias("name"), c("url").cast("binary").alias("content")), folder)
+    return M.list_media(spark, folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
