@@ -7,6 +7,7 @@ by frame and row or by frame and column, which that dealing satisfies, so they s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,26 @@ def deal(pixels: DataFrame, frame: list[str]) -> DataFrame:
     return pixels.repartition(*frame)
 
 
+def in_bands(
+    pixels: DataFrame, frame: list[str], height: int, reach: int, rows: int, apply: Callable[[DataFrame, list[str], Column], DataFrame]
+) -> DataFrame:
+    """Filters over bands of so many rows of a frame instead of whole frames, which may be too large for a task.
+
+    Each band takes the rows within ``reach`` of it along, so filters that reach no further, all those of a chain together, give
+    what they give on the whole frame. ``apply`` takes the pixels, whose y counts from the top of what the band has, the keys of
+    a band in the place of a frame's, and the number of its rows; it keeps the pixels' rows and columns. One shuffle, by band.
+    """
+    if rows < 1 or reach < 0:
+        raise ValueError("bands need rows, and a reach of none or more")
+    part = lambda y: F.floor(y / rows).cast("int")
+    first, last = part(F.greatest(F.col("y") - reach, F.lit(0))), part(F.least(F.col("y") + reach, F.lit(height - 1)))
+    work = pixels.withColumn("_band", F.explode(F.sequence(first, last)))
+    top = F.greatest(F.col("_band") * rows - reach, F.lit(0))
+    work = work.withColumn("_top", top).withColumn("_rows", F.least(F.col("_band") * rows + rows + reach, F.lit(height)) - F.col("_top"))
+    out = apply(deal(work.withColumn("y", F.col("y") - F.col("_top")), [*frame, "_band"]), [*frame, "_band"], F.col("_rows"))
+    return out.withColumn("y", F.col("y") + F.col("_top")).where(part(F.col("y")) == F.col("_band")).drop("_band", "_top", "_rows")
+
+
 def unpack(rows: DataFrame, keys: list[str], array: str, at: str = "x", value: str = "v") -> DataFrame:
     """Packed scanlines to one row a pixel."""
     return rows.select(*keys, F.posexplode(array).alias(at, value)).withColumn(value, F.col(value).cast("double"))

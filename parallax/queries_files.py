@@ -9,9 +9,10 @@ from parallax.functions import scalar as S
 from parallax.operators import frames as FR
 from parallax.operators import matching as MA
 from parallax.operators import passes as PA
+from parallax.operators import pixels as P
 from parallax.operators import widening as WD
 from parallax.plans import attempts as AT
-from parallax.queries import _CL, _EV, _PIX, R, c, clips, picture, query, streams, table
+from parallax.queries import _CL, _EV, _PIX, R, _box2_sql, c, clips, picture, query, streams, table
 from parallax.sources import containers as CT
 from parallax.sources import headers as HD
 from parallax.sources import media as M
@@ -371,3 +372,17 @@ def src01_listing(spark, d):
     folder = RF.shared_folder(spark, "listing")
     RF.write_files(spark, table(spark, d, "pages").select(name.alias("name"), c("url").cast("binary").alias("content")), folder)
     return M.list_media(spark, folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+
+
+# ---- bands ----
+
+
+@query(_PIX + f"SELECT frame, y, x, round(e, 6) AS twice FROM ({_box2_sql('b', '(' + _box2_sql('v', 'pix', 8, 1, 'b') + ')', 8, 1, 'e')})")
+def nbr01_bands(spark, d):
+    """NBR-01 twice, over bands of three rows with a halo of two, as over whole frames."""
+
+    def twice(px, keys, height):
+        return P.box2(P.box2(px, keys, "v", F.lit(8), height, 1, "b"), keys, "b", F.lit(8), height, 1, "e")
+
+    out = P.in_bands(picture(spark, d), ["frame"], 8, 2, 3, twice)
+    return out.select("frame", "y", "x", R(c("e")).alias("twice"))

@@ -76,3 +76,23 @@ def test_nulls_and_empty_frames(spark):
     rows = [sorted((r["f"], r["y"], r["x"], round(r["fill"], 9)) for r in P.surround(d, ["f"], "v", "m", (3, 4)).collect()) for d in (with_null, as_none)]
     assert rows[0] == rows[1]
     assert P.surround(df.limit(0), ["f"], "v", "m", (3, 4)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 4, 7, 50])
+def test_bands_give_what_whole_frames_give(spark, rows):
+    _, df = frames(spark, 23, 6)
+    width = F.lit(6)
+
+    def chain(px, keys, height):
+        px = P.guided(px.withColumn("g", F.col("v") * F.col("v")), keys, "v", "g", width, height, 2)
+        px = P.falloff(px, keys, "m", width, height, 3, "soft")
+        px = P.band(px, keys, "m", width, height, 2, "ring")
+        return P.laplacian(px, keys, "v", "lap")
+
+    names = ("guided", "soft", "ring", "lap")
+    whole = {(r["f"], r["y"], r["x"]): [r[n] for n in names] for r in chain(P.deal(df, ["f"]), ["f"], F.lit(23)).collect()}
+    out = P.in_bands(df, ["f"], 23, 4, rows, chain)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["f"], r["y"], r["x"]): [r[n] for n in names] for r in out.collect()}
+    assert got.keys() == whole.keys() and out.count() == len(whole)
+    assert all(np.allclose(got[k], whole[k]) for k in whole)
