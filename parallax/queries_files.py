@@ -40,21 +40,23 @@ def str06_chunked_filter(spark, d):
     return out.select("stream", "frame", R(c("filtered")).alias("filtered"))
 
 
+# Weights of the stand-in network; as a network's are no round numbers.
+TAKE, KEEP, NEAR, FAR = 0.6180339887, 0.5772156649, 0.7071067812, 0.4142135624
 _LEAKY = lambda x: f"CASE WHEN {x} >= 0 THEN {x} ELSE 0.1 * ({x}) END"
 
 
 @query(
     _EV.replace("WITH ev", "WITH RECURSIVE ev")
     + f""", v AS (SELECT stream, event_id, n, CAST(coalesce(value, 0) / 100 - 0.5 AS DOUBLE) AS v, count(*) OVER (PARTITION BY stream) AS size FROM ev),
- b AS (SELECT stream, n, {_LEAKY("0.6 * v")} AS s FROM v WHERE n = size - 1 UNION ALL SELECT v.stream, v.n, {_LEAKY("0.6 * v.v + 0.5 * b.s")} FROM b JOIN v ON v.stream = b.stream AND v.n = b.n - 1),
- f AS (SELECT stream, n, {_LEAKY("0.6 * v")} AS s FROM v WHERE n = 0 UNION ALL SELECT v.stream, v.n, {_LEAKY("0.6 * v.v + 0.5 * f.s")} FROM f JOIN v ON v.stream = f.stream AND v.n = f.n + 1)
- SELECT v.stream, v.event_id, round(b.s, 6) AS behind, round(f.s, 6) AS ahead, round({_LEAKY("0.7 * b.s + 0.4 * f.s")}, 6) AS fused FROM v JOIN b USING (stream, n) JOIN f USING (stream, n)"""
+ b AS (SELECT stream, n, {_LEAKY(f"{TAKE} * v")} AS s FROM v WHERE n = size - 1 UNION ALL SELECT v.stream, v.n, {_LEAKY(f"{TAKE} * v.v + {KEEP} * b.s")} FROM b JOIN v ON v.stream = b.stream AND v.n = b.n - 1),
+ f AS (SELECT stream, n, {_LEAKY(f"{TAKE} * v")} AS s FROM v WHERE n = 0 UNION ALL SELECT v.stream, v.n, {_LEAKY(f"{TAKE} * v.v + {KEEP} * f.s")} FROM f JOIN v ON v.stream = f.stream AND v.n = f.n + 1)
+ SELECT v.stream, v.event_id, round(b.s, 6) AS behind, round(f.s, 6) AS ahead, round({_LEAKY(f"{NEAR} * b.s + {FAR} * f.s")}, 6) AS fused FROM v JOIN b USING (stream, n) JOIN f USING (stream, n)"""
 )
 def str11_propagation(spark, d):
     """STR-11: a recurrent state from the last frame to the first feeds one from the first to the last."""
     value = (F.coalesce(c("value"), F.lit(0.0)) / 100 - 0.5).cast("double")
     rows = streams(spark, d).withColumn("value", value)
-    out = PA.propagate(rows, ["stream"], ["ts", "event_id"], "value")
+    out = PA.propagate(rows, ["stream"], ["ts", "event_id"], "value", TAKE, KEEP, NEAR, FAR)
     return out.select("stream", "event_id", *[R(c(k)).alias(k) for k in ("behind", "ahead", "fused")])
 
 
