@@ -373,7 +373,7 @@ def score(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scrat
     )
     values, counts, total = gather(spark, docs, scratch)
     # Both heads have at most HEAD rows.
-    often = values.orderBy(F.desc("seen"), "key").limit(HEAD).select("key", F.col("value").cast("float").alias("v")).toArrow()
+    often = values.orderBy(F.desc("seen"), "key").limit(HEAD).select("key", F.col("value").cast("double").alias("v")).toArrow()
     common = counts.orderBy(F.desc("n"), "key").limit(HEAD // 4).select("key", F.col("n").alias("v")).toArrow()
     shared = spark.sparkContext.broadcast([(t.column("key").to_numpy().view(np.uint64), t.column("v").to_numpy()) for t in (often, common)])
     ends, name = total["ends"], scratch.root
