@@ -40,10 +40,11 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy", level: int = 9, page_bytes: int = 1 << 20) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "9").parquet(path)
+        out = df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", str(level))
+        out.option("parquet.page.size", str(page_bytes)).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -19,6 +19,8 @@ TARGETS = {
     "topic": {"noise": 0.02, "notice": 0.05},
 }
 TOXIC_AT = 0.7
+#: zstd level of stored files and PCM, and their page, which is as long as zstd looks back at this level.
+SOUND = {"level": 11, "page_bytes": 4 << 20}
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +115,9 @@ def op9_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a telephony file, and what its stored bytes decode to."""
     scratch = Scratch(ready(spark))
-    stored = scratch.save(telephony.store(table(spark, sf_dir, "documents")), "zstd")
-    return telephony.with_pcm_digest(scratch.save(telephony.read_back(stored), "zstd"))
+    stored = scratch.save(telephony.store(table(spark, sf_dir, "documents")), "zstd", **SOUND)
+    decoded = scratch.save(telephony.read_back(stored, packed=True), "zstd", **SOUND)
+    return telephony.with_pcm_digest(telephony.with_pcm(decoded))
 
 
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

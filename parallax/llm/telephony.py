@@ -3,7 +3,8 @@
 A payload of bytes is the coded samples themselves, in a RIFF/WAVE file whose format tag names the codec: one byte a
 sample for mu-law (7) and A-law (6), and for ADPCM (17) blocks of 64 bytes, each with its own predictor, step index and
 120 nibbles. Decoding expands mu-law and A-law by look-up tables and runs ADPCM over all blocks of a batch at once, one
-numpy step a nibble. PCM at 8 kHz is resampled to 16 kHz by linear interpolation in whole numbers.
+numpy step a nibble. PCM at 8 kHz is resampled to 16 kHz by linear interpolation in whole numbers. It is stored without
+loss in two columns: every second sample, and how far those between are off the mean of their neighbours.
 
 Defined results: a null payload is empty; the payload is padded by zeros to a positive multiple of 64; equal payloads
 give equal files and features, as the codec follows from the payload; step indices above 88 count as 88; other columns
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, text_bytes
+from .common import chunks, others, text_bytes
 
 UNIT, RATE = 64, 8000
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -112,16 +114,37 @@ def from_wave(media: bytes) -> tuple[str, bytes]:
     raise ValueError("no data chunk")
 
 
+def between(even: np.ndarray, n: int) -> np.ndarray:
+    """Means, rounded down, of each sample and the next, for the ``n`` samples between; the last is held."""
+    wide = even.astype(np.int32)
+    return ((wide + np.append(wide[1:], wide[-1:]))[:n] >> 1).astype(np.int16)
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate: each sample and the mean, rounded down, of it and the next; the last is held."""
     out = np.empty(2 * len(pcm), np.int16)
     out[::2] = pcm
-    wide = pcm.astype(np.int32)
-    out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
-    out[-1:] = pcm[-1:]
+    out[1::2] = between(pcm, len(pcm))
     return out
 
 
+def pack(pcm: bytes) -> tuple[bytes, bytes]:
+    """Samples of even number, and differences of the odd ones from the means of their neighbours, modulo 2^16.
+
+    A lifting step as in lossless wavelets: any 16-bit samples come back from ``unpack`` as they were.
+    """
+    samples = np.frombuffer(pcm, "<i2")
+    even, odd = samples[::2], samples[1::2]
+    return even.tobytes(), (odd - between(even, len(odd))).astype("<i2").tobytes()
+
+
+def unpack(even: bytes, odd: bytes) -> bytes:
+    out = np.empty((len(even) + len(odd)) // 2, "<i2")
+    out[::2] = np.frombuffer(even, "<i2")
+    out[1::2] = np.frombuffer(odd, "<i2") + between(out[::2], len(odd) // 2)
+    return out.tobytes()
+
+
 def store(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, n_bytes, media): each text's bytes as the payload of a telephony file."""
 
@@ -143,16 +166,20 @@ def store(docs: DataFrame, column: str = "text", id_column: str = "doc_id") -> D
     )
 
 
-def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def read_back(stored: DataFrame, id_column: str = "doc_id", packed: bool = False) -> DataFrame:
     """What the stored files hold: payload digests, features of the decoded sound, and the resampled sound itself.
 
     The column pcm has 16-bit little-endian samples at 16 kHz, four bytes for each payload byte, or nearly eight for ADPCM.
+    With ``packed`` the columns pcm_even and pcm_odd are there instead, from which ``with_pcm`` has it again. Rows of a
+    codec are put together within a chunk, as they compress better side by side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "media", 1 << 20):
             files = batch.column("media").to_pylist()
             parts = [from_wave(m) for m in files]
+            order = sorted(range(len(parts)), key=lambda i: parts[i][0])
+            batch, files, parts = batch.take(pa.array(order)), [files[i] for i in order], [parts[i] for i in order]
             blocks = [np.frombuffer(p, np.uint8).reshape(-1, UNIT) for c, p in parts if c == "adpcm"]
             sound = decode_adpcm(np.concatenate(blocks)) if blocks else None
             at, features, waves = 0, [], []
@@ -180,18 +207,36 @@ def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 "media_bytes": pa.array([len(m) for m in files], pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in files], pa.string()),
                 "feature": pa.array(features, pa.string()),
-                "pcm": pa.array(waves, pa.binary()),
             }
+            if packed:
+                pairs = [pack(w) for w in waves]
+                columns["pcm_even"] = pa.array([even for even, _ in pairs], pa.binary())
+                columns["pcm_odd"] = pa.array([odd for _, odd in pairs], pa.binary())
+            else:
+                columns["pcm"] = pa.array(waves, pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = stored.schema[id_column].dataType.simpleString()
     return stored.mapInArrow(
         run,
         f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-        " media_sha256 string, feature string, pcm binary",
+        " media_sha256 string, feature string, " + ("pcm_even binary, pcm_odd binary" if packed else "pcm binary"),
     )
 
 
+def with_pcm(stored: DataFrame) -> DataFrame:
+    """The rows of stored packed ``read_back`` with the column pcm, rebuilt from the stored samples and differences."""
+    kept = others(stored, ["pcm_even", "pcm_odd"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "pcm_even", 1 << 20):
+            waves = [unpack(*p) for p in zip(batch.column("pcm_even").to_pylist(), batch.column("pcm_odd").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(waves, pa.binary())], names=[*kept, "pcm"])
+
+    fields = [stored.schema[c] for c in kept]
+    return stored.mapInArrow(run, T.StructType([*fields, T.StructField("pcm", T.BinaryType())]))
+
+
 def with_pcm_digest(decoded: DataFrame) -> DataFrame:
     """The rows of stored ``read_back`` with size and CRC-32 of the stored samples in the feature, without the samples."""
     feature = F.concat("feature", F.lit(";pcm_bytes="), F.length("pcm"), F.lit(";pcm_crc32="), F.crc32("pcm"))

@@ -4,11 +4,14 @@ import hashlib
 import random
 import struct
 import zlib
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from parallax.llm import telephony
-from parallax.llm.common import Scratch
+from parallax.llm import queries, telephony
+from parallax.llm.common import Scratch, table
+
+SF = "/root/testdata/sf0.01"
 
 
 def plain_samples(codec, payload):
@@ -75,3 +78,51 @@ def test_every_field(spark):
         )
     assert not want and codecs == {"mulaw", "alaw", "adpcm"}
     assert telephony.read_back(telephony.store(docs.limit(0))).count() == 0
+
+
+def test_any_samples_come_back_from_the_packed_form():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 3, 7, 64, 1001):
+        for low, high in ((-32768, 32767), (-2, 2)):
+            pcm = struct.pack(f"<{n}h", *(rng.randint(low, high) for _ in range(n)))
+            even, odd = telephony.pack(pcm)
+            assert len(even) + len(odd) == len(pcm) and telephony.unpack(even, odd) == pcm
+    ends = struct.pack("<5h", -32768, 32767, -32768, -32768, 32767)
+    assert telephony.unpack(*telephony.pack(ends)) == ends
+
+
+def test_query_keeps_files_and_sound_within_its_disk(spark, monkeypatch):
+    """Both tables of the query hold all bytes and all samples, in at most one and a half times the input."""
+    used = []
+    monkeypatch.setattr(queries, "Scratch", lambda session: used.append(Scratch(session)) or used[-1])
+    got = {r["doc_id"]: r for r in queries.op10_telephony_audio(spark, SF).collect()}
+    saved = sorted(Path(used[0].root.removeprefix("file:")).iterdir())
+    size = lambda path: sum(p.stat().st_size for p in path.rglob("*.parquet"))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, SF, "documents").collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(saved[0].as_uri()).collect()}
+    sound = {r["doc_id"]: r for r in spark.read.parquet(saved[1].as_uri()).collect()}
+    assert set(got) == set(media) == set(sound) == set(texts)
+    for i, raw in texts.items():
+        codec, payload = telephony.from_wave(media[i])
+        assert payload == telephony.pad(raw)
+        samples = len(payload) if codec != "adpcm" else 121 * (len(payload) // 64)
+        pcm = telephony.unpack(bytes(sound[i]["pcm_even"]), bytes(sound[i]["pcm_odd"]))
+        assert len(pcm) == 4 * samples
+        assert got[i]["feature"].endswith(f";pcm_bytes={len(pcm)};pcm_crc32={zlib.crc32(pcm)}")
+        if i % 50 == 0:
+            s = plain_samples(codec, payload)
+            assert pcm == struct.pack(f"<{2 * samples}h", *(x for a, b in zip(s, [*s[1:], s[-1]], strict=True) for x in (a, (a + b) >> 1)))
+    assert sum(map(size, saved)) <= 1.5 * Path(f"{SF}/documents.parquet").stat().st_size
+
+
+def test_packed_rows_are_the_plain_rows(spark):
+    texts = [None, "", "a", "x" * 64, "é\x00ü" * 50, "word " * 4000, *(f"text {i} " * i for i in range(40))]
+    rows = [*enumerate(texts), (1, "again"), (None, "a"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pcm_even", F.lit(1)).withColumn("PCM", F.lit(2))
+    stored = Scratch(spark).save(telephony.store(docs), "zstd")
+    plain = telephony.read_back(stored)
+    packed = telephony.with_pcm(Scratch(spark).save(telephony.read_back(stored, packed=True), "zstd"))
+    assert packed.dtypes == plain.dtypes
+    key = lambda r: tuple(map(str, r))
+    assert sorted(packed.collect(), key=key) == sorted(plain.collect(), key=key) and packed.count() == len(rows)
+    assert telephony.with_pcm(telephony.read_back(telephony.store(docs.limit(0)), packed=True)).count() == 0
