@@ -8,12 +8,14 @@ bytes before a byte, and the byte, determine its probability. Where the context
 node has none there, the estimate of the one above stands in for it, so every context has a proper distribution.
 
 1. Grams of all texts are counted, map-side first, with their count in the training text: every context of the training
-   text has its node, however rare, so what is gathered grows with the text.
+   text has its node, however rare, so what is gathered grows with the text. Python adds up a task's counts and hands them
+   on at ``GATHER`` distinct ones; Spark adds up the rest after the shuffle, where a task has its share of the keys only.
 2. Grams are dealt by the two bytes before, below which contexts of greater depth form trees of their own. A task weighs
    one such tree after the other and gives each gram the probabilities of its eight bits under it. Its memory is bounded
-   by the distinct grams that follow one pair of bytes. The two levels above have 257 contexts, which are weighed at the
+   by the distinct grams that follow one pair of bytes; of the nine partitions of these, two are held at a time. The two levels above have 257 contexts, which are weighed at the
    driver and sent to every task.
-3. Texts are scored by look-up of the ``HEAD`` most frequent grams inside the tasks; the others are joined.
+3. Texts are scored by look-up of the most frequent grams, ``HEAD`` at most, inside the tasks; the others are joined. Which
+   they are follows from a histogram of the counts, so no task sorts all grams.
 
 A text is its bytes, A-Z as a-z, then one end byte 255; before it stand bytes 255, which UTF-8 never has. The base score
 is that of an add-one unigram model over words, whose counts cover all training text; the most frequent words are looked
@@ -40,8 +42,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunks, key_lists, mix, signed, text_bytes, words
 
 DEPTH, ROOT, HEAD = 5, 2, 1 << 20
-#: Chunks whose counts a task adds up before it hands them to Spark; grams that a task weighs at once, or one tree's.
-GATHER, LOT = 8, 200_000
+#: Bytes of text counted and scored at once; distinct keys that a task adds up before it hands them to Spark; grams that a
+#: task weighs at once, or one tree's.
+COUNTED, SCORED, GATHER, LOT = 1 << 20, 1 << 18, 700_000, 200_000
 END = 255
 GRAMS, WORDS, TEXTS = 0, 1, 2
 
@@ -81,43 +84,57 @@ def _add(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
 
 
+class Counts:
+    """Distinct keys with counts (n, seen), added up whenever what is new outgrows what is there."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray, seen: np.ndarray) -> None:
+        self.parts.append((keys, n, seen))
+        if sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]):
+            self.parts = [_add(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))]
+
+    def __len__(self) -> int:
+        """Of distinct keys, as far as they are added up."""
+        return len(self.parts[0][0]) if self.parts else 0
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """All of them; none are left."""
+        parts, self.parts = self.parts, []
+        return _add(*(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(2)))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n, seen): counts in the training text and in all of it, each added up over several chunks."""
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {GRAMS: [], WORDS: []}
+    """(kind, key, n, seen): counts in the training text and in all of it, each added up over many chunks."""
+    held = {GRAMS: Counts(), WORDS: Counts()}
     texts = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal texts
-        for kind, some in held.items():
-            keys, n, seen = _add(*(np.concatenate(c) for c in zip(*some, strict=True)))
-            for at in range(0, len(keys), 100_000):
-                k = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), kind, np.int32)), pa.array(signed(k)), pa.array(n[at : at + 100_000]), pa.array(seen[at : at + 100_000])],
-                    names=["kind", "key", "n", "seen"],
-                )
-            some.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int32()), *(pa.array([x], pa.int64()) for x in (0, texts, texts))], names=["kind", "key", "n", "seen"])
-        texts = 0
-
-    for batch in chunks(batches, "text"):
+    def rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), 50_000):
+            k, n, seen = (c[at : at + 50_000] for c in columns)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(k), kind, np.int32)), pa.array(signed(k)), pa.array(n), pa.array(seen)], names=["kind", "key", "n", "seen"]
+            )
+
+    for batch in chunks(batches, "text", COUNTED):
         trained = batch.column("trained")
         for part, weight in ((batch.filter(trained), 1), (batch.filter(pc.invert(trained)), 0)):
             if not part.num_rows:
                 continue
             data, offsets = text_bytes(part.column("text"))
             keys, seen = np.unique(grams(*padded(data, offsets)[:2]), return_counts=True)
-            held[GRAMS].append((keys, seen * weight, seen))
+            held[GRAMS].add(keys, seen * weight, seen)
             if weight:
                 keys, seen = np.unique(words(data, offsets)[0], return_counts=True)
-                held[WORDS].append((keys, seen, seen))
+                held[WORDS].add(keys, seen, seen)
                 texts += part.num_rows
-        if len(held[GRAMS]) >= GATHER:
-            held[WORDS] = held[WORDS] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            yield from flush()
-    if held[GRAMS]:
-        held[WORDS] = held[WORDS] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        yield from flush()
+        for kind, some in held.items():
+            if len(some) > GATHER:
+                yield from rows(kind, *some.take())
+    for kind, some in held.items():
+        yield from rows(kind, *some.take())
+    yield from rows(TEXTS, np.zeros(1, np.uint64), *np.full((2, 1), texts))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -139,31 +156,33 @@ class Level:
     that share context and earlier bits, with their counts."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.codes = codes
-        self.group, self.first, self.totals = [], [], []
-        for j in range(9):
-            prefix = codes >> np.uint64(8 - j)
+        self.codes, self.counts = codes, counts
+        self.cuts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def cut(self, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group of each row, and first row and count of each group. Only the last two decisions are held."""
+        if j not in self.cuts:
+            prefix = self.codes >> np.uint64(8 - j)
             new = np.concatenate(([True], prefix[1:] != prefix[:-1]))
             first = np.flatnonzero(new)
-            self.first.append(first)
-            self.group.append(np.cumsum(new) - 1)
-            self.totals.append(np.add.reduceat(counts, first))
+            self.cuts = {k: v for k, v in self.cuts.items() if k == j - 1}
+            self.cuts[j] = np.cumsum(new, dtype=np.int32) - np.int32(1), first.astype(np.int32), np.add.reduceat(self.counts, first)
+        return self.cuts[j]
 
     def above(self) -> tuple[Level, np.ndarray]:
         """The level above, and where each row goes in it."""
         codes = self.codes >> np.uint64(16) << np.uint64(8) | self.codes & np.uint64(255)
         names, at = np.unique(codes, return_inverse=True)
-        counts = np.zeros(len(names))
-        np.add.at(counts, at, self.totals[8])
-        return Level(names, counts), at
+        return Level(names, np.bincount(at, self.counts, len(names))), at.astype(np.int32)
 
     def weigh(self, j: int, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Log weighted probability of each group at decision j, and the share of its own estimate in it.
 
         ``below`` has the sums of the logs of the contexts below; None at the greatest depth.
         """
-        child = np.flatnonzero(np.concatenate(([True], self.group[j][self.first[j + 1]][1:] != self.group[j][self.first[j + 1]][:-1])))
-        own = kt(self.totals[j + 1][child], self.totals[j])
+        (group, _, totals), (_, first, ones) = self.cut(j), self.cut(j + 1)
+        of = group[first]
+        own = kt(ones[np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))], totals)
         if below is None:
             return own, np.ones(len(own))
         weighted = np.logaddexp(own, below) - np.log(2)
@@ -171,7 +190,8 @@ class Level:
 
     def estimate(self, j: int) -> np.ndarray:
         """The estimate, for each row, of its bit at decision j."""
-        return (self.totals[j + 1][self.group[j + 1]] + 0.5) / (self.totals[j][self.group[j]] + 1.0)
+        (group, _, totals), (of, _, ones) = self.cut(j), self.cut(j + 1)
+        return (ones[of] + 0.5) / (totals[group] + 1.0)
 
 
 def weigh(codes: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -191,18 +211,20 @@ def weigh(codes: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple
             weighted, share = level.weigh(j, below)
             shares.append(share)
             if k < len(up):
-                to = levels[k + 1].group[j][up[k][level.first[j]]]
-                below = np.bincount(to, weighted, len(levels[k + 1].first[j]))
+                group, first, _ = levels[k + 1].cut(j)
+                below = np.bincount(group[up[k][level.cut(j)[1]]], weighted, len(first))
         top = levels[-1]
-        roots.append((top.codes[top.first[j]], weighted))
+        roots.append((top.codes[top.cut(j)[1]], weighted))
         mixed = levels[0].estimate(j)
-        known = levels[0].totals[j][levels[0].group[j]] > 0
-        at = np.arange(len(codes))
+        group, _, totals = levels[0].cut(j)
+        known = totals[group] > 0
+        at = np.arange(len(codes), dtype=np.int32)
         for k, level in enumerate(levels[1:], 1):
             at = up[k - 1][at]
-            own, share = level.estimate(j)[at], shares[k][level.group[j]][at]
+            group, _, totals = level.cut(j)
+            own, share = level.estimate(j)[at], shares[k][group][at]
             mixed = np.where(known, share * own + (1 - share) * mixed, own)
-            known = (level.totals[j][level.group[j]] > 0)[at]
+            known = (totals[group] > 0)[at]
         out[:, j] = np.where(known, mixed, np.nan)  # the estimate of a context above the root stands in
     return out, roots
 
@@ -278,6 +300,7 @@ def gather(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Data
     counted = scratch.save(
         docs.select("text", "trained")
         .mapInArrow(_count, "kind int, key long, n long, seen long")
+        .repartition("kind", "key")  # counts are added up after it only
         .groupBy("kind", "key")
         .agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     )
@@ -319,37 +342,44 @@ def gather(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Data
     return values, counted.where(F.col("kind") == WORDS).select("key", "n"), {"tokens": tokens, "distinct": distinct, "ends": ends}
 
 
+def most(table: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the highest counts, ``limit`` at most; rows of about the same count are in or out together."""
+    step = F.floor(F.log2(count) * 64)  # at most 64 * 63 steps, exact for counts below 64
+    steps = sorted(((r["step"], r["n"]) for r in table.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    fits = int(np.searchsorted(np.cumsum([n for _, n in steps]), limit, side="right"))
+    return table.where((F.col(count) > 0) & (step >= F.lit(steps[fits - 1][0]))) if fits else table.where(F.lit(False))
+
+
 class Table:
     """Values of 64-bit keys by open addressing, built and read without a Python loop over keys."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        size = 1 << max(4, int(3 * len(keys)).bit_length())  # 3 to 6 places of four bytes a key
         self.mask = np.uint64(size - 1)
-        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size, values.dtype), np.zeros(size, bool)
-        at, rest = mix(keys) & self.mask, np.arange(len(keys))
+        self.keys, self.values, self.row = keys, values, np.full(size, -1, np.int32)
+        at, rest = mix(keys) & self.mask, np.arange(len(keys), dtype=np.int32)
         while len(rest):
             place = at[rest]
-            free = ~self.used[place]
-            _, winner = np.unique(place[free], return_index=True)
-            won = rest[free][winner]
-            self.used[at[won]] = True
-            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
-            rest = np.setdiff1d(rest, won, assume_unique=True)
+            free = self.row[place] < 0
+            self.row[place[free]] = rest[free]  # of those that meet in a place the last one has it
+            rest = rest[self.row[place] != rest]
             at[rest] = at[rest] + np.uint64(1) & self.mask
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and which keys are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
         at = mix(keys) & self.mask
-        hit = self.used[at] & (self.keys[at] == keys)
-        out = np.where(hit, self.values[at], 0)
-        rest = np.flatnonzero(self.used[at] & ~hit)
+        row = self.row[at]
+        hit = (row >= 0) & (self.keys[row] == keys)
+        rest = np.flatnonzero((row >= 0) & ~hit)
         while len(rest):
             at[rest] = at[rest] + np.uint64(1) & self.mask
-            place = at[rest]
-            same = self.used[place] & (self.keys[place] == keys[rest])
-            hit[rest[same]], out[rest[same]] = True, self.values[place[same]]
-            rest = rest[self.used[place] & ~same]
-        return out, hit
+            found = self.row[at[rest]]
+            same = (found >= 0) & (self.keys[found] == keys[rest])
+            hit[rest[same]], row[rest[same]] = True, found[same]
+            rest = rest[(found >= 0) & ~same]
+        return np.where(hit, self.values[row], 0), hit
 
 
 def _apart(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,8 +403,8 @@ def score(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scrat
     )
     values, counts, total = gather(spark, docs, scratch)
     # Both heads have at most HEAD rows.
-    often = values.orderBy(F.desc("seen"), "key").limit(HEAD).select("key", F.col("value").cast("double").alias("v")).toArrow()
-    common = counts.orderBy(F.desc("n"), "key").limit(HEAD // 4).select("key", F.col("n").alias("v")).toArrow()
+    often = most(values, "seen", HEAD).select("key", F.col("value").alias("v")).toArrow()
+    common = most(counts, "n", HEAD // 4).select("key", F.col("n").alias("v")).toArrow()
     shared = spark.sparkContext.broadcast([(t.column("key").to_numpy().view(np.uint64), t.column("v").to_numpy()) for t in (often, common)])
     ends, name = total["ends"], scratch.root
 
@@ -384,7 +414,7 @@ def score(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scrat
             _tables[name] = tuple(Table(*kv) for kv in shared.value)
         of_grams, of_words = _tables[name]
         row = TaskContext.get().partitionId() << 40
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", SCORED):
             n = batch.num_rows
             data, offsets = text_bytes(batch.column("text"))
             out, places, bounds = padded(data, offsets)
