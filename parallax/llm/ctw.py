@@ -10,10 +10,11 @@ node has none there, the estimate of the one above stands in for it, so every co
 1. Grams of all texts are counted, map-side first, with their count in the training text: every context of the training
    text has its node, however rare, so what is gathered grows with the text. Python adds up a task's counts and hands them
    on at ``GATHER`` distinct ones; Spark adds up the rest after the shuffle, where a task has its share of the keys only.
-2. Grams are dealt by the two bytes before, below which contexts of greater depth form trees of their own. A task weighs
-   one such tree after the other and gives each gram the probabilities of its eight bits under it. Its memory is bounded
-   by the distinct grams that follow one pair of bytes; of the nine partitions of these, two are held at a time. The two levels above have 257 contexts, which are weighed at the
-   driver and sent to every task.
+2. Grams are dealt by the two bytes before, below which contexts of greater depth form trees of their own; those of a pair
+   that has more than one in ``SHARE`` of all, by three bytes. A task weighs one such tree after the other and gives each
+   gram the probabilities of its eight bits under it. Its memory is bounded by the largest tree: that share of the distinct
+   grams, or those that follow one triple of bytes. The contexts above, 257 and fewer than ``SHARE`` such pairs, are
+   weighed at the driver from sums and sent to every task.
 3. Texts are scored by look-up of the most frequent grams, ``HEAD`` at most, inside the tasks; the others are joined. Which
    they are follows from a histogram of the counts, so no task sorts all grams.
 
@@ -30,7 +31,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, key_lists, mix, signed, text_bytes, words
 
-DEPTH, ROOT, HEAD = 5, 2, 1 << 20
+DEPTH, ROOT, HEAD, SHARE = 5, 2, 1 << 20, 256
 #: Bytes of text counted and scored at once; distinct keys that a task adds up before it hands them to Spark; grams that a
 #: task weighs at once, or one tree's.
 COUNTED, SCORED, GATHER, LOT = 1 << 20, 1 << 18, 700_000, 200_000
@@ -232,18 +233,38 @@ def weigh(codes: np.ndarray, counts: np.ndarray, depth: int, root: int) -> tuple
 TREES = "code long, seen long, p array<float>, w double"
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def numbers(crowded: np.ndarray) -> np.ndarray:
+    """The place of each context of ``ROOT`` bytes among the crowded ones; -1 for the others."""
+    out = np.full(1 << 8 * ROOT, -1, np.int64)
+    out[crowded] = np.arange(len(crowded))
+    return out
+
+
+def trees_of(crowded: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Grams (code, n, seen) in order -> (code, seen, p) with the probabilities of their bits under the tree of the
-    ``ROOT`` bytes before, and (-1 - node of the context above, w) with the sums of the roots' logs."""
-    above = np.zeros((256, 256))
-    shift = np.uint64(8 * (DEPTH + 1 - ROOT))
+    ``ROOT`` bytes before, one more after the ``crowded`` ones, and (-1 - node of the context above, w) with the sums of
+    the roots' logs. Nodes of single bytes are numbered first, then those of the crowded contexts."""
+    return lambda batches: _trees(batches, crowded)
+
+
+def _trees(batches: Iterator[pa.RecordBatch], crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    above = np.zeros((256 + len(crowded)) * 256)
+    shift, number = np.uint64(8 * (DEPTH + 1 - ROOT)), numbers(crowded)
     held: list[np.ndarray] = []
 
     def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        p, roots = weigh(rows[0].astype(np.uint64), rows[1], DEPTH, ROOT)
+        deep = number[rows[0] >> int(shift)] >= 0
+        for part, root in ((rows[:, ~deep], ROOT), (rows[:, deep], ROOT + 1)):
+            if part.shape[1]:
+                yield from weighed(part, root)
+
+    def weighed(rows: np.ndarray, root: int) -> Iterator[pa.RecordBatch]:
+        p, roots = weigh(rows[0].astype(np.uint64), rows[1], DEPTH, root)
         for j, (codes, weighted) in enumerate(roots):
             node = (1 << j) | (codes & np.uint64(255)).astype(np.int64) >> (8 - j)
-            np.add.at(above, ((codes >> np.uint64(16)).astype(np.int64), node), weighted)
+            context = (codes >> np.uint64(16)).astype(np.int64)
+            context = context if root == ROOT else 256 + number[context]
+            np.add.at(above, context * 256 + node, weighted)
         for at in range(0, rows.shape[1], 50_000):
             part = slice(at, at + 50_000)
             n = len(rows[0][part])
@@ -258,22 +279,25 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(h.shape[1] for h in held) < LOT:
             continue
         rows = np.concatenate(held, axis=1)
-        tree = rows[0].astype(np.uint64) >> shift
-        cut = int(np.searchsorted(tree, tree[-1]))  # the last tree may go on
+        tree = rows[0] >> np.where(number[rows[0] >> int(shift)] >= 0, int(shift) - 8, int(shift))
+        cut = int(np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))[-1])  # the last tree may go on
         held = [rows[:, cut:]]
         if cut:
             yield from work(rows[:, :cut])
     if held and held[-1].shape[1]:
         yield from work(np.concatenate(held, axis=1))
-    a, node = np.nonzero(above)
+    at = np.flatnonzero(above)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(-1 - (a * 256 + node)), pa.array(np.zeros(len(a), np.int64)), pa.nulls(len(a), pa.list_(pa.float32())), pa.array(above[a, node])],
+        [pa.array(-1 - at), pa.array(np.zeros(len(at), np.int64)), pa.nulls(len(at), pa.list_(pa.float32())), pa.array(above[at])],
         names=["code", "seen", "p", "w"],
     )
 
 
-def top(counts: np.ndarray, below: np.ndarray) -> dict[str, np.ndarray]:
-    """The two levels above the trees: counts of the next byte after each byte, and sums of the logs below its nodes."""
+def top(counts: np.ndarray, below: np.ndarray, crowded: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The levels above the trees, from the crowded contexts up: whether a node has counts, its estimate, and its share.
+
+    ``counts`` of the next byte and sums of the logs ``below`` are those of the single bytes, then of the crowded contexts.
+    """
 
     def level(c: np.ndarray, under: np.ndarray) -> tuple[np.ndarray, ...]:
         tree = np.zeros((len(c), 512))
@@ -285,11 +309,21 @@ def top(counts: np.ndarray, below: np.ndarray) -> dict[str, np.ndarray]:
         n, one = tree[:, :256], tree[:, 1::2]
         own = kt(one, n)
         weighted = np.logaddexp(own, under) - np.log(2)
-        return n, (one + 0.5) / (n + 1.0), np.exp(own - np.log(2) - weighted), weighted
+        return (n > 0, (one + 0.5) / (n + 1.0), np.exp(own - np.log(2) - weighted)), weighted
+
+    pairs, weighted = level(counts[256:], below[256:])
+    under = below[:256].copy()
+    np.add.at(under, crowded >> 8, weighted)
+    singles, weighted = level(counts[:256], under)
+    (_, *root), _ = level(counts[:256].sum(0, keepdims=True), weighted.sum(0, keepdims=True))
+    return [pairs, singles, (np.ones((1, 256), bool), *root)]  # the root's estimate always counts
+
 
-    n1, one1, share1, weighted = level(counts, below)
-    _, one0, share0, _ = level(counts.sum(0, keepdims=True), weighted.sum(0, keepdims=True))
-    return {"n1": n1, "one1": one1, "share1": share1, "one0": one0[0], "share0": share0[0]}
+def lifted(level: tuple[np.ndarray, ...], context: np.ndarray, node: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities of bits one level up; where a context has no counts, it is NaN, and the one above stands in for it."""
+    known, one, share = (x[context, node] for x in level)
+    own = np.where(bit, one, 1 - one)
+    return np.where(known, np.where(np.isnan(p), own, share * own + (1 - share) * p), np.nan)
 
 
 def gather(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict]:
@@ -305,31 +339,37 @@ def gather(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Data
         .agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     )
     of = counted.where(F.col("kind") == GRAMS).select(F.col("key").alias("code"), "n", "seen")
+    before = lambda n: F.shiftright("code", 8 * (DEPTH + 1 - n))
+    sizes = of.groupBy(before(ROOT).alias("c")).agg(F.count("*").alias("n")).toArrow()  # at most 65,536 rows
+    n = sizes.column("n").to_numpy()
+    crowded = np.sort(sizes.column("c").to_numpy()[n * SHARE > n.sum()])  # fewer than SHARE
+    number = numbers(crowded)
+    in_crowd = before(ROOT).isin(crowded.tolist())
     trees = scratch.save(
-        of.repartition(F.shiftright("code", 8 * (DEPTH + 1 - ROOT))).sortWithinPartitions("code").mapInArrow(_trees, TREES)
+        of.repartition(F.when(in_crowd, before(ROOT + 1)).otherwise(-1 - before(ROOT))).sortWithinPartitions("code").mapInArrow(trees_of(crowded), TREES)
     )
-    below, counts = np.zeros((256, 256)), np.zeros((256, 256))
-    for r in trees.where("code < 0").groupBy("code").agg(F.sum("w").alias("w")).collect():  # at most 65,280 rows
-        below.reshape(-1)[-1 - r["code"]] = r["w"]
-    nearest = F.shiftright("code", 8 * DEPTH)
-    for r in of.groupBy(nearest.alias("a"), F.col("code").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).collect():
-        counts[r["a"], r["b"]] = r["n"]  # at most 65,536 rows
-    shared = spark.sparkContext.broadcast(top(counts, below))
+    below, counts = np.zeros((256 + len(crowded), 256)), np.zeros((256 + len(crowded), 256))
+    sums = trees.where("code < 0").groupBy("code").agg(F.sum("w").alias("w")).toArrow()  # at most 65,280 rows, as many for the crowded
+    below.reshape(-1)[-1 - sums.column("code").to_numpy()] = sums.column("w").to_numpy()
+    for rows, size in ((of, 1), (of.where(in_crowd), ROOT)):
+        by = rows.groupBy(before(size).alias("c"), F.col("code").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).toArrow()
+        c, b, n = (by.column(x).to_numpy() for x in ("c", "b", "n"))  # at most 65,536 rows
+        counts[c if size == 1 else 256 + number[c], b] = n
+    shared = spark.sparkContext.broadcast(top(counts, below, crowded))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        pairs, singles, root = shared.value
         for batch in batches:
             code = batch.column("code").to_numpy()
             p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, 8).astype(np.float64)
             near, byte = code >> 8 * DEPTH, code & 255
+            at = number[code >> 8 * (DEPTH + 1 - ROOT)]
+            deep = np.flatnonzero(at >= 0)
             logs = np.zeros(len(code))
             for j in range(8):
-                node, one = (1 << j) | byte >> (8 - j), (byte >> (7 - j) & 1).astype(bool)
-                side = lambda q, one=one: np.where(one, q, 1 - q)
-                own1, own0 = side(m["one1"][near, node]), side(m["one0"][node])
-                share1, share0 = m["share1"][near, node], m["share0"][node]
-                mixed = np.where(np.isnan(p[:, j]), own1, share1 * own1 + (1 - share1) * p[:, j])
-                logs += np.log10(np.where(m["n1"][near, node] > 0, share0 * own0 + (1 - share0) * mixed, own0))
+                node, bit, q = (1 << j) | byte >> (8 - j), (byte >> (7 - j) & 1).astype(bool), p[:, j]
+                q[deep] = lifted(pairs, at[deep], node[deep], bit[deep], q[deep])
+                logs += np.log10(lifted(root, np.zeros_like(node), node, bit, lifted(singles, near, node, bit, q)))
             yield pa.RecordBatch.from_arrays([batch.column("code"), batch.column("seen"), pa.array(logs)], names=["key", "seen", "value"])
 
     values = scratch.save(trees.where("code >= 0").select("code", "seen", "p").mapInArrow(finish, "key long, seen long, value double"))

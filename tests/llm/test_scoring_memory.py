@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from parallax.llm import ctw
 
 
@@ -73,3 +75,31 @@ def test_most_frequent_rows(spark):
         got = [r["seen"] for r in ctw.most(df, "seen", limit).collect()]
         assert sorted(got, reverse=True) == sorted(counts, reverse=True)[:expected]
     assert ctw.most(df.limit(0), "seen", 5).count() == 0
+
+
+def test_a_crowded_pair_is_weighed_by_triples(monkeypatch):
+    codes, sizes, weigh = some_grams(30_000), [], ctw.weigh
+    monkeypatch.setattr(ctw, "LOT", 1000)
+    monkeypatch.setattr(ctw, "weigh", lambda c, *rest: sizes.append(len(c)) or weigh(c, *rest))
+    triples = np.unique(codes >> np.uint64(24), return_counts=True)[1]
+    batches = lambda: (
+        pa.RecordBatch.from_arrays([pa.array(x[at : at + 500]) for x in (codes.astype(np.int64), *np.ones((2, 30_000), np.int64))], names=["code", "n", "seen"])
+        for at in range(0, 30_000, 500)
+    )
+    rows = pa.Table.from_batches(ctw.trees_of(np.array([0x6520]))(batches()))
+    assert sum(sizes) == 30_000 and max(sizes) <= 1500 + triples.max() < 10_000
+    got = rows.column("code").to_numpy()
+    assert (np.sort(got[got >= 0]).astype(np.uint64) == codes).all()
+    assert (got[got < 0] <= -1 - 256 * 256).all()  # sums for the pair, which stands after the single bytes
+
+
+@pytest.mark.parametrize("share", [1, 8, 256])
+def test_scores_do_not_depend_on_crowds(spark, monkeypatch, share):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abc "), 40, p=[0.5, 0.2, 0.2, 0.1])) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = lambda: {r["doc_id"]: r["score"] for r in ctw.score(spark, docs, F.col("doc_id") % 3 != 0).collect()}
+    monkeypatch.setattr(ctw, "SHARE", 0)  # no pair is crowded
+    plain = score()
+    monkeypatch.setattr(ctw, "SHARE", share)
+    assert score() == pytest.approx(plain, rel=1e-6)
