@@ -124,8 +124,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not part.num_rows:
                 continue
             data, offsets = text_bytes(part.column("text"))
-            keys, seen = np.unique(grams(*padded(data, offsets)[:2]), return_counts=True)
-            held[GRAMS].add(keys, seen * weight, seen)
+            out, places, _ = padded(data, offsets)
+            for at in range(0, len(places), COUNTED):  # one text may be longer
+                keys, seen = np.unique(grams(out, places[at : at + COUNTED]), return_counts=True)
+                held[GRAMS].add(keys, seen * weight, seen)
             if weight:
                 keys, seen = np.unique(words(data, offsets)[0], return_counts=True)
                 held[WORDS].add(keys, seen, seen)
@@ -422,6 +424,17 @@ class Table:
         return np.where(hit, self.values[row], 0), hit
 
 
+def looked_up(table: Table, out: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The value of each place's gram, 0 where there is none, and the grams and places of these; ``SCORED`` places at once."""
+    gain, keys, missed = np.zeros(len(places)), [], []
+    for at in range(0, len(places), SCORED):
+        codes = grams(out, places[at : at + SCORED])
+        gain[at : at + SCORED], hit = table.find(codes)
+        keys.append(codes[~hit])
+        missed.append(at + np.flatnonzero(~hit))
+    return gain, np.concatenate(keys), np.concatenate(missed)
+
+
 def _apart(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of each owner, how often it has them, and how many distinct ones."""
     order = np.lexsort((keys, owner))
@@ -458,10 +471,8 @@ def score(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scrat
             n = batch.num_rows
             data, offsets = text_bytes(batch.column("text"))
             out, places, bounds = padded(data, offsets)
-            codes = grams(out, places)
-            gain, hit = of_grams.find(codes)
-            gains = np.concatenate(([0.0], np.cumsum(gain.astype(np.float64))))
-            rare = [_apart(codes[~hit], np.repeat(np.arange(n), np.diff(bounds))[~hit], n)]
+            gain, keys, missed = looked_up(of_grams, out, places)
+            rare = [_apart(keys, np.searchsorted(bounds, missed, side="right") - 1, n)]
             hashes, _, _, tokens = words(data, offsets)
             seen, hit = of_words.find(hashes)
             logs = np.concatenate(([0.0], np.cumsum(np.log10(seen + 1.0))))
@@ -474,7 +485,7 @@ def score(spark: SparkSession, docs: DataFrame, training: Column, scratch: Scrat
                     pa.array(np.diff(tokens) + 1),
                     pa.array(known[tokens[1:]] - known[tokens[:-1]] + (ends > 0)),
                     pa.array(logs[tokens[1:]] - logs[tokens[:-1]] + np.log10(ends + 1.0)),
-                    pa.array(gains[bounds[1:]] - gains[bounds[:-1]]),
+                    pa.array(np.add.reduceat(gain, bounds[:-1])),  # every text has its end at least
                     pa.array(np.diff(bounds)),
                     *(key_lists(x, each) for keys, times, each in rare for x in (signed(keys), times)),
                 ],

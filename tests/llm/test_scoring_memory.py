@@ -103,3 +103,31 @@ def test_scores_do_not_depend_on_crowds(spark, monkeypatch, share):
     plain = score()
     monkeypatch.setattr(ctw, "SHARE", share)
     assert score() == pytest.approx(plain, rel=1e-6)
+
+
+def test_a_long_text_takes_few_bytes_a_byte(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = rng.choice(np.frombuffer(b"etaoin ", np.uint8), 8 << 20).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([True])], names=["text", "trained"])
+    most, _ = peak(lambda: sum(b.num_rows for b in ctw._count(iter([batch]))))
+    assert most < 25 * len(text)
+    out, places, _ = ctw.padded(*ctw.text_bytes(batch.column("text")))
+    keys = np.unique(ctw.grams(out, places[:100_000]))
+    table = ctw.Table(keys, np.arange(len(keys)) + 1.0)
+    assert peak(lambda: ctw.looked_up(table, out, places))[0] < 30 * len(text)
+    some = np.sort(rng.choice(len(places), 1000, replace=False))
+    gain, rare, missed = ctw.looked_up(table, out, places)
+    value, there = table.find(ctw.grams(out, places[some]))
+    assert (gain[some] == value).all() and (np.isin(some, missed) == ~there).all()
+    assert (rare[:1000] == ctw.grams(out, places[missed[:1000]])).all()
+
+
+def test_slices_of_a_text_score_as_the_whole(spark, monkeypatch):
+    texts = ["abba abc " * 40, "b", "", "cab " * 30, "é" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = lambda: [tuple(r) for r in ctw.score(spark, docs, F.col("doc_id") % 3 == 0).orderBy("doc_id").collect()]
+    plain = score()
+    for name in ("COUNTED", "SCORED"):
+        monkeypatch.setattr(ctw, name, 7)
+    for got, expected in zip(score(), plain, strict=True):
+        assert got == pytest.approx(expected, rel=1e-9)
