@@ -53,6 +53,8 @@ BROADCAST_ROWS = 1_000_000
 LARGEST = 1 << 31
 #: Bits that tell which keys are worth a shuffle, at most: 32 MB.
 LARGEST_MARKS = 1 << 28
+#: Keys that a task counts at once, before and after their shuffle.
+SLICE_KEYS, BUCKET_KEYS = 1 << 19, 1 << 18
 
 
 def bands(percent: int, growth: float = 1.3) -> list[tuple[int, int, int, int, int]]:
@@ -117,6 +119,7 @@ FEATURES = T.StructType(
         T.StructField("d1", T.LongType()),
         T.StructField("d2", T.LongType()),
         T.StructField("bits", T.BinaryType()),
+        T.StructField("n_keys", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
@@ -138,6 +141,7 @@ def _features(percent: int, width: int):
             keys, owners = keys_of([sets[i] for i in lead], percent)
             owners = lead[owners]
             kept = np.argsort(owners, kind="stable")
+            lengths = np.bincount(owners, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -145,7 +149,8 @@ def _features(percent: int, width: int):
                     pa.array(digest[:, 0]),
                     pa.array(digest[:, 1]),
                     pa.array([small_bitmap(s) for s in sets], pa.binary()),
-                    key_lists(signed(keys[kept]), np.bincount(owners, minlength=batch.num_rows)),
+                    pa.array(lengths.astype(np.int64)),
+                    key_lists(signed(keys[kept]), lengths),
                 ],
                 names=FEATURES.names,
             )
@@ -291,13 +296,76 @@ def _marks(keys: DataFrame, n: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``SLICE_KEYS`` keys, or one row."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("keys").value_lengths().to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_KEYS, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _summed(keys: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with their least and largest label and their number."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(k[order], first)
+
+
+COUNTS = "bucket long, key array<long>, low array<long>, span array<long>, k array<int>"
+
+
+def _counted(buckets: int, quick: bool):
+    """Keys of a slice of (label, keys), counted; one row for each bucket, which is a range of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            listed = batch.column("keys")
+            keys = listed.flatten().to_numpy().view(np.uint64)
+            label = np.repeat(batch.column("label").to_numpy(), listed.value_lengths().to_numpy())
+            if quick:
+                use = keys % np.uint64(QUICK) == 0
+                keys, label = keys[use], label[use]
+            if not len(keys):
+                continue
+            keys, low, high, k = _summed(keys, label, label, np.ones(len(keys), np.int32))
+            of = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            offsets = pa.array(np.append(begin, len(of)).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed(keys), low, high - low, k.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(of[begin]), *arrays], names=["bucket", "key", "low", "span", "k"])
+
+    return run
+
+
+def _several(counts: pa.Table) -> pa.Table:
+    """Keys of one bucket that have several labels, and how often they occur."""
+    key, low, span, k = (pa.chunked_array([c.flatten() for c in counts.column(n).chunks]).to_numpy() for n in ("key", "low", "span", "k"))
+    key, low, high, k = _summed(key, low, low + span, k.astype(np.int64))
+    return pa.table({"key": key[low < high], "k": k[low < high]})
+
+
+def _key_counts(listed: DataFrame, n: int, quick: bool) -> DataFrame:
+    """(key, k) of the keys with several labels, from rows (label, keys) with ``n`` keys in all.
+
+    Nearly all keys occur once, so grouping them row by row would fill the memory of the JVM with what isn't needed. Ranges of
+    keys are shuffled as arrays instead, and a task holds one of about ``BUCKET_KEYS``; a frequent key is one in each slice.
+    """
+    counts = listed.select("label", "keys").mapInArrow(_counted(n // (BUCKET_KEYS * (QUICK if quick else 1)) + 1, quick), COUNTS)
+    return counts.groupBy("bucket").applyInArrow(_several, "key long, k long")
+
+
 def _marked(marks, quick: bool):
     """(key, doc_id, label) of the keys that have a mark, from (doc_id, label, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marks.value
         low = np.uint64(64 * len(bits) - 1)
-        for batch in batches:
+        for batch in _slices(batches):
             keys = batch.column("keys")
             flat = keys.flatten().to_numpy()
             place = flat.view(np.uint64) >> np.uint64(8) & low
@@ -317,17 +385,15 @@ def _marked(marks, quick: bool):
 def _meet(listed: DataFrame, features: DataFrame, percent: int, quick: bool, scratch: Scratch) -> DataFrame:
     """(u, v) ties from rows (doc_id, label, keys), by bitmaps only for keys with several labels.
 
-    Keys are counted map-side first. Of the rows only those whose key may have several labels are shuffled, told by a bit for
+    Keys are counted first, by ranges of them. Of the rows only those whose key may have several labels are shuffled, told by a bit for
     each such key; a hot key's rows then meet their key's count in a join whose hot partitions adaptive execution splits. In
     the quick round a key with many texts has its blocks compared with themselves and a few texts shared by all of them, which
     ties most of it; in the full round every two blocks meet.
     """
-    rows = listed.select(F.explode("keys").alias("key"), "label")
-    rows = rows.where(F.pmod("key", F.lit(QUICK)) == 0) if quick else rows
-    stats = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
+    n = features.agg(F.sum("n_keys")).first()[0] or 0
     blocks = F.ceil(F.col("k") / TILE_ROWS).cast("long")
     size = F.col("k") + 16 * blocks if quick else F.col("k") * blocks
-    stats = scratch.save(stats.where("low <> high").select("key", "k", blocks.alias("blocks"), size.alias("size")))
+    stats = scratch.save(_key_counts(listed, n, quick).select("key", "k", blocks.alias("blocks"), size.alias("size")))
     total = stats.agg(F.count("*").alias("keys"), F.sum("size").alias("size")).first()
     marks = features.sparkSession.sparkContext.broadcast(_marks(stats, total["keys"]))
     found = scratch.save(listed.select("doc_id", "label", "keys").mapInArrow(_marked(marks, quick), "key long, doc_id long, label long"))
