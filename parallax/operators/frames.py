@@ -219,10 +219,14 @@ def moving_mean(frames: DataFrame, stream: list[str], at: str, value: str, reach
 
 
 def smooth_rotations(frames: DataFrame, stream: list[str], at: str, rotation: str, reach: int = 3, name: str = "mean") -> DataFrame:
-    """Mean of the rotation vectors around each frame, as a rotation."""
+    """Mean of the rotation vectors around each frame, as a rotation.
+
+    The three means are columns of their own: the matrix names them hundreds of times, and each time would be another window.
+    """
     line = Window.partitionBy(*stream).orderBy(at).rowsBetween(-reach, reach)
-    v = rotation_vector(F.col(rotation))
-    return frames.withColumn("_v", v).withColumn(name, rotation_matrix([F.avg(F.col("_v")[k]).over(line) for k in range(3)])).drop("_v")
+    out = frames.withColumn("_v", rotation_vector(F.col(rotation)))
+    out = out.select("*", *[F.avg(F.col("_v")[k]).over(line).alias(f"_m{k}") for k in range(3)])
+    return out.withColumn(name, rotation_matrix([F.col(f"_m{k}") for k in range(3)])).drop("_v", "_m0", "_m1", "_m2")
 
 
 def interpolate_rotations(frames: DataFrame, stream: list[str], at: str, known: str, name: str = "rotation") -> DataFrame:

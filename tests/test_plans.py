@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parallax import queries as Q
+from parallax.functions import scalar as S
+from parallax.operators import frames as FR
 from parallax.operators import pixels as P
 
 #: Scans, shuffles and joins without a key, at most.
@@ -21,6 +23,25 @@ def test_scans_and_shuffles(spark, small, name):
     assert all(f <= m for f, m in zip(found, MOST[name], strict=True)), found
 
 
+def test_smoothed_rotations_take_three_means(spark, small):
+    """One mean for each number of a vector, not one for each time that the matrix names it."""
+    plan = Q.queries()["nbr13_smooth_rotations"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("specifiedwindowframe(RowFrame, -3, 3)") == 3
+
+
+def test_smoothed_rotations_about_any_axis(spark):
+    rng = np.random.default_rng(4)
+    v = [tuple(map(float, r)) for r in rng.uniform(-0.8, 0.8, (12, 3))]
+    v[5] = (None, None, None)
+    df = spark.createDataFrame([(1, k, *r) for k, r in enumerate(v)], "s int, k int, x double, y double, z double")
+    df = df.withColumn("r", S.rotation_matrix([F.col(a) for a in "xyz"]))
+    out = FR.smooth_rotations(df, ["s"], "k", "r")
+    assert out.columns == [*df.columns, "mean"]
+    for row in out.withColumn("v", S.rotation_vector(F.col("mean"))).collect():
+        near = [r for r in v[max(row["k"] - 3, 0) : row["k"] + 4] if r[0] is not None]
+        assert np.allclose(row["v"], np.mean(near, 0))
+
+
 def frames(spark, h, w, seed=1):
     rng = np.random.default_rng(seed)
     rows = [(f, y, x, float(rng.random()), float(rng.random() < (0.2, 0.6, 0.0, 1.0)[f])) for f in range(4) for y in range(h) for x in range(w)]
