@@ -180,19 +180,24 @@ def chained(frames: DataFrame, stream: list[str], order: list[str], direct: str,
     return fold(frames, stream, order, [direct, step_from_last], lambda: None, step, results)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def rotation_from(homography: pd.Series, intrinsics: pd.Series) -> pd.Series:
-    """The rotation that a homography implies for a lens: the nearest one to K^-1 H K; null where that isn't like one."""
+def rotations_of(homography: list, intrinsics: list) -> list[list[float] | None]:
+    """The rotation that each homography implies for its lens: the nearest one to K^-1 H K; None where that isn't like one."""
     out: list[list[float] | None] = [None] * len(homography)
     known = [k for k, (h, m) in enumerate(zip(homography, intrinsics, strict=True)) if h is not None and m is not None and np.isfinite(h).all() and np.isfinite(m).all()]
     if known:
-        h, m = (np.stack([np.asarray(s.iloc[k], float).reshape(3, 3) for k in known]) for s in (homography, intrinsics))
+        h, m = (np.stack([np.asarray(s[k], float).reshape(3, 3) for k in known]) for s in (homography, intrinsics))
         u, scale, v = np.linalg.svd(np.linalg.inv(m) @ h @ m)
         u[:, :, 2] *= np.sign(np.linalg.det(u @ v))[:, None]  # no camera mirrors
         for k, r, s in zip(known, u @ v, scale, strict=True):
             if s[0] / max(s[2], 1e-9) <= 1.5:
                 out[k] = r.reshape(-1).tolist()
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def rotation_from(homography: pd.Series, intrinsics: pd.Series) -> pd.Series:
+    """The same on columns, null for None."""
+    return pd.Series(rotations_of(homography.tolist(), intrinsics.tolist()))
 
 
 def interpolate(frames: DataFrame, stream: list[str], at: str, known: str, name: str = "value") -> DataFrame:

@@ -102,9 +102,11 @@ def str09_track(spark, d):
     """STR-09 with its matches: a pan past its own start, ten frames a stream; the eighth frame matches nothing, so the track is
     held there and at the next, and goes on from where it was held."""
     frames = spark.sql(_FRAMES, rows=table(spark, d, "embeddings").select("vec_id"))
+    # Frames are dealt before their features are made: a file may be one task, and numbers are quickly sent.
+    frames = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stream")
     seen = spark.sql(_SEEN, frames=frames)
     lens = S.intrinsics(F.lit(640), F.lit(480), F.lit(500.0))
-    out = MA.track(seen, ["stream"], ["frame"], "features", lens)
+    out = MA.track(seen, ["stream"], ["frame"], "features", lens, dealt=True)
     return out.select("vec_id", R(c("rotation")[0]).alias("cosine"), R(c("rotation")[2]).alias("sine"), "placed")
 
 

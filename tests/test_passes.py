@@ -142,6 +142,111 @@ def test_track_with_frames_without_features(spark):
     assert np.allclose([np.arctan2(r["rotation"][2], r["rotation"][0]) for r in got], [0, 0.05, 0.05, 0.05, 0.2], atol=1e-6)
 
 
+def plain_consensus(src, dst):
+    """Every set drawn is solved."""
+    both = np.concatenate((src, dst), 1)
+    both = both[np.lexsort(both.T)]
+    src, dst = both[:, :2], both[:, 2:]
+    n = len(src)
+    a, b = MA._normal(src), MA._normal(dst)
+    s, d = src @ a[:2, :2].T + a[:2, 2], dst @ b[:2, :2].T + b[:2, 2]
+    back, rng = np.linalg.inv(b), np.random.default_rng(n)
+    best, agree, drawn = np.zeros(n, bool), 0, 0
+    while drawn < MA.MOST and (1 - (agree / n) ** 4) ** drawn > MA.MISSED:
+        four = np.argsort(rng.random((MA.DRAWN, n)), 1)[:, :4] if n < 64 else rng.integers(0, n, (MA.DRAWN, 4))
+        left, right = MA._equations(s[four], d[four])
+        solvable = np.abs(np.linalg.det(left)) > 1e-9
+        h = np.linalg.solve(left[solvable], right[solvable][..., None])[..., 0]
+        h = np.concatenate((h, np.ones((len(h), 1))), 1).reshape(-1, 3, 3)
+        good = MA._far_off(back @ h @ a, src, dst) <= MA.TOLERANCE**2
+        counts = good.sum(1)
+        if len(counts) and counts.max() > agree:
+            best, agree = good[counts.argmax()], int(counts.max())
+        drawn += MA.DRAWN
+    h = None
+    for _ in range(10):
+        if agree < MA.LEAST:
+            return None, agree
+        left, right = MA._equations(s[best], d[best])
+        h = back @ np.append(np.linalg.lstsq(left, right, rcond=None)[0], 1.0).reshape(3, 3) @ a
+        now = MA._far_off(h, src, dst) <= MA.TOLERANCE**2
+        if (now == best).all():
+            break
+        best, agree = now, int(now.sum())
+    return h / h[2, 2], agree
+
+
+@pytest.mark.parametrize("kind", ["clean", "noisy", "hopeless", "coarse", "line", "one place", "far out"])
+@pytest.mark.parametrize("n", [26, 51, 63, 64, 110])
+def test_answers_are_those_of_solving_every_set(kind, n):
+    rng = np.random.default_rng(n)
+    _, src, dst = planted(n, n, n // 3, 1.5 if kind == "noisy" else 0.0)
+    if kind == "hopeless":
+        dst = rng.uniform(0, 600, (n, 2))
+    elif kind == "coarse":
+        src, dst = np.round(src, -2), np.round(dst, -2)
+    elif kind == "line":
+        src[:, 1] = src[:, 0] / 2 + 1e-7 * rng.standard_normal(n)
+    elif kind == "one place":
+        dst[: n // 2] = dst[0]
+    elif kind == "far out":
+        src[:3] *= 1e4
+        dst[1] *= 1e5
+    got, want = MA.consensus(src, dst), plain_consensus(src, dst)
+    assert got[1] == want[1] and (got[0] is None) == (want[0] is None) and (got[0] is None or (got[0] == want[0]).all())
+
+
+def test_few_sets_of_hopeless_matches_are_solved(monkeypatch):
+    """All 8,192 sets count, but only those that may win are solved."""
+    solved, real = [], MA._equations
+    monkeypatch.setattr(MA, "_equations", lambda s, d: solved.append(len(s)) or real(s, d))
+    rng = np.random.default_rng(6)
+    assert MA.consensus(rng.uniform(0, 600, (51, 2)), rng.uniform(0, 600, (51, 2)))[0] is None
+    assert sum(solved) < 500
+
+
+@pytest.mark.parametrize(("block", "batch"), [(64, 10000), (3, 10000), (3, 2), (1, 1), (4, 5)])
+def test_track_of_blocks_and_batches(spark, monkeypatch, block, batch):
+    """Streams in blocks of any size, read in batches of any size, have the track of a plain loop over all their frames."""
+    from parallax.functions import scalar as S
+
+    rng = np.random.default_rng(9)
+    lens = [500.0, 0.0, 319.5, 0.0, 500.0, 239.5, 0.0, 0.0, 1.0]
+    rows, want = [], {}
+    for s, (n, empty) in enumerate([(11, {2, 3, 4, 7}), (1, set()), (7, {0, 1, 6}), (4, {0, 1, 2, 3})]):
+        points, names = rng.uniform(-0.3, 0.3, (60, 2)), [rng.bytes(32) for _ in range(60)]
+        first = before = rotation = None
+        for k in range(n):
+            a = 0.04 * k
+            z = np.cos(np.arctan(points[:, 0]) - a)
+            x, y = 319.5 + 500 * np.sin(np.arctan(points[:, 0]) - a) / z, 239.5 + 500 * points[:, 1] / np.sqrt(1 + points[:, 0] ** 2) / z
+            own = names if k < 6 else [bytes([255 - b for b in q]) for q in names]  # the first frame isn't seen from the seventh on
+            rows.append((s, k, [None, ([], [], []), (None, None, own), (x.tolist(), y.tolist(), own[1:])][k % 4] if k in empty else (x.tolist(), y.tolist(), own)))
+            now = None if k in empty else (np.stack((x, y), 1), MA._words(own))
+            turns = [FR.rotations_of([MA._matched(now, o) if now and o else None], [lens])[0] for o in (first, before)]
+            if k == 0:
+                rotation, first, placed = np.eye(3), now, True
+            elif turns[0]:
+                rotation, placed = np.array(turns[0]).reshape(3, 3), True
+            elif turns[1]:
+                rotation, placed = rotation @ np.array(turns[1]).reshape(3, 3), True
+            else:
+                placed = False
+            before = now or before
+            want[s, k] = rotation.reshape(-1).tolist(), placed
+    assert {p for _, p in want.values()} == {True, False}
+    monkeypatch.setattr(MA, "BLOCK", block)
+    df = spark.createDataFrame(rows, "s int, k int, f struct<x: array<double>, y: array<double>, d: array<binary>>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = MA.track(df, ["s"], ["k"], "f", S.intrinsics(F.lit(640), F.lit(480), F.lit(500.0)))
+        assert out.columns == ["s", "k", "rotation", "placed"]
+        got = [(r["s"], r["k"], r["rotation"], r["placed"]) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and {(s, k): rest for s, k, *rest in got} == {k: list(v) for k, v in want.items()}
+
+
 def test_fold_descending(spark):
     df = spark.createDataFrame([(1, k, float(k)) for k in range(5)], "s int, k int, v double")
     out = FR.fold(df, ["s"], ["k"], ["v"], float, lambda t, r: (t + r[0], (t + r[0],)), {"t": T.DoubleType()}, descending=True)

@@ -23,6 +23,12 @@ def test_scans_and_shuffles(spark, small, name):
     assert all(f <= m for f, m in zip(found, MOST[name], strict=True)), found
 
 
+def test_features_are_made_once(spark, small):
+    """One scan and no join: frames are dealt, given their features, and matched in their blocks."""
+    plan = Q.queries()["str09_track"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 3
+
+
 def test_smoothed_rotations_take_three_means(spark, small):
     """One mean for each number of a vector, not one for each time that the matrix names it."""
     plan = Q.queries()["nbr13_smooth_rotations"](spark, small)._jdf.queryExecution().executedPlan().toString()
